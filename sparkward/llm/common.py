@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
+from types import ModuleType
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,3 +74,11 @@ def written(df: DataFrame) -> DataFrame:
 def digest64(data: bytes, salt: bytes = b"") -> int:
     """A signed 64-bit digest."""
     return int.from_bytes(hashlib.blake2b(data, digest_size=8, key=salt).digest(), "little", signed=True)
+
+
+def of_process(key: tuple, make: Callable[[], Any]) -> Any:
+    """What make() gives, made once in a worker process and held there for its later tasks."""
+    held = vars(sys.modules.setdefault("sparkward_of_process", ModuleType("sparkward_of_process"))).setdefault("held", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_rotation, host_reputation, media_fingerprint, packing
+from . import chat_rotation, host_reputation, importance_resampling, media_fingerprint, packing, pii_surrogates, quality_crf, unigram_codec
 from .common import table
 
 
@@ -18,10 +19,34 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_bpe() -> str:
+    """The place of the public SentencePiece model."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def pii_key() -> bytes:
+    """The secret of the surrogates; a deployment sets its own."""
+    return os.environ.get("PII_SURROGATE_KEY", "not-a-secret: for tests and checks only").encode()
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe()))
 
 
+def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_crf.fit_line_model(docs, table(spark, sf_dir, "labels"))
+    return quality_crf.judge_quality(docs, model).drop("line_labels", "content_share")
+
+
+def op4_unigram_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces, kinds = unigram_codec.read_pieces(piece_bpe())
+    decoded = unigram_codec.decode_ids(unigram_codec.encode_texts(table(spark, sf_dir, "documents"), pieces, kinds), pieces, kinds)
+    return unigram_codec.round_trip_digests(decoded, [i for i, k in enumerate(kinds) if k == "byte"])
+
+
 def op5_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_rotation.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
@@ -30,6 +55,16 @@ def op6_media_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_fingerprint.media_digests(media_fingerprint.fingerprint_media(table(spark, sf_dir, "documents")))
 
 
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target are the labelled documents of good quality that aren't toxic."""
+    target = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0")
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), target)
+
+
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.replace_pii(table(spark, sf_dir, "documents"), pii_key())
+
+
 def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels are taken for the pages of the same id; low quality and toxicity are bad outcomes."""
     labels = table(spark, sf_dir, "labels")
@@ -38,7 +73,7 @@ def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op5_chat_rotation, op6_media_fingerprint, op10_host_reputation)}
+    return {f.__name__: f for f in (op1_packing, op3_quality_crf, op4_unigram_codec, op5_chat_rotation, op6_media_fingerprint, op8_importance_resampling, op9_pii_surrogates, op10_host_reputation)}
 
 
 def oracle_sql() -> dict[str, str]:
