@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import sys
+import uuid
 from collections.abc import Callable, Iterator
 from types import ModuleType
 from typing import Any
@@ -58,17 +59,19 @@ class Rows:
         return pa.RecordBatch.from_arrays(arrays, schema=self.schema)
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Makes checkpoint() usable: the cluster's folder if it names one, else a folder for local runs."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/spark-checkpoints")
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder for cut lineages, or a folder of its own for local runs."""
+    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/spark-checkpoints"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df, cut from its lineage by a checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df, cut from its lineage by a table in the shared folder, which goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def digest64(data: bytes, salt: bytes = b"") -> int:

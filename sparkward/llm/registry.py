@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_rotation, host_reputation, importance_resampling, media_fingerprint, packing, pii_surrogates, quality_crf, unigram_codec
+from . import chat_rotation, host_reputation, importance_resampling, media_fingerprint, packing, pii_surrogates, quality_crf, suffix_dedup, unigram_codec
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digests(packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe()))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(suffix_dedup.remove_repeated(table(spark, sf_dir, "documents")))
+
+
 def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_crf.fit_line_model(docs, table(spark, sf_dir, "labels"))
@@ -73,7 +77,7 @@ def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_quality_crf, op4_unigram_codec, op5_chat_rotation, op6_media_fingerprint, op8_importance_resampling, op9_pii_surrogates, op10_host_reputation)}
+    return {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_quality_crf, op4_unigram_codec, op5_chat_rotation, op6_media_fingerprint, op8_importance_resampling, op9_pii_surrogates, op10_host_reputation)}
 
 
 def oracle_sql() -> dict[str, str]:
