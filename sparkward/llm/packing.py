@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import deque
 from collections.abc import Iterator
 
@@ -11,20 +12,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rows, texts
+from .common import Rows, of_process, texts
 
 WINDOW = 2048
 #: Id that ends each document.
 END_ID = 1
 #: A task closes its open windows once it has so many of them.
 MAX_OPEN = 4096
-#: Words up to so many bytes are kept with their ids, at most so many of them in a task.
-WORD_BYTES, WORDS_KEPT = 48, 400_000
+#: Words up to so many bytes are kept with their ids, about so many of them in a worker process.
+WORD_BYTES, WORDS_KEPT = 48, 1_200_000
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
+#: A word of Latin letters, then ASCII signs.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Byte-level vocabularies write bytes that have no sign of their own as the characters from 256 on.
+BYTE_SIGNS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+
+
 class WordTokenizer:
     """Ids of texts, by way of the ids of their words.
 
@@ -38,10 +45,28 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def of(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def of_word(self, word: bytes) -> bytes:
+        """Ids of a word. Latin letters with ASCII signs after them go to the model at once, as the pretokenizer would cut them."""
+        text = word.decode("utf-8")
+        if not (m := PLAIN.fullmatch(text)):
+            return self.of(text)
+        return b"".join([self.of_part(part) for part in (m[1].lower(), m[2]) if part])
+
+    def of_part(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            if not part.isascii():
+                part = part.encode().decode("latin-1").translate(BYTE_SIGNS)
+            ids = np.fromiter((t.id for t in self.tokenizer.model.tokenize(part)), "<u4").tobytes()
+            if len(self.parts) <= WORDS_KEPT:
+                self.parts[part] = ids
+        return ids
+
     def ids(self, text: bytes) -> bytes:
         """Little-endian unsigned 32-bit ids of a UTF-8 text."""
         if any(s in text for s in self.special):
@@ -53,10 +78,11 @@ class WordTokenizer:
             pass
         if len(known) > WORDS_KEPT:
             known.clear()
+            self.parts.clear()
         own = {}
         for w in set(words):
             if w not in known:
-                (known if len(w) <= WORD_BYTES else own)[w] = self.of(w.decode("utf-8"))
+                (known if len(w) <= WORD_BYTES else own)[w] = self.of_word(w)
         return b"".join([known[w] if w in known else own[w] for w in words])
 
 
@@ -143,7 +169,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, packer, rows = WordTokenizer(tokenizer_path), SumOfSquares(window), Rows(ARROW)
+        tokenizer, packer, rows = of_process(("words", tokenizer_path), lambda: WordTokenizer(tokenizer_path)), SumOfSquares(window), Rows(ARROW)
         base, made = TaskContext.get().partitionId() << 36, 0
         end = np.asarray([end_id], "<u4").tobytes()
 
