@@ -74,6 +74,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, ...) with rid, a number without repeats that orders as doc_id does.
+
+    That is doc_id itself where it can be. Where ids are null or repeat, rows are numbered in order
+    of doc_id (null first), then text, after a sort, and own_id marks that.
+    """
+    if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
+        return docs.withColumn("rid", F.col("doc_id"))
+    return written(docs.orderBy("doc_id", "text").withColumn("rid", F.monotonically_increasing_id()).withColumn("own_id", F.lit(True)))
+
+
 def digest64(data: bytes, salt: bytes = b"") -> int:
     """A signed 64-bit digest."""
     return int.from_bytes(hashlib.blake2b(data, digest_size=8, key=salt).digest(), "little", signed=True)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_rotation, host_reputation, importance_resampling, media_fingerprint, packing, pii_surrogates, quality_crf, suffix_dedup, unigram_codec
+from . import chat_rotation, host_reputation, importance_resampling, jaccard_join, media_fingerprint, packing, pii_surrogates, quality_crf, suffix_dedup, unigram_codec
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op6_media_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_fingerprint.media_digests(media_fingerprint.fingerprint_media(table(spark, sf_dir, "documents")))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_similar(table(spark, sf_dir, "documents"))
+
+
 def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target are the labelled documents of good quality that aren't toxic."""
     target = table(spark, sf_dir, "labels").filter("quality = 1 AND toxic = 0")
@@ -77,7 +81,7 @@ def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_quality_crf, op4_unigram_codec, op5_chat_rotation, op6_media_fingerprint, op8_importance_resampling, op9_pii_surrogates, op10_host_reputation)}
+    return {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_quality_crf, op4_unigram_codec, op5_chat_rotation, op6_media_fingerprint, op7_jaccard_join, op8_importance_resampling, op9_pii_surrogates, op10_host_reputation)}
 
 
 def oracle_sql() -> dict[str, str]:

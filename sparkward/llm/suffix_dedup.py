@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rows, texts, written
+from .common import Rows, numbered, texts, written
 from .string_merge import BLOCK, LoserTree, choose_splitters, common_prefix, cut_at, decode_block, encode_block
 
 #: Length of the strings that are removed, and of the k-grams that anchors are chosen by.
@@ -391,17 +391,6 @@ def add_joined(rows: Rows, repeats: list[tuple[int, int, int]]) -> None:
         rows.add(rid, low, high, *blank)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, ...) with rid, a number without repeats that orders as doc_id does.
-
-    That is doc_id itself where it can be. Where ids are null or repeat, rows are numbered in order
-    of doc_id (null first), then text, after a sort.
-    """
-    if docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").isEmpty():
-        return docs.withColumn("rid", F.col("doc_id"))
-    return written(docs.orderBy("doc_id", "text").withColumn("rid", F.monotonically_increasing_id()))
-
-
 def repeated_windows(base: DataFrame, size: int = MIN_BYTES, gram: int = GRAM) -> DataFrame:
     """The windows of size bytes of base (rid, text) that start earlier too: rid, low, high (first and last start)."""
     least = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
