@@ -64,6 +64,17 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/spark-checkpoints"
 
 
+def carried(out: pa.RecordBatch, batch: pa.RecordBatch, first: int, start: int) -> pa.RecordBatch:
+    """out, whose rows stand for those of batch from start on, with the columns of batch from first on."""
+    names = [*out.schema.names, *batch.schema.names[first:]]
+    return pa.RecordBatch.from_arrays([*out.columns, *(c.slice(start, out.num_rows) for c in batch.columns[first:])], names=names)
+
+
+def carried_sql(df: DataFrame, carry: tuple[str, ...]) -> str:
+    """The carried columns for a schema in SQL."""
+    return "".join(f", `{name}` {df.schema[name].dataType.simpleString()}" for name in carry)
+
+
 def written(df: DataFrame) -> DataFrame:
     """df, cut from its lineage by a table in the shared folder, which goes when the driver ends."""
     spark = df.sparkSession

@@ -23,6 +23,7 @@ FIT_DOCS, FIT_BYTES = 400, 200_000
 CHAIN = 128
 
 SYMBOLS, SPACES, UPPER = b"#*$%&|<>", b" \t\n\v\f\r", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+CONTINUED = bytes(range(0x80, 0xC0))
 LOWER = b"abcdefghijklmnopqrstuvwxyz"
 #: Number of values of each feature of a line, in the order of line_code.
 LEVELS = (4, 4, 4, 2, 2, 3)
@@ -190,6 +191,19 @@ ARROW = pa.schema(
 )
 
 
+def judge(text: bytes, model: LineModel, least_content: float) -> tuple[int, int, int, int, int, bool, str, float, bool]:
+    """The columns of judge_quality for one text, without doc_id."""
+    words, lines = text.split(), lines_of(text)
+    solid = text.translate(None, SPACES)
+    chars = len(solid) if solid.isascii() else len(solid.translate(None, CONTINUED))
+    repeats = repeated_words(words)
+    failed = len(words) < LEAST_WORDS or 100 * repeats > MOST_REPEATED * len(words)
+    labels = model.decode([c for c, _, _ in lines])
+    size = sum(s for _, s, _ in lines)
+    share = sum(s for (_, s, _), k in zip(lines, labels, strict=True) if k) / size if size else 0.0
+    return len(words), chars, len(solid) - len(solid.translate(None, SYMBOLS)), sum(r for _, _, r in lines), repeats, failed, "".join("BC"[k] for k in labels), share, not failed and share >= least_content
+
+
 def judge_quality(docs: DataFrame, model: LineModel, least_content: float = LEAST_CONTENT) -> DataFrame:
     """Base counts and the verdict on every text of docs (doc_id, text).
 
@@ -206,17 +220,20 @@ def judge_quality(docs: DataFrame, model: LineModel, least_content: float = LEAS
         rows = Rows(ARROW)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                words, lines = text.split(), lines_of(text)
-                solid = text.translate(None, SPACES)
-                chars = len(solid) - len(solid.translate(None, bytes(range(0x80, 0xC0)))) if not solid.isascii() else 0
-                repeats = repeated_words(words)
-                failed = len(words) < LEAST_WORDS or 100 * repeats > MOST_REPEATED * len(words)
-                labels = model.decode([c for c, _, _ in lines])
-                size = sum(s for _, s, _ in lines)
-                share = sum(s for (_, s, _), k in zip(lines, labels, strict=True) if k) / size if size else 0.0
-                rows.add(doc_id, len(words), len(solid) - chars, len(solid) - len(solid.translate(None, SYMBOLS)), sum(r for _, _, r in lines), repeats, failed, "".join("BC"[k] for k in labels), share, not failed and share >= least_content)
+                rows.add(doc_id, *judge(text, model, least_content))
                 if rows.full:
                     yield rows.take()
         yield rows.take()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+
+
+def keep_quality(docs: DataFrame, model: LineModel, least_content: float = LEAST_CONTENT) -> DataFrame:
+    """The rows of docs, with all their columns, that judge_quality keeps."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([judge(t, model, least_content)[-1] for t in texts(batch.column(at))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

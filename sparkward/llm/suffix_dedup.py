@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rows, numbered, texts, written
+from .common import Rows, carried, carried_sql, numbered, texts, written
 from .string_merge import BLOCK, LoserTree, choose_splitters, common_prefix, cut_at, decode_block, encode_block
 
 #: Length of the strings that are removed, and of the k-grams that anchors are chosen by.
@@ -410,7 +410,7 @@ def repeated_windows(base: DataFrame, size: int = MIN_BYTES, gram: int = GRAM) -
 RESULT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 
 
-def remove_repeated(docs: DataFrame, size: int = MIN_BYTES, gram: int = GRAM) -> DataFrame:
+def remove_repeated(docs: DataFrame, size: int = MIN_BYTES, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes from every text of docs (doc_id, text) the bytes covered by a string of size bytes that starts earlier too.
 
     Earlier means in a document of a smaller doc_id, or in the same one, before. Strings are judged
@@ -418,10 +418,10 @@ def remove_repeated(docs: DataFrame, size: int = MIN_BYTES, gram: int = GRAM) ->
     bytes, from start to end) and kept (the other bytes, joined).
 
     A null text counts as empty. Documents of the same or no doc_id are ordered by text, null ids
-    before all others, and each keeps its row. Other columns are ignored; an empty table gives no
-    rows.
+    before all others, and each keeps its row. Columns named in carry go along, others are ignored;
+    an empty table gives no rows.
     """
-    base = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
+    base = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carry))
     removed = repeated_windows(base, size, gram).groupBy(F.col("rid").alias("removed_rid")).agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("removed"))
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(span)), ("kept", pa.binary())])
@@ -429,7 +429,8 @@ def remove_repeated(docs: DataFrame, size: int = MIN_BYTES, gram: int = GRAM) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows(schema)
         for batch in batches:
-            for doc_id, text, starts in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            done = 0
+            for i, (doc_id, text, starts) in enumerate(zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist(), strict=True)):
                 spans: list[list[int]] = []
                 for r in starts or ():
                     low, high = r["low"], r["high"] + size
@@ -440,11 +441,11 @@ def remove_repeated(docs: DataFrame, size: int = MIN_BYTES, gram: int = GRAM) ->
                 edges = [0, *(e for s in spans for e in s), len(text)]
                 kept = b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
                 rows.add(doc_id, len(text), [{"start": a, "end": b} for a, b in spans], kept, size=len(kept))
-                if rows.full:
-                    yield rows.take()
-        yield rows.take()
+                if rows.full or i + 1 == batch.num_rows:
+                    yield carried(rows.take(), batch, 3, done)
+                    done = i + 1
 
-    return base.join(removed, F.col("rid") == F.col("removed_rid"), "left").select("doc_id", "text", "removed").mapInArrow(run, RESULT)
+    return base.join(removed, F.col("rid") == F.col("removed_rid"), "left").select("doc_id", "text", "removed", *carry).mapInArrow(run, RESULT + carried_sql(docs, carry))
 
 
 def removal_digests(removed: DataFrame) -> DataFrame:
