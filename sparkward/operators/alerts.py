@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running_totals
+
 #: Alerts with the same message so soon after the last one are dropped.
 MINUTES = 60
 
@@ -104,22 +106,16 @@ def feedback_statistics(feedback: DataFrame) -> DataFrame:
     return feedback.agg(n.alias("reviewed"), tp.alias("true_positives"), (n - tp).alias("false_positives"), F.round(share, 6).alias("accuracy"), F.round(F.coalesce(F.try_divide(n - tp, n), F.lit(0.0)), 6).alias("false_positive_rate"), F.round(F.greatest(F.lit(0.01), F.least(F.lit(0.5), share)), 6).alias("contamination"))
 
 
-def best_threshold(observed: DataFrame, buckets: int = 1024) -> DataFrame:
+def best_threshold(observed: DataFrame) -> DataFrame:
     """The smallest error that has the highest F1 when errors from it on count as positive: threshold, f1.
 
-    observed has error and positive. Distinct errors are counted first. Sums from the highest error on
-    are made within ranges of errors and joined with the totals of the ranges above, so that no task
-    orders them all.
+    observed has error and positive. Distinct errors are counted first, and summed from the highest on.
+    No row comes out where one of the classes is absent or F1 is 0.
     """
     counts = observed.filter("error IS NOT NULL").groupBy("error").agg(F.count_if("positive").alias("tp"), F.count_if(~F.col("positive")).alias("fp"))
-    ends = counts.agg(F.min("error").alias("low"), F.max("error").alias("high"), F.sum("tp").alias("all_tp"), F.sum("fp").alias("all_fp"))
-    placed = counts.join(F.broadcast(ends)).withColumn("range", F.coalesce(F.floor(F.try_divide((F.col("error") - F.col("low")) * buckets, F.col("high") - F.col("low"))), F.lit(0)).cast("long"))
-    totals = placed.groupBy("range").agg(F.sum("tp").alias("range_tp"), F.sum("fp").alias("range_fp"))
-    above = Window.orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)  # over so many ranges at most
-    totals = totals.select(F.col("range").alias("of_range"), F.coalesce(F.sum("range_tp").over(above), F.lit(0)).alias("tp_above"), F.coalesce(F.sum("range_fp").over(above), F.lit(0)).alias("fp_above"))
-    within = Window.partitionBy("range").orderBy(F.desc("error"))
-    summed = placed.join(F.broadcast(totals), F.col("range") == F.col("of_range")).select("error", "all_tp", "all_fp", (F.sum("tp").over(within) + F.col("tp_above")).alias("tp"), (F.sum("fp").over(within) + F.col("fp_above")).alias("fp"))
-    f1 = 2.0 * F.col("tp") / (F.col("all_tp") + F.col("tp") + F.col("fp"))
+    whole = counts.agg(F.sum("tp").alias("all_tp"), F.sum("fp").alias("all_fp"))
+    summed = running_totals(counts, "error", {"tp": "sum_tp", "fp": "sum_fp"}, descending=True).join(F.broadcast(whole))
+    f1 = 2.0 * F.col("sum_tp") / (F.col("all_tp") + F.col("sum_tp") + F.col("sum_fp"))
     return summed.filter("all_tp > 0 AND all_fp > 0").agg(F.max_by("error", F.struct(f1.alias("f1"), (-F.col("error")).alias("order"))).alias("threshold"), F.round(F.max(f1), 6).alias("f1")).filter("f1 > 0")
 
 

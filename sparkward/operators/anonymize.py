@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.protect import laplace, uniform
+from .ordered import running_totals
 
 
 @dataclass(frozen=True)
@@ -69,9 +70,7 @@ def ks_statistics(df: DataFrame, c: Config, name: str) -> DataFrame:
     The table's distribution comes from counts of its distinct values; p is the asymptotic series.
     """
     counts = df.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("_value")).agg(F.count("*").alias("_all"))
-    ranges = counts.withColumn("_bucket", F.xxhash64("_value") * 0)  # one order over the distinct values
-    below = Window.partitionBy("_bucket").orderBy("_value")
-    whole = ranges.select("_value", (F.sum("_all").over(below)).alias("_upto"), F.col("_all"))
+    whole = running_totals(counts, "_value", {"_all": "_upto"})
     total = counts.agg(F.sum("_all").alias("_total"))
     of_group = df.filter(F.col(name).isNotNull()).groupBy(*c.quasi_identifiers, name).agg(F.count("*").alias("_n"))
     order = Window.partitionBy(*c.quasi_identifiers).orderBy(name)
