@@ -165,7 +165,7 @@ def metrics(original: DataFrame, released: DataFrame, c: Config, numeric: str) -
     a = original.agg(F.count("*").alias("n_before"), F.var_samp(numeric).alias("v_before"))
     b = released.agg(F.count("*").alias("n_after"), F.var_samp(numeric).alias("v_after"))
     all_in_one = a.join(F.broadcast(b)).join(F.broadcast(groups))
-    return all_in_one.select("n_before", "n_after", F.round(F.col("n_after") / F.col("n_before"), 6).alias("retention"), "min_group", (F.col("min_group") >= c.k).alias("k_holds"), F.round(F.coalesce(F.try_divide("v_after", "v_before"), F.lit(0.0)), 6).alias("variance_ratio"))
+    return all_in_one.select("n_before", "n_after", F.round(F.col("n_after") / F.col("n_before"), 6).alias("retention"), "min_group", (F.col("min_group") >= c.k).alias("k_holds"), F.round(F.try_divide("v_after", "v_before"), 6).alias("variance_ratio"))
 
 
 def tradeoff(df: DataFrame, c: Config, ks: tuple[int, ...]) -> DataFrame:
