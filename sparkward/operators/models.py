@@ -46,14 +46,17 @@ def grow(x: np.ndarray, rng: np.random.Generator, most: int) -> list[tuple[int,
 def fit_forest(df: DataFrame, key: str, names: list[str], trees: int = TREES, rows: int = ROWS, seed: int = 42) -> DataFrame:
     """An isolation forest as a table of nodes: tree, node, feature, cut, left, right, depth.
 
-    Each tree takes the rows with the smallest hashes of key and tree among those a hash deals to it;
-    a tree's rows are bounded by the filter on the hash's range before any grouping.
+    Hashes deal rows to trees: of a large table a share that is enough for four times as many rows as the
+    trees take, each to one tree; in a small table each row goes to several trees. A tree takes the
+    rows with the smallest hashes.
     """
     n = max(1, df.count())
-    share = min(1.0, 4.0 * rows / n)
-    dealt = df.select(F.explode(F.array(*map(F.lit, range(trees)))).alias("tree"), F.col(key).alias("key"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names))
-    h = F.pmod(F.xxhash64("key", "tree", F.lit(seed)), F.lit(1 << 30))
-    near = dealt.withColumn("h", h).filter(F.col("h") < int(share * (1 << 30)))
+    share, copies = min(1.0, 4.0 * rows * trees / n), min(trees, max(1, -(-2 * rows * trees // n)))
+    base = df.select(F.col(key).alias("key"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names))
+    h = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30))
+    chosen = base.withColumn("first", h).filter(F.col("first") < int(share * (1 << 30)))
+    dealt = chosen.select("*", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+    near = dealt.withColumn("tree", ((F.col("first") + F.col("copy")) % trees).cast("int")).drop("copy").withColumn("h", F.xxhash64("key", "tree", F.lit(seed)))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "key"]).head(rows)
