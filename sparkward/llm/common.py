@@ -76,13 +76,20 @@ def carried_sql(df: DataFrame, carry: tuple[str, ...]) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df, cut from its lineage by a table in the shared folder, which goes when the driver ends."""
+    """df, cut from its lineage by a table in the shared folder, which goes when the driver ends or by discard()."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = jvm_path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a frame that written() gave, once nothing that is still to run reads it."""
+    df.written_to.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(df.written_to, True)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -102,8 +109,9 @@ def digest64(data: bytes, salt: bytes = b"") -> int:
 
 
 def of_process(key: tuple, make: Callable[[], Any]) -> Any:
-    """What make() gives, made once in a worker process and held there for its later tasks."""
+    """What make() gives, made once in a worker process and held there for its later tasks, until another key comes."""
     held = vars(sys.modules.setdefault("sparkward_of_process", ModuleType("sparkward_of_process"))).setdefault("held", {})
     if key not in held:
+        held.clear()
         held[key] = make()
     return held[key]

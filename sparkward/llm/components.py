@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 #: Rounds after which something must be wrong; each at least halves long chains.
 ROUNDS = 60
@@ -27,7 +27,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, F.col("u") == F.col("node")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
         small = large.join(least, F.col("u") == F.col("node"))
-        edges = written(small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).filter("u <> v").unionByName(least.select(F.col("node").alias("u"), F.col("m").alias("v"))).distinct())
+        old, edges = edges, written(small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).filter("u <> v").unionByName(least.select(F.col("node").alias("u"), F.col("m").alias("v"))).distinct())
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))

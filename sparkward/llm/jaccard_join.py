@@ -6,11 +6,12 @@ joined on these alone. Length and positional filters act within that join, a suf
 n-grams can be common by their hash classes) on its pairs, and what is left is verified once per pair.
 
 An n-gram in the prefixes of many different texts would give pairs in the square of their number. Such
-a group is resolved through one of its texts, the pivot: with d(x) the n-grams in which x and the
-pivot differ, |x - y| = |d(x)| + |d(y)| - 2 |d(x) & d(y)|. Pairs that can be similar without a common
-difference are both similar to the pivot (triangle inequality), so a link of each to the pivot joins
-them; all other similar pairs share enough differences, and a prefix-filtered join on these, with the
-same filters, finds them.
+groups are resolved by what their texts have in common, the n-grams of more than half of them: with
+d(x) the n-grams in which x and these differ, |x - y| = |d(x)| + |d(y)| - 2 |d(x) & d(y)|. The slack of
+x is what similarity allows x to differ, less |d(x)|. Two texts whose slacks add up to 0 or more are
+similar, and so is each of them to the text of the most slack: one link each joins them all. All other
+similar pairs share enough differences, and a prefix-filtered join on these, with the same filters,
+finds them.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rows, numbered, of_process, texts, written
+from .common import Rows, discard, numbered, of_process, texts, written
 from .components import connected_components
 
 #: Words of an n-gram and the least similarity, in percent.
@@ -34,6 +35,8 @@ WORDS, PERCENT = 3, 90
 COUNTER_BITS, BLOCK = 22, 1 << 16
 #: Partial sums of a block.
 SALTS = 64
+#: N-grams that a task counts at once; above 255 its counts of a counter stay there.
+COUNTED = 1_000_000
 #: Groups of more texts than this are resolved through a pivot.
 MOST_DIRECT = 32
 #: Hash classes of the suffix filter.
@@ -41,7 +44,7 @@ CLASSES = 64
 #: Bits of the filter that tells which texts are worth reading again.
 FILTER_BITS = 24
 #: Words up to so many bytes are kept with their hashes, about so many in a worker process.
-WORD_BYTES, WORDS_KEPT = 48, 1_000_000
+WORD_BYTES, WORDS_KEPT = 48, 300_000
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -98,15 +101,22 @@ def read_sets(base: DataFrame, words: int) -> DataFrame:
     schema = pa.schema([("rid", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("block", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, rows, counts = Shingler(words), Rows(schema), np.zeros(1 << COUNTER_BITS, np.uint8)
+        shingler, rows, counts = Shingler(words), Rows(schema), np.zeros(1 << COUNTER_BITS, np.int32)
+        pending, held = [], 0
         for batch in batches:
             for rid, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                 tokens = shingler.of(text)
                 rows.add(rid, len(tokens), set_id(tokens) if len(tokens) else None, None, None, None)
-                at = counters(tokens)
-                np.add.at(counts, at[counts[at] < 255], 1)
+                pending.append(counters(tokens))
+                held += len(tokens)
+                if held >= COUNTED:
+                    counts += np.bincount(np.concatenate(pending), minlength=len(counts)).astype(np.int32)
+                    pending, held = [], 0
                 if rows.full:
                     yield rows.take()
+        if pending:
+            counts += np.bincount(np.concatenate(pending), minlength=len(counts)).astype(np.int32)
+        counts = np.minimum(255, counts).astype(np.uint8)
         for i in range(0, len(counts), BLOCK):
             if (part := counts[i : i + BLOCK]).any():
                 rows.add(None, None, None, i // BLOCK, TaskContext.get().partitionId() % SALTS, zlib.compress(part.tobytes(), 1))
@@ -255,41 +265,80 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return with_sets(pairs, sets).mapInArrow(run, "a long, b long")
 
 
-def pivot_differences(spokes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """For each text a and pivot b: whether they are similar (linked), and the prefix of the n-grams in which they differ: pivot, rid, n, size (of the difference), token, pos.
+def common_grams(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """The n-grams that more than half of a group's texts have: pivot (the group's name), common."""
+    schema = pa.schema([("pivot", pa.int64()), ("token", pa.int64())])
 
-    N-grams that the pivot lacks come first, those that only the pivot has last. One row with a null
-    token stands for the pair.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pivot, tokens in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                tokens = np.frombuffer(tokens.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), pivot)), pa.array(tokens)], schema=schema)
+
+    sizes = members.groupBy(F.col("pivot").alias("group")).agg(F.count("*").alias("members"))
+    tokens = members.join(sets.select(F.col("rid").alias("set_rid"), "tokens"), F.col("rid") == F.col("set_rid")).select("pivot", "tokens").mapInArrow(run, "pivot long, token long")
+    counts = tokens.groupBy("pivot", "token").agg(F.count("*").alias("n"))
+    usual = counts.join(sizes, F.col("pivot") == F.col("group")).filter("2 * n > members")
+    return usual.groupBy(F.col("pivot").alias("group")).agg(F.collect_list("token").alias("common"))
+
+
+def differences_of(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Each text of a group with how it differs from what is common there: pivot, rid, n, size, slack, grams and marks.
+
+    N-grams beyond the common ones come first, those it lacks last. slack is (100 - percent) n - (100 +
+    percent) size. marks are 256 bits, those at the n-grams' hash classes set.
     """
-    schema = pa.schema([("pivot", pa.int64()), ("rid", pa.int64()), ("n", pa.int32()), ("size", pa.int32()), ("linked", pa.bool_()), ("token", pa.int64()), ("pos", pa.int32())])
+    schema = pa.schema([("pivot", pa.int64()), ("rid", pa.int64()), ("n", pa.int64()), ("size", pa.int64()), ("slack", pa.int64()), ("grams", pa.list_(pa.int64())), *((f"m{i}", pa.int64()) for i in range(4))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = Rows(schema)
         for batch in batches:
-            rows = Rows(schema)
-            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                own, lacking = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
-                size, n = len(own) + len(lacking), len(x)
-                rows.add(b, a, n, size, (100 - percent) * (n + len(y)) >= (100 + percent) * size, None, None)
-                # so many differences must be common with any partner, since none has more slack than the pivot itself
-                least = max(1, -(-((100 + percent) * size - (100 - percent) * (n + len(y))) // (2 * (100 + percent))))
-                for pos, token in enumerate(np.concatenate([own, lacking]).view(np.int64)[: size - least + 1].tolist()):
-                    rows.add(b, a, n, size, None, token, pos)
+            for pivot, rid, tokens, common in zip(*(batch.column(i) for i in range(4)), strict=True):
+                x = np.frombuffer(tokens.as_py(), np.uint64)
+                y = np.sort(common.values.to_numpy().view(np.uint64)) if common.is_valid else x[:0]
+                grams = np.concatenate([np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)])
+                marks = np.zeros(256, np.uint8)
+                marks[(grams & np.uint64(255)).astype(np.int64)] = 1
+                words = np.packbits(marks).view(np.int64).tolist()
+                rows.add(pivot.as_py(), rid.as_py(), len(x), len(grams), (100 - percent) * len(x) - (100 + percent) * len(grams), grams.view(np.int64), *words, size=8 * len(grams))
                 if rows.full:
                     yield rows.take()
-            yield rows.take()
+        yield rows.take()
 
-    return written(with_sets(spokes, sets).mapInArrow(run, "pivot long, rid long, n int, size int, linked boolean, token long, pos int"))
+    known = sets.select(F.col("rid").alias("set_rid"), "tokens")
+    joined = members.join(known, F.col("rid") == F.col("set_rid")).join(common_grams(members, sets), F.col("pivot") == F.col("group"), "left")
+    out = joined.select("pivot", "rid", "tokens", "common").mapInArrow(run, "pivot long, rid long, n long, size long, slack long, grams array<long>, m0 long, m1 long, m2 long, m3 long")
+    return written(out)
 
 
-def difference_pairs(differences: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b that share a difference from a pivot and can share as many as similarity takes, past the length and positional filters."""
-    rows = differences.filter("token IS NOT NULL")
-    x, y = (rows.select(*(F.col(c).alias(c + s) for c in ("pivot", "token", "rid", "n", "size", "pos"))) for s in ("_a", "_b"))
+def with_best(differences: DataFrame) -> DataFrame:
+    """differences with the text of the most slack in the group (best) and its slack (top)."""
+    best = differences.groupBy(F.col("pivot").alias("group")).agg(F.max(F.struct("slack", (-F.col("rid")).alias("r"))).alias("b"))
+    return differences.join(best, F.col("pivot") == F.col("group")).withColumns({"best": -F.col("b.r"), "top": F.col("b.slack")}).drop("group", "b")
+
+
+def slack_links(known: DataFrame) -> DataFrame:
+    """Links of texts with the one of the most slack, where slacks say that they are similar."""
+    return known.filter("slack + top >= 0 AND rid <> best").select(F.least("rid", "best").alias("a"), F.greatest("rid", "best").alias("b"))
+
+
+def difference_pairs(known: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b that share a difference and can share as many as similarity takes, past the length, positional and suffix filters.
+
+    Joined on the prefixes of the differences: with any partner a text must share at least as many as
+    with one of the most slack.
+    """
+    least = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + F.col("top")) / (2.0 * (100 + percent)) - 1e-9)).cast("int")
+    some = known.withColumn("k", F.col("size").cast("int") - least + 1).filter("k > 0")
+    rows = some.select("pivot", "rid", "n", "size", "slack", "m0", "m1", "m2", "m3", F.posexplode(F.slice("grams", F.lit(1), F.col("k"))).alias("pos", "token"))
+    x, y = (rows.select(*(F.col(c).alias(c + s) for c in rows.columns)) for s in ("_a", "_b"))
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     room = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
-    surplus = (F.col("size_a") + F.col("size_b")) * (100 + percent) - (F.col("n_a") + F.col("n_b")) * (100 - percent)  # of differences that must be common, twice, times 100 + percent
-    on = (F.col("pivot_a") == F.col("pivot_b")) & (F.col("token_a") == F.col("token_b")) & (F.col("rid_a") < F.col("rid_b")) & (small * 100 >= large * percent) & (surplus > 0) & (room * 2 * (100 + percent) >= surplus)
+    surplus = -(F.col("slack_a") + F.col("slack_b"))  # twice the differences that must be common, times 100 + percent
+    bits = lambda f: sum((f(i) for i in range(1, 4)), f(0))
+    both = bits(lambda i: F.bit_count(F.col(f"m{i}_a").bitwiseAND(F.col(f"m{i}_b"))))
+    crowded = F.least(*(F.col(f"size_{s}") - bits(lambda i, s=s: F.bit_count(F.col(f"m{i}_{s}"))) for s in "ab"))  # n-grams that share their class with another
+    on = (F.col("pivot_a") == F.col("pivot_b")) & (F.col("token_a") == F.col("token_b")) & (F.col("rid_a") < F.col("rid_b")) & (small * 100 >= large * percent) & (surplus > 0) & (room * 2 * (100 + percent) >= surplus) & ((both + crowded) * 2 * (100 + percent) >= surplus)
     return x.join(y, on).select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b")).distinct()
 
 
@@ -300,17 +349,17 @@ def similar_links(base: DataFrame, classes: DataFrame, levels: np.ndarray, words
     shared = rows.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).filter("low <> high").select(F.col("token").alias("shared_token"))
     met = rows.join(shared, F.col("token") == F.col("shared_token")).select("token", "cid", "n", "pos").distinct()
     met = written(met.join(classes.select(F.col("cid").alias("class_cid"), "rid"), F.col("cid") == F.col("class_cid")).select("token", "rid", "n", "pos"))
+    discard(rows)
     groups = met.groupBy(F.col("token").alias("group_token")).agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("rid"), "rid")).alias("least"))
     met = written(met.join(groups, F.col("token") == F.col("group_token")).select("token", "rid", "n", "pos", "members", F.col("least.rid").alias("pivot")))
     few, many = met.filter(F.col("members") <= MOST_DIRECT), met.filter(F.col("members") > MOST_DIRECT)
     pairs = written(prefix_pairs(few, percent))
-    spokes = many.filter("rid <> pivot").select(F.col("rid").alias("a"), F.col("pivot").alias("b")).distinct()
-    needed = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select("b").toDF("rid")).unionByName(many.select("rid")).distinct()
+    members = written(many.select("rid", "pivot").unionByName(many.select(F.col("pivot").alias("rid"), "pivot")).distinct())
+    needed = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select("b").toDF("rid")).unionByName(members.select("rid")).distinct()
     sets = sets_of(base, needed, words)
-    differences = pivot_differences(spokes, sets, percent)
-    to_pivots = differences.filter("linked").select(F.least("rid", "pivot").alias("a"), F.greatest("rid", "pivot").alias("b"))
-    left = past_suffix_filter(pairs.unionByName(difference_pairs(differences, percent)).distinct(), sets, percent)
-    return to_pivots.unionByName(verified(left, sets, percent))
+    known = written(with_best(differences_of(members, sets, percent)))
+    left = past_suffix_filter(pairs.unionByName(difference_pairs(known, percent)).distinct(), sets, percent)
+    return slack_links(known).unionByName(verified(left, sets, percent))
 
 
 def join_similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
