@@ -20,7 +20,7 @@ END_ID = 1
 #: A task closes its open windows once it has so many of them.
 MAX_OPEN = 4096
 #: Words up to so many bytes are kept with their ids, about so many of them in a worker process.
-WORD_BYTES, WORDS_KEPT = 48, 1_200_000
+WORD_BYTES, WORDS_KEPT = 48, 800_000
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])

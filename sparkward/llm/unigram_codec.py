@@ -20,7 +20,7 @@ RANK_SHIFT = 10.0
 #: A byte piece scores so much less than the least likely piece.
 BYTE_PENALTY = 10.0
 #: Segments up to so many bytes are kept with their ids, about so many of them in a worker process.
-SEGMENT_BYTES, SEGMENTS_KEPT = 48, 1_000_000
+SEGMENT_BYTES, SEGMENTS_KEPT = 48, 700_000
 #: Viterbi's array covers so many bytes of a segment at a time at most; longer ones are split at characters.
 LONGEST = 1 << 16
 
