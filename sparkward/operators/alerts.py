@@ -125,3 +125,34 @@ def confusion(df: DataFrame) -> DataFrame:
     c = df.agg(F.count_if(p & a).alias("tp"), F.count_if(p & ~a).alias("fp"), F.count_if(~p & a).alias("fn"), F.count_if(~p & ~a).alias("tn"))
     ratio = lambda x, y: F.round(F.coalesce(F.try_divide(x, y), F.lit(0.0)), 6)
     return c.select("*", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
+
+
+def not_repeated(found: DataFrame, stored: DataFrame, minutes: int = MINUTES) -> DataFrame:
+    """Alerts without a stored one of the same message in the minutes before, or at the same time."""
+    old = stored.select(F.col("message").alias("_message"), F.col("timestamp").alias("_at"))
+    near = (F.col("message") == F.col("_message")) & (F.col("_at") <= F.col("timestamp")) & (F.col("_at") >= F.col("timestamp") - F.expr(f"INTERVAL {minutes} MINUTES"))
+    return found.join(old, near, "left_anti")
+
+
+def next_item(queue: DataFrame, levels: tuple[str, ...] = ("high",)) -> DataFrame:
+    """The oldest item of the first of the levels that has one."""
+    rank = F.array_position(F.array(*map(F.lit, levels)), F.col("queue"))
+    return queue.filter(F.col("queue").isin(*levels)).orderBy(rank, "position").limit(1)
+
+
+def submitted(queue: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Feedback on decided items (review_id, is_true_positive, notes), and the queue that is left."""
+    decided = decisions.select(F.col("review_id").alias("_id"), "is_true_positive", F.coalesce("notes", F.lit("")).alias("notes"))
+    return queue.join(decided, F.col("review_id") == F.col("_id")).drop("_id"), queue.join(decided, F.col("review_id") == F.col("_id"), "left_anti")
+
+
+def should_retrain(feedback: DataFrame, last: Column, now: Column, least: int = 50, hours: int = 24) -> DataFrame:
+    """Whether there is enough feedback since the last training and that is long enough ago, as one row."""
+    newer = F.count_if(F.col("timestamp") > last)
+    return feedback.agg(newer.alias("n_new"), ((newer >= least) & (F.max(now) >= F.max(last) + F.make_interval(hours=F.lit(hours)))).alias("retrain"))
+
+
+def predictions_hold(stored: DataFrame, expected: DataFrame, rtol: float = 1e-5, atol: float = 1e-8) -> DataFrame:
+    """Whether stored predictions (id, value) are close to expected ones: id, holds."""
+    other = expected.select(F.col("id").alias("_id"), F.col("value").alias("_value"))
+    return stored.join(other, F.col("id") == F.col("_id")).select("id", (F.abs(F.col("value") - F.col("_value")) <= atol + rtol * F.abs(F.col("_value"))).alias("holds"))

@@ -156,3 +156,59 @@ def train_by_client(df: DataFrame, client: str, names: list[str], label: str, st
         sums = joined.select("client_id", "n", "w", *((gap * F.col("x")[i]).alias(f"g{i}") for i in range(k))).groupBy("client_id", "n", "w").agg(*(F.sum(f"g{i}").alias(f"g{i}") for i in range(k)))
         weights = sums.select("client_id", "n", F.array(*(F.col("w")[i] + rate * F.col(f"g{i}") / F.col("n") for i in range(k))).alias("w"))
     return weights.select("client_id", F.posexplode("w").alias("idx", "value"), F.col("n").alias("samples_count"))
+
+
+def fit_column_classifier(profiles: DataFrame, label: str = "label", search: bool = False, folds: int = 3) -> PipelineModel:
+    """A balanced classifier of column profiles (AGG features): gradient-boosted trees, by cross-validation if a search is asked for."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    names = [c for c, kind in profiles.dtypes if kind in ("boolean", "double", "int", "bigint") and c not in (label, "_weight")]
+    numbers = profiles.select(label, *(F.col(c).cast("double").alias(c) for c in names))
+    n, ones = numbers.agg(F.count("*"), F.sum(label)).first()
+    weighted = numbers.withColumn("_weight", F.when(F.col(label) == 1, n / (2.0 * max(1.0, ones))).otherwise(n / (2.0 * max(1.0, n - ones))))
+    trees = GBTClassifier(labelCol=label, weightCol="_weight", maxDepth=5, stepSize=0.05, maxIter=20, seed=42)
+    pipeline = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep"), trees])
+    if not search:
+        return pipeline.fit(weighted)
+    grid = ParamGridBuilder().addGrid(trees.maxDepth, [3, 5]).addGrid(trees.maxIter, [10, 20]).build()
+    return CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol=label), numFolds=folds, seed=42).fit(weighted).bestModel
+
+
+def fit_severity(breaches: DataFrame, numeric: list[str], categorical: list[str], label: str) -> PipelineModel:
+    """A random forest for the class of a breach; the highest probability is its severity (see probability)."""
+    stages, _ = features(breaches, numeric, categorical)
+    return Pipeline(stages=[*stages.getStages(), RandomForestClassifier(numTrees=TREES, seed=42, labelCol=label)]).fit(breaches)
+
+
+def fit_actions(breaches: DataFrame, numeric: list[str], categorical: list[str], action: str) -> PipelineModel:
+    """A random forest that recommends an action: column recommended."""
+    from pyspark.ml.feature import IndexToString
+
+    index = StringIndexer(inputCol=action, outputCol="_action").fit(breaches)
+    stages, _ = features(breaches, numeric, categorical)
+    forest = RandomForestClassifier(numTrees=TREES, seed=42, labelCol="_action")
+    return Pipeline(stages=[index, *stages.getStages(), forest, IndexToString(inputCol="prediction", outputCol="recommended", labels=index.labels)]).fit(breaches)
+
+
+def weighted_metrics(df: DataFrame, label: str = "label") -> dict[str, float]:
+    """Accuracy, precision, recall and F1 of predictions, weighted by support."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+
+    return {m: MulticlassClassificationEvaluator(labelCol=label, metricName=m).evaluate(df) for m in ("accuracy", "weightedPrecision", "weightedRecall", "f1")}
+
+
+def dataset_profile(df: DataFrame) -> DataFrame:
+    """Missing values and kind of each column."""
+    kinds = dict(df.dtypes)
+    kind = lambda c: "time" if kinds[c].startswith(("timestamp", "date")) else "categorical" if kinds[c] in ("string", "boolean") else "numeric"
+    counts = df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in df.columns), F.count("*").alias("_n"))
+    return counts.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.lit(kind(c)).alias("kind"), F.col(c).alias("n_missing"), F.col("_n").alias("n_rows")) for c in df.columns))))
+
+
+def with_text_model(docs: DataFrame, score, name: str = "model_score") -> DataFrame:
+    """docs with the score of a text model: score is a function from a pandas Series of texts to one of doubles, run batch by batch."""
+    from pyspark.sql.functions import pandas_udf
+
+    return docs.withColumn(name, pandas_udf(score, "double")(F.coalesce("text", F.lit(""))))

@@ -101,3 +101,72 @@ def latest_state(history: DataFrame) -> DataFrame:
     """The last state of each scan of a history that has a row for each state."""
     last = Window.partitionBy("scan_id").orderBy(F.desc("recorded_at"))
     return history.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
+
+
+def column_texts(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Non-null cells as text, one row each: column_name, v; of each column most at most, first by hash, if a cap is asked for."""
+    cells = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in df.columns))
+    rows = df.select(F.inline(cells)).filter("v IS NOT NULL")
+    if most is None:
+        return rows
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("column_name").orderBy(F.xxhash64("v")))).filter(F.col("_n") <= most).drop("_n")
+
+
+def sampled_table(spark: SparkSession, url: str, name: str, percent: float = 1.0, limit: int = 1000, **options: str) -> DataFrame:
+    """A sample of a database table by JDBC; sample and limit go to the database where it can take them."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", name)
+    for key, value in options.items():
+        reader = reader.option(key, value)
+    return reader.load().sample(percent / 100).limit(limit)
+
+
+def offenses(spark: SparkSession, path: str, since_ms: int) -> DataFrame:
+    """Landed offenses that are open, above severity 5 and newer than the last run."""
+    schema = "id long, description string, status string, severity int, start_time long, categories array<string>"
+    return spark.read.schema(schema).json(path).filter((F.col("status") == "OPEN") & (F.col("severity") > 5) & (F.col("start_time") > since_ms))
+
+
+def ingestion_results(parts: dict[str, DataFrame]) -> DataFrame:
+    """Rows by source; sources without rows have none."""
+    out = None
+    for name, df in parts.items():
+        one = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("source"), "n_rows", F.when(F.col("n_rows") > 0, "success").otherwise("empty").alias("state"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def store_report(report: DataFrame, kind: str, created: Column, years: int, path: str) -> None:
+    """Appends reports of one row each as JSON with their hash and the time they expire."""
+    data = F.to_json(F.struct(*report.columns))
+    append(report.select(F.lit(kind).alias("report_type"), data.alias("report_data"), F.sha2(data, 256).alias("digest"), created.alias("created_at"), (created + F.make_interval(days=F.lit(365 * years))).alias("expires_at")), path)
+
+
+def export_report(report: DataFrame, kind: str, report_id: str, path: str, file_format: str = "csv") -> str:
+    """Writes a report as csv or json below a path; gives the place."""
+    if file_format not in ("csv", "json"):
+        raise ValueError(f"unknown format {file_format}")
+    to = f"{path}/{kind}_{report_id}.{file_format}"
+    report.write.mode("overwrite").format(file_format).option("header", "true").save(to)
+    return to
+
+
+def reports_of(stored: DataFrame, kind: str | None = None, start: Column | None = None, end: Column | None = None) -> DataFrame:
+    """Stored reports by type and period."""
+    for cond in ((F.col("report_type") == kind) if kind else None, (F.col("created_at") >= start) if start is not None else None, (F.col("created_at") < end) if end is not None else None):
+        if cond is not None:
+            stored = stored.filter(cond)
+    return stored
+
+
+def without_expired(stored: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """Reports that stay, and those past their time."""
+    gone = F.coalesce(F.col("expires_at") <= as_of, F.lit(False))
+    return stored.filter(~gone), stored.filter(gone)
+
+
+def export_chain(chain: DataFrame, path: str) -> None:
+    chain.write.mode("overwrite").json(path)
+
+
+def import_chain(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("log_id long, seq long, body string, previous_hash string, row_hash string, signature string").json(path)

@@ -59,3 +59,41 @@ def against_baseline(counts: DataFrame, baseline: DataFrame, key: str, factor: f
 def run_available(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Processes all that has come so far, batch by batch, and stops; goes on from the checkpoint the next time."""
     df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
+
+
+def deduplicated(df: DataFrame, minutes: int = 60) -> DataFrame:
+    """Alerts (message, at) that come more than minutes after the last one of their message that stayed, with state for each message.
+
+    The last time of a message is all the state there is, and a timer drops it once it can't matter.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    gap_us = minutes * 60_000_000
+
+    class LastStayed(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle, self.last = handle, handle.getValueState("last", "at_us long")
+
+        def handleInputRows(self, key, rows, timer_values):  # noqa: N802
+            last = self.last.get()[0] if self.last.exists() else None
+            out = []
+            for at in sorted(x for pdf in rows for x in pdf["at_us"]):
+                if last is None or at > last + gap_us:
+                    out.append(at)
+                    last = at
+            if last is not None:
+                self.last.update((last,))
+                self.handle.registerTimer(last // 1000 + 2 * minutes * 60_000)
+            yield pd.DataFrame({"message": [key[0]] * len(out), "at_us": out})
+
+        def handleExpiredTimer(self, key, timer_values, expired_timer_info):  # noqa: N802
+            if self.last.exists() and self.last.get()[0] // 1000 + 2 * minutes * 60_000 <= expired_timer_info.getExpiryTimeInMs():
+                self.last.clear()
+            yield pd.DataFrame({"message": [], "at_us": []})
+
+        def close(self) -> None:
+            pass
+
+    rows = df.select("message", "at", F.unix_micros("at").alias("at_us"))
+    return rows.groupBy("message").transformWithStateInPandas(statefulProcessor=LastStayed(), outputStructType="message string, at_us long", outputMode="Append", timeMode="EventTime")
