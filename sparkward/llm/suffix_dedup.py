@@ -410,12 +410,13 @@ def repeated_windows(base: DataFrame, size: int = MIN_BYTES, gram: int = GRAM) -
 RESULT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 
 
-def remove_repeated(docs: DataFrame, size: int = MIN_BYTES, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeated(docs: DataFrame, size: int = MIN_BYTES, gram: int = GRAM, carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
     """Removes from every text of docs (doc_id, text) the bytes covered by a string of size bytes that starts earlier too.
 
     Earlier means in a document of a smaller doc_id, or in the same one, before. Strings are judged
     on the input, and overlaps count. Returns doc_id, n_bytes, spans (the maximal removed runs of
-    bytes, from start to end) and kept (the other bytes, joined).
+    bytes, from start to end) and kept (the other bytes, joined; with whole_characters without what a
+    cut leaves of a character).
 
     A null text counts as empty. Documents of the same or no doc_id are ordered by text, null ids
     before all others, and each keeps its row. Columns named in carry go along, others are ignored;
@@ -440,6 +441,8 @@ def remove_repeated(docs: DataFrame, size: int = MIN_BYTES, gram: int = GRAM, ca
                         spans.append([low, high])
                 edges = [0, *(e for s in spans for e in s), len(text)]
                 kept = b"".join([text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)])
+                if whole_characters and spans:
+                    kept = kept.decode("utf-8", "ignore").encode("utf-8")
                 rows.add(doc_id, len(text), [{"start": a, "end": b} for a, b in spans], kept, size=len(kept))
                 if rows.full or i + 1 == batch.num_rows:
                     yield carried(rows.take(), batch, 3, done)
