@@ -32,10 +32,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes byte strings that occur earlier. Characters that a cut goes through go whole; a document stays even if nothing is left of it."""
-    kept = suffix_dedup.remove_repeated(docs, carry=("lang", "source"))
-    text = F.coalesce(F.try_validate_utf8(F.col("kept").cast("string")), F.make_valid_utf8(F.col("kept").cast("string")))
-    clean = F.when(F.size("spans") == 0, F.col("kept").cast("string")).otherwise(F.replace(text, F.lit("�"), F.lit("")))
-    return kept.select("doc_id", clean.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    kept = suffix_dedup.remove_repeated(docs, carry=("lang", "source"), whole_characters=True)
+    return kept.select("doc_id", F.col("kept").cast("string").alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
