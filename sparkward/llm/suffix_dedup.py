@@ -32,9 +32,9 @@ MIN_BYTES, GRAM = 100, 24
 #: Bytes looked at together, and anchors or strings that make a run.
 SLICE, RUN_ANCHORS, RUN_KEYS = 1 << 20, 500_000, 100_000
 #: A range of the order holds about so many strings; so many ranges at most.
-RANGE_KEYS, MOST_RANGES = 40_000, 50_000
-#: For the splitters, so many first strings of blocks for each range.
-SAMPLE = 8
+RANGE_KEYS, MOST_RANGES = 40_000, 20_000
+#: The splitters come from so many blocks for each range, and from one of so many strings of each, at equal distances.
+SAMPLE_BLOCKS, SAMPLE_STEP = 2, 250
 #: Odd multipliers of the hashes.
 B1, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 U64 = np.uint64
@@ -151,8 +151,8 @@ def find_anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
 
 
 #: The two kinds of rows that sorting and merging give: windows that repeat, from one start to another, and sorted strings.
-PARTS = pa.schema([("rid", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("run", pa.int64()), ("first_key", pa.binary()), ("n", pa.int32()), ("keys", pa.binary()), ("rids", pa.binary()), ("places", pa.binary())])
-PARTS_SQL = "rid long, low long, high long, run long, first_key binary, n int, keys binary, rids binary, places binary"
+PARTS = pa.schema([("rid", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("run", pa.int64()), ("sample", pa.list_(pa.binary())), ("n", pa.int32()), ("keys", pa.binary()), ("rids", pa.binary()), ("places", pa.binary())])
+PARTS_SQL = "rid long, low long, high long, run long, sample array<binary>, n int, keys binary, rids binary, places binary"
 
 
 class RunBuilder:
@@ -190,7 +190,7 @@ class RunBuilder:
 
 def add_block(rows: Rows, run: int, keys: list[bytes], rids: np.ndarray, places: np.ndarray) -> None:
     data = encode_block(keys)
-    rows.add(None, None, None, run, keys[0], len(keys), data, rids.tobytes(), places.tobytes(), size=len(data) + 16 * len(keys))
+    rows.add(None, None, None, run, keys[min(SAMPLE_STEP, len(keys)) // 2 :: SAMPLE_STEP], len(keys), data, rids.tobytes(), places.tobytes(), size=len(data) + 16 * len(keys))
 
 
 def region_runs(located: DataFrame, size: int) -> DataFrame:
@@ -227,16 +227,16 @@ def window_runs(windows: DataFrame) -> DataFrame:
 
 
 def ranges_of(blocks: DataFrame, least: int) -> list[bytes]:
-    """Splitters for the strings of blocks: from the first strings of some of the blocks, in number bounded by that of the ranges."""
+    """Splitters for the strings of blocks: from strings at equal distances of some of the blocks, in number bounded by that of the ranges."""
     keys = blocks.agg(F.sum("n")).first()[0] or 0
     ranges = min(MOST_RANGES, max(least, keys // RANGE_KEYS + 1))
-    sample = blocks.select("first_key").orderBy(F.xxhash64("first_key", "run"), "first_key").limit(SAMPLE * ranges).collect()
-    return choose_splitters([bytes(r[0]) for r in sample], ranges)
+    sample = blocks.select("sample").orderBy(F.xxhash64("sample", "run"), "run").limit(SAMPLE_BLOCKS * ranges).collect()
+    return choose_splitters([bytes(k) for r in sample for k in r[0]], ranges)
 
 
 def exchanged(blocks: DataFrame, splitters: list[bytes]) -> DataFrame:
     """The blocks, cut at the splitters and grouped by range."""
-    schema = pa.schema([("part", pa.int32()), *((n, PARTS.field(n).type) for n in ("run", "first_key", "n", "keys", "rids", "places"))])
+    schema = pa.schema([("part", pa.int32()), ("run", pa.int64()), ("first_key", pa.binary()), *((n, PARTS.field(n).type) for n in ("n", "keys", "rids", "places"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows(schema)
@@ -250,7 +250,7 @@ def exchanged(blocks: DataFrame, splitters: list[bytes]) -> DataFrame:
                         yield rows.take()
         yield rows.take()
 
-    return blocks.select("run", "first_key", "n", "keys", "rids", "places").mapInArrow(run, "part int, run long, first_key binary, n int, keys binary, rids binary, places binary")
+    return blocks.select("run", "n", "keys", "rids", "places").mapInArrow(run, "part int, run long, first_key binary, n int, keys binary, rids binary, places binary")
 
 
 def merged_groups(table: pa.Table) -> Iterator[tuple[bytes, int, list[tuple[int, int, int]]]]:
