@@ -115,3 +115,8 @@ def of_process(key: tuple, make: Callable[[], Any]) -> Any:
         held.clear()
         held[key] = make()
     return held[key]
+
+
+def release_process() -> None:
+    """Lets go of what of_process() holds, for operators that need the memory."""
+    vars(sys.modules.get("sparkward_of_process", ModuleType("none"))).get("held", {}).clear()

@@ -36,7 +36,7 @@ COUNTER_BITS, BLOCK = 22, 1 << 16
 #: Partial sums of a block.
 SALTS = 64
 #: N-grams that a task counts at once; above 255 its counts of a counter stay there.
-COUNTED = 1_000_000
+COUNTED = 500_000
 #: Groups of more texts than this are resolved through a pivot.
 MOST_DIRECT = 32
 #: Hash classes of the suffix filter.
@@ -44,7 +44,7 @@ CLASSES = 64
 #: Bits of the filter that tells which texts are worth reading again.
 FILTER_BITS = 24
 #: Words up to so many bytes are kept with their hashes, about so many in a worker process.
-WORD_BYTES, WORDS_KEPT = 48, 300_000
+WORD_BYTES, WORDS_KEPT = 48, 200_000
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -92,6 +92,11 @@ def counters(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
 
+def add_counts(counts: np.ndarray, pending: list[np.ndarray]) -> None:
+    at, times = np.unique(np.concatenate(pending), return_counts=True)
+    counts[at] += times.astype(counts.dtype)
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n + (-percent * n) // 100 + 1
 
@@ -110,12 +115,12 @@ def read_sets(base: DataFrame, words: int) -> DataFrame:
                 pending.append(counters(tokens))
                 held += len(tokens)
                 if held >= COUNTED:
-                    counts += np.bincount(np.concatenate(pending), minlength=len(counts)).astype(np.int32)
+                    add_counts(counts, pending)
                     pending, held = [], 0
                 if rows.full:
                     yield rows.take()
         if pending:
-            counts += np.bincount(np.concatenate(pending), minlength=len(counts)).astype(np.int32)
+            add_counts(counts, pending)
         counts = np.minimum(255, counts).astype(np.uint8)
         for i in range(0, len(counts), BLOCK):
             if (part := counts[i : i + BLOCK]).any():

@@ -24,13 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rows, carried, carried_sql, numbered, texts, written
+from .common import Rows, carried, carried_sql, numbered, release_process, texts, written
 from .string_merge import BLOCK, LoserTree, choose_splitters, common_prefix, cut_at, decode_block, encode_block
 
 #: Length of the strings that are removed, and of the k-grams that anchors are chosen by.
 MIN_BYTES, GRAM = 100, 24
 #: Bytes looked at together, and anchors or strings that make a run.
-SLICE, RUN_ANCHORS, RUN_KEYS = 1 << 20, 500_000, 100_000
+SLICE, RUN_ANCHORS, RUN_KEYS = 1 << 19, 250_000, 60_000
 #: A range of the order holds about so many strings; so many ranges at most.
 RANGE_KEYS, MOST_RANGES = 40_000, 20_000
 #: The splitters come from so many blocks for each range, and from one of so many strings of each, at equal distances.
@@ -102,6 +102,7 @@ def find_anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
     schema = pa.schema([("key", pa.int64()), ("rid", pa.int64()), ("place", pa.int64()), ("known", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_process()
         found: list[tuple[np.ndarray, ...]] = []
         rids, parts, held = [], [], 0
 
@@ -197,6 +198,7 @@ def region_runs(located: DataFrame, size: int) -> DataFrame:
     """Sorted runs of the regions of anchors. located has rid, text and places of anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_process()
         builder = RunBuilder(Rows(PARTS))
         for batch in batches:
             for rid, text, places in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2), strict=True):
