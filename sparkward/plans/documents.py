@@ -29,12 +29,13 @@ def pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.inline("e"))
 
 
+#: The types that the SQL masks; the query masks all.
 MASKED = (PII_TYPES[0], PII_TYPES[1], PII_TYPES[4], PII_TYPES[10], PII_TYPES[13])
 
 
 def pii_mask_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = F.concat(*(pii.labelled(F.col("text"), kind, label, pattern) for kind, label, pattern, _ in MASKED))
+    found = F.concat(*(pii.labelled(F.col("text"), kind, label, pattern) for kind, label, pattern, _ in PII_TYPES))
     return docs.select(F.inline(found)).distinct().withColumn("masked", pii.mask(F.col("value"), F.col("entity_type")))
 
 
@@ -110,7 +111,7 @@ def sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(pii.sentence_chunks(F.col("text"))).alias("chunk_no", "chunk"))
 
 
-#: Of the entity types, those the catalog queries look for; the costly address pattern isn't among them.
+#: The types that the catalog's SQL looks for; the queries look for all.
 CATALOG_TYPES = tuple(t for t in PII_TYPES if t[0] in ("EMAIL", "PHONE_NUMBER", "VISA", "IP_ADDRESS", "BANK_ACCOUNT_NUMBER"))
 CATALOG_SQL = (
     "WITH counted AS (SELECT doc_id, source, n_chars, "
@@ -125,7 +126,7 @@ records AS (SELECT doc_id AS record_id, 'unstructured' AS source_type, source AS
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.document_records(table(spark, sf_dir, "documents"), CATALOG_TYPES)
+    return catalog.document_records(table(spark, sf_dir, "documents"))
 
 
 def catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

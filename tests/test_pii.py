@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from sparkward.functions import pii
 from sparkward.functions.rules import PII_TYPES
 from sparkward.operators import catalog
+from sparkward.plans import documents
 
 TEXTS = [
     (1, "Mail jane.doe@example.com or 212-555-0199, card 4111111111111111, ip 10.1.2.3."),
@@ -84,3 +85,17 @@ def test_catalog(spark):
     nested = catalog.with_entities(records.drop("pii_count"), catalog.masked_entities(docs)).filter("record_id = 1").first()
     assert nested.pii_count == len(nested.entities) > 0
     assert catalog.statistics(records.limit(0)).count() == 0
+
+
+def test_catalog_queries_look_for_all_types(spark, tmp_path):
+    spark.createDataFrame([(i, t, "s", len(t or "")) for i, t in TEXTS], "doc_id long, text string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {i: [(label, v, c) for _, label, p, c in PII_TYPES for v in (m.group() for m in re.finditer(p, t or ""))] for i, t in TEXTS}
+    counts = {i: len(v) for i, v in found.items()}
+    assert {r.record_id: (r.pii_count, r.confidence_score) for r in documents.records(spark, str(tmp_path)).collect()} == {i: (len(v), max((c for *_, c in v), default=0.0)) for i, v in found.items()}
+    risk = lambda n: "High" if n > 5 else "Medium" if n > 2 else "Low"
+    assert {r.risk: (r.n_files, r.most) for r in documents.file_risk(spark, str(tmp_path)).collect()} == {k: (len(ns), max(ns)) for k in ("High", "Medium", "Low") if (ns := [n for n in counts.values() if risk(n) == k])}
+    summary, stats = documents.scan_summary(spark, str(tmp_path)).first(), documents.catalog_stats(spark, str(tmp_path)).first()
+    assert (summary.n_sensitive, summary.n_entities) == (4, sum(counts.values())) and stats.n_pii == 4
+    assert {r.record_id: r.pii_count for r in documents.catalog_search(spark, str(tmp_path)).collect()} == {i: counts[i] for i in (1, 4)}
+    masked = {(r.entity_type, r.value): r.masked for r in documents.pii_mask_values(spark, str(tmp_path)).collect()}
+    assert set(masked) == {x[:2] for v in found.values() for x in v} and masked["US Social Security Number", "078-05-1120"] == "078-05-****"
