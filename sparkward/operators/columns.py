@@ -53,18 +53,25 @@ def type_of_name(name: Column) -> Column:
     return out.otherwise("General")
 
 
+def as_text(df: DataFrame, name: str) -> Column:
+    """A column's values as text. Floating point numbers from 10^7 on keep all their digits instead of an exponent."""
+    text = F.col(name).cast("string")
+    if dict(df.dtypes)[name] not in ("double", "float"):
+        return text
+    long = F.regexp_replace(text.cast("decimal(38,10)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.when((F.abs(name) >= 1e7) & (F.abs(name) < 1e16), long).otherwise(text)
+
+
 def pii_rollup(frames: dict[str, DataFrame]) -> DataFrame:
     """Cells with personal data by file and column, and by file (column_name null).
 
-    Each table is unpivoted; only columns of names and keys are looked at, as text. Nulls are skipped.
+    Each table is unpivoted; all columns are looked at, as text. Nulls are skipped.
     """
-    kinds = [SIMPLE_PATTERNS[i] for i in (3, 5, 6)]
     parts = []
     for file, df in frames.items():
-        names = [c for c, kind in df.dtypes if kind in ("string", "bigint", "int")]
-        cells = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in names))
+        cells = F.array(*(F.struct(F.lit(c).alias("column_name"), as_text(df, c).alias("v")) for c in df.columns))
         parts.append(df.select(F.lit(file).alias("file"), F.inline(cells)))
     cells = reduce(DataFrame.unionByName, parts)
-    counted = cells.select("file", "column_name", *(F.coalesce(F.regexp_count("v", F.lit(p)), F.lit(0)).alias(k) for k, p in kinds))
-    total = sum((F.col(k) for k, _ in kinds[1:]), F.col(kinds[0][0]))
-    return counted.rollup("file", "column_name").agg(F.bool_or(total > 0).alias("contains_sensitive"), F.sum(total).cast("long").alias("n_entities"), *(F.count_if(F.col(k) > 0).alias(f"n_{k}") for k, _ in kinds)).filter("file IS NOT NULL")
+    counted = cells.select("file", "column_name", *(F.coalesce(F.regexp_count("v", F.lit(p)), F.lit(0)).alias(k) for k, p in SIMPLE_PATTERNS))
+    total = sum((F.col(k) for k, _ in SIMPLE_PATTERNS[1:]), F.col(SIMPLE_PATTERNS[0][0]))
+    return counted.rollup("file", "column_name").agg(F.bool_or(total > 0).alias("contains_sensitive"), F.sum(total).cast("long").alias("n_entities"), *(F.count_if(F.col(k) > 0).alias(f"n_{k}") for k, _ in SIMPLE_PATTERNS)).filter("file IS NOT NULL")

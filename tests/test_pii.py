@@ -1,10 +1,11 @@
+import datetime
 import re
 
 from pyspark.sql import functions as F
 
 from sparkward.functions import pii
-from sparkward.functions.rules import PII_TYPES
-from sparkward.operators import catalog
+from sparkward.functions.rules import PII_TYPES, SIMPLE_PATTERNS
+from sparkward.operators import catalog, columns
 from sparkward.plans import documents
 
 TEXTS = [
@@ -99,3 +100,19 @@ def test_catalog_queries_look_for_all_types(spark, tmp_path):
     assert {r.record_id: r.pii_count for r in documents.catalog_search(spark, str(tmp_path)).collect()} == {i: counts[i] for i in (1, 4)}
     masked = {(r.entity_type, r.value): r.masked for r in documents.pii_mask_values(spark, str(tmp_path)).collect()}
     assert set(masked) == {x[:2] for v in found.values() for x in v} and masked["US Social Security Number", "078-05-1120"] == "078-05-****"
+
+
+def test_rollup_looks_for_all_patterns_in_all_columns(spark):
+    cells = {
+        "card": ["4111 1111 1111 1111", None, "x"], "mail": ["jane@example.com", "j@x.org", ""], "ssn": ["078-05-1120", "no", None], "host": ["10.1.2.3", None, None],
+        "price": [27207.5, None, 2125550199.0], "at": [datetime.datetime(2020, 1, 2, 3, 4), None, None], "n": [62704, 1, None],
+    }
+    df = spark.createDataFrame(list(zip(*cells.values(), strict=True)), "card string, mail string, ssn string, host string, price double, at timestamp, n long")
+    rows = {r.column_name: r for r in columns.pii_rollup({"t": df}).collect()}
+    found = {c: [{k: len(re.findall(p, str(v))) for k, p in SIMPLE_PATTERNS} for v in vs if v is not None] for c, vs in cells.items()}
+    found[None] = [x for xs in found.values() for x in xs]
+    assert set(rows) == set(found)
+    for c, xs in found.items():
+        assert rows[c].n_entities == sum(sum(x.values()) for x in xs) and rows[c].contains_sensitive == any(any(x.values()) for x in xs)
+        assert all(rows[c][f"n_{k}"] == sum(x[k] > 0 for x in xs) for k, _ in SIMPLE_PATTERNS)
+    assert rows["card"].n_credit_card == 1 and rows["mail"].n_email == 2 and rows["price"].n_phone == 1 and not rows["at"].contains_sensitive
