@@ -24,10 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near copies."""
-    groups = jaccard_join.join_similar(docs, NEAR_WORDS, NEAR_PERCENT)
-    first = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.select(*COLUMNS).join(first, F.col("doc_id") == F.col("first_id"), "left_semi")
+    """Keeps one row of each group of near copies: that of the smallest id (null first), then text. Rows of the same or no id are told apart."""
+    return jaccard_join.first_of_similar(docs, NEAR_WORDS, NEAR_PERCENT, carry=("lang", "source", "n_chars")).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -367,6 +367,28 @@ def similar_links(base: DataFrame, classes: DataFrame, levels: np.ndarray, words
     return slack_links(known).unionByName(verified(left, sets, percent))
 
 
+def first_of_similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row of docs (doc_id, text, columns named in carry) for each component of join_similar: the first by doc_id (null first), then text.
+
+    Rows of the same or no doc_id are told apart by their number. Null texts and texts without words
+    are each their own component.
+    """
+    base = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry))
+    first = similar_rows(base, words, percent).filter("rid = component").select(F.col("rid").alias("first_rid"))
+    return base.join(first, F.col("rid") == F.col("first_rid"), "left_semi").select("doc_id", "text", *carry)
+
+
+def similar_rows(base: DataFrame, words: int, percent: int) -> DataFrame:
+    """The component of each row of base (rid, doc_id, text): rid, n_shingles, component, the smallest rid that links reach."""
+    base = base.select("rid", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    read = written(read_sets(base, words))
+    known = read.filter("rid IS NOT NULL").select("rid", "n", "cid")
+    classes = written(known.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("rid").alias("rid")))
+    components = connected_components(similar_links(base, classes, frequency_levels(read), words, percent))
+    labels = written(classes.join(components, F.col("rid") == F.col("node"), "left").select(F.col("cid").alias("class_cid"), F.coalesce("component", "rid").alias("component")))
+    return known.join(labels, F.col("cid") == F.col("class_cid"), "left").select("rid", F.col("n").alias("n_shingles"), F.coalesce("component", "rid").alias("component"))
+
+
 def join_similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Components of the texts of docs (doc_id, text) whose sets of word n-grams are similar.
 
@@ -380,12 +402,7 @@ def join_similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     hashes and known by one.
     """
     base = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
-    read = written(read_sets(base, words))
-    known = read.filter("rid IS NOT NULL").select("rid", "n", "cid")
-    classes = written(known.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("rid").alias("rid")))
-    components = connected_components(similar_links(base, classes, frequency_levels(read), words, percent))
-    labels = written(classes.join(components, F.col("rid") == F.col("node"), "left").select(F.col("cid").alias("class_cid"), F.coalesce("component", "rid").alias("component")))
-    out = known.join(labels, F.col("cid") == F.col("class_cid"), "left").select("rid", F.col("n").alias("n_shingles"), F.coalesce("component", "rid").alias("component"))
+    out = similar_rows(base, words, percent)
     if "own_id" not in base.columns:
         return out.select(F.col("rid").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
     ids = base.select(F.col("rid").alias("id_rid"), F.col("doc_id"))

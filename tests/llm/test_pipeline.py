@@ -29,5 +29,25 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
 
 
+def test_pipeline_keeps_one_row_of_each_group_whatever_its_id(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    text = lambda: "\n".join(" ".join(f"word{rng.randrange(5000)}" for _ in range(12)) + "." for _ in range(20))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(None, a), (None, b), (3, b + " tail"), (4, c), (4, c), (5, d), (6, d + " tail"), (6, e), (7, f), (7, f + " tail"), (8, f)]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(4, 1), (5, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = corpus_pipeline.near_copies(spark, docs, str(tmp_path)).collect()
+    key = lambda x: (x[0] or 0, x[1])
+    assert sorted(((r.doc_id, r.text) for r in kept), key=key) == sorted([(None, a), (None, b), (4, c), (5, d), (6, e), (7, f)], key=key)
+    assert all((r.lang, r.source, r.n_chars) == ("en", "s", len(r.text)) for r in kept)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+    assert sorted(r.doc_id or 0 for r in docs.collect()) == [0, 0, 4, 5, 6, 7]
+
+
 def test_queries_have_their_sql():
     assert set(registry.oracle_sql()) <= set(registry.queries()) and len(registry.queries()) == 10
