@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .rules import PII_TYPES, SENSITIVE_KEYWORDS, SIMPLE_PATTERNS
 
 #: What a text must contain for a pattern to be worth trying.
-PREFILTERS = {"EMAIL": "@", "ADDRESS": r"[0-9]{5}", "DATE_OF_BIRTH": r"[0-9]{2}", "PASSPORT_NUMBER": r"[0-9]{8}", "IP_ADDRESS": r"[0-9]\.[0-9]"}
+PREFILTERS = {"EMAIL": "@", "CREDIT_CARD": r"(?:[0-9][ -]*){13}", "ADDRESS": r"[0-9]{5}", "DATE_OF_BIRTH": r"[0-9]{2}", "PASSPORT_NUMBER": r"[0-9]{8}", "IP_ADDRESS": r"[0-9]\.[0-9]"}
 DIGITS = r"[0-9]{4}"
 ENTITY = "array<struct<entity_type:string,value:string,start:int,end:int,confidence:double>>"
 

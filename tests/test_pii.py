@@ -116,3 +116,14 @@ def test_rollup_looks_for_all_patterns_in_all_columns(spark):
         assert rows[c].n_entities == sum(sum(x.values()) for x in xs) and rows[c].contains_sensitive == any(any(x.values()) for x in xs)
         assert all(rows[c][f"n_{k}"] == sum(x[k] > 0 for x in xs) for k, _ in SIMPLE_PATTERNS)
     assert rows["card"].n_credit_card == 1 and rows["mail"].n_email == 2 and rows["price"].n_phone == 1 and not rows["at"].contains_sensitive
+
+
+def test_short_groups_of_digits(spark):
+    texts = ["ref 123 456 789 012 345 end", "1-2-3 4 5 6 7 8 9 0 1 2 3", "12 34 56 78 90 12 x 34", "1 2 3 4 5 6 7 8 9 0 1 2"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in df.select("doc_id", pii.sweep(pii.entities(F.col("text"))).alias("e"), pii.redact(F.col("text"), pii.sweep(pii.entities(F.col("text")))).alias("out")).collect()}
+    for i, text in enumerate(texts):
+        assert [(e.entity_type, e.start, e.end) for e in rows[i].e] == [(w[0], *w[2:4]) for w in swept(text)]
+    assert rows[0].out == "ref 123 456 789 012**** end" and rows[1].e and rows[3].out == texts[3]
+    counts = {r.entity_type: r.n_matches for r in pii.type_counts(df).collect()}
+    assert counts == {label: sum(len(re.findall(p, t)) for t in texts) for _, label, p, _ in PII_TYPES}
