@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ RANK_SHIFT = 10.0
 BYTE_PENALTY = 10.0
 #: Segments up to so many bytes are kept with their ids, about so many of them in a worker process.
 SEGMENT_BYTES, SEGMENTS_KEPT = 48, 700_000
-#: Viterbi's array covers so many bytes of a segment at a time at most; longer ones are split at characters.
+#: Segments of more bytes are decoded with compact arrays.
 LONGEST = 1 << 16
 
 
@@ -98,6 +99,7 @@ class UnigramCodec:
         self.byte_score = min(self.score.values(), default=0.0) - BYTE_PENALTY
         self.trie = DoubleArrayTrie({pieces[i].encode(): i for i in words})
         self.node_score = [None if v < 0 else self.score[v] for v in self.trie.value]
+        self.length_of = {i: len(pieces[i].encode()) for i in words}
         self.longest = max((len(pieces[i].encode()) for i in words), default=0)
         self.text_of = [bytes([int(p[3:5], 16)]) if k == "byte" else p.encode().replace(MARK_BYTES, b" ") if k == "word" else b"" for p, k in zip(pieces, kinds, strict=True)]
         self.known: dict[bytes, tuple[int, ...]] = {}
@@ -138,8 +140,49 @@ class UnigramCodec:
             at = start
         return tuple(reversed(out))
 
-    def segment_ids(self, segment: bytes) -> tuple[int, ...]:
-        """Ids of a segment, as known or by Viterbi; one of over LONGEST bytes is cut between characters."""
+    def best_of_long(self, segment: bytes) -> array:
+        """What best() gives, with scores of the last places only and 4 bytes for each byte of the segment: the last piece of its best way, from which follows where that starts."""
+        n, base, check, value, scores = len(segment), self.trie.base, self.trie.check, self.trie.value, self.node_score
+        ring, last = max(self.longest, 4) + 1, array("i", [-1]) * (n + 1)
+        total = [-math.inf] * ring
+        total[0] = 0.0
+        for at in range(n):
+            so_far, total[at % ring] = total[at % ring], -math.inf
+            if so_far == -math.inf:
+                continue
+            first = segment[at]
+            width = 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
+            node, end, covered = 0, at, False
+            for byte in segment[at : at + self.longest]:
+                child = base[node] + byte + 1
+                if check[child] != node:
+                    break
+                node = child
+                end += 1
+                score = scores[node]
+                if score is not None:
+                    if end == at + width:
+                        covered = True
+                    if so_far + score > total[end % ring]:
+                        total[end % ring], last[end] = so_far + score, value[node]
+            if not covered and so_far + width * self.byte_score > total[(at + width) % ring]:
+                total[(at + width) % ring], last[at + width] = so_far + width * self.byte_score, -1
+        out, at = array("i"), n
+        while at:
+            if last[at] >= 0:
+                out.append(last[at])
+                at -= self.length_of[last[at]]
+            else:  # the bytes of one character
+                while True:
+                    at -= 1
+                    out.append(self.byte_ids[segment[at]])
+                    if segment[at] & 0xC0 != 0x80:
+                        break
+        out.reverse()
+        return out
+
+    def segment_ids(self, segment: bytes) -> Sequence[int]:
+        """Ids of a segment, as known or by Viterbi."""
         if (ids := self.known.get(segment)) is not None:
             return ids
         if len(segment) <= SEGMENT_BYTES:
@@ -147,14 +190,7 @@ class UnigramCodec:
                 self.known.clear()
             ids = self.known[segment] = self.best(segment)
             return ids
-        out: list[int] = []
-        while segment:
-            cut = min(LONGEST, len(segment))
-            while cut < len(segment) and segment[cut] & 0xC0 == 0x80:
-                cut -= 1
-            out.extend(self.best(segment[:cut]))
-            segment = segment[cut:]
-        return tuple(out)
+        return self.best(segment) if len(segment) <= LONGEST else self.best_of_long(segment)
 
     def encode(self, text: bytes) -> list[int]:
         """Ids of a UTF-8 text. No piece has a mark after another character, so runs of spaces with what follows them are segments of their own."""

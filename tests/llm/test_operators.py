@@ -199,6 +199,19 @@ def test_codec_round_trip_and_best_score(spark, odd):
     assert unigram_codec.encode_texts(frame(spark, []), pieces, kinds).count() == 0
 
 
+def test_codec_does_not_cut_long_segments(monkeypatch):
+    small = ["▁", "a", "b", "ab", "▁a", "▁ab", "ba", "aaa", "é漢", *(f"<0x{b:02X}>" for b in range(256))]
+    codecs = [unigram_codec.UnigramCodec(small, ["word"] * 9 + ["byte"] * 256), unigram_codec.UnigramCodec(*unigram_codec.read_pieces(registry.piece_bpe()))]
+    monkeypatch.setattr(unigram_codec, "LONGEST", 32)
+    rng = random.Random(8)
+    for signs in ("aabbé漢🎉", "a", "漢字仮名交じり文を書く", "▁", "etaoinshrdlu"):
+        for n in (60, 333, 1000):
+            segment = ("▁" + "".join(rng.choice(signs) for _ in range(n))).encode()
+            for codec in codecs:
+                assert list(codec.segment_ids(segment)) == list(codec.best(segment))
+                assert codec.decode(codec.segment_ids(segment)) == segment.replace("▁".encode(), b" ")[1:]
+
+
 # chat rotation
 
 
