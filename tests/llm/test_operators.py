@@ -377,6 +377,30 @@ def test_surrogates_never_meet(spark):
         assert not set(values) & {w for _, t in texts for w in t.split() if w[0] == "1"}
 
 
+def test_surrogates_of_full_forms(spark):
+    hosts = [f"192.168.{i // 256}.{i % 256}" for i in range(40_000)]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = ["Mr " + f"{a}{b}{c}{d}".capitalize() for a in letters for b in letters for c in letters for d in letters[:4]][:70_000]
+    mails = [f"{a}@shop.example.com" for a in letters]
+    values = [*hosts, *names, *mails]
+    texts = [(i, "; ".join(values[i : i + 500])) for i in range(0, len(values), 500)]
+    rows = pii_surrogates.replace_pii(frame(spark, texts), b"k").collect()
+    chosen = [(s.kind, s.surrogate) for r in sorted(rows, key=lambda r: r.doc_id) for s in r.spans]
+    assert Counter(k for k, _ in chosen) == {"IP": 40_000, "PERSON": len(names), "EMAIL": 26}
+    assert len(set(chosen)) == len(chosen) and not {v for _, v in chosen} & set(values)
+    assert all(v.startswith(("192.168.", "10.")) for k, v in chosen if k == "IP") and all(v.startswith("Mr ") for k, v in chosen if k == "PERSON")
+
+
+def test_surrogates_of_late_attempts():
+    cases = [("PHONE", "+1 (212) 555-0199"), ("SSN", "078-05-1120"), ("CARD", "4539 1488 0343 6467"), ("IBAN", "DE44 5001 0517 5407 3249 31"), ("EMAIL", "a@b.example.com"), ("PERSON", "Mrs Anna SMITH"), ("IP", "10.0.0.7")]
+    for kind, value in cases:
+        canon = pii_surrogates.canonical(kind, value)
+        for attempt in (0, 7, 8, 12, 30):
+            chosen = pii_surrogates.surrogate(kind, canon, attempt, b"k")
+            assert pii_surrogates.canonical(kind, pii_surrogates.written_like(kind, value, chosen)) == chosen
+            assert kind != "CARD" or pii_surrogates.luhn_sum([int(c) for c in chosen]) % 10 == 0
+
+
 # hosts
 
 
