@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,15 +23,25 @@ def link_hash(body: Column, previous: Column) -> Column:
 def build_chain(entries: DataFrame, key: bytes) -> DataFrame:
     """Chains the entries of each log (log_id, seq, FIELDS) in order of seq: log_id, seq, body, previous_hash, row_hash, signature.
 
-    A log is folded in one task, logs side by side.
+    A log is read in order in one task, which holds only the last hash; logs side by side.
     """
     body = F.concat_ws("|", *FIELDS)
-    logs = entries.groupBy("log_id").agg(F.sort_array(F.collect_list(F.struct("seq", body.alias("body")))).alias("e"))
-    kind = "array<struct<seq:bigint,body:string,previous_hash:string,row_hash:string>>"
-    step = lambda a, e: F.concat(a, F.array(F.struct(e["seq"].cast("long").alias("seq"), e["body"].alias("body"), F.element_at(a, -1)["row_hash"].alias("previous_hash"), link_hash(e["body"], F.element_at(a, -1)["row_hash"]).alias("row_hash")))).cast(kind)
-    first = lambda a, e: F.when(F.size(a) > 0, step(a, e)).otherwise(F.array(F.struct(e["seq"].cast("long").alias("seq"), e["body"].alias("body"), F.lit(None).cast("string").alias("previous_hash"), link_hash(e["body"], F.lit(None).cast("string")).alias("row_hash"))).cast(kind)).cast(kind)
-    folded = logs.select("log_id", F.inline(F.aggregate("e", F.array().cast(kind), first)))
-    return folded.withColumn("signature", signature(key, F.col("row_hash")))
+    dealt = entries.select("log_id", F.col("seq").cast("long").alias("seq"), body.alias("body")).repartition("log_id").sortWithinPartitions("log_id", "seq", "body")
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = (), None
+        for batch in batches:
+            before, hashes = [], []
+            for log, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if now != (log,):
+                    now, last = (log,), None
+                before.append(last)
+                last = hashlib.sha256(f"{text}|{last or ''}".encode()).hexdigest()
+                hashes.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(hashes, pa.string())], names=[*batch.schema.names, "previous_hash", "row_hash"])
+
+    linked = dealt.mapInArrow(chain, f"log_id {entries.schema['log_id'].dataType.simpleString()}, seq long, body string, previous_hash string, row_hash string")
+    return linked.withColumn("signature", signature(key, F.col("row_hash")))
 
 
 def verify_chain(chain: DataFrame, key: bytes) -> DataFrame:

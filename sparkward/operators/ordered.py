@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Ranges that a column is cut into.
@@ -26,3 +26,32 @@ def running_totals(counts: DataFrame, order: str, totals: dict[str, str], descen
     within = Window.partitionBy("_range").orderBy(way(order))
     joined = placed.join(F.broadcast(sums), F.col("_range") == F.col("_of"))
     return joined.select(*counts.columns, *((F.sum(c).over(within) + F.col(f"_before_{c}")).alias(name) for c, name in totals.items()))
+
+
+def as_number(df: DataFrame, name: str) -> Column | None:
+    """A number that never falls where a column of whole numbers, dates or times rises; none for other types."""
+    kind, c = dict(df.dtypes)[name], F.col(name)
+    if kind == "timestamp_ntz":
+        return F.unix_date(F.to_date(c)) * F.lit(86400.0) + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
+    made = {"timestamp": F.unix_micros, "date": F.unix_date, **dict.fromkeys(("bigint", "int", "smallint", "tinyint"), lambda x: x)}.get(kind)
+    return None if made is None else made(c).cast("double")
+
+
+def row_numbers(df: DataFrame, key: str, order: str, then: str, name: str, ranges: int = RANGES) -> DataFrame:
+    """df with the place of each row within its key (not null), by order (null first), then another column.
+
+    Rows are numbered within ranges of order, and the counts of the ranges before are added, so that
+    no task orders all rows of a key; one row for each key and range is broadcast. Columns of other
+    types than as_number takes are one range.
+    """
+    number = as_number(df, order)
+    numbered = df.withColumn("_number", F.lit(None).cast("double") if number is None else number)
+    ends = numbered.agg(F.min("_number").alias("_low"), F.max("_number").alias("_high"))
+    share = F.coalesce(F.try_divide((F.col("_number") - F.col("_low")) * ranges, F.col("_high") - F.col("_low")), F.lit(0.0))
+    placed = numbered.join(F.broadcast(ends)).withColumn("_range", F.when(F.col("_number").isNull(), -1).otherwise(F.floor(share)).cast("long"))
+    before = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)  # over so many ranges at most
+    counts = placed.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_of")).agg(F.count("*").alias("_count"))
+    counts = counts.select("_key", "_of", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(key, "_range").orderBy(order, then)
+    joined = placed.join(F.broadcast(counts), (F.col(key) == F.col("_key")) & (F.col("_range") == F.col("_of")))
+    return joined.select(*df.columns, (F.row_number().over(within) + F.col("_before")).cast("int").alias(name))

@@ -39,6 +39,55 @@ def test_dedup_is_the_loop(spark):
     assert {tuple(r) for r in alerts.deduplicated(spark.createDataFrame(rows, "message string, timestamp timestamp")).collect()} == kept
 
 
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_groups_are_read_in_order_and_not_collected(spark):
+    rng = random.Random(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        times = {m: sorted(rng.sample(range(300_000), 400)) for m in (None, "a", "b")}
+        times["c"] = [0, 60, 120, 181, 100_000, 100_060, 100_061, 200_000]
+        df = spark.createDataFrame([(m, T0 + dt.timedelta(minutes=x)) for m, xs in times.items() for x in xs], "message string, timestamp timestamp").repartition(3)
+        kept = set()
+        for m, xs in times.items():
+            last = None
+            for x in xs:
+                if last is None or x > last + 60:
+                    kept.add((m, T0 + dt.timedelta(minutes=x)))
+                    last = x
+        out = alerts.deduplicated(df)
+        rows = [tuple(r) for r in out.collect()]
+        assert set(rows) == kept and len(rows) == len(kept) and "collect_list" not in plan(out)
+
+        entries = [(log, i, f"e{i}", "data_access", None, "u", f"op{i}") for log, n in ((None, 30), (1, 3000), (2, 1)) for i in range(n)]
+        chain = audit.build_chain(spark.createDataFrame(entries, "log_id long, seq long, entry_id string, entry_type string, timestamp string, user_id string, operation string").repartition(3), b"k")
+        expected, last = {}, {}
+        for log, i, e, kind, _, user, op in entries:
+            body = f"{e}|{kind}|{user}|{op}"
+            now = hashlib.sha256(f"{body}|{last.get(log) or ''}".encode()).hexdigest()
+            expected[log, i], last[log] = (body, last.get(log), now), now
+        assert {(r.log_id, r.seq): (r.body, r.previous_hash, r.row_hash) for r in chain.collect()} == expected and "collect_list" not in plan(chain)
+        assert chain.columns == ["log_id", "seq", "body", "previous_hash", "row_hash", "signature"]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date", "long", "string"])
+def test_review_queue_is_numbered_within_ranges(spark, kind):
+    rng = random.Random(4)
+    at = lambda x: x if kind == "long" else f"{x:04d}" if kind == "string" else T0 + dt.timedelta(minutes=x) if kind != "date" else T0.date() + dt.timedelta(days=x)
+    items = [(i, None if rng.random() < 0.05 else at(rng.randrange(500)), rng.choice(("high", "medium", "low")), 0.9) for i in range(900)]
+    out = alerts.review_queue(spark.createDataFrame(items, f"review_id long, queued_at {kind}, severity string, confidence double"))
+    expected = {}
+    for severity in ("high", "medium", "low"):
+        mine = sorted((x for x in items if x[2] == severity), key=lambda x: (x[1] is not None, x[1] or at(0), x[0]))
+        expected |= {x[0]: (severity, n + 1) for n, x in enumerate(mine)}
+    assert {r.review_id: (r.queue, r.position) for r in out.collect()} == expected and out.schema["position"].dataType.simpleString() == "int"
+    assert kind == "string" or "_range#" in plan(out)
+
+
 def test_reviews_and_decisions(spark):
     df = spark.createDataFrame([("high", 0.9), ("medium", 0.1), ("medium", 0.9), ("low", 0.1), ("low", 0.5)], "s string, c double")
     assert [r[0] for r in df.select(alerts.review_priority(F.col("s"), F.col("c"))).collect()] == ["high", "high", "medium", "medium", "low"]
