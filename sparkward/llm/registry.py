@@ -41,8 +41,9 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = quality_crf.fit_line_model(docs, table(spark, sf_dir, "labels"))
-    return quality_crf.judge_quality(docs, model).drop("line_labels", "content_share")
+    repeated = quality_crf.repeated_lines(docs)
+    model = quality_crf.fit_line_model(docs, table(spark, sf_dir, "labels"), repeated)
+    return quality_crf.judge_quality(docs, model, repeated)
 
 
 def op4_unigram_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

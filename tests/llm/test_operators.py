@@ -173,6 +173,75 @@ def test_viterbi_finds_the_best_labels():
         assert score(codes, model.decode(codes)) == pytest.approx(best)
 
 
+def test_likelihood_and_slopes_equal_enumeration():
+    rng = np.random.default_rng(3)
+    lengths = (1, 3, 5)
+    chains = [rng.integers(0, 40, n).tolist() for n in lengths]
+    labels = [rng.integers(0, 2, n).tolist() for n in lengths]
+    data = quality_crf.Chains(chains, labels)
+    values = [rng.normal(size=(data.features.shape[1], 2)), rng.normal(size=(2, 2)), rng.normal(size=2)]
+
+    def brute(W, T, S):
+        total = 0.0
+        for chain, y, w in zip(chains, labels, data.weight, strict=True):
+            e = data.features[chain] @ W
+
+            def score(k, e=e):
+                return S[k[0]] + sum(e[t, b] for t, b in enumerate(k)) + sum(T[a, b] for a, b in zip(k, k[1:], strict=False))
+
+            ways = [[n >> t & 1 for t in range(len(chain))] for n in range(1 << len(chain))]
+            total += w * (score(y) - np.log(sum(np.exp(score(k)) for k in ways)))
+        return total
+
+    value, slopes = data.likelihood(*values)
+    assert value == pytest.approx(brute(*values))
+    for part, slope in enumerate(slopes):
+        for at in list(np.ndindex(slope.shape))[:60]:
+            ends = []
+            for step in (1e-5, -1e-5):
+                moved = [v.copy() for v in values]
+                moved[part][at] += step
+                ends.append(brute(*moved))
+            assert slope[at] == pytest.approx((ends[0] - ends[1]) / 2e-5, abs=1e-6)
+    ones = sum(map(sum, labels))
+    lines = [w for y, w in zip(labels, data.weight, strict=True) for _ in y]
+    assert 0 < ones < sum(lengths) and sum(lines) == pytest.approx(1)
+
+
+def boilerplate_docs():
+    """Clean documents between a header and a footer, junk documents, and a family of near copies of one text."""
+    rng = random.Random(11)
+    sentence = lambda: " ".join(f"w{rng.randrange(900)}" for _ in range(14)).capitalize() + "."
+    header, footer = "Home and news and contact.", "All rights are reserved by us."
+    rows = [(i, "\n".join([header, *(sentence() for _ in range(6)), footer])) for i in range(60)]
+    rows += [(100 + i, "\n".join([header, *(" ".join(f"w{rng.randrange(900)}$$$ &&&" for _ in range(20)) for _ in range(5)), sentence()])) for i in range(40)]
+    base = [sentence() for _ in range(8)]
+    for i in range(80):  # each copy has a changed word somewhere
+        lines = [x.split() for x in base]
+        line = lines[rng.randrange(8)]
+        line[rng.randrange(len(line))] = f"v{i}"
+        rows.append((200 + i, "\n".join(map(" ".join, lines))))
+    rows += [(300 + i, rows[0][1]) for i in range(50)]  # and exact ones
+    return rows, {header, footer}
+
+
+def test_lines_are_labelled_within_documents(spark):
+    rows, boilerplate = boilerplate_docs()
+    docs = frame(spark, rows)
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in rows if i % 2 == 0 and i < 200], "doc_id long, quality int")
+    repeated = quality_crf.repeated_lines(docs)
+    assert {r.line for r in repeated.collect()} == {quality_crf.line_key(x.encode()) for x in boilerplate}
+    model = quality_crf.fit_line_model(docs, labels, repeated)
+    out = {r.doc_id: r for r in quality_crf.judge_quality(docs, model, repeated).collect()}
+    for i in range(60):  # planted boilerplate is found within documents that stay
+        assert out[i].line_labels == "BCCCCCCB" and out[i].kept and 0.5 < out[i].content_share < 1
+    assert not any(out[100 + i].kept for i in range(40)) and all(out[200 + i].kept and "B" not in out[200 + i].line_labels for i in range(80))
+    joined_rows = quality_crf.judge_quality(docs, model, repeated, most_broadcast=0)
+    assert sorted(joined_rows.collect()) == sorted(out.values())
+    assert quality_crf.keep_quality(docs, model, repeated, most_broadcast=0).count() == sum(r.kept for r in out.values())
+    assert quality_crf.repeated_lines(frame(spark, [(1, None), (2, "")])).count() == 0
+
+
 # unigram codec
 
 
