@@ -19,8 +19,9 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the base rules or the line model reject. The model is fitted on the stage's input."""
-    model = quality_crf.fit_line_model(docs, table(spark, sf_dir, "labels"))
-    return quality_crf.keep_quality(docs.select(*COLUMNS), model)
+    repeated = quality_crf.repeated_lines(docs)
+    model = quality_crf.fit_line_model(docs, table(spark, sf_dir, "labels"), repeated)
+    return quality_crf.keep_quality(docs.select(*COLUMNS), model, repeated)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
