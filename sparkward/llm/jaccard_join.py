@@ -11,7 +11,9 @@ d(x) the n-grams in which x and these differ, |x - y| = |d(x)| + |d(y)| - 2 |d(x
 x is what similarity allows x to differ, less |d(x)|. Two texts whose slacks add up to 0 or more are
 similar, and so is each of them to the text of the most slack: one link each joins them all. All other
 similar pairs share enough differences, and a prefix-filtered join on these, with the same filters,
-finds them.
+finds them. Differences that many texts share make groups of their own, each at most half as large as
+the one it comes from, which are resolved in the same way by what they have in common; so families of
+near copies that are unlike each other cost as much as their texts, not as their pairs.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +44,10 @@ COUNTED = 500_000
 MOST_DIRECT = 32
 #: Hash classes of the suffix filter.
 CLASSES = 64
-#: Bits of the filter that tells which texts are worth reading again.
-FILTER_BITS = 24
+#: Bits of the filter that tells which texts are worth reading again, and the most rids that it is used for; beyond, texts are joined.
+FILTER_BITS, FILTERED = 24, 4_000_000
+#: Halvings of a group after which something must be wrong.
+DEPTH = 64
 #: Words up to so many bytes are kept with their hashes, about so many in a worker process.
 WORD_BYTES, WORDS_KEPT = 48, 200_000
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -84,8 +89,10 @@ class Shingler:
         return np.unique(out ^ (out >> np.uint64(32)))
 
 
-def set_id(tokens: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_id(tokens: np.ndarray) -> tuple[int, int]:
+    """The 128 bits that a set is known by, as two numbers."""
+    digest = hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
 def counters(tokens: np.ndarray) -> np.ndarray:
@@ -102,8 +109,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def read_sets(base: DataFrame, words: int) -> DataFrame:
-    """For each text of base (rid, text): rid, n (size of its set) and cid (the same for equal sets, null for empty ones); and for each task its counts of n-grams, by block."""
-    schema = pa.schema([("rid", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("block", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
+    """For each text of base (rid, text): rid, n (size of its set), cid and cid2 (the same for equal sets, null for empty ones); and for each task its counts of n-grams, by block."""
+    schema = pa.schema([*((c, pa.int64()) for c in ("rid", "n", "cid", "cid2")), ("block", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, rows, counts = Shingler(words), Rows(schema), np.zeros(1 << COUNTER_BITS, np.int32)
@@ -111,7 +118,7 @@ def read_sets(base: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for rid, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                 tokens = shingler.of(text)
-                rows.add(rid, len(tokens), set_id(tokens) if len(tokens) else None, None, None, None)
+                rows.add(rid, len(tokens), *(set_id(tokens) if len(tokens) else (None, None)), None, None, None)
                 pending.append(counters(tokens))
                 held += len(tokens)
                 if held >= COUNTED:
@@ -124,10 +131,10 @@ def read_sets(base: DataFrame, words: int) -> DataFrame:
         counts = np.minimum(255, counts).astype(np.uint8)
         for i in range(0, len(counts), BLOCK):
             if (part := counts[i : i + BLOCK]).any():
-                rows.add(None, None, None, i // BLOCK, TaskContext.get().partitionId() % SALTS, zlib.compress(part.tobytes(), 1))
+                rows.add(None, None, None, None, i // BLOCK, TaskContext.get().partitionId() % SALTS, zlib.compress(part.tobytes(), 1))
         yield rows.take()
 
-    return base.select("rid", "text").mapInArrow(run, "rid long, n long, cid long, block int, salt int, counts binary")
+    return base.select("rid", "text").mapInArrow(run, "rid long, n long, cid long, cid2 long, block int, salt int, counts binary")
 
 
 def frequency_levels(read: DataFrame) -> np.ndarray:
@@ -154,8 +161,8 @@ def frequency_levels(read: DataFrame) -> np.ndarray:
 
 
 def prefixes(base: DataFrame, levels, words: int, percent: int) -> DataFrame:
-    """The prefix of each text's set, rare n-grams first: token, cid, n, pos. A set that a task has met already isn't repeated; sets too small to be similar to another have no rows."""
-    schema = pa.schema([("token", pa.int64()), ("cid", pa.int64()), ("n", pa.int32()), ("pos", pa.int32())])
+    """The prefix of each text's set, rare n-grams first: token, cid, cid2, n, pos. A set that a task has met already isn't repeated; sets too small to be similar to another have no rows."""
+    schema = pa.schema([*((c, pa.int64()) for c in ("token", "cid", "cid2")), ("n", pa.int32()), ("pos", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, met, table, out, held = Shingler(words), set(), levels.value, [], 0
@@ -169,7 +176,7 @@ def prefixes(base: DataFrame, levels, words: int, percent: int) -> DataFrame:
                     met.add(cid)
                 k = prefix_length(n, percent)
                 first = tokens[np.lexsort((tokens, table[counters(tokens)]))[:k]]
-                out.append((first.view(np.int64), np.full(k, cid), np.full(k, n, np.int32), np.arange(k, dtype=np.int32)))
+                out.append((first.view(np.int64), np.full(k, cid[0]), np.full(k, cid[1]), np.full(k, n, np.int32), np.arange(k, dtype=np.int32)))
                 held += k
                 if held >= 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
@@ -177,7 +184,7 @@ def prefixes(base: DataFrame, levels, words: int, percent: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], schema=schema)
 
-    return base.select("text").mapInArrow(run, "token long, cid long, n int, pos int")
+    return base.select("text").mapInArrow(run, "token long, cid long, cid2 long, n int, pos int")
 
 
 def filter_bit(column: str) -> Column:
@@ -196,16 +203,24 @@ def worth_reading(rids: DataFrame) -> np.ndarray:
 
 
 def sets_of(base: DataFrame, rids: DataFrame, words: int) -> DataFrame:
-    """The sets of the texts of rids, and of few others: rid, n, classes (sizes by hash class), tokens."""
+    """The sets of the texts of rids, and of few others: rid, n, classes (sizes by hash class), tokens.
+
+    A filter of fixed size tells which texts to read where rids are FILTERED at most; texts of more rids are joined.
+    """
     spark = base.sparkSession
-    passes = spark.sparkContext.broadcast(worth_reading(rids))
     schema = pa.schema([("rid", pa.int64()), ("n", pa.int64()), ("classes", pa.binary()), ("tokens", pa.binary())])
+    if rids.limit(FILTERED + 1).count() <= FILTERED:
+        passes, source = spark.sparkContext.broadcast(worth_reading(rids)), base
+    else:
+        passes, source = None, base.join(rids.select(F.col("rid").alias("read_rid")), F.col("rid") == F.col("read_rid"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, rows, filter_words = Shingler(words), Rows(schema), passes.value
+        shingler, rows = Shingler(words), Rows(schema)
         for batch in batches:
-            bits = batch.column(2).to_numpy()
-            hits = np.flatnonzero(filter_words[bits >> 6] >> (bits & 63) & 1)
+            hits = np.arange(batch.num_rows)
+            if passes is not None:
+                bits = batch.column(2).to_numpy()
+                hits = np.flatnonzero(passes.value[bits >> 6] >> (bits & 63) & 1)
             for i, text in zip(hits.tolist(), texts(batch.column(1).take(pa.array(hits))), strict=True):
                 tokens = shingler.of(text)
                 rows.add(batch.column(0)[i].as_py(), len(tokens), class_sizes(tokens).tobytes(), tokens.tobytes(), size=8 * len(tokens))
@@ -213,7 +228,7 @@ def sets_of(base: DataFrame, rids: DataFrame, words: int) -> DataFrame:
                     yield rows.take()
         yield rows.take()
 
-    return written(base.select("rid", "text", filter_bit("rid").alias("bit")).mapInArrow(run, "rid long, n long, classes binary, tokens binary"))
+    return written(source.select("rid", "text", filter_bit("rid").alias("bit")).mapInArrow(run, "rid long, n long, classes binary, tokens binary"))
 
 
 def class_sizes(tokens: np.ndarray) -> np.ndarray:
@@ -317,9 +332,10 @@ def differences_of(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
 
 
 def with_best(differences: DataFrame) -> DataFrame:
-    """differences with the text of the most slack in the group (best) and its slack (top)."""
-    best = differences.groupBy(F.col("pivot").alias("group")).agg(F.max(F.struct("slack", (-F.col("rid")).alias("r"))).alias("b"))
-    return differences.join(best, F.col("pivot") == F.col("group")).withColumns({"best": -F.col("b.r"), "top": F.col("b.slack")}).drop("group", "b")
+    """differences with the text of the most slack in the group (best) and its slack (top), and the size of the group (members)."""
+    best = differences.groupBy(F.col("pivot").alias("group")).agg(F.max(F.struct("slack", (-F.col("rid")).alias("r"))).alias("b"), F.count("*").alias("members"))
+    joined = differences.join(best, F.col("pivot") == F.col("group"))
+    return joined.withColumns({"best": -F.col("b.r"), "top": F.col("b.slack")}).drop("group", "b")
 
 
 def slack_links(known: DataFrame) -> DataFrame:
@@ -327,15 +343,24 @@ def slack_links(known: DataFrame) -> DataFrame:
     return known.filter("slack + top >= 0 AND rid <> best").select(F.least("rid", "best").alias("a"), F.greatest("rid", "best").alias("b"))
 
 
-def difference_pairs(known: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b that share a difference and can share as many as similarity takes, past the length, positional and suffix filters.
+def difference_rows(known: DataFrame, percent: int) -> DataFrame:
+    """The prefixes of the differences of known: a row for each of their n-grams, with its place (pos).
 
-    Joined on the prefixes of the differences: with any partner a text must share at least as many as
-    with one of the most slack.
+    With any partner a text must share at least as many differences as with one of the most slack, which
+    makes its prefix short. Rows stay where their n-gram has a partner whose slack leaves the two in doubt.
+    crowd is the number of these for the n-gram, first the least of them by a hash.
     """
     least = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + F.col("top")) / (2.0 * (100 + percent)) - 1e-9)).cast("int")
     some = known.withColumn("k", F.col("size").cast("int") - least + 1).filter("k > 0")
-    rows = some.select("pivot", "rid", "n", "size", "slack", "m0", "m1", "m2", "m3", F.posexplode(F.slice("grams", F.lit(1), F.col("k"))).alias("pos", "token"))
+    rows = some.select("pivot", "rid", "n", "size", "slack", "members", "m0", "m1", "m2", "m3", F.posexplode(F.slice("grams", F.lit(1), F.col("k"))).alias("pos", "token"))
+    at = rows.groupBy(F.col("pivot").alias("at_pivot"), F.col("token").alias("at_token"))
+    counted = at.agg(F.count("*").alias("crowd"), F.min("slack").alias("low"), F.min(F.struct(F.xxhash64("rid"), "rid")).alias("least"))
+    met = rows.join(counted.filter("crowd > 1"), (F.col("pivot") == F.col("at_pivot")) & (F.col("token") == F.col("at_token")))
+    return met.filter("slack + low < 0").withColumn("first", F.col("least.rid")).drop("at_pivot", "at_token", "low", "least")
+
+
+def difference_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b that meet in a row of difference_rows and can share as many differences as similarity takes, past the length, positional and suffix filters."""
     x, y = (rows.select(*(F.col(c).alias(c + s) for c in rows.columns)) for s in ("_a", "_b"))
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     room = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
@@ -347,24 +372,56 @@ def difference_pairs(known: DataFrame, percent: int) -> DataFrame:
     return x.join(y, on).select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b")).distinct()
 
 
+def crowds(rows: DataFrame) -> DataFrame:
+    """The groups of texts that share a crowded difference: rid, pivot (the group's name).
+
+    Groups of a pivot with the same first text become one, as they mostly are the same texts, unless that
+    were more than half of the group they come from. An n-gram by which all differ from what more than
+    half have in common is one of half of them at most, so groups halve with each step.
+    """
+    named = rows.select("rid", "members", "token", F.xxhash64("pivot", "first").alias("joint"), F.xxhash64("pivot", "token", F.lit("own")).alias("own"))
+    sizes = named.select("joint", "rid", "members").distinct().groupBy(F.col("joint").alias("joint_name")).agg(F.count("*").alias("joined"), F.max("members").alias("of"))
+    placed = named.join(sizes, F.col("joint") == F.col("joint_name"))
+    return placed.select("rid", F.when(F.col("joined") * 2 <= F.col("of"), F.col("joint")).otherwise(F.col("own")).alias("pivot")).distinct()
+
+
+def resolved_crowds(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What joins the similar texts of groups (members: rid, pivot) of any size: sure links, and pairs that are to be verified."""
+    links, pairs = [], []
+    for _ in range(DEPTH):
+        known = written(with_best(differences_of(members, sets, percent)))
+        links.append(slack_links(known))
+        rows = written(difference_rows(known, percent))
+        pairs.append(difference_pairs(rows.filter(F.col("crowd") <= MOST_DIRECT), percent))
+        crowded = rows.filter(F.col("crowd") > MOST_DIRECT)
+        if crowded.isEmpty():
+            break
+        members = written(crowds(crowded))
+    else:
+        raise RuntimeError(f"groups haven't been resolved after {DEPTH} halvings")
+    return reduce(DataFrame.unionByName, links), reduce(DataFrame.unionByName, pairs)
+
+
 def similar_links(base: DataFrame, classes: DataFrame, levels: np.ndarray, words: int, percent: int) -> DataFrame:
-    """Links a, b that join all texts of similar, different sets. base has rid and text, classes cid and rid of one text of each set."""
+    """Links a, b that join all texts of similar, different sets. base has rid and text, classes cid, cid2 and rid of one text of each set."""
     held = base.sparkSession.sparkContext.broadcast(levels)
     rows = written(prefixes(base, held, words, percent))
-    shared = rows.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high")).filter("low <> high").select(F.col("token").alias("shared_token"))
-    met = rows.join(shared, F.col("token") == F.col("shared_token")).select("token", "cid", "n", "pos").distinct()
-    met = written(met.join(classes.select(F.col("cid").alias("class_cid"), "rid"), F.col("cid") == F.col("class_cid")).select("token", "rid", "n", "pos"))
+    ends = rows.groupBy("token").agg(F.min("cid").alias("low"), F.max("cid").alias("high"), F.min("cid2").alias("low2"), F.max("cid2").alias("high2"))
+    shared = ends.filter("low <> high OR low2 <> high2").select(F.col("token").alias("shared_token"))
+    met = rows.join(shared, F.col("token") == F.col("shared_token")).select("token", "cid", "cid2", "n", "pos").distinct()
+    named = classes.select(F.col("cid").alias("class_cid"), F.col("cid2").alias("class_cid2"), "rid")
+    met = written(met.join(named, (F.col("cid") == F.col("class_cid")) & (F.col("cid2") == F.col("class_cid2"))).select("token", "rid", "n", "pos"))
     discard(rows)
     groups = met.groupBy(F.col("token").alias("group_token")).agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("rid"), "rid")).alias("least"))
     met = written(met.join(groups, F.col("token") == F.col("group_token")).select("token", "rid", "n", "pos", "members", F.col("least.rid").alias("pivot")))
     few, many = met.filter(F.col("members") <= MOST_DIRECT), met.filter(F.col("members") > MOST_DIRECT)
     pairs = written(prefix_pairs(few, percent))
-    members = written(many.select("rid", "pivot").unionByName(many.select(F.col("pivot").alias("rid"), "pivot")).distinct())
+    members = written(many.select("rid", "pivot").distinct())
     needed = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select("b").toDF("rid")).unionByName(members.select("rid")).distinct()
     sets = sets_of(base, needed, words)
-    known = written(with_best(differences_of(members, sets, percent)))
-    left = past_suffix_filter(pairs.unionByName(difference_pairs(known, percent)).distinct(), sets, percent)
-    return slack_links(known).unionByName(verified(left, sets, percent))
+    sure, more = resolved_crowds(members, sets, percent)
+    left = past_suffix_filter(pairs.unionByName(more).distinct(), sets, percent)
+    return sure.unionByName(verified(left, sets, percent))
 
 
 def first_of_similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -382,11 +439,13 @@ def similar_rows(base: DataFrame, words: int, percent: int) -> DataFrame:
     """The component of each row of base (rid, doc_id, text): rid, n_shingles, component, the smallest rid that links reach."""
     base = base.select("rid", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     read = written(read_sets(base, words))
-    known = read.filter("rid IS NOT NULL").select("rid", "n", "cid")
-    classes = written(known.filter("cid IS NOT NULL").groupBy("cid").agg(F.min("rid").alias("rid")))
+    known = read.filter("rid IS NOT NULL").select("rid", "n", "cid", "cid2")
+    classes = written(known.filter("cid IS NOT NULL").groupBy("cid", "cid2").agg(F.min("rid").alias("rid")))
     components = connected_components(similar_links(base, classes, frequency_levels(read), words, percent))
-    labels = written(classes.join(components, F.col("rid") == F.col("node"), "left").select(F.col("cid").alias("class_cid"), F.coalesce("component", "rid").alias("component")))
-    return known.join(labels, F.col("cid") == F.col("class_cid"), "left").select("rid", F.col("n").alias("n_shingles"), F.coalesce("component", "rid").alias("component"))
+    named = classes.select(F.col("cid").alias("class_cid"), F.col("cid2").alias("class_cid2"), "rid")
+    labels = written(named.join(components, F.col("rid") == F.col("node"), "left").select("class_cid", "class_cid2", F.coalesce("component", "rid").alias("component")))
+    same = (F.col("cid") == F.col("class_cid")) & (F.col("cid2") == F.col("class_cid2"))
+    return known.join(labels, same, "left").select("rid", F.col("n").alias("n_shingles"), F.coalesce("component", "rid").alias("component"))
 
 
 def join_similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -399,7 +458,7 @@ def join_similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     A text of fewer words has its whole sequence as its only n-gram; a null text or one without words
     has an empty set, is linked with nothing and is its own component. Rows of the same or no doc_id
     each keep a row. Other columns are ignored; an empty table gives no rows. Sets are of 64-bit
-    hashes and known by one.
+    hashes of n-grams and known by 128 bits.
     """
     base = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
     out = similar_rows(base, words, percent)

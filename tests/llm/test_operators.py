@@ -369,6 +369,46 @@ def test_jaccard_join(spark, odd, monkeypatch, words_of, percent):
     assert jaccard_join.join_similar(frame(spark, [])).count() == 0
 
 
+def families(rng, many, of_each):
+    """Families of near copies; the families share a passage and are unlike each other."""
+    passage = words(rng, 20, 100_000).split()
+    rows, k = [], 0
+    for _ in range(many):
+        base = passage + words(rng, 180, 100_000).split()
+        for _ in range(of_each):
+            copy = list(base)
+            copy[rng.randrange(20, 200)] = f"e{k}"
+            rows.append((k, " ".join(copy)))
+            k += 1
+    return rows
+
+
+def test_families_of_one_group_cost_as_their_texts(spark):
+    costs = []
+    for of_each in (100, 200, 400):
+        rows = families(random.Random(12), 3, of_each)
+        base = spark.createDataFrame([(i, t) for i, t in rows], "rid long, text string")
+        sets = jaccard_join.sets_of(base, base.select("rid"), 3)
+        members = base.select("rid", F.lit(7).cast("long").alias("pivot"))
+        sure, pairs = jaccard_join.resolved_crowds(members, sets, 90)
+        costs.append(sure.count() + pairs.count())
+        edges = sure.unionByName(jaccard_join.verified(pairs.distinct(), sets, 90)).collect()
+        assert all(r.a // of_each == r.b // of_each for r in edges)
+        root = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert all(root[i] == i // of_each * of_each for i, _ in rows)
+    assert costs[1] <= 2.3 * costs[0] and costs[2] <= 2.3 * costs[1]
+
+
+def test_jaccard_join_of_families(spark, monkeypatch):
+    rng = random.Random(13)
+    rows = families(rng, 4, 45) + [(1000 + i, words(rng, 60)) for i in range(20)]
+    expected = brute_components(rows, 3, 90)
+    assert joined(frame(spark, rows)) == expected
+    monkeypatch.setattr(jaccard_join, "MOST_DIRECT", 3)
+    monkeypatch.setattr(jaccard_join, "FILTERED", 5)
+    assert joined(frame(spark, rows)) == expected
+
+
 def test_jaccard_join_with_repeated_ids(spark):
     out = jaccard_join.join_similar(frame(spark, [(5, "a b c d"), (5, "a b c d"), (2, "A b c d"), (None, None)])).collect()
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in out) == [(-1, 0, -1), (2, 2, 2), (5, 2, 2), (5, 2, 2)]
