@@ -17,8 +17,6 @@ from .common import Rows, of_process, texts
 WINDOW = 2048
 #: Id that ends each document.
 END_ID = 1
-#: A task closes its open windows once it has so many of them.
-MAX_OPEN = 4096
 #: Words up to so many bytes are kept with their ids, about so many of them in a worker process.
 WORD_BYTES, WORDS_KEPT = 48, 800_000
 
@@ -130,8 +128,25 @@ class SumOfSquares:
         return out
 
 
+def cut_at_powers(window: list, fill: int) -> Iterator[list]:
+    """A partly filled window as windows filled to powers of two, the largest first; these need no padding."""
+    items = deque(window)
+    while fill:
+        room = 1 << fill.bit_length() - 1
+        fill -= room
+        part = []
+        while room:
+            document, start, n = items.popleft()
+            take = min(n, room)
+            part.append((document, start, take))
+            if take < n:
+                items.appendleft((document, start + take, n - take))
+            room -= take
+        yield part
+
+
 def fill_up(windows: list[tuple[int, list]], size: int) -> Iterator[list]:
-    """Cuts the emptiest windows into the gaps of the fullest, so that one at most stays partly filled.
+    """Cuts the emptiest windows into the gaps of the fullest, and what stays partly filled at powers of two.
 
     Items are (document, first id, number of ids).
     """
@@ -149,10 +164,13 @@ def fill_up(windows: list[tuple[int, list]], size: int) -> Iterator[list]:
                 fill, other_fill = fill + take, other_fill - take
             if other:
                 pending.append((other_fill, other))
-        yield window
+        if fill < size:
+            yield from cut_at_powers(window, fill)
+        else:
+            yield window
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID, max_open: int = MAX_OPEN) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
     """Tokenizes documents (doc_id, text) and packs them into windows.
 
     Returns one row for each piece: doc_id, start (ids of its document before it), length, ids
@@ -160,9 +178,10 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
     each document lies in exactly one piece, and the pieces of a window leave no gap.
 
     Full windows are cut from the front of a long document; what is left is placed by the
-    sum-of-squares rule. A task packs what it reads, with no shuffle; at its end, or once it has
-    max_open open windows, the emptiest of them are cut into the gaps of the others, so that a task
-    leaves one window partly filled at most each time.
+    sum-of-squares rule. A task packs what it reads, with no shuffle. At its end the emptiest of the open
+    windows are cut into the gaps of the others, and the one that stays partly filled is cut into
+    shorter ones at powers of two, which aren't padded; so small tasks don't pad more than large ones.
+    Open windows hold the ids of what the task has read, so its input bounds them.
 
     A null or empty text has only the end id. A null doc_id stays null. Rows that repeat are
     documents of their own. Other columns are ignored; an empty table gives no rows.
@@ -193,9 +212,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, e
                     document = (doc_id, ids[4 * whole :], whole, total)
                     if full := packer.place(total - whole, (document, whole, total - whole)):
                         emit(full)
-                if packer.n_open >= max_open:
-                    for items in fill_up(packer.rest(), window):
-                        emit(items)
                 if rows.full:
                     yield rows.take()
         for items in fill_up(packer.rest(), window):

@@ -61,7 +61,8 @@ def check_packing(spark, rows):
             assert offset == at and length > 0
             at += length
         assert at <= packing.WINDOW
-    assert sum(sum(n for _, n in p) < packing.WINDOW for p in fills.values()) <= max(1, packed.rdd.getNumPartitions())
+    assert all((n := sum(k for _, k in p)) == packing.WINDOW or n & (n - 1) == 0 for p in fills.values())
+    assert len(fills) <= sum(p.length for p in pieces) / packing.WINDOW + 11 * max(1, packed.rdd.getNumPartitions())
 
 
 def test_packing(spark, odd):
@@ -71,6 +72,17 @@ def test_packing(spark, odd):
     assert packing.pack_documents(frame(spark, []), registry.word_bpe()).count() == 0
 
 
+def test_packing_of_many_small_tasks_needs_no_padding(spark):
+    rng = random.Random(14)
+    rows = [(i, words(rng, rng.randrange(400))) for i in range(80)]
+    pieces = packing.pack_documents(frame(spark, rows).repartition(40), registry.word_bpe()).collect()
+    fills = Counter()
+    for p in pieces:
+        fills[p.sequence_id] += p.length
+    padded = sum(-n % packing.WINDOW if n & (n - 1) else 0 for n in fills.values())
+    assert padded == 0 and sum(fills.values()) == sum({p.doc_id: p.doc_tokens for p in pieces}.values())
+
+
 def test_sum_of_squares_places_where_the_sum_is_least():
     rng, size = random.Random(2), 20
     packer, levels = packing.SumOfSquares(size), Counter()
