@@ -16,7 +16,9 @@ windows that have it, and with them a region of the text.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,10 @@ from .string_merge import BLOCK, LoserTree, choose_splitters, common_prefix, cut
 MIN_BYTES, GRAM = 100, 24
 #: Bytes looked at together, and anchors or strings that make a run.
 SLICE, RUN_ANCHORS, RUN_KEYS = 1 << 19, 250_000, 60_000
-#: A range of the order holds about so many strings; so many ranges at most.
-RANGE_KEYS, MOST_RANGES = 40_000, 20_000
-#: The splitters come from so many blocks for each range, and from one of so many strings of each, at equal distances.
-SAMPLE_BLOCKS, SAMPLE_STEP = 2, 250
+#: A range of the order holds about so many strings. Of more ranges than so many, splitters aren't broadcast: the order is cut in two steps.
+RANGE_KEYS, MOST_SPLITTERS = 40_000, 4_000
+#: Blocks offer one of so many of their strings as splitters, of which so many are taken for each range, to so many bytes each.
+SAMPLE_STEP, SAMPLE_OF_RANGE, SPLITTER_BYTES = 250, 16, 64
 #: Odd multipliers of the hashes.
 B1, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 U64 = np.uint64
@@ -228,31 +230,94 @@ def window_runs(windows: DataFrame) -> DataFrame:
     return windows.select("content", "rid", "low").mapInArrow(run, PARTS_SQL)
 
 
-def ranges_of(blocks: DataFrame, least: int) -> list[bytes]:
-    """Splitters for the strings of blocks: from strings at equal distances of some of the blocks, in number bounded by that of the ranges."""
+@dataclass(frozen=True)
+class Ranges:
+    """Where the order of strings is cut: at splitters, and within each range of these at those of a table (part, splitters), if there is one."""
+
+    splitters: list[bytes]
+    finer: DataFrame | None = None
+
+
+def sampled(blocks: DataFrame, keys: int, most: int) -> DataFrame:
+    """About most of the strings that blocks offer, or all if they are fewer, chosen by a hash: s, cut to SPLITTER_BYTES."""
+    share = min(1.0, most * SAMPLE_STEP / max(1, keys))
+    offered = blocks.select("run", F.explode("sample").alias("s"))
+    chosen = offered.filter(F.pmod(F.xxhash64("s", "run"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    return chosen.select(F.substring("s", 1, SPLITTER_BYTES).alias("s"))
+
+
+def ranges_of(blocks: DataFrame, least: int) -> Ranges:
+    """Ranges for the strings of blocks. At most about MOST_SPLITTERS * SAMPLE_OF_RANGE strings come to the driver, however many there are."""
     keys = blocks.agg(F.sum("n")).first()[0] or 0
-    ranges = min(MOST_RANGES, max(least, keys // RANGE_KEYS + 1))
-    sample = blocks.select("sample").orderBy(F.xxhash64("sample", "run"), "run").limit(SAMPLE_BLOCKS * ranges).collect()
-    return choose_splitters([bytes(k) for r in sample for k in r[0]], ranges)
+    ranges = max(least, keys // RANGE_KEYS + 1)
+    n = min(ranges, MOST_SPLITTERS)
+    splitters = choose_splitters([bytes(r.s) for r in sampled(blocks, keys, SAMPLE_OF_RANGE * n).collect()], n)
+    if ranges <= n:
+        return Ranges(splitters)
+    each = -(-ranges // n)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            strings = batch.column(0).to_pylist()
+            parts = [bisect.bisect_right(splitters, s) for s in strings]
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), batch.column(0)], names=["part", "s"])
+
+    def choose(key: tuple, table: pa.Table) -> pa.Table:
+        return pa.table({"part": [key[0].as_py()], "splitters": pa.array([choose_splitters(table["s"].to_pylist(), each)], pa.list_(pa.binary()))})
+
+    placed = sampled(blocks, keys, SAMPLE_OF_RANGE * ranges).mapInArrow(place, "part long, s binary")
+    return Ranges(splitters, placed.groupBy("part").applyInArrow(choose, "part long, splitters array<binary>"))
+
 
+PIECES = pa.schema([("part", pa.int64()), ("below", pa.binary()), ("above", pa.binary()), ("run", pa.int64()), ("first_key", pa.binary()), *(PARTS.field(n) for n in ("n", "keys", "rids", "places"))])
+PIECES_SQL = "part long, below binary, above binary, run long, first_key binary, n int, keys binary, rids binary, places binary"
 
-def exchanged(blocks: DataFrame, splitters: list[bytes]) -> DataFrame:
-    """The blocks, cut at the splitters and grouped by range."""
-    schema = pa.schema([("part", pa.int32()), ("run", pa.int64()), ("first_key", pa.binary()), *((n, PARTS.field(n).type) for n in ("n", "keys", "rids", "places"))])
+
+def add_pieces(rows: Rows, block: dict, splitters: list[bytes], base: int, ends: tuple[bytes | None, bytes | None]) -> None:
+    """Adds the parts that splitters cut a block into, numbered from base on. Each tells the splitters below and above it; ends are those of the whole."""
+    keys, _ = decode_block(block["keys"])
+    for part, i, j in cut_at(keys, splitters):
+        below = splitters[part - 1] if part else ends[0]
+        above = splitters[part] if part < len(splitters) else ends[1]
+        data = encode_block(keys[i:j])
+        rows.add(base + part, below, above, block["run"], keys[i], j - i, data, block["rids"][8 * i : 8 * j], block["places"][8 * i : 8 * j], size=len(data) + 16 * (j - i))
+
+
+def exchanged(blocks: DataFrame, ranges: Ranges) -> DataFrame:
+    """The blocks, cut into ranges. With a table of finer splitters they are dealt by the coarser ranges first, and those of a range meet it there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = Rows(schema)
+        rows = Rows(PIECES)
         for batch in batches:
             for block in batch.to_pylist():
-                keys, _ = decode_block(block["keys"])
-                for part, i, j in cut_at(keys, splitters):
-                    data = encode_block(keys[i:j])
-                    rows.add(part, block["run"], keys[i], j - i, data, block["rids"][8 * i : 8 * j], block["places"][8 * i : 8 * j], size=len(data) + 16 * (j - i))
-                    if rows.full:
-                        yield rows.take()
+                add_pieces(rows, block, ranges.splitters, 0, (None, None))
+                if rows.full:
+                    yield rows.take()
         yield rows.take()
 
-    return blocks.select("run", "n", "keys", "rids", "places").mapInArrow(run, "part int, run long, first_key binary, n int, keys binary, rids binary, places binary")
+    if ranges.finer is None:
+        return blocks.select("run", "n", "keys", "rids", "places").mapInArrow(run, PIECES_SQL)
+    splitters = ranges.splitters
+    cut = Ranges(splitters)
+    pieces = exchanged(blocks, cut)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, part, finer = Rows(PIECES), None, []
+        for batch in batches:
+            for piece in batch.to_pylist():
+                if piece["part"] != part:
+                    part, finer = piece["part"], []
+                if piece["splitters"] is not None:
+                    finer = piece["splitters"]
+                    continue
+                add_pieces(rows, piece, finer, part << 32, (piece["below"], piece["above"]))
+                if rows.full:
+                    yield rows.take()
+        yield rows.take()
+
+    both = pieces.withColumn("splitters", F.lit(None).cast("array<binary>")).unionByName(ranges.finer, allowMissingColumns=True)
+    dealt = both.repartition("part").sortWithinPartitions("part", F.col("splitters").isNull())
+    return dealt.mapInArrow(again, PIECES_SQL)
 
 
 def merged_groups(table: pa.Table) -> Iterator[tuple[bytes, int, list[tuple[int, int, int]]]]:
@@ -331,13 +396,12 @@ class Family:
         return [place for at, place in seen if earliest[at] != place]
 
 
-def merge_regions(blocks: DataFrame, splitters: list[bytes], size: int, gram: int) -> DataFrame:
+def merge_regions(blocks: DataFrame, ranges: Ranges, size: int, gram: int) -> DataFrame:
     """Merges the runs of regions: rid, low, high for windows that repeat; rid, low and content for windows still to be compared."""
 
-    def merge(key: tuple, table: pa.Table) -> pa.Table:
-        part, rows, out, repeats = key[0].as_py(), Rows(OUT), [], []
-        below = splitters[part - 1] if part > 0 and splitters else None
-        above = splitters[part] if part < len(splitters) else None
+    def merge(table: pa.Table) -> pa.Table:
+        rows, out, repeats = Rows(OUT), [], []
+        below, above = (table[c][0].as_py() for c in ("below", "above"))
 
         def close(family: Family, is_last: bool) -> None:
             first, last = family.members[0][0], family.members[-1][0]
@@ -363,10 +427,10 @@ def merge_regions(blocks: DataFrame, splitters: list[bytes], size: int, gram: in
         out.append(rows.take())
         return pa.Table.from_batches(out, OUT)
 
-    return exchanged(blocks, splitters).groupBy("part").applyInArrow(merge, OUT_SQL)
+    return exchanged(blocks, ranges).groupBy("part").applyInArrow(merge, OUT_SQL)
 
 
-def merge_windows(blocks: DataFrame, splitters: list[bytes]) -> DataFrame:
+def merge_windows(blocks: DataFrame, ranges: Ranges) -> DataFrame:
     """Merges the runs of windows: rid, low, high for those that repeat."""
 
     def merge(table: pa.Table) -> pa.Table:
@@ -374,7 +438,7 @@ def merge_windows(blocks: DataFrame, splitters: list[bytes]) -> DataFrame:
         add_joined(rows, [p for _, _, places in merged_groups(table) for p in places[1:]])
         return pa.Table.from_batches([rows.take()], OUT)
 
-    return exchanged(blocks, splitters).groupBy("part").applyInArrow(merge, OUT_SQL)
+    return exchanged(blocks, ranges).groupBy("part").applyInArrow(merge, OUT_SQL)
 
 
 def add_joined(rows: Rows, repeats: list[tuple[int, int, int]]) -> None:

@@ -128,6 +128,9 @@ def test_suffix_dedup(spark, odd, monkeypatch):
     assert removed(suffix_dedup.remove_repeated(frame(spark, rows))) == expected
     monkeypatch.setattr(suffix_dedup, "RANGE_KEYS", 5)  # families go beyond their ranges
     assert removed(suffix_dedup.remove_repeated(frame(spark, rows))) == expected
+    monkeypatch.setattr(suffix_dedup, "MOST_SPLITTERS", 3)  # the order is cut in two steps
+    monkeypatch.setattr(suffix_dedup, "SAMPLE_STEP", 2)
+    assert removed(suffix_dedup.remove_repeated(frame(spark, rows))) == expected
     assert suffix_dedup.remove_repeated(frame(spark, [])).count() == 0
 
 
