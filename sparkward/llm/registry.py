@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +28,11 @@ def piece_bpe() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@functools.cache
 def pii_key() -> bytes:
-    """The secret of the surrogates; a deployment sets its own."""
-    return os.environ.get("PII_SURROGATE_KEY", "not-a-secret: for tests and checks only").encode()
+    """The secret of the surrogates: PII_SURROGATE_KEY, or a random one for the life of this driver, by which no later run can link its surrogates."""
+    key = os.environ.get("PII_SURROGATE_KEY")
+    return key.encode() if key else secrets.token_bytes(32)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

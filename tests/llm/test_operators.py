@@ -482,9 +482,9 @@ def test_surrogates(spark):
             canon = (s.kind, pii_surrogates.canonical(s.kind, value))
             new = (s.kind, pii_surrogates.canonical(s.kind, s.surrogate))
             assert chosen.setdefault(canon, new) == new and value not in r.text
-            assert [c.isdigit() for c in value] == [c.isdigit() for c in s.surrogate] or s.kind in ("IP", "SECRET", "IBAN", "PERSON", "EMAIL")
+            assert [c.isdigit() for c in value] == [c.isdigit() for c in s.surrogate] or s.kind in ("IP", "SECRET", "IBAN", "EMAIL", *pii_surrogates.NAME_KINDS)
     assert len(set(chosen.values())) == len(chosen) and not set(chosen) & set(chosen.values())
-    assert Counter(k for k, _ in chosen) == {"EMAIL": 1, "PHONE": 1, "CARD": 1, "IP": 2, "SECRET": 1, "PERSON": 3, "SSN": 1, "IBAN": 1}
+    assert Counter(k for k, _ in chosen) == {"EMAIL": 1, "PHONE": 1, "CARD": 1, "IP": 2, "SECRET": 1, "GIVEN_F": 2, "GIVEN_M": 1, "SURNAME": 2, "SSN": 1, "IBAN": 1}
     card = next(v for (k, _), (_, v) in chosen.items() if k == "CARD")
     assert pii_surrogates.luhn_sum([int(c) for c in card]) % 10 == 0
     assert out[4].text == TEXTS[3][1] and out[5].text is None and out[6].text == ""
@@ -510,13 +510,15 @@ def test_surrogates_of_full_forms(spark):
     texts = [(i, "; ".join(values[i : i + 500])) for i in range(0, len(values), 500)]
     rows = pii_surrogates.replace_pii(frame(spark, texts), b"k").collect()
     chosen = [(s.kind, s.surrogate) for r in sorted(rows, key=lambda r: r.doc_id) for s in r.spans]
-    assert Counter(k for k, _ in chosen) == {"IP": 40_000, "PERSON": len(names), "EMAIL": 26}
-    assert len(set(chosen)) == len(chosen) and not {v for _, v in chosen} & set(values)
-    assert all(v.startswith(("192.168.", "10.")) for k, v in chosen if k == "IP") and all(v.startswith("Mr ") for k, v in chosen if k == "PERSON")
+    assert Counter(k for k, _ in chosen) == {"IP": 40_000, "SURNAME": len(names), "EMAIL": 26}
+    assert len(set(chosen)) == len(chosen) and not {v for _, v in chosen} & {*hosts, *mails, *(n[3:] for n in names)}
+    assert all(v.startswith(("192.168.", "10.")) for k, v in chosen if k == "IP") and all(v.istitle() for k, v in chosen if k == "SURNAME")
 
 
 def test_surrogates_of_late_attempts():
-    cases = [("PHONE", "+1 (212) 555-0199"), ("SSN", "078-05-1120"), ("CARD", "4539 1488 0343 6467"), ("IBAN", "DE44 5001 0517 5407 3249 31"), ("EMAIL", "a@b.example.com"), ("PERSON", "Mrs Anna SMITH"), ("IP", "10.0.0.7")]
+    cases = [("PHONE", "+1 (212) 555-0199"), ("SSN", "078-05-1120"), ("CARD", "4539 1488 0343 6467"), ("IBAN", "DE44 5001 0517 5407 3249 31"), ("EMAIL", "a@b.example.com"), ("IP", "10.0.0.7")]
+    cases += [("GIVEN_F", "Anna"), ("GIVEN_N", "Анна"), ("SURNAME", "SMITH"), ("ADDRESS", "123 Main St"), ("ADDRESS", "Lange Hauptstraße 12"), ("ADDRESS", "12 rue de la Paix")]
+    cases += [("BIRTH", d) for d in ("1980-03-12", "03/12/1980", "25/12/1980", "7.3.1980", "March 5, 1980", "12. März 1980", "3 mai 1975", "1 de enero de 1999")]
     for kind, value in cases:
         canon = pii_surrogates.canonical(kind, value)
         for attempt in (0, 7, 8, 12, 30):
@@ -525,6 +527,33 @@ def test_surrogates_of_late_attempts():
             assert kind != "CARD" or pii_surrogates.luhn_sum([int(c) for c in chosen]) % 10 == 0
 
 
+def test_surrogates_of_names_within_a_text(spark):
+    texts = [
+        (1, "Mr John Smith wrote. Later Mr Smith, JOHN and Smith's friend O'Brien met Dr. Anna Smith and Prof. Dr. Jean-Luc O'Brien."),
+        (2, "Mrs Anna Smith of 12 Main Street, born on March 5, 1980, wrote to Herr von Berg. Smithson did not."),
+        (3, "Anna and John Smith have no title here; 12 Main St. is an address. DOB: 03/05/1980 is a birthday, 05/03/1980 alone is not."),
+    ]
+    out = {r.doc_id: r for r in pii_surrogates.replace_pii(frame(spark, texts), b"k").collect()}
+    new = {(i, dict(texts)[i][s.start : s.end]): s.surrogate for i, r in out.items() for s in r.spans}
+    john, smith, anna = new[1, "John"], new[1, "Smith"], new[2, "Anna"]
+    assert out[1].text.startswith(f"Mr {john} {smith} wrote. Later Mr {smith}, {john.upper()} and {smith}'s friend {new[1, chr(79) + chr(39) + 'Brien']} met Dr. {new[1, 'Anna']} {smith} and")
+    assert new[2, "Smith"] == smith and "Smithson" in out[2].text and f"Herr von {new[2, 'Berg']}." in out[2].text
+    assert new[2, "12 Main Street"].removesuffix("Street") == new[3, "12 Main St"].removesuffix("St") and "Anna and John Smith have" in out[3].text
+    assert pii_surrogates.calendar(new[2, "March 5, 1980"]) == pii_surrogates.calendar(new[3, "03/05/1980"]) and "05/03/1980 alone" in out[3].text
+    assert len({john, smith, anna, new[2, "Berg"], new[1, "Jean-Luc"]}) == 5
+    assert "Smith" not in out[1].text.replace(smith, "") and "O'Brien" not in out[1].text
+
+
+def test_keys_of_surrogates(monkeypatch):
+    registry.pii_key.cache_clear()
+    monkeypatch.setenv("PII_SURROGATE_KEY", "secret")
+    assert registry.pii_key() == b"secret"
+    registry.pii_key.cache_clear()
+    monkeypatch.delenv("PII_SURROGATE_KEY")
+    assert len(registry.pii_key()) == 32 and registry.pii_key() == registry.pii_key()
+    registry.pii_key.cache_clear()
+
+
 # hosts
 
 
