@@ -348,28 +348,32 @@ def difference_rows(known: DataFrame, percent: int) -> DataFrame:
 
     With any partner a text must share at least as many differences as with one of the most slack, which
     makes its prefix short. Rows stay where their n-gram has a partner whose slack leaves the two in doubt.
-    crowd is the number of these for the n-gram, first the least of them by a hash.
+    doubtful is the number of the n-gram's texts of a slack below 0, one of which is in each pair in doubt;
+    first is the least of its texts by a hash.
     """
     least = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + F.col("top")) / (2.0 * (100 + percent)) - 1e-9)).cast("int")
     some = known.withColumn("k", F.col("size").cast("int") - least + 1).filter("k > 0")
     rows = some.select("pivot", "rid", "n", "size", "slack", "members", "m0", "m1", "m2", "m3", F.posexplode(F.slice("grams", F.lit(1), F.col("k"))).alias("pos", "token"))
     at = rows.groupBy(F.col("pivot").alias("at_pivot"), F.col("token").alias("at_token"))
-    counted = at.agg(F.count("*").alias("crowd"), F.min("slack").alias("low"), F.min(F.struct(F.xxhash64("rid"), "rid")).alias("least"))
-    met = rows.join(counted.filter("crowd > 1"), (F.col("pivot") == F.col("at_pivot")) & (F.col("token") == F.col("at_token")))
-    return met.filter("slack + low < 0").withColumn("first", F.col("least.rid")).drop("at_pivot", "at_token", "low", "least")
+    counted = at.agg(F.count("*").alias("crowd"), F.count_if(F.col("slack") < 0).alias("doubtful"), F.min("slack").alias("low"), F.min(F.struct(F.xxhash64("rid"), "rid")).alias("least"))
+    met = rows.join(counted.filter("crowd > 1 AND low < 0"), (F.col("pivot") == F.col("at_pivot")) & (F.col("token") == F.col("at_token")))
+    return met.filter("slack + low < 0").withColumn("first", F.col("least.rid")).drop("at_pivot", "at_token", "crowd", "low", "least")
 
 
 def difference_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b that meet in a row of difference_rows and can share as many differences as similarity takes, past the length, positional and suffix filters."""
-    x, y = (rows.select(*(F.col(c).alias(c + s) for c in rows.columns)) for s in ("_a", "_b"))
+    """Pairs a < b that meet in a row of difference_rows and can share as many differences as similarity takes, past the length, positional and suffix filters.
+
+    Doubtful texts are joined with all, so an n-gram costs the product of their numbers at most.
+    """
+    x, y = (of.select(*(F.col(c).alias(c + s) for c in rows.columns)) for of, s in ((rows.filter("slack < 0"), "_a"), (rows, "_b")))
     small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
     room = F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b"))
     surplus = -(F.col("slack_a") + F.col("slack_b"))  # twice the differences that must be common, times 100 + percent
     bits = lambda f: sum((f(i) for i in range(1, 4)), f(0))
     both = bits(lambda i: F.bit_count(F.col(f"m{i}_a").bitwiseAND(F.col(f"m{i}_b"))))
     crowded = F.least(*(F.col(f"size_{s}") - bits(lambda i, s=s: F.bit_count(F.col(f"m{i}_{s}"))) for s in "ab"))  # n-grams that share their class with another
-    on = (F.col("pivot_a") == F.col("pivot_b")) & (F.col("token_a") == F.col("token_b")) & (F.col("rid_a") < F.col("rid_b")) & (small * 100 >= large * percent) & (surplus > 0) & (room * 2 * (100 + percent) >= surplus) & ((both + crowded) * 2 * (100 + percent) >= surplus)
-    return x.join(y, on).select(F.col("rid_a").alias("a"), F.col("rid_b").alias("b")).distinct()
+    on = (F.col("pivot_a") == F.col("pivot_b")) & (F.col("token_a") == F.col("token_b")) & (F.col("rid_a") != F.col("rid_b")) & (small * 100 >= large * percent) & (surplus > 0) & (room * 2 * (100 + percent) >= surplus) & ((both + crowded) * 2 * (100 + percent) >= surplus)
+    return x.join(y, on).select(F.least("rid_a", "rid_b").alias("a"), F.greatest("rid_a", "rid_b").alias("b")).distinct()
 
 
 def crowds(rows: DataFrame) -> DataFrame:
@@ -392,8 +396,8 @@ def resolved_crowds(members: DataFrame, sets: DataFrame, percent: int) -> tuple[
         known = written(with_best(differences_of(members, sets, percent)))
         links.append(slack_links(known))
         rows = written(difference_rows(known, percent))
-        pairs.append(difference_pairs(rows.filter(F.col("crowd") <= MOST_DIRECT), percent))
-        crowded = rows.filter(F.col("crowd") > MOST_DIRECT)
+        pairs.append(difference_pairs(rows.filter(F.col("doubtful") <= MOST_DIRECT), percent))
+        crowded = rows.filter(F.col("doubtful") > MOST_DIRECT)
         if crowded.isEmpty():
             break
         members = written(crowds(crowded))
