@@ -20,7 +20,13 @@ class Rule:
 
 
 RULES = (Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/"))
-#: A host is blocked when the lower bound of its share of bad pages is above THRESHOLD; the bound lies Z deviations below the mean.
+#: Public suffixes of two labels; all others are the last label of a host.
+SUFFIXES = (
+    "ac.jp", "ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.hk", "com.mx",
+    "com.sg", "com.tr", "com.tw", "edu.au", "gov.au", "gov.uk", "ne.jp", "net.au", "net.uk", "or.jp", "org.au", "org.uk",
+)
+#: A host is blocked when the lower bound of its share of bad pages is above THRESHOLD. The bound lies Z posterior
+#: deviations below the posterior mean, which approximates the beta distribution's quantile (for few pages it lies lower).
 THRESHOLD, Z = 0.5, 1.645
 #: Bounds of the prior's weight, in pages.
 LEAST_WEIGHT, MOST_WEIGHT = 1.0, 1000.0
@@ -33,9 +39,16 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return lower_ascii(F.regexp_extract(rest, r"^([^/?#]*)", 1)), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def registered_domain(host: Column) -> Column:
-    """The last two labels of a host, or all of it."""
-    return F.substring_index(host, ".", -2)
+def public_suffix(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """The last two labels of a host if they are one of suffixes, else the last one."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(host, ".", -1)) if suffixes else F.substring_index(host, ".", -1)
+
+
+def registered_domain(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """A host's public suffix with the label before it, or all of the host."""
+    two = F.substring_index(host, ".", -2)
+    return F.when(two.isin(*suffixes), F.substring_index(host, ".", -3)).otherwise(two) if suffixes else two
 
 
 def matching_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column, Column]:
@@ -63,32 +76,35 @@ def prior_weight(counts: DataFrame) -> float:
     return min(MOST_WEIGHT, max(LEAST_WEIGHT, room / between - 1))
 
 
-def posteriors_of_counts(counts: DataFrame) -> DataFrame:
+def posteriors_of_counts(counts: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """The posterior of the share of bad pages of each host: mean and deviation.
 
     counts has host, n (labelled pages) and bad (bad ones of these); suffix, registered domain and
     host are shrunk in turn towards the level above. Weights of the priors come from the data.
     """
-    hosts = counts.select("host", "n", "bad").withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", F.substring_index("host", ".", -1))
+    hosts = counts.select("host", "n", "bad").withColumn("domain", registered_domain(F.col("host"), suffixes)).withColumn("suffix", public_suffix(F.col("host"), suffixes))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    total = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
+    by_suffix = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    total = by_suffix.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     top = ((total.bad or 0) + 1) / ((total.n or 0) + 2)
-    w_suffix, w_domain, w_host = prior_weight(suffixes), prior_weight(domains), prior_weight(hosts)
-    by_suffix = suffixes.select("suffix", ((F.col("bad") + w_suffix * top) / (F.col("n") + w_suffix)).alias("suffix_mean"))
+    w_suffix, w_domain, w_host = prior_weight(by_suffix), prior_weight(domains), prior_weight(hosts)
+    by_suffix = by_suffix.select("suffix", ((F.col("bad") + w_suffix * top) / (F.col("n") + w_suffix)).alias("suffix_mean"))
     by_domain = domains.join(by_suffix, "suffix").select("domain", ((F.col("bad") + w_domain * F.col("suffix_mean")) / (F.col("n") + w_domain)).alias("domain_mean"))
     weight = F.col("n") + w_host
     mean = (F.col("bad") + w_host * F.col("domain_mean")) / weight
     return hosts.join(by_domain, "domain").select("host", "n", "bad", mean.alias("mean")).withColumn("deviation", F.sqrt(F.col("mean") * (1 - F.col("mean")) / (weight + 1)))
 
 
-def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
+def judge_urls(
+    pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = THRESHOLD, z: float = Z, suffixes: tuple[str, ...] = SUFFIXES
+) -> DataFrame:
     """A verdict, allow or block, on the url of every page.
 
     pages has page_id and url, outcomes has page_id and bad (1 or 0; null outcomes don't count).
     Returns page_id, host, path, rule, verdict, host_mean and host_bound. The longest rule that fits
     decides; elsewhere a page is blocked if its host's lower posterior bound is above threshold. A
-    host with no labelled page is judged by its prior, that of its registered domain.
+    host with no labelled page is judged by its prior, that of its registered domain. suffixes are the
+    public suffixes of two labels that count, such as co.uk.
 
     Null urls have an empty host and path, which no rule fits. Repeated rows stay; a page with
     several outcomes counts each. Other columns are ignored. Hosts meet pages in a join by host
@@ -99,20 +115,24 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] =
     labelled = outcomes.filter(F.col("bad").isNotNull()).groupBy(F.col("page_id").alias("labelled_id")).agg(F.count("*").alias("times"), F.sum("bad").alias("bad_times"))
     seen = split.join(labelled, F.col("page_id") == F.col("labelled_id"), "left")
     by_host = seen.groupBy("host").agg(F.sum(F.coalesce("times", F.lit(0))).alias("n"), F.sum(F.coalesce("bad_times", F.lit(0))).alias("bad"))
-    known = posteriors_of_counts(written(by_host)).select(F.col("host").alias("known_host"), F.col("mean").alias("host_mean"), (F.col("mean") - z * F.col("deviation")).alias("host_bound"))
+    known = posteriors_of_counts(written(by_host), suffixes).select(F.col("host").alias("known_host"), F.col("mean").alias("host_mean"), (F.col("mean") - z * F.col("deviation")).alias("host_bound"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     judged = split.join(known, F.col("host") == F.col("known_host"))
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("host_bound") > threshold, "block").otherwise("allow")).alias("verdict"), "host_mean", "host_bound")
 
 
+PAIRS = ", ".join(f"'{s}'" for s in SUFFIXES)
 #: host_and_path and the shrinkage in DuckDB's SQL, over pages and labels (an outcome is bad when its quality is 0 or it is toxic).
-SQL = """
+SQL = f"""
 WITH urls AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
 rests AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM urls),
 split AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
 outcomes AS (SELECT doc_id AS page_id, CAST(quality = 0 OR toxic = 1 AS INT) AS bad FROM labels),
 labelled AS (SELECT page_id AS labelled_id, count(*) AS times, sum(bad) AS bad_times FROM outcomes WHERE bad IS NOT NULL GROUP BY 1),
-hosts AS (SELECT host, CAST(sum(coalesce(times, 0)) AS BIGINT) AS n, CAST(sum(coalesce(bad_times, 0)) AS BIGINT) AS bad, list_aggregate(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 1, 1), len(string_split(host, '.'))), 'string_agg', '.') AS domain, string_split(host, '.')[-1] AS suffix FROM split LEFT JOIN labelled ON page_id = labelled_id GROUP BY host),
+cut AS (SELECT host, CAST(sum(coalesce(times, 0)) AS BIGINT) AS n, CAST(sum(coalesce(bad_times, 0)) AS BIGINT) AS bad,
+  regexp_extract(host, '([^.]*)$') AS last_one, regexp_extract(host, '([^.]*\\.)?[^.]*$') AS last_two, regexp_extract(host, '([^.]*\\.)?([^.]*\\.)?[^.]*$') AS last_three
+  FROM split LEFT JOIN labelled ON page_id = labelled_id GROUP BY host),
+hosts AS (SELECT host, n, bad, CASE WHEN last_two IN ({PAIRS}) THEN last_three ELSE last_two END AS domain, CASE WHEN last_two IN ({PAIRS}) THEN last_two ELSE last_one END AS suffix FROM cut),
 domains AS (SELECT domain, suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM hosts GROUP BY 1, 2),
 suffixes AS (SELECT suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM domains GROUP BY 1),
 levels AS (SELECT 'host' AS level, n, bad FROM hosts UNION ALL SELECT 'domain', n, bad FROM domains UNION ALL SELECT 'suffix', n, bad FROM suffixes),

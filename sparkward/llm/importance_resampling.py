@@ -20,6 +20,8 @@ SHARE, SEED = 0.8, 17
 FIT_DOCS = 20_000
 #: Words up to so many bytes are kept with their hashes, at most so many of them in a task.
 WORD_BYTES, WORDS_KEPT = 48, 400_000
+#: N-grams that a task counts at once.
+COUNTED = 200_000
 #: The selection looks at so many bits of the keys at a time.
 RADIX_BITS = 16
 
@@ -56,12 +58,26 @@ def ngram_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, raw, target = NgramHasher(buckets), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        pending: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+
+        def add() -> None:
+            for part, total in zip(pending, (raw, target), strict=True):
+                if part:
+                    total += np.bincount(np.concatenate(part).astype(np.int64), minlength=buckets)
+                part.clear()
+
+        held = 0
         for batch in batches:
             for text, chosen in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                counts = np.bincount(hasher.of(text).astype(np.int64), minlength=buckets)
-                raw += counts
+                grams = hasher.of(text)
+                pending[0].append(grams)
                 if chosen:
-                    target += counts
+                    pending[1].append(grams)
+                held += len(grams)
+                if held >= COUNTED:
+                    add()
+                    held = 0
+        add()
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], names=["bucket", "n_raw", "n_target"])
 
