@@ -40,8 +40,8 @@ COUNTER_BITS, BLOCK = 22, 1 << 16
 SALTS = 64
 #: N-grams that a task counts at once; above 255 its counts of a counter stay there.
 COUNTED = 500_000
-#: Groups of more texts than this are resolved through a pivot.
-MOST_DIRECT = 32
+#: Groups of more texts than this are resolved by what they have in common; within these, so many doubtful texts of a difference are joined with all that share it.
+MOST_DIRECT, MOST_DOUBTFUL = 32, 256
 #: Hash classes of the suffix filter.
 CLASSES = 64
 #: Bits of the filter that tells which texts are worth reading again, and the most rids that it is used for; beyond, texts are joined.
@@ -396,8 +396,8 @@ def resolved_crowds(members: DataFrame, sets: DataFrame, percent: int) -> tuple[
         known = written(with_best(differences_of(members, sets, percent)))
         links.append(slack_links(known))
         rows = written(difference_rows(known, percent))
-        pairs.append(difference_pairs(rows.filter(F.col("doubtful") <= MOST_DIRECT), percent))
-        crowded = rows.filter(F.col("doubtful") > MOST_DIRECT)
+        pairs.append(difference_pairs(rows.filter(F.col("doubtful") <= MOST_DOUBTFUL), percent))
+        crowded = rows.filter(F.col("doubtful") > MOST_DOUBTFUL)
         if crowded.isEmpty():
             break
         members = written(crowds(crowded))
@@ -424,7 +424,7 @@ def similar_links(base: DataFrame, classes: DataFrame, levels: np.ndarray, words
     needed = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select("b").toDF("rid")).unionByName(members.select("rid")).distinct()
     sets = sets_of(base, needed, words)
     sure, more = resolved_crowds(members, sets, percent)
-    left = past_suffix_filter(pairs.unionByName(more).distinct(), sets, percent)
+    left = written(past_suffix_filter(pairs.unionByName(more).distinct(), sets, percent))  # so that no task runs two workers
     return sure.unionByName(verified(left, sets, percent))
 
 

@@ -417,6 +417,7 @@ def test_jaccard_join(spark, odd, monkeypatch, words_of, percent):
     expected = brute_components(rows, words_of, percent)
     assert joined(frame(spark, rows), words_of, percent) == expected
     monkeypatch.setattr(jaccard_join, "MOST_DIRECT", 1)
+    monkeypatch.setattr(jaccard_join, "MOST_DOUBTFUL", 5)
     assert joined(frame(spark, rows), words_of, percent) == expected
     assert jaccard_join.join_similar(frame(spark, [])).count() == 0
 
@@ -435,7 +436,8 @@ def families(rng, many, of_each):
     return rows
 
 
-def test_families_of_one_group_cost_as_their_texts(spark):
+def test_families_of_one_group_cost_as_their_texts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "MOST_DOUBTFUL", 16)
     costs = []
     for of_each in (60, 120, 240):
         rows = families(random.Random(12), 3, of_each)
@@ -457,6 +459,7 @@ def test_jaccard_join_of_families(spark, monkeypatch):
     expected = brute_components(rows, 3, 90)
     assert joined(frame(spark, rows)) == expected
     monkeypatch.setattr(jaccard_join, "MOST_DIRECT", 3)
+    monkeypatch.setattr(jaccard_join, "MOST_DOUBTFUL", 3)
     monkeypatch.setattr(jaccard_join, "FILTERED", 5)
     assert joined(frame(spark, rows)) == expected
 
