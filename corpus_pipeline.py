@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of
 documents. A stage's result is written and read again as the next one's docs.
+
+Null texts count as empty; rows of the same or no doc_id are told apart; columns beyond those of
+documents are dropped; an empty table gives no rows at any stage.
 """
 
 from __future__ import annotations
@@ -30,9 +33,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes byte strings that occur earlier. Characters that a cut goes through go whole; a document stays even if nothing is left of it."""
+    """Removes byte strings that occur earlier. Characters that a cut goes through go whole; a document of which no word is left goes, too."""
     kept = suffix_dedup.remove_repeated(docs, carry=("lang", "source"), whole_characters=True)
-    return kept.select("doc_id", F.col("kept").cast("string").alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    left = kept.select("doc_id", F.col("kept").cast("string").alias("text"), "lang", "source", (F.octet_length("kept") < F.col("n_bytes")).alias("cut"))
+    return left.filter(~F.col("cut") | F.col("text").rlike(r"\S")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
