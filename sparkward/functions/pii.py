@@ -92,14 +92,31 @@ def short_mask(value: Column, kind: str) -> Column:
 
 def simple_count(text: Column) -> Column:
     """Number of matches of the simple detector."""
-    counts = [F.when(text.rlike("@" if kind == "email" else "[0-9]"), F.regexp_count(text, F.lit(pattern))).otherwise(0) for kind, pattern in SIMPLE_PATTERNS]
+    hints = {"email": "@", "credit_card": r"(?:[0-9][ -]*){13}"}
+    counts = [F.when(text.rlike(hints.get(kind, "[0-9]")), F.regexp_count(text, F.lit(pattern))).otherwise(0) for kind, pattern in SIMPLE_PATTERNS]
     return sum(counts[1:], counts[0])
 
 
-def sensitivity(text: Column) -> tuple[Column, Column, Column, Column]:
-    """Matched keywords, matches, score and confidence of the simple analyzer."""
+def keyword_hits(text: Column, most: int = 10) -> Column:
+    """The first sensitive keywords, in the order of their list, that a text has."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.slice(F.filter(F.array(*map(F.lit, SENSITIVE_KEYWORDS)), lambda k: low.contains(k)), 1, most)
+
+
+#: Labels that entities of a text model may have.
+KNOWN_LABELS = (*(label for _, label, *_ in PII_TYPES), "Person Name", "Organization", "Location", "Date")
+
+
+def known_entities(found: Column, labels: tuple[str, ...] = KNOWN_LABELS) -> Column:
+    """The entities of a text model whose label is known."""
+    return F.filter(found, lambda e: e["entity_type"].isin(*labels))
+
+
+def sensitivity(text: Column, low: Column | None = None) -> tuple[Column, Column, Column, Column]:
+    """Matched keywords, matches, score and confidence of the simple analyzer. low is the text in lower case, if a projection has made it."""
     clean = F.coalesce(text, F.lit(""))
-    words = [F.lower(clean).contains(k).cast("int") for k in SENSITIVE_KEYWORDS]
+    low = F.lower(clean) if low is None else F.coalesce(low, F.lit(""))
+    words = [low.contains(k).cast("int") for k in SENSITIVE_KEYWORDS]
     matched, n = sum(words[1:], words[0]), simple_count(clean)
     kw = matched / F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.length(clean) / 100.0))
     score = F.when(clean == "", 0.0).otherwise(F.least(F.lit(1.0), 0.3 * kw + 0.7 * F.least(F.lit(1.0), 0.2 * n)))

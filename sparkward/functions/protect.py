@@ -31,6 +31,19 @@ def decrypt(value: Column, key: bytes) -> Column:
     return F.try_aes_decrypt(F.unbase64(value), F.lit(key)).cast("string")
 
 
+def one_way(value: Column, salt: bytes = b"") -> Column:
+    """SHA-256 in hex of a value, after a salt if there is one: the form of values that nobody needs to read again."""
+    return F.sha2(F.concat(F.lit(salt), value.cast("binary")), 256)
+
+
+def protected(value: Column, level: str, key: bytes, salt: bytes = b"") -> Column:
+    """A value at a level of protection: UNPROTECTED stays, ENCRYPTED can be read with the key, PSEUDONYMIZED and ANONYMIZED are hashed (the former after a salt)."""
+    made = {"UNPROTECTED": lambda: value.cast("string"), "ENCRYPTED": lambda: encrypt(value, key), "PSEUDONYMIZED": lambda: one_way(value, salt), "ANONYMIZED": lambda: one_way(value)}
+    if level not in made:
+        raise ValueError(f"unknown level {level}")
+    return made[level]()
+
+
 def signature(key: bytes, row_hash: Column) -> Column:
     return F.base64(F.unhex(hmac_sha256(key, row_hash)))
 

@@ -19,6 +19,22 @@ def priority(score: Column, high: float = 0.8, medium: float = 0.5) -> Column:
     return F.when(score > high, "high").when(score > medium, "medium").otherwise("low")
 
 
+def alert_level(score: Column, low: float = 0.75, medium: float = 0.85, high: float = 0.95) -> Column:
+    """The level of a score by three thresholds; null below the lowest, which raises no alert."""
+    return F.when(score >= high, "high").when(score >= medium, "medium").when(score >= low, "low")
+
+
+def review_id(anomaly_id: Column, at: Column) -> Column:
+    """The id of a review item: the anomaly's and the seconds at which it was queued."""
+    return F.concat(anomaly_id.cast("string"), F.lit("_"), F.unix_seconds(at.cast("timestamp")).cast("string"))
+
+
+def details_json(df: DataFrame, names: list[str]) -> Column:
+    """The named columns as JSON with every value as text, those that are null left out."""
+    pairs = F.array_compact(F.array(*(F.when(F.col(n).isNotNull(), F.struct(F.lit(n).alias("k"), F.col(n).cast("string").alias("v"))) for n in names)))
+    return F.to_json(F.map_from_entries(pairs))
+
+
 def message(df: DataFrame) -> Column:
     """The text of an alert by the anomaly's type, with what is known of it."""
     have = set(df.columns)
@@ -45,7 +61,7 @@ def alerts(anomalies: DataFrame) -> DataFrame:
     """Anomalies as alerts: id, time, priority, message, status and details. Suppressed anomalies (column action) are left out."""
     if "action_decided" in anomalies.columns:
         anomalies = anomalies.filter(~F.coalesce(F.col("action_decided") == "suppress", F.lit(False)))
-    details = F.to_json(F.create_map(F.lit("type"), F.coalesce("type", F.lit("")), F.lit("score"), F.coalesce(F.col("anomaly_score").cast("string"), F.lit(""))))
+    details = details_json(anomalies, [c for c in anomalies.columns if c not in ("event_id", "timestamp", "metadata", "message", "action_decided")])
     return anomalies.select(F.col("event_id").alias("alert_id"), "timestamp", priority(F.col("anomaly_score")).alias("priority"), message(anomalies).alias("message"), "source_type", F.lit("new").alias("status"), details.alias("details"), affected(anomalies).alias("resources"))
 
 
@@ -106,17 +122,38 @@ def review_priority(severity: Column, confidence: Column) -> Column:
     return F.when(severity == "high", "high").when(severity == "medium", F.when(urgent, "high").otherwise("medium")).otherwise(F.when(urgent, "medium").otherwise("low"))
 
 
+def queued(items: DataFrame) -> DataFrame:
+    """Items (review_id, queued_at, severity, confidence) with their queue."""
+    return items.withColumn("queue", review_priority(F.col("severity"), F.col("confidence")))
+
+
 def review_queue(items: DataFrame) -> DataFrame:
     """Items (review_id, queued_at, severity, confidence) with their queue and place in it, oldest first."""
-    placed = items.withColumn("queue", review_priority(F.col("severity"), F.col("confidence")))
+    placed = queued(items)
     return row_numbers(placed.select("review_id", "queued_at", "queue"), "queue", "queued_at", "review_id", "position")
 
 
 def review_statistics(queue: DataFrame) -> DataFrame:
-    """Length and oldest item of each queue."""
+    """Length and oldest item of each queue; places in it aren't needed."""
     return queue.groupBy("queue").agg(F.count("*").alias("n_items"), F.min("queued_at").alias("oldest"))
 
 
+def validation_counters(judged: DataFrame, feedback: DataFrame, updates: DataFrame) -> DataFrame:
+    """Anomalies processed, valid and sent to review (booleans valid, needs_review), feedback collected, and model updates, as one row."""
+    counts = judged.agg(F.count("*").alias("processed"), F.count_if("valid").alias("validated"), F.count_if("needs_review").alias("queued"))
+    collected, updated = feedback.agg(F.count("*").alias("collected")), updates.agg(F.count("*").alias("updates"))
+    return counts.join(F.broadcast(collected)).join(F.broadcast(updated))
+
+
+def generation_counters(found: DataFrame, stored: DataFrame) -> DataFrame:
+    """Anomalies by priority: how many there were, were filtered out (suppressed), were validated (not suppressed) and became stored alerts (alert_id)."""
+    suppressed = F.coalesce(F.col("action_decided") == "suppress", F.lit(False))
+    kept = stored.select(F.col("alert_id").alias("stored_id")).distinct()
+    joined = found.join(kept, F.col("event_id") == F.col("stored_id"), "left")
+    created = F.count_if(~suppressed & F.col("stored_id").isNotNull())
+    return joined.groupBy(priority(F.col("anomaly_score")).alias("priority")).agg(F.count("*").alias("n_anomalies"), F.count_if(suppressed).alias("filtered"), F.count_if(~suppressed).alias("validated"), created.alias("created"))
+
+
 def expired(items: DataFrame, as_of: Column, days: int = 30) -> tuple[DataFrame, DataFrame]:
     """Items that stay, and those older than so many days."""
     old = F.col("queued_at") < as_of - F.make_interval(days=F.lit(days))
@@ -151,11 +188,40 @@ def confusion(df: DataFrame) -> DataFrame:
     return c.select("*", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
 
 
+def auroc(scores: DataFrame) -> DataFrame:
+    """Area under the ROC curve of scores (error, positive), as one row: the share of pairs of a positive and a negative row that are in order, ties for half.
+
+    Counted by distinct error in running totals, so pairs are never made. Null where a class is absent.
+    """
+    counts = scores.filter("error IS NOT NULL AND positive IS NOT NULL").groupBy("error").agg(F.count_if("positive").cast("double").alias("p"), F.count_if(~F.col("positive")).cast("double").alias("n"))
+    summed = running_totals(counts, "error", {"n": "n_upto"})
+    sums = summed.agg(F.sum(F.col("p") * (F.col("n_upto") - F.col("n") / 2)).alias("ordered"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return sums.select(F.round(F.try_divide("ordered", F.col("p") * F.col("n")), 6).alias("auroc"))
+
+
+def labelled_outcomes(anomalies: DataFrame, human: DataFrame, truth: DataFrame) -> DataFrame:
+    """Anomalies (anomaly_id, predicted) with what people say (is_true_positive) and what is true (actual); those that all three know."""
+    h, t = human.select(F.col("anomaly_id").alias("h_id"), "is_true_positive"), truth.select(F.col("anomaly_id").alias("t_id"), "actual")
+    return anomalies.join(h, F.col("anomaly_id") == F.col("h_id")).join(t, F.col("anomaly_id") == F.col("t_id")).select("anomaly_id", "predicted", "is_true_positive", "actual")
+
+
 def not_repeated(found: DataFrame, stored: DataFrame, minutes: int = MINUTES) -> DataFrame:
-    """Alerts without a stored one of the same message in the minutes before, or at the same time."""
-    old = stored.select(F.col("message").alias("_message"), F.col("timestamp").alias("_at"))
-    near = (F.col("message") == F.col("_message")) & (F.col("_at") <= F.col("timestamp")) & (F.col("_at") >= F.col("timestamp") - F.expr(f"INTERVAL {minutes} MINUTES"))
-    return found.join(old, near, "left_anti")
+    """Alerts without a stored one of the same message in the minutes before, or at the same time.
+
+    Times are cut into spans of so many minutes, and a stored alert counts in its own and the next one. So a
+    message of very many alerts is spread over its spans, of which the first and last time are enough: an
+    alert is repeated if its span has an earlier one, or the span before one late enough.
+    """
+    width = minutes * 60_000_000
+    at = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    old = stored.select("message", at.alias("at")).filter("at IS NOT NULL").withColumn("span", F.floor(F.col("at") / F.lit(width)).cast("long"))
+    ends = old.groupBy("message", "span").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    own, before = (ends.select(F.col("message").alias(f"{p}_message"), (F.col("span") + k).alias(f"{p}_span"), F.col(c).alias(f"{p}_{c}")) for p, k, c in (("own", 0, "first"), ("before", 1, "last")))
+    placed = found.withColumn("_at", at).withColumn("_span", F.floor(F.col("_at") / F.lit(width)).cast("long"))
+    same = lambda p: (F.col("message") == F.col(f"{p}_message")) & (F.col("_span") == F.col(f"{p}_span"))
+    met = placed.join(own, same("own"), "left").join(before, same("before"), "left")
+    repeated = F.coalesce(F.col("own_first") <= F.col("_at"), F.lit(False)) | F.coalesce(F.col("before_last") >= F.col("_at") - width, F.lit(False))
+    return met.filter(~repeated).select(*found.columns)
 
 
 def next_item(queue: DataFrame, levels: tuple[str, ...] = ("high",)) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -96,34 +96,60 @@ def t_close(df: DataFrame, c: Config) -> DataFrame:
 
 
 def suppressed(df: DataFrame, c: Config, columns: tuple[str, ...] = ()) -> DataFrame:
-    """Writes '*' over int(n * rate) values of each column, chosen by a hash of the key.
+    """Writes '*' over exactly int(n * rate) values of each column, chosen by a hash of the key, then of the row.
 
-    The cut is the hash of the last row that is chosen: counted by the first 16 bits of the hash, then
-    ordered within those that share them.
+    The cut is the hash of the last row that is chosen. Rows that are alike in all columns tie there: as
+    many of them are hidden as are wanted.
     """
     names = columns or c.quasi_identifiers or tuple(df.columns)
     n = int(df.count() * c.rate)
     for name in names:
-        h = F.md5(F.concat(F.col(c.key).cast("string"), F.lit(f"|{name}|{c.seed}")))
-        cut = nth_smallest(df.select(h.alias("h")), n)
-        df = df.withColumn(name, F.when(h <= F.lit(cut), F.lit("*")).otherwise(F.col(name).cast("string")) if cut else F.col(name).cast("string"))
+        whole = F.to_json(F.struct(*(F.col(x) for x in df.columns)))
+        h = F.concat(F.md5(F.concat(F.coalesce(F.col(c.key).cast("string"), F.lit("")), F.lit(f"|{name}|{c.seed}"))), F.md5(whole))
+        hidden, shown = F.lit("*"), F.col(name).cast("string")
+        placed = df.withColumn("_h", h)
+        if (cut := nth_smallest(placed.select(F.col("_h").alias("h")), n)) is None:
+            df = df.withColumn(name, shown)
+            continue
+        below, tied = placed.agg(F.count_if(F.col("_h") < cut), F.count_if(F.col("_h") == cut)).first()
+        if below + tied == n:
+            df = placed.withColumn(name, F.when(F.col("_h") <= cut, hidden).otherwise(shown)).drop("_h")
+            continue
+        sure = placed.filter(F.col("_h") != cut).withColumn(name, F.when(F.col("_h") < cut, hidden).otherwise(shown))
+        alike = placed.filter(F.col("_h") == cut).limit(1).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(tied))))
+        alike = alike.withColumn(name, F.when(F.col("_copy") <= n - below, hidden).otherwise(shown))
+        df = sure.drop("_h").unionByName(alike.drop("_h", "_copy"))
     return df
 
 
-def nth_smallest(hashes: DataFrame, n: int, digits: int = 4) -> str | None:
-    """The n-th smallest of hex strings h. Counts of the first digits come to the driver, 65536 at most each time."""
+#: Hashes that may come to the driver at once.
+MOST_HASHES = 10_000
+
+
+def nth_smallest(hashes: DataFrame, n: int, digits: int = 4, most: int = MOST_HASHES) -> str | None:
+    """The n-th smallest of hex strings h of one length; None if there are fewer.
+
+    Rows are counted by their next digits, 65536 counts at most each time, until those that share the
+    digits of the one sought are few enough to be sorted.
+    """
     if n < 1:
         return None
     prefix = ""
     while True:
-        rows = hashes.filter(F.col("h").startswith(prefix)).groupBy(F.substring("h", 1, len(prefix) + digits).alias("p")).count().collect()
-        for row in sorted(rows, key=lambda r: r.p):
+        rows = hashes.filter(F.col("h").startswith(prefix)) if prefix else hashes
+        counts = rows.groupBy(F.substring("h", 1, len(prefix) + digits).alias("p")).count().collect()
+        longest = all(len(r.p) < len(prefix) + digits for r in counts)
+        for row in sorted(counts, key=lambda r: r.p):
             if n <= row["count"]:
-                prefix = row.p
                 break
             n -= row["count"]
-        if len(prefix) >= 32:
+        else:
+            return None
+        prefix = row.p
+        if longest:
             return prefix
+        if row["count"] <= most:
+            return sorted(r.h for r in hashes.filter(F.col("h").startswith(prefix)).collect())[n - 1]
 
 
 def generalized(df: DataFrame, c: Config, level: int = 1) -> DataFrame:
@@ -159,16 +185,30 @@ def release(df: DataFrame, c: Config, steps: tuple[str, ...] = STEPS, noise: tup
     return df
 
 
-def metrics(original: DataFrame, released: DataFrame, c: Config, numeric: str) -> DataFrame:
-    """Rows that stay, the smallest group, whether k holds, and the ratio of a column's variances, as one row."""
+def metrics(original: DataFrame, released: DataFrame, c: Config, *numeric: str) -> DataFrame:
+    """Rows and columns that stay, the smallest group, whether k holds, and the mean ratio of columns' variances, as one row."""
+    columns = round(len([x for x in original.columns if x in released.columns]) / len(original.columns), 6)
     groups = released.groupBy(*c.quasi_identifiers).agg(F.count("*").alias("n")).agg(F.min("n").alias("min_group"))
-    a = original.agg(F.count("*").alias("n_before"), F.var_samp(numeric).alias("v_before"))
-    b = released.agg(F.count("*").alias("n_after"), F.var_samp(numeric).alias("v_after"))
+    a = original.agg(F.count("*").alias("n_before"), *(F.var_samp(x).alias(f"before_{x}") for x in numeric))
+    b = released.agg(F.count("*").alias("n_after"), *(F.var_samp(F.col(x).cast("double")).alias(f"after_{x}") for x in numeric))
     all_in_one = a.join(F.broadcast(b)).join(F.broadcast(groups))
-    return all_in_one.select("n_before", "n_after", F.round(F.col("n_after") / F.col("n_before"), 6).alias("retention"), "min_group", (F.col("min_group") >= c.k).alias("k_holds"), F.round(F.try_divide("v_after", "v_before"), 6).alias("variance_ratio"))
+    ratios = F.array_compact(F.array(*(F.try_divide(f"after_{x}", f"before_{x}") for x in numeric)))
+    ratio = F.try_divide(F.aggregate(ratios, F.lit(0.0), lambda x, y: x + y), F.size(ratios))
+    return all_in_one.select("n_before", "n_after", F.round(F.try_divide("n_after", "n_before"), 6).alias("retention"), F.lit(columns).alias("column_retention"), "min_group", (F.col("min_group") >= c.k).alias("k_holds"), F.round(ratio, 6).alias("variance_ratio"))
 
 
 def tradeoff(df: DataFrame, c: Config, ks: tuple[int, ...]) -> DataFrame:
     """Rows that stay for each k."""
     sizes = df.groupBy(*c.quasi_identifiers).agg(F.count("*").alias("n"))
     return sizes.agg(*(F.sum(F.when(F.col("n") >= k, F.col("n")).otherwise(0)).alias(f"k{k}") for k in ks)).select(F.inline(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("rows_kept")) for k in ks))))
+
+
+def sweep(df: DataFrame, c: Config, settings: tuple[tuple[int, float], ...], column: str) -> DataFrame:
+    """For each pair of k and epsilon: rows that stay, and the mean distance that noise moves a column in them: k, epsilon, rows_kept, mean_noise."""
+    runs = []
+    for k, epsilon in settings:
+        own = replace(c, k=k, epsilon=epsilon)
+        kept = k_anonymous(df, own).withColumn("_value", F.col(column).cast("double"))
+        moved = noisy(kept, own, (column,)).agg(F.count("*").alias("rows_kept"), F.avg(F.abs(F.col(column) - F.col("_value"))).alias("mean_noise"))
+        runs.append(moved.select(F.lit(k).alias("k"), F.lit(epsilon).alias("epsilon"), "rows_kept", F.round("mean_noise", 4).alias("mean_noise")))
+    return reduce(DataFrame.unionByName, runs)

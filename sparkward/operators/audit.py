@@ -11,8 +11,16 @@ from pyspark.sql import functions as F
 
 from ..functions.protect import gaussian, hmac_sha256, signature, uniform
 
-#: Fields of an entry that its hash covers, besides the hash of the entry before.
-FIELDS = ("entry_id", "entry_type", "timestamp", "user_id", "operation")
+#: Fields of an entry that its hash covers, besides the hash of the entry before; in the order of their names.
+FIELDS = ("details", "entry_id", "entry_type", "operation", "timestamp", "user_id")
+
+
+def body_of(entries: DataFrame) -> Column:
+    """The fields of an entry as JSON, in the order of their names; details (a map, which may be absent) in the order of its keys."""
+    have = set(entries.columns)
+    details = F.map_from_entries(F.sort_array(F.map_entries("details"))) if "details" in have else F.lit(None).cast("map<string,string>")
+    fields = (details.alias("details"), *(F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in FIELDS[1:]))
+    return F.to_json(F.struct(*fields))
 
 
 def link_hash(body: Column, previous: Column) -> Column:
@@ -21,12 +29,11 @@ def link_hash(body: Column, previous: Column) -> Column:
 
 
 def build_chain(entries: DataFrame, key: bytes) -> DataFrame:
-    """Chains the entries of each log (log_id, seq, FIELDS) in order of seq: log_id, seq, body, previous_hash, row_hash, signature.
+    """Chains the entries of each log (log_id, seq, FIELDS; details may be absent) in order of seq: log_id, seq, body, previous_hash, row_hash, signature.
 
     A log is read in order in one task, which holds only the last hash; logs side by side.
     """
-    body = F.concat_ws("|", *FIELDS)
-    dealt = entries.select("log_id", F.col("seq").cast("long").alias("seq"), body.alias("body")).repartition("log_id").sortWithinPartitions("log_id", "seq", "body")
+    dealt = entries.select("log_id", F.col("seq").cast("long").alias("seq"), body_of(entries).alias("body")).repartition("log_id").sortWithinPartitions("log_id", "seq", "body")
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, last = (), None
@@ -80,5 +87,29 @@ def model_digest(weights: DataFrame) -> DataFrame:
     return by_key.groupBy("round").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.struct("key", "h"))).cast("array<string>"), ","), 256).alias("digest"))
 
 
+def client_statistics(history: DataFrame) -> DataFrame:
+    """Training of each client (client_id, round, samples_count, seconds, accuracy, loss): rounds, samples, total and mean time, and the last round with its metrics."""
+    last = F.max_by(F.struct("accuracy", "loss"), F.struct("round", "accuracy", "loss"))
+    stats = history.groupBy("client_id").agg(
+        F.max("round").alias("last_round"), F.count("*").alias("n_rounds"), F.sum("samples_count").alias("n_samples"), F.sum("seconds").alias("total_seconds"), F.avg("seconds").alias("mean_seconds"), last.alias("last")
+    )
+    return stats.select("client_id", "last_round", "n_rounds", "n_samples", "total_seconds", "mean_seconds", F.col("last.accuracy").alias("last_accuracy"), F.col("last.loss").alias("last_loss"))
+
+
+def federated_round(updates: DataFrame, clients: DataFrame, number: int, clip: float, multiplier: float, seed: str) -> tuple[DataFrame, DataFrame]:
+    """One round: verified updates get noise and are averaged. Gives the model (round, key, idx, value, n_clients) and its history row (round, n_clients, n_samples, digest)."""
+    accepted = accepted_updates(updates, clients)
+    model = federated_average(private_updates(accepted, clip, multiplier, f"{seed}:{number}")).withColumn("round", F.lit(number))
+    took = accepted.select("client_id", "samples_count").distinct().agg(F.count_distinct("client_id").alias("n_clients"), F.sum("samples_count").alias("n_samples"))
+    history = model_digest(model).join(F.broadcast(took)).select("round", "n_clients", "n_samples", "digest")
+    return model.select("round", "key", "idx", "value", "n_clients"), history
+
+
+def breach_lines(breaches: DataFrame, rule: str, at: Column) -> DataFrame:
+    """A line of the remediation log for each breach: time, rule, breach_id, type, user and resource ('unknown' where they aren't known)."""
+    text = lambda name: F.coalesce(F.nullif(F.col(name).cast("string"), F.lit("")), F.lit("unknown")).alias(name)
+    return breaches.select(at.alias("logged_at"), F.lit(rule).alias("rule"), "breach_id", "breach_type", text("user"), text("resource"))
+
+
 def pseudonyms(df: DataFrame, name: str, salt: bytes) -> DataFrame:
     return df.withColumn("pseudonym", hmac_sha256(salt, F.col(name)))

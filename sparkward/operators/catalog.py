@@ -2,33 +2,63 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import pii
+from .columns import type_of_name
 
 
-def document_records(docs: DataFrame, types: tuple = pii.PII_TYPES) -> DataFrame:
+def document_records(docs: DataFrame, types: tuple = pii.PII_TYPES, carry: tuple[Column, ...] = ()) -> DataFrame:
     """A catalog record for each document (doc_id, source, text): type, classification and confidence by its entities.
 
-    A null text counts as having none. Records with a null id stay.
+    A null text counts as having none. Records with a null id stay. Columns in carry, of docs, go along.
     """
-    counted = docs.select(F.col("doc_id").alias("record_id"), F.col("source").alias("source_location"), *(F.size(pii.matches(F.coalesce("text", F.lit("")), kind, pattern)).alias(kind) for kind, _, pattern, _ in types))
+    more = docs.select(*carry).columns if carry else []
+    counted = docs.select(F.col("doc_id").alias("record_id"), F.col("source").alias("source_location"), *carry, *(F.size(pii.matches(F.coalesce("text", F.lit("")), kind, pattern)).alias(kind) for kind, _, pattern, _ in types))
     counts = [F.col(kind) for kind, *_ in types]
     total = sum(counts[1:], counts[0])
     labels = F.filter(F.array(*(F.when(F.col(kind) > 0, label) for kind, label, *_ in types)), lambda x: x.isNotNull())
     sure = F.greatest(F.lit(0.0), *(F.when(F.col(kind) > 0, confidence).otherwise(0.0) for kind, _, _, confidence in types))
-    return counted.select("record_id", F.lit("unstructured").alias("source_type"), "source_location", pii.data_type(labels).alias("data_type"), F.when(total > 0, "SENSITIVE").otherwise("NON_SENSITIVE").alias("classification"), sure.alias("confidence_score"), total.alias("pii_count"))
+    return counted.select("record_id", F.lit("unstructured").alias("source_type"), "source_location", pii.data_type(labels).alias("data_type"), F.when(total > 0, "SENSITIVE").otherwise("NON_SENSITIVE").alias("classification"), sure.alias("confidence_score"), total.alias("pii_count"), *more)
+
+
+def column_records(profiles: DataFrame, table_name: str) -> DataFrame:
+    """A catalog record for each column (column_name, classification, confidence) of a table; record_id is table.column.
+
+    Sensitive columns have the data type of their name, others are General.
+    """
+    sensitive = F.col("classification") == "sensitive"
+    return profiles.select(
+        F.concat(F.lit(table_name + "."), "column_name").alias("record_id"), F.lit("structured").alias("source_type"), F.lit(table_name).alias("source_location"),
+        F.when(sensitive, type_of_name(F.col("column_name"))).otherwise("General").alias("data_type"), F.when(sensitive, "SENSITIVE").otherwise("NON_SENSITIVE").alias("classification"),
+        F.col("confidence").alias("confidence_score"), sensitive.cast("int").alias("pii_count"),
+    )
+
+
+def table_result(records: DataFrame) -> DataFrame:
+    """Columns, sensitive columns and their names, by table."""
+    sensitive = F.col("classification") == "SENSITIVE"
+    names = F.sort_array(F.collect_list(F.when(sensitive, F.substring_index("record_id", ".", -1))))
+    return records.groupBy("source_location").agg(F.count("*").alias("n_columns"), F.count_if(sensitive).alias("n_sensitive"), names.alias("sensitive_columns"))
 
 
-def search(records: DataFrame, source_type: str | None = None, data_type: str | None = None, classification: str | None = None, min_confidence: float = 0.0, limit: int = 100, offset: int = 0) -> DataFrame:
-    """A page of the records that fit, by id."""
+def catalog_of(*parts: DataFrame) -> DataFrame:
+    """Structured and unstructured records as one catalog; ids as text."""
+    return reduce(DataFrame.unionByName, (p.withColumn("record_id", F.col("record_id").cast("string")) for p in parts))
+
+
+def search(records: DataFrame, source_type: str | None = None, data_type: str | None = None, classification: str | None = None, min_confidence: float = 0.0, limit: int = 100, offset: int = 0, newest: str | None = None) -> DataFrame:
+    """A page of the records that fit: newest first by a column of times if one is named, then by id."""
     for name, value in (("source_type", source_type), ("data_type", data_type), ("classification", classification)):
         if value is not None:
             records = records.filter(F.col(name) == value)
     if min_confidence > 0:
         records = records.filter(F.col("confidence_score") >= min_confidence)
-    return records.orderBy("record_id").offset(offset).limit(limit)
+    order = [F.desc_nulls_last(newest)] if newest else []
+    return records.orderBy(*order, "record_id").offset(offset).limit(limit)
 
 
 def category(data_type: Column) -> Column:
@@ -49,11 +79,24 @@ def with_entities(records: DataFrame, entities: DataFrame) -> DataFrame:
     return records.join(nested, F.col("record_id") == F.col("entity_record"), "left").drop("entity_record").withColumn("pii_count", F.coalesce(F.size("entities"), F.lit(0)))
 
 
-def scan_summary(records: DataFrame, docs: DataFrame) -> DataFrame:
-    """Files, sensitive files, bytes and entities of each place that was scanned."""
-    sizes = docs.select("doc_id", F.octet_length("text").alias("bytes"))
-    joined = records.join(sizes, F.col("record_id") == F.col("doc_id"))
-    return joined.groupBy("source_location").agg(F.count("*").alias("n_files"), F.count_if(F.col("pii_count") > 0).alias("n_sensitive"), F.sum("bytes").cast("long").alias("n_bytes"), F.sum("pii_count").cast("long").alias("n_entities"))
+def scan_summary(docs: DataFrame) -> DataFrame:
+    """Files, sensitive files, bytes and entities of each place that was scanned, from documents (doc_id, source, text)."""
+    records = document_records(docs, carry=(F.octet_length("text").alias("bytes"),))
+    return records.groupBy("source_location").agg(F.count("*").alias("n_files"), F.count_if(F.col("pii_count") > 0).alias("n_sensitive"), F.sum("bytes").cast("long").alias("n_bytes"), F.sum("pii_count").cast("long").alias("n_entities"))
+
+
+def scan_totals(results: DataFrame, seconds: Column) -> DataFrame:
+    """Totals of a scan as one row: files, successes, failures (rows with an error), sensitive files, bytes, and files and megabytes a second.
+
+    results has error, pii_count and bytes; seconds is how long the scan took, 0 for not known.
+    """
+    ok = F.col("error").isNull()
+    totals = results.agg(
+        F.count("*").alias("n_files"), F.count_if(ok).alias("n_success"), F.count_if(~ok).alias("n_failed"), F.count_if(ok & (F.col("pii_count") > 0)).alias("n_sensitive"),
+        F.coalesce(F.sum("bytes"), F.lit(0)).cast("long").alias("n_bytes"), F.max(seconds).cast("double").alias("seconds"),
+    )
+    rate = lambda x: F.round(F.coalesce(F.try_divide(x, F.col("seconds")), F.lit(0.0)), 6)
+    return totals.select("*", rate(F.col("n_files")).alias("files_per_second"), rate(F.col("n_bytes") / float(1 << 20)).alias("mb_per_second"))
 
 
 def risk_of_count(n: Column) -> Column:

@@ -14,25 +14,53 @@ def is_string(df: DataFrame, name: str) -> bool:
     return dict(df.dtypes)[name] == "string"
 
 
-def features(df: DataFrame, name: str) -> list[Column]:
-    """The twelve features of a column as aggregates."""
-    c, text = F.col(name), is_string(df, name)
-    bare, dashless = F.regexp_replace(c, "[-() ]", ""), F.replace(c, F.lit("-"), F.lit(""))
-    digits = lambda x: x.rlike("^[0-9]+$")
-    some = lambda cond: F.coalesce(F.bool_or(cond), F.lit(False)) if text else F.lit(False)
-    rows = F.greatest(F.count("*"), F.lit(1))
-    return [
-        F.lit(name).alias("column_name"), F.lit(any(k in name.lower() for k in PROFILE_NAMES)).alias("sensitive_name"),
-        F.round((F.count_distinct(c) + F.coalesce(F.max(c.isNull().cast("int")), F.lit(0))) / rows, 6).alias("unique_ratio"), F.round(F.count_if(c.isNull()) / rows, 6).alias("null_ratio"),
-        F.lit(not text).alias("is_numeric"), F.lit(text).alias("is_string"), (F.round(F.coalesce(F.avg(F.length(F.coalesce(c, F.lit("None")))), F.lit(0.0)), 6) if text else F.lit(0.0)).alias("avg_length"),
-        some(c.contains("@") & F.substring_index(c, "@", -1).contains(".")).alias("has_email"), some((F.length(bare) >= 10) & digits(bare)).alias("has_phone"), some((F.length(dashless) == 9) & digits(dashless)).alias("has_ssn"),
-        some((F.length(bare) >= 15) & digits(bare)).alias("has_card"), some(F.lower(c).rlike("street|ave|road|dr")).alias("has_address"),
-    ]
+def distinct_values(df: DataFrame) -> DataFrame:
+    """The different values of all columns as text, with how often each occurs: column_name, v, n. One scan; counts are partial in each task."""
+    cells = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("v")) for c in df.columns))
+    return df.select(F.inline(cells)).groupBy("column_name", "v").agg(F.count("*").alias("n"))
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """A row of features for each column. Columns are profiled one by one, so that distinct counts don't multiply the rows."""
-    return reduce(DataFrame.unionByName, (df.select(name).agg(*features(df, name)) for name in df.columns))
+    """A row of twelve features for each column, from its different values. A table without rows has none."""
+    text = F.col("column_name").isin(*(c for c in df.columns if is_string(df, c))) if any(is_string(df, c) for c in df.columns) else F.lit(False)
+    named = [c for c in df.columns if any(k in c.lower() for k in PROFILE_NAMES)]
+    v, rows = F.col("v"), F.sum("n")
+    bare, dashless = F.regexp_replace(v, "[-() ]", ""), F.replace(v, F.lit("-"), F.lit(""))
+    digits = lambda x: x.rlike("^[0-9]+$")
+    some = lambda cond: F.coalesce(F.bool_or(text & cond), F.lit(False))
+    length = F.sum(F.when(text, F.length(F.coalesce(v, F.lit("None"))) * F.col("n")).otherwise(0))
+    return distinct_values(df).groupBy("column_name").agg(
+        (F.col("column_name").isin(*named) if named else F.lit(False)).alias("sensitive_name"), F.round(F.count("*") / rows, 6).alias("unique_ratio"),
+        F.round(F.sum(F.when(v.isNull(), F.col("n")).otherwise(0)) / rows, 6).alias("null_ratio"), (~F.first(text)).alias("is_numeric"), F.first(text).alias("is_string"),
+        F.round(length / rows, 6).alias("avg_length"), some(v.contains("@") & F.substring_index(v, "@", -1).contains(".")).alias("has_email"),
+        some((F.length(bare) >= 10) & digits(bare)).alias("has_phone"), some((F.length(dashless) == 9) & digits(dashless)).alias("has_ssn"),
+        some((F.length(bare) >= 15) & digits(bare)).alias("has_card"), some(F.lower(v).rlike("street|ave|road|dr")).alias("has_address"),
+    )
+
+
+def samples(df: DataFrame, most: int = 3) -> DataFrame:
+    """The first different values of each column in their order as text: column_name, sample_values. A tree of partial minima, not a sort."""
+    values = distinct_values(df).filter("v IS NOT NULL")
+    smallest = values.groupBy("column_name", F.pmod(F.xxhash64("v"), F.lit(64)).alias("salt")).agg(F.slice(F.sort_array(F.collect_set("v")), 1, most).alias("vs"))
+    return smallest.groupBy("column_name").agg(F.slice(F.sort_array(F.flatten(F.collect_list("vs"))), 1, most).alias("sample_values"))
+
+
+def judged_columns(df: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """Classification of each column: by a model's score where there is one, else by the heuristic, and sensitive (0.5) where neither gives an answer.
+
+    scores has column_name and score (probability of being sensitive, null where the model failed).
+    """
+    rules = reduce(DataFrame.unionByName, (heuristic(df, c) for c in df.columns))
+    if scores is None:
+        scores = rules.select("column_name", F.lit(None).cast("double").alias("score"))
+    known = scores.select(F.col("column_name").alias("scored"), "score")
+    joined = rules.join(F.broadcast(known), F.col("column_name") == F.col("scored"), "left")
+    score, sure = F.col("score"), F.coalesce("confidence", F.lit(0.5))
+    by_model = F.when(score >= 0.5, "sensitive").otherwise("non-sensitive")
+    return joined.select(
+        "column_name", F.when(score.isNotNull(), by_model).otherwise(F.coalesce("classification", F.lit("sensitive"))).alias("classification"),
+        F.when(score.isNotNull(), F.greatest(score, 1 - score)).otherwise(sure).alias("confidence"), F.when(score.isNotNull(), "model").when(F.col("classification").isNotNull(), "heuristic").otherwise("assumed").alias("decided_by"),
+    )
 
 
 def heuristic(df: DataFrame, name: str) -> DataFrame:
@@ -63,7 +91,7 @@ def as_text(df: DataFrame, name: str) -> Column:
 
 
 def pii_rollup(frames: dict[str, DataFrame]) -> DataFrame:
-    """Cells with personal data by file and column, and by file (column_name null).
+    """Cells with personal data by file and column, and by file (column_name null), and the types found (sorted).
 
     Each table is unpivoted; all columns are looked at, as text. Nulls are skipped.
     """
@@ -74,4 +102,5 @@ def pii_rollup(frames: dict[str, DataFrame]) -> DataFrame:
     cells = reduce(DataFrame.unionByName, parts)
     counted = cells.select("file", "column_name", *(F.coalesce(F.regexp_count("v", F.lit(p)), F.lit(0)).alias(k) for k, p in SIMPLE_PATTERNS))
     total = sum((F.col(k) for k, _ in SIMPLE_PATTERNS[1:]), F.col(SIMPLE_PATTERNS[0][0]))
-    return counted.rollup("file", "column_name").agg(F.bool_or(total > 0).alias("contains_sensitive"), F.sum(total).cast("long").alias("n_entities"), *(F.count_if(F.col(k) > 0).alias(f"n_{k}") for k, _ in SIMPLE_PATTERNS)).filter("file IS NOT NULL")
+    types = F.array_compact(F.array(*(F.when(F.max(F.col(k)) > 0, k) for k, _ in SIMPLE_PATTERNS)))
+    return counted.rollup("file", "column_name").agg(F.bool_or(total > 0).alias("contains_sensitive"), F.sum(total).cast("long").alias("n_entities"), *(F.count_if(F.col(k) > 0).alias(f"n_{k}") for k, _ in SIMPLE_PATTERNS), F.array_join(F.sort_array(types), ",").alias("types")).filter("file IS NOT NULL")

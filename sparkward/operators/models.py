@@ -10,11 +10,15 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import PCA, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Trees of a forest and rows of each tree.
 TREES, ROWS = 100, 256
+#: Steps of training by client between two cuts of lineage.
+CUT = 5
 
 
 def average_path(n: float) -> float:
@@ -114,12 +118,12 @@ def reconstruction_errors(df: DataFrame, key: str, names: list[str]) -> DataFram
 
 
 def ensemble(scores: DataFrame, errors: DataFrame, weight: float = 0.5) -> DataFrame:
-    """Forest score and reconstruction error, each scaled to 0..1, in one: key, anomaly_score."""
+    """Forest score and reconstruction error, each scaled to 0..1, in one: key, score, error, anomaly_score."""
     from .logs import scaled
 
-    both = scores.join(errors.withColumnRenamed("key", "other"), F.col("key") == F.col("other")).drop("other")
+    both = written(scores.join(errors.withColumnRenamed("key", "other"), F.col("key") == F.col("other")).drop("other"))  # read for its ends, too
     both = scaled(scaled(both, "score", "a"), "error", "b")
-    return both.select("key", (weight * F.col("a") + (1 - weight) * F.col("b")).alias("anomaly_score"))
+    return both.select("key", "score", "error", (weight * F.col("a") + (1 - weight) * F.col("b")).alias("anomaly_score"))
 
 
 def fit_validator(df: DataFrame, numeric: list[str], categorical: list[str], label: str, least: int = 10) -> PipelineModel | None:
@@ -143,13 +147,16 @@ def probability(model: PipelineModel, df: DataFrame) -> DataFrame:
 def train_by_client(df: DataFrame, client: str, names: list[str], label: str, steps: int = 100, rate: float = 0.5) -> DataFrame:
     """Logistic regression for each client by gradient steps that all clients' rows take part in: client_id, idx, value, samples_count.
 
-    Sums of gradients are partial in each task, so a client of very many rows isn't gathered anywhere.
+    Sums of gradients are partial in each task, so a client of very many rows isn't gathered anywhere. Weights
+    are cut from their lineage every CUT steps, so that plans stay small.
     """
     x = F.array(F.lit(1.0), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names))
     rows = df.select(F.col(client).alias("client_id"), x.alias("x"), F.col(label).cast("double").alias("y"))
     k = len(names) + 1
     weights = rows.groupBy("client_id").agg(F.count("*").alias("n")).select("client_id", "n", F.array(*[F.lit(0.0)] * k).alias("w"))
-    for _ in range(steps):
+    for step in range(steps):
+        if step and step % CUT == 0:
+            weights = written(weights)
         joined = rows.join(weights, "client_id")
         dot = F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
         gap = F.col("y") - 1 / (1 + F.exp(-dot))
@@ -199,6 +206,58 @@ def weighted_metrics(df: DataFrame, label: str = "label") -> dict[str, float]:
     return {m: MulticlassClassificationEvaluator(labelCol=label, metricName=m).evaluate(df) for m in ("accuracy", "weightedPrecision", "weightedRecall", "f1")}
 
 
+def feature_importance(model: PipelineModel, names: list[str]) -> list[tuple[str, float]]:
+    """Importance of the features of a model of trees, highest first."""
+    return sorted(zip(names, model.stages[-1].featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))
+
+
+def divided(df: DataFrame, label: str, key: str, share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows, so that each label has about this share of its rows in training, by a hash of the key."""
+    place = F.pmod(F.xxhash64(F.col(key), F.col(label), F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))
+    return df.filter(place), df.filter(~place)
+
+
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def save_forest(forest: DataFrame, path: str) -> None:
+    """Keeps a forest as its table of nodes."""
+    forest.write.mode("overwrite").parquet(path)
+
+
+def load_forest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def describe(df: DataFrame) -> DataFrame:
+    """Count, mean, deviation, minimum, quartiles (approximate) and maximum of each numeric column: column_name and these. One scan."""
+    numeric = [c for c, kind in df.dtypes if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")]
+    if not numeric:
+        raise ValueError("no numeric column")
+
+    def one(c: str):
+        x = F.col(c).cast("double")
+        q = F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000)
+        parts = (F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("deviation"), F.min(x).alias("low"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max(x).alias("high"))
+        return F.struct(F.lit(c).alias("column_name"), *parts)
+
+    return df.agg(*(one(c).alias(f"_{i}") for i, c in enumerate(numeric))).select(F.inline(F.array(*(F.col(f"_{i}") for i in range(len(numeric))))))
+
+
+def scored_or_ruled(logs: DataFrame, score) -> DataFrame:
+    """Anomalies (event_id, anomaly_score) by a model's score (a function from logs to event_id and anomaly_score), or by rules with score 1.0 where score is None."""
+    from .logs import above_percentile, rule_anomalies
+
+    if score is None:
+        return rule_anomalies(logs).select("event_id", "anomaly_score")
+    return above_percentile(written(score(logs)), "anomaly_score").select("event_id", "anomaly_score")
+
+
 def dataset_profile(df: DataFrame) -> DataFrame:
     """Missing values and kind of each column."""
     kinds = dict(df.dtypes)

@@ -81,6 +81,41 @@ def next_run(now: Column, frequency: Column) -> Column:
     return F.when(frequency == "weekly", plus("week", "INTERVAL 7 DAYS")).when(frequency == "monthly", plus("month", "INTERVAL 1 MONTH")).when(frequency == "quarterly", plus("quarter", "INTERVAL 3 MONTHS")).otherwise(plus("day", "INTERVAL 1 DAY"))
 
 
+def period(start: Column, end: Column, now: Column, days: int = 30) -> tuple[Column, Column]:
+    """Start and end of a report's period: up to now, and the last so many days, where they aren't given."""
+    return F.coalesce(start, now - F.make_interval(days=F.lit(days))), F.coalesce(end, now)
+
+
+def active_schedules(schedules: DataFrame, report_type: str | None = None) -> DataFrame:
+    """Active schedules (schedule_id, report_type, frequency, active), of one type if it is named."""
+    on = schedules.filter("active")
+    return on if report_type is None else on.filter(F.col("report_type") == report_type)
+
+
+def schedule_counts(schedules: DataFrame) -> DataFrame:
+    """Active schedules by type of report."""
+    return active_schedules(schedules).groupBy("report_type").agg(F.count("*").alias("n_active"))
+
+
+def storage_counters(stored: DataFrame) -> DataFrame:
+    """Stored reports (report_type, report_data) by type, and their bytes."""
+    return stored.groupBy("report_type").agg(F.count("*").alias("n_reports"), F.coalesce(F.sum(F.octet_length("report_data")), F.lit(0)).cast("long").alias("n_bytes"))
+
+
+def live_dashboard(alerts: DataFrame, sensitive_files: DataFrame, scans: DataFrame) -> DataFrame:
+    """The live view as one row: alerts by priority, risk (High with any high alert, Medium with any medium, else Low), newest alert, sensitive files (rows of that frame) and scans."""
+    count = lambda p: F.count_if(F.col("priority") == p)
+    live = alerts.agg(*(count(p).alias(f"n_{p}") for p in ("high", "medium", "low")), F.max("timestamp").alias("newest_alert"))
+    risk = F.when(F.col("n_high") > 0, "High").when(F.col("n_medium") > 0, "Medium").otherwise("Low")
+    files, total = sensitive_files.agg(F.count("*").alias("sensitive_files")), scans.agg(F.count("*").alias("total_scans"))
+    return live.withColumn("risk_level", risk).join(F.broadcast(files)).join(F.broadcast(total))
+
+
+def recent_alerts(alerts: DataFrame, n: int = 10) -> DataFrame:
+    """The newest alerts."""
+    return alerts.orderBy(F.desc("timestamp"), "alert_id").limit(n)
+
+
 def expiry(created: Column, years: int) -> Column:
     return created + F.make_interval(days=F.lit(365 * years))
 

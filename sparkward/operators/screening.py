@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import REMEDIATION_RULES, ROLE_PERMISSIONS
@@ -40,15 +40,51 @@ def confidence_of(match_score: Column) -> Column:
     return F.when(match_score.isNull(), "medium").when(match_score > 0.9, "high").when(match_score > 0.7, "medium").otherwise("low")
 
 
+def matching_rules(breaches: DataFrame, rules: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """Pairs of a breach (breach_id, breach_type, confidence) and a rule whose conditions it meets.
+
+    Up to most rules are broadcast. More are joined by the key and value of each condition, and a pair stays
+    that meets as many conditions as the rule has; rules without conditions are broadcast, up to most.
+    """
+    facts = F.create_map(F.lit("breach_type"), F.col("breach_type"), F.lit("confidence"), F.col("confidence"))
+    if rules.limit(most + 1).count() <= most:
+        fits = F.forall(F.map_entries("conditions"), lambda c: F.coalesce(F.array_contains(c["value"], facts[c["key"]]), F.lit(False)))
+        return breaches.join(F.broadcast(rules), fits)
+    wanted = rules.select("rule_pos", F.explode("conditions").alias("key", "values")).select("rule_pos", "key", F.explode(F.array_distinct("values")).alias("value"))
+    known = breaches.select(F.col("breach_id").alias("of_breach"), F.explode(facts).alias("fact", "is"))
+    met = known.join(wanted, (F.col("fact") == F.col("key")) & (F.col("is") == F.col("value"))).groupBy("of_breach", "rule_pos").agg(F.count("*").alias("n_met"))
+    by_condition = rules.filter(F.size("conditions") > 0).withColumn("n_conditions", F.size("conditions"))
+    full = met.join(by_condition.select(F.col("rule_pos").alias("pos"), "n_conditions"), (F.col("rule_pos") == F.col("pos")) & (F.col("n_met") == F.col("n_conditions"))).select("of_breach", "pos")
+    pairs = breaches.join(full, F.col("breach_id") == F.col("of_breach")).join(rules, F.col("pos") == F.col("rule_pos")).select(*breaches.columns, *rules.columns)
+    always = rules.filter(F.size("conditions") == 0)
+    if always.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rules without conditions")
+    return pairs.unionByName(breaches.join(F.broadcast(always)).select(*breaches.columns, *rules.columns))
+
+
+def rules_from(spark: SparkSession, path: str) -> DataFrame:
+    """Rules from files in JSON: name, actions, conditions and severity; rule_pos by severity (highest first), then name. Missing conditions are none."""
+    rules = spark.read.schema("name string, actions array<string>, conditions map<string,array<string>>, severity int").option("multiLine", "true").json(path)
+    none = F.from_json(F.lit("{}"), "map<string,array<string>>")
+    pos = F.row_number().over(Window.orderBy(F.desc("severity"), "name")) - 1  # a configuration is small
+    return rules.filter("name IS NOT NULL").select("name", F.coalesce("actions", F.array().cast("array<string>")).alias("actions"), F.coalesce("conditions", none).alias("conditions"), F.coalesce("severity", F.lit(1)).alias("severity")).withColumn("rule_pos", pos)
+
+
+def breach_rows(found: DataFrame) -> DataFrame:
+    """Breaches (event_id, user, resource, match_score and flags of screen) as rows for remediation: unknown values are 'unknown', confidence by the score."""
+    text = lambda name: F.coalesce(F.nullif(F.col(name).cast("string"), F.lit("")), F.lit("unknown")).alias(name)
+    kind = F.when(F.col("ofac_match"), "ofac").when(F.col("bis_match"), "bis").otherwise("unknown")
+    return found.select(F.col("event_id").alias("breach_id"), kind.alias("breach_type"), text("user"), text("resource"), confidence_of(F.col("match_score")).alias("confidence"))
+
+
 def remediation_plan(breaches: DataFrame, rules: DataFrame) -> DataFrame:
     """What to do about each breach (breach_id, breach_type, confidence): breach_id, step, action, rule_name.
 
     A rule matches when each of its conditions names the breach's value; no conditions match all. Rules
     act by severity, then in their order; an action is planned once for a breach.
     """
-    facts = F.create_map(F.lit("breach_type"), F.col("breach_type"), F.lit("confidence"), F.col("confidence"))
-    fits = F.forall(F.map_entries("conditions"), lambda c: F.coalesce(F.array_contains(c["value"], facts[c["key"]]), F.lit(False)))
-    steps = breaches.join(bounded(rules), fits).select("breach_id", F.col("name").alias("rule_name"), "severity", "rule_pos", F.posexplode("actions").alias("action_pos", "action"))
+    matched = matching_rules(breaches, rules)
+    steps = matched.select("breach_id", F.col("name").alias("rule_name"), "severity", "rule_pos", F.posexplode("actions").alias("action_pos", "action"))
     order = (F.desc("severity"), "rule_pos", "action_pos")
     first = steps.withColumn("n", F.row_number().over(Window.partitionBy("breach_id", "action").orderBy(*order))).filter("n = 1")
     return first.select("breach_id", F.row_number().over(Window.partitionBy("breach_id").orderBy(*order)).alias("step"), "action", "rule_name")
@@ -76,6 +112,12 @@ def agreement(ai: Column, rule: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(ai, rule)), F.greatest(F.size(ai), F.size(rule))), F.lit(0.0))
 
 
+def top_actions(scored: Column, most: int = 3) -> Column:
+    """The names of the highest actions of action_scores, of equal ones by name."""
+    order = F.array_sort(scored, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["action"] < b["action"], -1).when(a["action"] > b["action"], 1).otherwise(0))
+    return F.transform(F.slice(order, 1, most), lambda x: x["action"])
+
+
 def hybrid_actions(ai: Column, rule: Column, confidence: Column, least: float = 0.7) -> Column:
     return F.when(confidence >= least, ai).otherwise(rule)
 

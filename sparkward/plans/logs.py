@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import REMEDIATION_RULES, ROLE_PERMISSIONS
 from ..operators import alerts, logs, screening
 from ..session import table
+from ..streaming import streams
 
 
 def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +101,7 @@ REVIEW_QUEUE = f"WITH {QUEUE} SELECT review_id, queued_at, queue, CAST(row_numbe
 
 
 def review_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alerts.review_statistics(alerts.review_queue(review_items(spark, sf_dir)))
+    return alerts.review_statistics(alerts.queued(review_items(spark, sf_dir)))
 
 
 REVIEW_STATS = f"WITH {QUEUE} SELECT queue, count(*) AS n_items, min(queued_at) AS oldest FROM queue GROUP BY queue"
@@ -147,7 +148,12 @@ def screening_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screened(spark, sf_dir).select("o_orderkey", "user", "ofac_match", "bis_match", "compliance_breach")
 
 
-SCREENING = "SELECT o_orderkey, c_name AS \"user\", c_custkey % 97 = 0 AND c_custkey % 2 = 0 AS ofac_match, c_custkey % 97 = 0 AND c_custkey % 2 = 1 AS bis_match, c_custkey % 97 = 0 AS compliance_breach FROM orders JOIN customer ON o_custkey = c_custkey"
+SCREENING = """WITH listed AS (SELECT upper(c_name) AS name, CASE WHEN c_custkey % 2 = 0 THEN 'OFAC - list' ELSE 'BIS - list' END AS source FROM customer WHERE c_custkey % 97 = 0),
+names AS (SELECT lower(name) AS name, bool_or(starts_with(source, 'OFAC')) AS ofac, bool_or(starts_with(source, 'BIS')) AS bis FROM listed GROUP BY 1),
+o AS (SELECT o_orderkey, c_name AS "user", o_orderpriority AS resource FROM orders JOIN customer ON o_custkey = c_custkey),
+f AS (SELECT o_orderkey, "user", coalesce(u.ofac, false) OR coalesce(r.ofac, false) AS ofac_match, coalesce(u.bis, false) OR coalesce(r.bis, false) AS bis_match
+  FROM o LEFT JOIN names u ON u.name = lower("user") LEFT JOIN names r ON r.name = lower(resource))
+SELECT *, ofac_match OR bis_match AS compliance_breach FROM f"""
 
 
 def remediation_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,8 +199,9 @@ def user_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.user_baseline(event_logs(spark, sf_dir))
 
 
-USER_BASELINE = f"""WITH {LOGS}, seen AS (SELECT event_id, user_id, "timestamp", response_time, hour("timestamp") AS h, count(response_time) OVER w AS n_before, avg(response_time) OVER w AS m, sum(response_time) OVER w AS t, stddev_samp(response_time) OVER w AS s FROM logs WINDOW w AS (PARTITION BY user_id ORDER BY "timestamp", event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT event_id, user_id, n_before, round(t, 2) AS sum_before, coalesce(n_before >= 5 AND response_time > m + 3 * s, false) AS volume_alert, row_number() OVER (PARTITION BY user_id, h ORDER BY "timestamp", event_id) = 1 AND n_before >= 5 AS new_hour FROM seen"""
+USER_BASELINE = f"""WITH {LOGS}, seen AS (SELECT event_id, user_id, "timestamp", response_time, resource, hour("timestamp") AS h, count(response_time) OVER w AS n_before, avg(response_time) OVER w AS m, sum(response_time) OVER w AS t, stddev_samp(response_time) OVER w AS s FROM logs WINDOW w AS (PARTITION BY user_id ORDER BY "timestamp", event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT event_id, user_id, n_before, round(t, 2) AS sum_before, coalesce(n_before >= 5 AND response_time > m + 3 * s, false) AS volume_alert, row_number() OVER (PARTITION BY user_id, h ORDER BY "timestamp", event_id) = 1 AND n_before >= 5 AS new_hour,
+  row_number() OVER (PARTITION BY user_id, resource ORDER BY "timestamp", event_id) = 1 AND n_before >= 5 AS new_location FROM seen"""
 
 
 def sequence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -204,7 +211,123 @@ def sequence_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEQUENCE_WINDOWS = f"""WITH {LOGS}, seen AS (SELECT event_id, user_id, response_time, count(*) OVER w AS n, avg(response_time) OVER w AS m, stddev_pop(response_time) OVER w AS s FROM logs WINDOW w AS (PARTITION BY user_id ORDER BY "timestamp", event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))
 SELECT event_id, user_id, round(m, 6) AS window_mean, round(coalesce(abs(response_time - m) / nullif(s, 0), 0), 6) AS distance FROM seen WHERE n = 10"""
 
+def sequence_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of ten rows and their targets; ends and sums stand for the arrays."""
+    found = logs.sequences(event_logs(spark, sf_dir))
+    total = F.aggregate("sequence", F.lit(0.0), lambda a, x: a + x)
+    return found.select("event_id", "user_id", F.col("sequence")[0].alias("oldest"), F.col("sequence")[9].alias("newest"), F.round(total, 4).alias("total"), "target")
+
+
+SEQUENCE_ARRAYS = f"""WITH {LOGS}, seen AS (SELECT event_id, user_id, response_time AS target, list(response_time) OVER (PARTITION BY user_id ORDER BY "timestamp", event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS seq FROM logs WHERE response_time IS NOT NULL)
+SELECT event_id, user_id, seq[1] AS oldest, seq[10] AS newest, round(list_sum(seq), 4) AS total, target FROM seen WHERE len(seq) = 10"""
+
+
+def hybrid_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the row score (the response time) and the sequence score flag."""
+    found = logs.sequences(event_logs(spark, sf_dir))
+    scores = found.select("event_id", F.col("target").alias("row_score"), logs.sequence_distance(F.col("sequence"), F.col("target")).alias("sequence_score"))
+    return logs.hybrid_flags(scores)
+
+
+HYBRID = f"""{LOGS}, seen AS (SELECT event_id, user_id, response_time, count(*) OVER w AS n, avg(response_time) OVER w AS m, stddev_pop(response_time) OVER w AS sd
+  FROM logs WHERE response_time IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY "timestamp", event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
+d AS (SELECT event_id, response_time AS x, coalesce(abs(response_time - m) / nullif(sd, 0), 0) AS y FROM seen WHERE n = 10),
+z AS (SELECT event_id, (x - min(x) OVER ()) / (max(x) OVER () - min(x) OVER ()) AS a, (y - min(y) OVER ()) / (max(y) OVER () - min(y) OVER ()) AS b FROM d),
+flags AS (SELECT event_id, (a + b) / 2 AS score, a > 0.5 AS row_flag, b > 0.5 AS sequence_flag, (a + b) / 2 > 0.5 AS combined_flag FROM z)"""
+
+
+def hybrid_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.flag_agreement(hybrid_flags(spark, sf_dir))
+
+
+HYBRID_AGREEMENT = f"""WITH {HYBRID} SELECT count(*) AS n_rows, count(*) FILTER (row_flag) AS n_row, count(*) FILTER (sequence_flag) AS n_sequence, count(*) FILTER (combined_flag) AS n_combined,
+  round(coalesce(avg(CAST(row_flag = combined_flag AND sequence_flag = combined_flag AS INT)), 0), 6) AS agreement FROM flags"""
+
+
+def hybrid_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = logs.hybrid_alerts(event_logs(spark, sf_dir), hybrid_flags(spark, sf_dir))
+    return found.select("event_id", "source", "user", "resource", F.unix_micros("timestamp").alias("at_us"), F.round("anomaly_score", 6).alias("anomaly_score"), "detection_method")
+
+
+HYBRID_ALERTS = f"""WITH {HYBRID} SELECT event_id, 'events' AS source, "user", resource, epoch_us("timestamp") AS at_us, round(score, 6) AS anomaly_score, 'hybrid_ai' AS detection_method
+FROM flags JOIN logs USING (event_id) WHERE combined_flag"""
+
+
+def validation_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels stand for the feedback that was collected, those of toxic documents for updates."""
+    valid, review, _ = alerts.decide(F.col("confidence"))
+    labels = table(spark, sf_dir, "labels")
+    return alerts.validation_counters(review_items(spark, sf_dir).select(valid.alias("valid"), review.alias("needs_review")), labels, labels.filter("toxic = 1"))
+
+
+VALIDATION_COUNTS = f"""WITH {QUEUE} SELECT count(*) AS processed, count(*) FILTER (confidence > 0.5) AS validated, count(*) FILTER (confidence < 0.7) AS queued,
+  (SELECT count(*) FROM labels) AS collected, (SELECT count(*) FROM labels WHERE toxic = 1) AS updates FROM items"""
+
+
+def alert_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anomalies of every tenth user are suppressed, and alerts of even ids were stored."""
+    found = scored(spark, sf_dir).withColumn("action_decided", F.when(F.col("user_id") % 10 == 0, "suppress").otherwise("alert"))
+    return alerts.generation_counters(found, found.filter("event_id % 2 = 0").select(F.col("event_id").alias("alert_id")))
+
+
+ALERT_GENERATION = f"""WITH {SCORED} SELECT {PRIORITY} AS priority, count(*) AS n_anomalies, count(*) FILTER (user_id % 10 = 0) AS filtered, count(*) FILTER (user_id % 10 <> 0) AS validated,
+  count(*) FILTER (user_id % 10 <> 0 AND event_id % 2 = 0) AS created FROM scored GROUP BY 1"""
+
+
+def auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alerts.auroc(observed(spark, sf_dir))
+
+
+AUROC = """WITH o AS (SELECT n_chars AS error, toxic = 1 AS p FROM labels JOIN documents USING (doc_id)),
+r AS (SELECT p, rank() OVER (ORDER BY error) + (count(*) OVER (PARTITION BY error) - 1) / 2.0::DOUBLE AS rk FROM o),
+s AS (SELECT sum(rk) FILTER (p) AS ranks, count(*) FILTER (p) AS np, count(*) FILTER (NOT p) AS nn FROM r)
+SELECT round((ranks - np * (np + 1) / 2.0::DOUBLE) / nullif(np * nn, 0), 6) AS auroc FROM s"""
+
+
+def action_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three highest actions for each breach, those that a hybrid decision takes, and how far model and rules agree."""
+    hits = screened(spark, sf_dir).filter("compliance_breach")
+    severity = F.least(F.lit(1.0), F.col("o_totalprice") / 500000.0)
+    words = lambda *xs: F.array(*map(F.lit, xs))
+    ai = F.when(F.col("o_totalprice") > 200000, words("access_revocation", "email_alert")).otherwise(words("logging", "email_alert"))
+    rule = F.when(F.col("ofac_match"), words("logging", "quarantine")).otherwise(words("logging"))
+    top = screening.top_actions(screening.action_scores(ai, rule, severity, F.lit(0.8)))
+    chosen = screening.hybrid_actions(ai, rule, severity)
+    return hits.select(F.col("o_orderkey").alias("breach_id"), F.array_join(top, ",").alias("top"), F.array_join(chosen, ",").alias("chosen"), F.round(screening.agreement(ai, rule), 6).alias("agreement"))
+
+
+ACTION_RANKING = """WITH b AS (SELECT o_orderkey AS breach_id, least(1.0::DOUBLE, o_totalprice / 500000.0::DOUBLE) AS severity, CASE WHEN o_totalprice > 200000 THEN ['access_revocation', 'email_alert'] ELSE ['logging', 'email_alert'] END AS ai,
+  CASE WHEN c_custkey % 2 = 0 THEN ['logging', 'quarantine'] ELSE ['logging'] END AS rule FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 97 = 0),
+a AS (SELECT *, severity * 0.8::DOUBLE AS w, unnest(list_distinct(list_concat(ai, rule))) AS action FROM b),
+s AS (SELECT breach_id, action, CAST(list_contains(ai, action) AS INT)::DOUBLE * w + CAST(list_contains(rule, action) AS INT)::DOUBLE * (1 - w) AS score FROM a),
+t AS (SELECT breach_id, array_to_string(list_slice(list(action ORDER BY score DESC, action), 1, 3), ',') AS top FROM s GROUP BY 1)
+SELECT breach_id, top, array_to_string(CASE WHEN severity >= 0.7 THEN ai ELSE rule END, ',') AS chosen, round(len(list_intersect(ai, rule)) / greatest(len(ai), len(rule))::DOUBLE, 6) AS agreement FROM b JOIN t USING (breach_id)"""
+
+
+def failed_logins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as log-ins, errors as failed ones: successes after two failures or more within a day."""
+    e = table(spark, sf_dir, "events")
+    logins = e.select(F.col("user_id").alias("user"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_type") != "error").alias("successful")).distinct()
+    return streams.failed_then_success(logins, 1440, 2).select("user", F.unix_micros("at").alias("at_us"), "n_failed")
+
+
+FAILED_LOGINS = """WITH l AS (SELECT DISTINCT user_id AS "user", ts AS at, event_type <> 'error' AS ok FROM events)
+SELECT g."user", epoch_us(g.at) AS at_us, count(*) AS n_failed FROM l g JOIN l b ON b."user" = g."user" AND NOT b.ok AND b.at < g.at AND b.at >= g.at - INTERVAL 1440 MINUTE WHERE g.ok GROUP BY 1, 2 HAVING count(*) >= 2"""
+
+
+def sources_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logs of two sources as one."""
+    chat = table(spark, sf_dir, "conversations").select(F.col("role").alias("user"), F.col("text").alias("message"))
+    both = logs.united({"events": event_logs(spark, sf_dir), "chat": chat})
+    return both.groupBy("source", "status").agg(F.count("*").alias("n_rows"), F.count_distinct("user").alias("n_users"), F.count_if(F.col("timestamp").isNull()).alias("no_time"))
+
+
+SOURCES_UNION = f"""WITH {LOGS} SELECT 'events' AS source, status, count(*) AS n_rows, count(DISTINCT "user") AS n_users, count(*) FILTER ("timestamp" IS NULL) AS no_time FROM logs GROUP BY status
+UNION ALL SELECT 'chat', '', count(*), count(DISTINCT coalesce(role, '')), count(*) FROM conversations"""
+
 QUERIES = {
+    "sequence_arrays": (sequence_arrays, SEQUENCE_ARRAYS), "hybrid_agreement": (hybrid_agreement, HYBRID_AGREEMENT), "hybrid_alerts": (hybrid_alerts, HYBRID_ALERTS), "validation_counts": (validation_counts, VALIDATION_COUNTS),
+    "alert_generation": (alert_generation, ALERT_GENERATION), "auroc": (auroc, AUROC), "action_ranking": (action_ranking, ACTION_RANKING), "failed_logins": (failed_logins, FAILED_LOGINS), "sources_union": (sources_union, SOURCES_UNION),
     "logs_normalized": (logs_normalized, LOGS_NORMALIZED), "anomalies_rule": (anomalies_rule, ANOMALIES_RULE), "anomalies_percentile": (anomalies_percentile, ANOMALIES_PERCENTILE), "alert_messages": (alert_messages, ALERT_MESSAGES),
     "alert_stats": (alert_stats, ALERT_STATS), "alerts_dedup": (alerts_dedup, ALERTS_DEDUP), "review_queue": (review_queue, REVIEW_QUEUE), "review_stats": (review_stats, REVIEW_STATS), "feedback_stats": (feedback_stats, FEEDBACK_STATS),
     "best_threshold": (best_threshold, BEST_THRESHOLD), "confusion_metrics": (confusion_metrics, CONFUSION_METRICS), "screening": (screening_hits, SCREENING), "remediation_plan": (remediation_plan, REMEDIATION_PLAN), "siem_alerts": (siem_alerts, SIEM_ALERTS),

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import time
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.logs import normalize
+from ..session import written
+
 #: Extensions that a scan takes, if none are named.
 EXTENSIONS = ("txt", "csv", "json", "xml", "html", "md")
 SYSLOG = r"^(?:<(\d+)>)?(\w{3}\s+\d+ [\d:]{8}) (\S+) ([^:\[]+)(?:\[(\d+)\])?: (.*)$"
@@ -52,11 +61,48 @@ def screening_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("results array<struct<name:string,source:string>>").option("multiLine", "true").json(path).select(F.inline("results")).distinct()
 
 
-def feedback(spark: SparkSession, path: str) -> DataFrame:
-    """Feedback files; of several for an anomaly the latest counts. Fields of context become columns."""
-    rows = spark.read.option("multiLine", "true").json(path)
-    newest = Window.partitionBy("anomaly_id").orderBy(F.desc("timestamp"))
-    return rows.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").drop("_n").select("anomaly_id", "is_true_positive", "anomaly_type", "feedback_source", "timestamp", "context.*")
+#: Seconds after which a screening list is read anew.
+LIST_SECONDS = 86_400
+
+
+class ScreeningList:
+    """A screening list that is read anew once it is older than seconds; while that fails, the stale copy goes on.
+
+    clock gives the time in seconds. The first read must succeed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, seconds: float = LIST_SECONDS, clock: Callable[[], float] = time.time):
+        self.spark, self.path, self.seconds, self.clock = spark, path, seconds, clock
+        self.names, self.read_at, self.error = None, None, None
+
+    def current(self) -> DataFrame:
+        if self.names is None or self.clock() - self.read_at > self.seconds:
+            try:
+                self.names, self.error = written(screening_list(self.spark, self.path)), None
+                self.read_at = self.clock()
+            except (PySparkException, Py4JJavaError) as e:
+                if self.names is None:
+                    raise
+                self.error = str(e).splitlines()[0]
+        return self.names
+
+    def size(self) -> int:
+        return self.current().select(F.lower("name")).distinct().count()
+
+
+def newest_of(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The row of each key with the highest order; of equal ones the last by all its columns."""
+    names = [c for c in df.columns if c != key]
+    whole = F.struct(F.col(order), F.to_json(F.struct(*df.columns)))
+    return df.groupBy(key).agg(F.max_by(F.struct(*names), whole).alias("_row")).select(key, "_row.*").select(*df.columns)
+
+
+def feedback(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """Feedback files; of several for an anomaly the latest counts. Fields of context become columns. With most, the newest so many."""
+    latest = newest_of(spark.read.option("multiLine", "true").json(path), "anomaly_id", "timestamp")
+    if most is not None:
+        latest = latest.orderBy(F.desc("timestamp"), "anomaly_id").limit(most)
+    return latest.select("anomaly_id", "is_true_positive", "anomaly_type", "feedback_source", "timestamp", "context.*")
 
 
 def scan_tables(spark: SparkSession, tables: list[str], profile) -> tuple[list[DataFrame], dict[str, str]]:
@@ -65,15 +111,15 @@ def scan_tables(spark: SparkSession, tables: list[str], profile) -> tuple[list[D
     for name in tables:
         try:
             done.append(profile(spark.table(name)).withColumn("table_name", F.lit(name)))
-        except Exception as e:  
+        except (PySparkException, Py4JJavaError) as e:
             failed[name] = str(e).splitlines()[0]
     return done, failed
 
 
-def email_outbox(breaches: DataFrame, recipients: tuple[str, ...], sender: str) -> DataFrame:
-    """Mails to send about breaches; none without recipients."""
+def email_outbox(breaches: DataFrame, recipients: tuple[str, ...], sender: str, test_mode: bool = False) -> DataFrame:
+    """Mails to send about breaches; none without recipients. In test mode they are marked so and not to be sent."""
     body = F.concat(F.lit("<h2>Compliance breach</h2><p>"), F.col("breach_type"), F.lit(" by "), F.coalesce("user", F.lit("unknown")), F.lit("</p>"))
-    return breaches.filter(F.lit(bool(recipients))).select("breach_id", F.concat(F.lit("Compliance Alert: "), F.upper("breach_type")).alias("subject"), F.lit(sender).alias("sender"), F.array(*map(F.lit, recipients)).cast("array<string>").alias("recipients"), body.alias("html"))
+    return breaches.filter(F.lit(bool(recipients))).select("breach_id", F.concat(F.lit("Compliance Alert: "), F.upper("breach_type")).alias("subject"), F.lit(sender).alias("sender"), F.array(*map(F.lit, recipients)).cast("array<string>").alias("recipients"), body.alias("html"), F.lit("test" if test_mode else "pending").alias("state"))
 
 
 def revocations(breaches: DataFrame, rule: str) -> DataFrame:
@@ -99,8 +145,35 @@ def cleared(df: DataFrame, path: str) -> None:
 
 def latest_state(history: DataFrame) -> DataFrame:
     """The last state of each scan of a history that has a row for each state."""
-    last = Window.partitionBy("scan_id").orderBy(F.desc("recorded_at"))
-    return history.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
+    return newest_of(history, "scan_id", "recorded_at")
+
+
+def source_states(sources: DataFrame, read: DataFrame) -> DataFrame:
+    """Sources (source_type, name, path_pattern, format, max_age_days) with their state: the last time read (read: name, last_time) and 'new' or 'known'."""
+    last = read.groupBy(F.col("name").alias("_name")).agg(F.max("last_time").alias("last_time"))
+    joined = sources.join(last, F.col("name") == F.col("_name"), "left").drop("_name")
+    return joined.withColumn("state", F.when(F.col("last_time").isNull(), "new").otherwise("known"))
+
+
+#: Types of sources and the schemes of their paths.
+SCHEMES = {"aws_s3": "s3a://", "azure_blob": "abfss://", "on_prem": ""}
+
+
+def ingest(spark: SparkSession, states: DataFrame, now: Column) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """What is new in each source of source_states (a small table): logs by name, and the errors of those that can't be read.
+
+    A path without a scheme takes that of its type. Rows count as new after the last time read, or within
+    max_age_days.
+    """
+    parts, failed = {}, {}
+    for s in states.orderBy("source_type", "name").collect():
+        path = s.path_pattern if "://" in s.path_pattern else SCHEMES[s.source_type] + s.path_pattern
+        try:
+            logs = normalize(read_logs(spark, path, s.format))
+            parts[s.name] = since(logs, F.lit(s.last_time).cast("timestamp"), now, s.max_age_days).withColumn("source_type", F.lit(s.source_type))
+        except (PySparkException, ValueError) as e:
+            failed[s.name] = str(e).splitlines()[0]
+    return parts, failed
 
 
 def column_texts(df: DataFrame, most: int | None = None) -> DataFrame:
@@ -113,17 +186,26 @@ def column_texts(df: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def sampled_table(spark: SparkSession, url: str, name: str, percent: float = 1.0, limit: int = 1000, **options: str) -> DataFrame:
-    """A sample of a database table by JDBC; sample and limit go to the database where it can take them."""
-    reader = spark.read.format("jdbc").option("url", url).option("dbtable", name)
+    """A sample of a database table by JDBC, drawn by the database itself."""
+    reader = spark.read.format("jdbc").option("url", url).option("query", sample_query(name, percent, limit))
     for key, value in options.items():
         reader = reader.option(key, value)
-    return reader.load().sample(percent / 100).limit(limit)
+    return reader.load()
+
+
+def sample_query(name: str, percent: float, limit: int) -> str:
+    """The query that the database answers. name is of letters, digits, underscores and dots."""
+    if not re.fullmatch(r"\w+(\.\w+)*", name):
+        raise ValueError(f"no name of a table: {name}")
+    return f"SELECT * FROM {name} TABLESAMPLE SYSTEM ({float(percent)}) LIMIT {int(limit)}"
+
+
+OFFENSES = "id long, description string, status string, severity int, start_time long, categories array<string>"
 
 
-def offenses(spark: SparkSession, path: str, since_ms: int) -> DataFrame:
-    """Landed offenses that are open, above severity 5 and newer than the last run."""
-    schema = "id long, description string, status string, severity int, start_time long, categories array<string>"
-    return spark.read.schema(schema).json(path).filter((F.col("status") == "OPEN") & (F.col("severity") > 5) & (F.col("start_time") > since_ms))
+def offenses(spark: SparkSession, path: str, since_ms: int, status: str = "OPEN", above: int = 5) -> DataFrame:
+    """Landed offenses of a status, above a severity and newer than the last run."""
+    return spark.read.schema(OFFENSES).json(path).filter((F.col("status") == status) & (F.col("severity") > above) & (F.col("start_time") > since_ms))
 
 
 def ingestion_results(parts: dict[str, DataFrame]) -> DataFrame:

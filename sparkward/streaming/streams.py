@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import alerts, screening
+from ..sources.readers import OFFENSES
+
 #: How late rows may come.
 LATENESS = "1 hour"
 
@@ -56,6 +59,77 @@ def against_baseline(counts: DataFrame, baseline: DataFrame, key: str, factor: f
     return counts.join(known, F.col(key) == F.col("_key")).filter(F.col("n") > factor * F.col("usual")).drop("_key")
 
 
+def failed_then_success(logins: DataFrame, minutes: int = 10, least: int = 3) -> DataFrame:
+    """Successful log-ins (user, at, successful) after so many failed ones of the user within the minutes before: user, at, n_failed.
+
+    Failures count in their own span of minutes and the next, so that user and span are the key of the join
+    and a user of very many log-ins is spread over time. Works on tables and on streams with a watermark on at.
+    """
+    width = f"{minutes} minutes"
+    near = F.expr(f"INTERVAL {minutes} MINUTES")
+    span = lambda at: F.window(at, width)["start"]
+    good = logins.filter("successful").select("user", "at", span(F.col("at")).alias("span"))
+    bad = logins.filter("NOT successful").select(F.col("user").alias("f_user"), F.col("at").alias("f_at"), F.explode(F.array(span(F.col("at")), span(F.col("at") + near))).alias("f_span"))
+    within = (F.col("user") == F.col("f_user")) & (F.col("span") == F.col("f_span")) & (F.col("f_at") < F.col("at")) & (F.col("f_at") >= F.col("at") - near)
+    met = good.join(bad, within)
+    return met.groupBy(F.window("at", "1 second").alias("w"), "user", "at").agg(F.count("*").alias("n_failed")).filter(F.col("n_failed") >= least).select("user", "at", "n_failed")
+
+
+def poll(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], every: str = "60 seconds", name: str | None = None):
+    """Starts a query that looks for new rows at each interval, as offenses that are landed; gives the running query. The checkpoint remembers what was read."""
+    writer = df.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(sink)
+    return (writer.queryName(name) if name else writer).start()
+
+
+def polled_offenses(spark: SparkSession, path: str, first_ms: int) -> DataFrame:
+    """A stream of landed offenses that are open and above severity 5, those since first_ms (24 hours back at the first run)."""
+    landed = read_files(spark, path, OFFENSES, "json")
+    return landed.filter((F.col("status") == "OPEN") & (F.col("severity") > 5) & (F.col("start_time") > first_ms))
+
+
+class Monitor:
+    """The monitor loop as the sink of one stream: logs are normalized, scored, turned into alerts, screened, and breaches get their remediation steps.
+
+    Each batch adds to four tables below folder: anomalies, alerts, breaches and plan, in a partition of its
+    own (batch=number) that a repeated batch overwrites, so every batch counts once. Alerts whose message
+    was raised within the hour, in the batch or before it, are left out.
+    """
+
+    TABLES = ("anomalies", "alerts", "breaches", "plan")
+
+    def __init__(self, folder: str, listed: DataFrame, rules: DataFrame, score: Callable[[DataFrame], DataFrame], minutes: int = 60):
+        self.folder, self.listed, self.rules, self.score, self.minutes = folder, listed, rules, score, minutes
+
+    def stored(self, spark: SparkSession, name: str, before: int | None = None) -> DataFrame | None:
+        """A table of results, without those of batches from a number on."""
+        path = f"{self.folder}/{name}"
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+            return None
+        rows = spark.read.option("basePath", path).parquet(path)
+        return rows if before is None else rows.filter(F.col("batch") < before)
+
+    def put(self, df: DataFrame, name: str, batch: int) -> DataFrame:
+        path = f"{self.folder}/{name}/batch={batch}"
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        anomalies = self.put(self.score(batch), "anomalies", number)
+        raised = alerts.alerts(anomalies)
+        before = self.stored(spark, "alerts", number)
+        if before is not None:
+            raised = alerts.not_repeated(raised, before.select("message", "timestamp"), self.minutes)
+        kept = alerts.deduplicated(raised, self.minutes).select(F.col("message").alias("_message"), F.col("timestamp").alias("_at"))
+        first = raised.join(kept, (F.col("message") == F.col("_message")) & (F.col("timestamp") == F.col("_at")))
+        one = first.groupBy("message", "timestamp").agg(F.min_by(F.struct(*raised.columns), "alert_id").alias("_alert")).select("_alert.*")
+        self.put(one, "alerts", number)
+        hits = screening.screen(anomalies, self.listed).filter("compliance_breach").withColumn("match_score", F.col("anomaly_score"))
+        breaches = self.put(screening.breach_rows(hits), "breaches", number)
+        self.put(screening.remediation_plan(breaches, self.rules), "plan", number)
+
+
 def run_available(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Processes all that has come so far, batch by batch, and stops; goes on from the checkpoint the next time."""
     df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start().awaitTermination()
