@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Output rows are handed back to Spark in batches of at most so many rows or bytes.
 BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
 
@@ -59,11 +61,6 @@ class Rows:
         return pa.RecordBatch.from_arrays(arrays, schema=self.schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder for cut lineages, or a folder of its own for local runs."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/spark-checkpoints"
-
-
 def carried(out: pa.RecordBatch, batch: pa.RecordBatch, first: int, start: int) -> pa.RecordBatch:
     """out, whose rows stand for those of batch from start on, with the columns of batch from first on."""
     names = [*out.schema.names, *batch.schema.names[first:]]
