@@ -35,8 +35,8 @@ MIN_BYTES, GRAM = 100, 24
 SLICE, RUN_ANCHORS, RUN_KEYS = 1 << 19, 250_000, 60_000
 #: A range of the order holds about so many strings. Of more ranges than so many, splitters aren't broadcast: the order is cut in two steps.
 RANGE_KEYS, MOST_SPLITTERS = 40_000, 4_000
-#: Blocks offer one of so many of their strings as splitters, of which so many are taken for each range, to so many bytes each.
-SAMPLE_STEP, SAMPLE_OF_RANGE, SPLITTER_BYTES = 250, 16, 64
+#: Blocks offer one of so many of their strings as splitters, of which so many are taken for each range.
+SAMPLE_STEP, SAMPLE_OF_RANGE = 250, 16
 #: Odd multipliers of the hashes.
 B1, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 U64 = np.uint64
@@ -239,11 +239,13 @@ class Ranges:
 
 
 def sampled(blocks: DataFrame, keys: int, most: int) -> DataFrame:
-    """About most of the strings that blocks offer, or all if they are fewer, chosen by a hash: s, cut to SPLITTER_BYTES."""
+    """About most of the strings that blocks offer, or all if they are fewer, chosen by a hash: s.
+
+    Strings are whole, under 200 bytes: very many may share all but their ends.
+    """
     share = min(1.0, most * SAMPLE_STEP / max(1, keys))
     offered = blocks.select("run", F.explode("sample").alias("s"))
-    chosen = offered.filter(F.pmod(F.xxhash64("s", "run"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    return chosen.select(F.substring("s", 1, SPLITTER_BYTES).alias("s"))
+    return offered.filter(F.pmod(F.xxhash64("s", "run"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("s")
 
 
 def ranges_of(blocks: DataFrame, least: int) -> Ranges:
