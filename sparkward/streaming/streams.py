@@ -72,7 +72,7 @@ def failed_then_success(logins: DataFrame, minutes: int = 10, least: int = 3) ->
     bad = logins.filter("NOT successful").select(F.col("user").alias("f_user"), F.col("at").alias("f_at"), F.explode(F.array(span(F.col("at")), span(F.col("at") + near))).alias("f_span"))
     within = (F.col("user") == F.col("f_user")) & (F.col("span") == F.col("f_span")) & (F.col("f_at") < F.col("at")) & (F.col("f_at") >= F.col("at") - near)
     met = good.join(bad, within)
-    return met.groupBy(F.window("at", "1 second").alias("w"), "user", "at").agg(F.count("*").alias("n_failed")).filter(F.col("n_failed") >= least).select("user", "at", "n_failed")
+    return met.groupBy("user", "at").agg(F.count("*").alias("n_failed")).filter(F.col("n_failed") >= least)
 
 
 def poll(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], every: str = "60 seconds", name: str | None = None):
