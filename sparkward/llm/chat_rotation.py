@@ -42,12 +42,19 @@ def rotate_perspectives(turns: DataFrame, narrators: tuple[str, ...] = NARRATORS
     The join is by conv_id with the distinct speakers of a dialogue, so a dialogue of any length
     is split over tasks, and no dialogue is collected.
     """
-    said = turns.select("conv_id", "turn", F.coalesce(F.nullif(F.col("role"), F.lit("")), F.lit(UNNAMED)).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"))
-    parties = said.filter(~F.col("speaker").isin(*narrators)).select("conv_id", "speaker").distinct().select(F.col("conv_id").alias("party_conv"), F.col("speaker").alias("perspective"))
+    said = turns.select(
+        "conv_id", "turn", F.coalesce(F.nullif(F.col("role"), F.lit("")), F.lit(UNNAMED)).alias("speaker"),
+        F.coalesce("text", F.lit("")).alias("text")
+    )
+    parties = said.filter(~F.col("speaker").isin(*narrators)).select("conv_id", "speaker").distinct().select(
+        F.col("conv_id").alias("party_conv"), F.col("speaker").alias("perspective")
+    )
     both = said.join(parties, F.col("conv_id").eqNullSafe(F.col("party_conv")))
     own, narrator = F.col("speaker") == F.col("perspective"), F.col("speaker").isin(*narrators)
     as_role = F.when(own, "assistant").when(narrator, "system").otherwise("user")
-    header = F.concat(F.lit(START), as_role, F.when(own | narrator, "").otherwise(F.concat(F.lit(" name="), plain_name(F.col("speaker")))), F.lit("\n"))
+    header = F.concat(
+        F.lit(START), as_role, F.when(own | narrator, "").otherwise(F.concat(F.lit(" name="), plain_name(F.col("speaker")))), F.lit("\n")
+    )
     body = F.concat(neutral("text"), F.lit(END))
     return both.select(
         "conv_id", "perspective", "turn", "speaker", as_role.alias("as_role"), F.concat(header, body, F.lit("\n")).alias("rendered"),
@@ -59,7 +66,8 @@ CONTROL_SQL = " || ".join(f"chr({ord(c)})" for c in CONTROLS)
 SQL = f"""
 WITH said AS (SELECT conv_id, turn, coalesce(nullif(role, ''), 'unknown') AS speaker, coalesce(text, '') AS text FROM conversations),
 parties AS (SELECT DISTINCT conv_id AS party_conv, speaker AS perspective FROM said WHERE speaker <> 'system'),
-roles AS (SELECT conv_id, perspective, turn, speaker, CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system' ELSE 'user' END AS as_role,
+roles AS (SELECT conv_id, perspective, turn, speaker, CASE WHEN speaker = perspective THEN 'assistant' WHEN speaker = 'system' THEN 'system'
+  ELSE 'user' END AS as_role,
   replace(replace(text, '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') || '<|im_end|>' AS body,
   replace(replace(translate(speaker, {CONTROL_SQL}, repeat(' ', {len(CONTROLS)})), '<|im_start|>', '<| im_start|>'), '<|im_end|>', '<| im_end|>') AS name
   FROM said JOIN parties ON conv_id IS NOT DISTINCT FROM party_conv),

@@ -24,10 +24,14 @@ def connected_components(links: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("u"), F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, F.col("u") == F.col("node")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(least, F.col("u") == F.col("node")).select(
+            F.col("v").alias("u"), F.col("m").alias("v")
+        ).filter("u <> v").distinct()
         least = large.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
         small = large.join(least, F.col("u") == F.col("node"))
-        old, edges = edges, written(small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).filter("u <> v").unionByName(least.select(F.col("node").alias("u"), F.col("m").alias("v"))).distinct())
+        old, edges = edges, written(small.select(
+            F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")
+        ).filter("u <> v").unionByName(least.select(F.col("node").alias("u"), F.col("m").alias("v"))).distinct())
         discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:

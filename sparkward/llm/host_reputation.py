@@ -19,7 +19,10 @@ class Rule:
     path: str
 
 
-RULES = (Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/"))
+RULES = (
+    Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"),
+    Rule("block", "net", "/fr/")
+)
 #: Public suffixes of two labels; all others are the last label of a host.
 SUFFIXES = (
     "ac.jp", "ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.hk", "com.mx",
@@ -65,7 +68,10 @@ def prior_weight(counts: DataFrame) -> float:
 
     Uses the between-group part of the variance. One row of sums comes to the driver.
     """
-    s = counts.filter("n > 0").agg(F.count("*").alias("m"), F.sum("n").alias("n"), F.sum("bad").alias("b"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("q")).first()
+    s = counts.filter("n > 0").agg(
+        F.count("*").alias("m"), F.sum("n").alias("n"), F.sum("bad").alias("b"), F.sum(F.col("n") * F.col("n")).alias("nn"),
+        F.sum(F.col("bad") * F.col("bad") / F.col("n")).alias("q")
+    ).first()
     if not s.n or s.m < 2 or s.b in (0, s.n):
         return MOST_WEIGHT
     p = s.b / s.n
@@ -82,17 +88,23 @@ def posteriors_of_counts(counts: DataFrame, suffixes: tuple[str, ...] = SUFFIXES
     counts has host, n (labelled pages) and bad (bad ones of these); suffix, registered domain and
     host are shrunk in turn towards the level above. Weights of the priors come from the data.
     """
-    hosts = counts.select("host", "n", "bad").withColumn("domain", registered_domain(F.col("host"), suffixes)).withColumn("suffix", public_suffix(F.col("host"), suffixes))
+    hosts = counts.select("host", "n", "bad").withColumn(
+        "domain", registered_domain(F.col("host"), suffixes)
+    ).withColumn("suffix", public_suffix(F.col("host"), suffixes))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     by_suffix = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = by_suffix.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     top = ((total.bad or 0) + 1) / ((total.n or 0) + 2)
     w_suffix, w_domain, w_host = prior_weight(by_suffix), prior_weight(domains), prior_weight(hosts)
     by_suffix = by_suffix.select("suffix", ((F.col("bad") + w_suffix * top) / (F.col("n") + w_suffix)).alias("suffix_mean"))
-    by_domain = domains.join(by_suffix, "suffix").select("domain", ((F.col("bad") + w_domain * F.col("suffix_mean")) / (F.col("n") + w_domain)).alias("domain_mean"))
+    by_domain = domains.join(by_suffix, "suffix").select(
+        "domain", ((F.col("bad") + w_domain * F.col("suffix_mean")) / (F.col("n") + w_domain)).alias("domain_mean")
+    )
     weight = F.col("n") + w_host
     mean = (F.col("bad") + w_host * F.col("domain_mean")) / weight
-    return hosts.join(by_domain, "domain").select("host", "n", "bad", mean.alias("mean")).withColumn("deviation", F.sqrt(F.col("mean") * (1 - F.col("mean")) / (weight + 1)))
+    return hosts.join(by_domain, "domain").select("host", "n", "bad", mean.alias("mean")).withColumn(
+        "deviation", F.sqrt(F.col("mean") * (1 - F.col("mean")) / (weight + 1))
+    )
 
 
 def judge_urls(
@@ -112,13 +124,20 @@ def judge_urls(
     """
     host, path = host_and_path(F.coalesce("url", F.lit("")))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
-    labelled = outcomes.filter(F.col("bad").isNotNull()).groupBy(F.col("page_id").alias("labelled_id")).agg(F.count("*").alias("times"), F.sum("bad").alias("bad_times"))
+    labelled = outcomes.filter(F.col("bad").isNotNull()).groupBy(F.col("page_id").alias("labelled_id")).agg(
+        F.count("*").alias("times"), F.sum("bad").alias("bad_times")
+    )
     seen = split.join(labelled, F.col("page_id") == F.col("labelled_id"), "left")
     by_host = seen.groupBy("host").agg(F.sum(F.coalesce("times", F.lit(0))).alias("n"), F.sum(F.coalesce("bad_times", F.lit(0))).alias("bad"))
-    known = posteriors_of_counts(written(by_host), suffixes).select(F.col("host").alias("known_host"), F.col("mean").alias("host_mean"), (F.col("mean") - z * F.col("deviation")).alias("host_bound"))
+    known = posteriors_of_counts(written(by_host), suffixes).select(
+        F.col("host").alias("known_host"), F.col("mean").alias("host_mean"), (F.col("mean") - z * F.col("deviation")).alias("host_bound")
+    )
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     judged = split.join(known, F.col("host") == F.col("known_host"))
-    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("host_bound") > threshold, "block").otherwise("allow")).alias("verdict"), "host_mean", "host_bound")
+    return judged.select(
+        "page_id", "host", "path", rule.alias("rule"),
+        F.coalesce(verdict, F.when(F.col("host_bound") > threshold, "block").otherwise("allow")).alias("verdict"), "host_mean", "host_bound"
+    )
 
 
 PAIRS = ", ".join(f"'{s}'" for s in SUFFIXES)
@@ -126,20 +145,26 @@ PAIRS = ", ".join(f"'{s}'" for s in SUFFIXES)
 SQL = f"""
 WITH urls AS (SELECT page_id, coalesce(url, '') AS url FROM pages),
 rests AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM urls),
-split AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+split AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
 outcomes AS (SELECT doc_id AS page_id, CAST(quality = 0 OR toxic = 1 AS INT) AS bad FROM labels),
 labelled AS (SELECT page_id AS labelled_id, count(*) AS times, sum(bad) AS bad_times FROM outcomes WHERE bad IS NOT NULL GROUP BY 1),
 cut AS (SELECT host, CAST(sum(coalesce(times, 0)) AS BIGINT) AS n, CAST(sum(coalesce(bad_times, 0)) AS BIGINT) AS bad,
-  regexp_extract(host, '([^.]*)$') AS last_one, regexp_extract(host, '([^.]*\\.)?[^.]*$') AS last_two, regexp_extract(host, '([^.]*\\.)?([^.]*\\.)?[^.]*$') AS last_three
+  regexp_extract(host, '([^.]*)$') AS last_one, regexp_extract(host, '([^.]*\\.)?[^.]*$') AS last_two, regexp_extract(host,
+    '([^.]*\\.)?([^.]*\\.)?[^.]*$') AS last_three
   FROM split LEFT JOIN labelled ON page_id = labelled_id GROUP BY host),
-hosts AS (SELECT host, n, bad, CASE WHEN last_two IN ({PAIRS}) THEN last_three ELSE last_two END AS domain, CASE WHEN last_two IN ({PAIRS}) THEN last_two ELSE last_one END AS suffix FROM cut),
+hosts AS (SELECT host, n, bad, CASE WHEN last_two IN ({PAIRS}) THEN last_three ELSE last_two END AS domain, CASE
+  WHEN last_two IN ({PAIRS}) THEN last_two ELSE last_one END AS suffix FROM cut),
 domains AS (SELECT domain, suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM hosts GROUP BY 1, 2),
 suffixes AS (SELECT suffix, CAST(sum(n) AS BIGINT) AS n, CAST(sum(bad) AS BIGINT) AS bad FROM domains GROUP BY 1),
 levels AS (SELECT 'host' AS level, n, bad FROM hosts UNION ALL SELECT 'domain', n, bad FROM domains UNION ALL SELECT 'suffix', n, bad FROM suffixes),
-sums AS (SELECT level, count(*) AS m, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS b, CAST(sum(n * n) AS DOUBLE) AS nn, sum(CAST(bad * bad AS DOUBLE) / n) AS q, CAST(sum(bad) AS DOUBLE) / sum(n) AS p FROM levels WHERE n > 0 GROUP BY level),
+sums AS (SELECT level, count(*) AS m, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(bad) AS DOUBLE) AS b, CAST(sum(n * n) AS DOUBLE) AS nn,
+  sum(CAST(bad * bad AS DOUBLE) / n) AS q, CAST(sum(bad) AS DOUBLE) / sum(n) AS p FROM levels WHERE n > 0 GROUP BY level),
 moments AS (SELECT *, q - b * p - p * (1 - p) * (m - 1) AS between_groups, p * (1 - p) * (n - nn / n - m + 1) AS room FROM sums),
-weights AS (SELECT level, CASE WHEN m < 2 OR b = 0 OR b = n OR between_groups <= 0 OR room <= 0 THEN 1000.0::DOUBLE ELSE least(1000.0::DOUBLE, greatest(1.0::DOUBLE, room / between_groups - 1)) END AS w FROM moments),
-w AS (SELECT coalesce(max(w) FILTER (level = 'host'), 1000.0::DOUBLE) AS host_w, coalesce(max(w) FILTER (level = 'domain'), 1000.0::DOUBLE) AS domain_w, coalesce(max(w) FILTER (level = 'suffix'), 1000.0::DOUBLE) AS suffix_w FROM weights),
+weights AS (SELECT level, CASE WHEN m < 2 OR b = 0 OR b = n OR between_groups <= 0 OR room <= 0 THEN 1000.0::DOUBLE
+  ELSE least(1000.0::DOUBLE, greatest(1.0::DOUBLE, room / between_groups - 1)) END AS w FROM moments),
+w AS (SELECT coalesce(max(w) FILTER (level = 'host'), 1000.0::DOUBLE) AS host_w, coalesce(max(w) FILTER (level = 'domain'),
+  1000.0::DOUBLE) AS domain_w, coalesce(max(w) FILTER (level = 'suffix'), 1000.0::DOUBLE) AS suffix_w FROM weights),
 top AS (SELECT (coalesce(sum(bad), 0) + 1)::DOUBLE / (coalesce(sum(n), 0) + 2) AS top FROM suffixes),
 by_suffix AS (SELECT suffix, (bad + suffix_w * top) / (n + suffix_w) AS suffix_mean FROM suffixes, w, top),
 by_domain AS (SELECT domain, (bad + domain_w * suffix_mean) / (n + domain_w) AS domain_mean FROM domains JOIN by_suffix USING (suffix), w),
@@ -152,5 +177,6 @@ judged AS (SELECT page_id, host, path, bound, CASE
   WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
   WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule
   FROM split JOIN bounds ON host = known_host)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM judged
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('www.example.com/en/', 'com/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN bound > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM judged
 """

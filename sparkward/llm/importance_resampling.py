@@ -130,7 +130,9 @@ def kth_largest(values: DataFrame, column: str, k: int) -> int | None:
     return prefix - (1 << 63)
 
 
-def resample(docs: DataFrame, target_ids: DataFrame, share: float = SHARE, seed: int = SEED, buckets: int = BUCKETS, fit_docs: int = FIT_DOCS) -> DataFrame:
+def resample(
+    docs: DataFrame, target_ids: DataFrame, share: float = SHARE, seed: int = SEED, buckets: int = BUCKETS, fit_docs: int = FIT_DOCS
+) -> DataFrame:
     """Importance resampling of docs (doc_id, text) towards the documents of target_ids (doc_id).
 
     Returns one row for each document: doc_id, log_weight (the sum of its n-grams' log ratios),
@@ -142,9 +144,14 @@ def resample(docs: DataFrame, target_ids: DataFrame, share: float = SHARE, seed:
     tie. With no target the weights are those of a flat model. Other columns are ignored; an empty
     table gives no rows.
     """
-    wanted = target_ids.select(F.col("doc_id").alias("target_id")).filter("target_id IS NOT NULL").distinct().orderBy(F.xxhash64("target_id"), "target_id").limit(fit_docs).withColumn("in_target", F.lit(True))
+    wanted = target_ids.select(F.col("doc_id").alias("target_id")).filter("target_id IS NOT NULL").distinct().orderBy(
+        F.xxhash64("target_id"), "target_id"
+    ).limit(fit_docs).withColumn("in_target", F.lit(True))
     ids = docs.select(F.col("doc_id").cast("long"), lower_ascii(F.coalesce("text", F.lit(""))).alias("text"))
-    ratios = log_ratios(ngram_counts(ids.join(F.broadcast(wanted), F.col("doc_id") == F.col("target_id"), "left").select("text", F.coalesce("in_target", F.lit(False)).alias("in_target")), buckets), buckets)
+    ratios = log_ratios(
+        ngram_counts(ids.join(F.broadcast(wanted), F.col("doc_id") == F.col("target_id"), "left").select("text", F.coalesce("in_target", F.lit(False)).alias("in_target")), buckets),
+        buckets
+    )
     schema = pa.schema([("doc_id", pa.int64()), ("log_weight", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +163,9 @@ def resample(docs: DataFrame, target_ids: DataFrame, share: float = SHARE, seed:
                     yield rows.take()
         yield rows.take()
 
-    scored = written(ids.mapInArrow(run, "doc_id long, log_weight double").withColumn("sample_key", F.round(F.col("log_weight") + gumbel_noise(F.struct("doc_id", "log_weight"), seed), 9)))
+    scored = written(ids.mapInArrow(run, "doc_id long, log_weight double").withColumn(
+        "sample_key", F.round(F.col("log_weight") + gumbel_noise(F.struct("doc_id", "log_weight"), seed), 9)
+    ))
     bits = scored.withColumn("bits", ordered_bits(F.col("sample_key")))
     cut = kth_largest(bits, "bits", -(-scored.count() * int(share * 10_000) // 10_000))
     return bits.select("doc_id", "log_weight", "sample_key", (F.col("bits") >= F.lit(cut) if cut is not None else F.lit(False)).alias("kept"))

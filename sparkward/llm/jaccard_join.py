@@ -110,7 +110,9 @@ def prefix_length(n: int, percent: int) -> int:
 
 def read_sets(base: DataFrame, words: int) -> DataFrame:
     """For each text of base (rid, text): rid, n (size of its set), cid and cid2 (the same for equal sets, null for empty ones); and for each task its counts of n-grams, by block."""
-    schema = pa.schema([*((c, pa.int64()) for c in ("rid", "n", "cid", "cid2")), ("block", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([
+        *((c, pa.int64()) for c in ("rid", "n", "cid", "cid2")), ("block", pa.int32()), ("salt", pa.int32()), ("counts", pa.binary())
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, rows, counts = Shingler(words), Rows(schema), np.zeros(1 << COUNTER_BITS, np.int32)
@@ -147,13 +149,18 @@ def frequency_levels(read: DataFrame) -> np.ndarray:
         return total
 
     def partial(key: tuple, table: pa.Table) -> pa.Table:
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(add(table, "u1").astype("<i8").tobytes(), 1)], pa.binary())})
+        return pa.table({
+            "block": pa.array([key[0].as_py()], pa.int32()),
+            "counts": pa.array([zlib.compress(add(table, "u1").astype("<i8").tobytes(), 1)], pa.binary())
+        })
 
     def level(key: tuple, table: pa.Table) -> pa.Table:
         steps = np.minimum(255, 8 * np.log2(1 + add(table, "<i8").astype(np.float64))).astype(np.uint8)
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([steps.tobytes()], pa.binary())})
 
-    parts = read.filter("counts IS NOT NULL").select("block", "salt", "counts").groupBy("block", "salt").applyInArrow(partial, "block int, counts binary")
+    parts = read.filter("counts IS NOT NULL").select("block", "salt", "counts").groupBy("block", "salt").applyInArrow(
+        partial, "block int, counts binary"
+    )
     levels = np.zeros(1 << COUNTER_BITS, np.uint8)
     for row in parts.groupBy("block").applyInArrow(level, "block int, counts binary").toLocalIterator():
         levels[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(bytes(row.counts), np.uint8)
@@ -195,7 +202,9 @@ def filter_bit(column: str) -> Column:
 def worth_reading(rids: DataFrame) -> np.ndarray:
     """A filter of fixed size that passes all rids of a table and few others, as 64-bit words."""
     bit = filter_bit("rid")
-    words = rids.select(F.shiftright(bit, 6).cast("int").alias("word"), F.expr("shiftleft(1L, int(xxhash64(rid) & 63L))").alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    words = rids.select(
+        F.shiftright(bit, 6).cast("int").alias("word"), F.expr("shiftleft(1L, int(xxhash64(rid) & 63L))").alias("bits")
+    ).groupBy("word").agg(F.bit_or("bits").alias("bits"))
     out = np.zeros(1 << FILTER_BITS - 6, np.int64)
     for row in words.toLocalIterator():
         out[row.word] = row.bits
@@ -296,7 +305,9 @@ def common_grams(members: DataFrame, sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), pivot)), pa.array(tokens)], schema=schema)
 
     sizes = members.groupBy(F.col("pivot").alias("group")).agg(F.count("*").alias("members"))
-    tokens = members.join(sets.select(F.col("rid").alias("set_rid"), "tokens"), F.col("rid") == F.col("set_rid")).select("pivot", "tokens").mapInArrow(run, "pivot long, token long")
+    tokens = members.join(
+        sets.select(F.col("rid").alias("set_rid"), "tokens"), F.col("rid") == F.col("set_rid")
+    ).select("pivot", "tokens").mapInArrow(run, "pivot long, token long")
     counts = tokens.groupBy("pivot", "token").agg(F.count("*").alias("n"))
     usual = counts.join(sizes, F.col("pivot") == F.col("group")).filter("2 * n > members")
     return usual.groupBy(F.col("pivot").alias("group")).agg(F.collect_list("token").alias("common"))
@@ -308,7 +319,10 @@ def differences_of(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     N-grams beyond the common ones come first, those it lacks last. slack is (100 - percent) n - (100 +
     percent) size. marks are 256 bits, those at the n-grams' hash classes set.
     """
-    schema = pa.schema([("pivot", pa.int64()), ("rid", pa.int64()), ("n", pa.int64()), ("size", pa.int64()), ("slack", pa.int64()), ("grams", pa.list_(pa.int64())), *((f"m{i}", pa.int64()) for i in range(4))])
+    schema = pa.schema([
+        ("pivot", pa.int64()), ("rid", pa.int64()), ("n", pa.int64()), ("size", pa.int64()), ("slack", pa.int64()),
+        ("grams", pa.list_(pa.int64())), *((f"m{i}", pa.int64()) for i in range(4))
+    ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = Rows(schema)
@@ -320,20 +334,27 @@ def differences_of(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
                 marks = np.zeros(256, np.uint8)
                 marks[(grams & np.uint64(255)).astype(np.int64)] = 1
                 words = np.packbits(marks).view(np.int64).tolist()
-                rows.add(pivot.as_py(), rid.as_py(), len(x), len(grams), (100 - percent) * len(x) - (100 + percent) * len(grams), grams.view(np.int64), *words, size=8 * len(grams))
+                rows.add(
+                    pivot.as_py(), rid.as_py(), len(x), len(grams), (100 - percent) * len(x) - (100 + percent) * len(grams),
+                    grams.view(np.int64), *words, size=8 * len(grams)
+                )
                 if rows.full:
                     yield rows.take()
         yield rows.take()
 
     known = sets.select(F.col("rid").alias("set_rid"), "tokens")
     joined = members.join(known, F.col("rid") == F.col("set_rid")).join(common_grams(members, sets), F.col("pivot") == F.col("group"), "left")
-    out = joined.select("pivot", "rid", "tokens", "common").mapInArrow(run, "pivot long, rid long, n long, size long, slack long, grams array<long>, m0 long, m1 long, m2 long, m3 long")
+    out = joined.select("pivot", "rid", "tokens", "common").mapInArrow(
+        run, "pivot long, rid long, n long, size long, slack long, grams array<long>, m0 long, m1 long, m2 long, m3 long"
+    )
     return written(out)
 
 
 def with_best(differences: DataFrame) -> DataFrame:
     """differences with the text of the most slack in the group (best) and its slack (top), and the size of the group (members)."""
-    best = differences.groupBy(F.col("pivot").alias("group")).agg(F.max(F.struct("slack", (-F.col("rid")).alias("r"))).alias("b"), F.count("*").alias("members"))
+    best = differences.groupBy(F.col("pivot").alias("group")).agg(
+        F.max(F.struct("slack", (-F.col("rid")).alias("r"))).alias("b"), F.count("*").alias("members")
+    )
     joined = differences.join(best, F.col("pivot") == F.col("group"))
     return joined.withColumns({"best": -F.col("b.r"), "top": F.col("b.slack")}).drop("group", "b")
 
@@ -353,9 +374,15 @@ def difference_rows(known: DataFrame, percent: int) -> DataFrame:
     """
     least = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + F.col("top")) / (2.0 * (100 + percent)) - 1e-9)).cast("int")
     some = known.withColumn("k", F.col("size").cast("int") - least + 1).filter("k > 0")
-    rows = some.select("pivot", "rid", "n", "size", "slack", "members", "m0", "m1", "m2", "m3", F.posexplode(F.slice("grams", F.lit(1), F.col("k"))).alias("pos", "token"))
+    rows = some.select(
+        "pivot", "rid", "n", "size", "slack", "members", "m0", "m1", "m2", "m3",
+        F.posexplode(F.slice("grams", F.lit(1), F.col("k"))).alias("pos", "token")
+    )
     at = rows.groupBy(F.col("pivot").alias("at_pivot"), F.col("token").alias("at_token"))
-    counted = at.agg(F.count("*").alias("crowd"), F.count_if(F.col("slack") < 0).alias("doubtful"), F.min("slack").alias("low"), F.min(F.struct(F.xxhash64("rid"), "rid")).alias("least"))
+    counted = at.agg(
+        F.count("*").alias("crowd"), F.count_if(F.col("slack") < 0).alias("doubtful"), F.min("slack").alias("low"),
+        F.min(F.struct(F.xxhash64("rid"), "rid")).alias("least")
+    )
     met = rows.join(counted.filter("crowd > 1 AND low < 0"), (F.col("pivot") == F.col("at_pivot")) & (F.col("token") == F.col("at_token")))
     return met.filter("slack + low < 0").withColumn("first", F.col("least.rid")).drop("at_pivot", "at_token", "crowd", "low", "least")
 
@@ -383,8 +410,12 @@ def crowds(rows: DataFrame) -> DataFrame:
     were more than half of the group they come from. An n-gram by which all differ from what more than
     half have in common is one of half of them at most, so groups halve with each step.
     """
-    named = rows.select("rid", "members", "token", F.xxhash64("pivot", "first").alias("joint"), F.xxhash64("pivot", "token", F.lit("own")).alias("own"))
-    sizes = named.select("joint", "rid", "members").distinct().groupBy(F.col("joint").alias("joint_name")).agg(F.count("*").alias("joined"), F.max("members").alias("of"))
+    named = rows.select(
+        "rid", "members", "token", F.xxhash64("pivot", "first").alias("joint"), F.xxhash64("pivot", "token", F.lit("own")).alias("own")
+    )
+    sizes = named.select("joint", "rid", "members").distinct().groupBy(F.col("joint").alias("joint_name")).agg(
+        F.count("*").alias("joined"), F.max("members").alias("of")
+    )
     placed = named.join(sizes, F.col("joint") == F.col("joint_name"))
     return placed.select("rid", F.when(F.col("joined") * 2 <= F.col("of"), F.col("joint")).otherwise(F.col("own")).alias("pivot")).distinct()
 
@@ -416,8 +447,12 @@ def similar_links(base: DataFrame, classes: DataFrame, levels: np.ndarray, words
     named = classes.select(F.col("cid").alias("class_cid"), F.col("cid2").alias("class_cid2"), "rid")
     met = written(met.join(named, (F.col("cid") == F.col("class_cid")) & (F.col("cid2") == F.col("class_cid2"))).select("token", "rid", "n", "pos"))
     discard(rows)
-    groups = met.groupBy(F.col("token").alias("group_token")).agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("rid"), "rid")).alias("least"))
-    met = written(met.join(groups, F.col("token") == F.col("group_token")).select("token", "rid", "n", "pos", "members", F.col("least.rid").alias("pivot")))
+    groups = met.groupBy(F.col("token").alias("group_token")).agg(
+        F.count("*").alias("members"), F.min(F.struct(F.xxhash64("rid"), "rid")).alias("least")
+    )
+    met = written(met.join(groups, F.col("token") == F.col("group_token")).select(
+        "token", "rid", "n", "pos", "members", F.col("least.rid").alias("pivot")
+    ))
     few, many = met.filter(F.col("members") <= MOST_DIRECT), met.filter(F.col("members") > MOST_DIRECT)
     pairs = written(prefix_pairs(few, percent))
     members = written(many.select("rid", "pivot").distinct())
@@ -447,7 +482,9 @@ def similar_rows(base: DataFrame, words: int, percent: int) -> DataFrame:
     classes = written(known.filter("cid IS NOT NULL").groupBy("cid", "cid2").agg(F.min("rid").alias("rid")))
     components = connected_components(similar_links(base, classes, frequency_levels(read), words, percent))
     named = classes.select(F.col("cid").alias("class_cid"), F.col("cid2").alias("class_cid2"), "rid")
-    labels = written(named.join(components, F.col("rid") == F.col("node"), "left").select("class_cid", "class_cid2", F.coalesce("component", "rid").alias("component")))
+    labels = written(named.join(components, F.col("rid") == F.col("node"), "left").select(
+        "class_cid", "class_cid2", F.coalesce("component", "rid").alias("component")
+    ))
     same = (F.col("cid") == F.col("class_cid")) & (F.col("cid2") == F.col("class_cid2"))
     return known.join(labels, same, "left").select("rid", F.col("n").alias("n_shingles"), F.coalesce("component", "rid").alias("component"))
 
@@ -470,4 +507,6 @@ def join_similar(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         return out.select(F.col("rid").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
     ids = base.select(F.col("rid").alias("id_rid"), F.col("doc_id"))
     firsts = ids.toDF("first_rid", "component_id")
-    return out.join(ids, F.col("rid") == F.col("id_rid")).join(firsts, F.col("component") == F.col("first_rid")).select("doc_id", "n_shingles", "component_id")
+    return out.join(ids, F.col("rid") == F.col("id_rid")).join(
+        firsts, F.col("component") == F.col("first_rid")
+    ).select("doc_id", "n_shingles", "component_id")

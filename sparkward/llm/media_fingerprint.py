@@ -24,7 +24,10 @@ FAN, REACH = 3, 63
 BLOCK_FRAMES = 4096
 
 SCHEMA = "doc_id long, n_bytes long, media binary, payload binary, peak_frame array<int>, pair_code array<int>"
-ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("peak_frame", pa.list_(pa.int32())), ("pair_code", pa.list_(pa.int32()))])
+ARROW = pa.schema([
+    ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("peak_frame", pa.list_(pa.int32())),
+    ("pair_code", pa.list_(pa.int32()))
+])
 
 
 def to_wav(data: bytes, rate: int = RATE) -> bytes:

@@ -21,7 +21,10 @@ END_ID = 1
 WORD_BYTES, WORDS_KEPT = 48, 800_000
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+ARROW = pa.schema([
+    ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()),
+    ("sequence_id", pa.int64()), ("offset", pa.int64())
+])
 
 
 #: A word of Latin letters, then ASCII signs.

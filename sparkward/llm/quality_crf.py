@@ -121,9 +121,14 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_CONTEXTS, percent: int =
         yield taken()
 
     found = docs.select(F.col("text").cast("string")).mapInArrow(run, "line long, before long, after long")
-    sides = F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("near")), F.struct(F.lit(1).alias("side"), F.col("after").alias("near"))))
+    sides = F.inline(F.array(
+        F.struct(F.lit(0).alias("side"), F.col("before").alias("near")), F.struct(F.lit(1).alias("side"), F.col("after").alias("near"))
+    ))
     met = found.select("line", sides).groupBy("line", "side", "near").agg(F.count("*").alias("n"))
-    counts = met.groupBy("line").agg(F.sum(F.col("side")).alias("after"), F.sum(1 - F.col("side")).alias("before"), F.sum((1 - F.col("side")) * F.col("n")).alias("times"))
+    counts = met.groupBy("line").agg(
+        F.sum(F.col("side")).alias("after"), F.sum(1 - F.col("side")).alias("before"),
+        F.sum((1 - F.col("side")) * F.col("n")).alias("times")
+    )
     most = F.greatest("before", "after")
     return written(counts.filter((most >= least) & (most * 100 >= F.col("times") * percent)).select("line"))
 
@@ -261,7 +266,9 @@ def fit(chains: list[list[int]], labels: list[list[int]], steps: int = 120, rate
     return LineModel([tuple(map(float, e)) for e in data.features @ W], tuple(tuple(map(float, t)) for t in T), tuple(map(float, S)))
 
 
-def fit_line_model(docs: DataFrame, labels: DataFrame, repeated: DataFrame | None = None, most_docs: int = FIT_DOCS, most_bytes: int = FIT_BYTES) -> LineModel:
+def fit_line_model(
+    docs: DataFrame, labels: DataFrame, repeated: DataFrame | None = None, most_docs: int = FIT_DOCS, most_bytes: int = FIT_BYTES
+) -> LineModel:
     """Fits the line model on a bounded sample of labelled documents.
 
     docs has doc_id and text, labels has doc_id and quality (1 or 0), repeated is what repeated_lines
@@ -271,7 +278,9 @@ def fit_line_model(docs: DataFrame, labels: DataFrame, repeated: DataFrame | Non
     """
     chosen = labels.select(F.col("doc_id").alias("labelled_id"), "quality").filter("quality IN (0, 1) AND labelled_id IS NOT NULL").distinct()
     chosen = chosen.orderBy(F.xxhash64("labelled_id"), "labelled_id", "quality").limit(most_docs)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id")).filter(F.octet_length("text") <= most_bytes)
+    sample = docs.select("doc_id", "text").join(
+        F.broadcast(chosen), F.col("doc_id") == F.col("labelled_id")
+    ).filter(F.octet_length("text") <= most_bytes)
     sample, keys = with_known(sample.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), F.col("text").cast("string")), repeated)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +292,9 @@ def fit_line_model(docs: DataFrame, labels: DataFrame, repeated: DataFrame | Non
                 codes.append([c for c, *_ in lines])
                 content.append([int(quality == 1 and not elsewhere) for *_, elsewhere in lines])
             numbers = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, numbers), pa.array(content, numbers)], names=["doc_id", "codes", "content"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(codes, numbers), pa.array(content, numbers)], names=["doc_id", "codes", "content"]
+            )
 
     rows = sample.mapInArrow(run, "doc_id long, codes array<int>, content array<int>").collect()
     rows = sorted((r for r in rows if r.codes), key=lambda r: (r.doc_id, r.codes, r.content))
@@ -321,10 +332,15 @@ def judge(text: bytes, model: LineModel, least_content: float, known: Collection
     size = sum(s for _, s, *_ in lines)
     share = sum(s for (_, s, *_), k in zip(lines, labels, strict=True) if k) / size if size else 0.0
     symbols = len(solid) - len(solid.translate(None, SYMBOLS))
-    return len(words), chars, symbols, sum(r for _, _, r, _ in lines), repeats, failed, "".join("BC"[k] for k in labels), share, not failed and share >= least_content
+    return len(words), chars, symbols, sum(
+        r for _, _, r, _ in lines
+    ), repeats, failed, "".join("BC"[k] for k in labels), share, not failed and share >= least_content
 
 
-def judge_quality(docs: DataFrame, model: LineModel, repeated: DataFrame | None = None, least_content: float = LEAST_CONTENT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def judge_quality(
+    docs: DataFrame, model: LineModel, repeated: DataFrame | None = None, least_content: float = LEAST_CONTENT,
+    most_broadcast: int = MOST_BROADCAST
+) -> DataFrame:
     """Base counts and the verdict on every text of docs (doc_id, text).
 
     repeated is what repeated_lines gives; without it no line counts as occurring elsewhere. Returns
@@ -351,7 +367,10 @@ def judge_quality(docs: DataFrame, model: LineModel, repeated: DataFrame | None
     return source.mapInArrow(run, SCHEMA)
 
 
-def keep_quality(docs: DataFrame, model: LineModel, repeated: DataFrame | None = None, least_content: float = LEAST_CONTENT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def keep_quality(
+    docs: DataFrame, model: LineModel, repeated: DataFrame | None = None, least_content: float = LEAST_CONTENT,
+    most_broadcast: int = MOST_BROADCAST
+) -> DataFrame:
     """The rows of docs, with all their columns, that judge_quality keeps. docs has no column known_lines."""
     at = docs.columns.index("text")
     source, keys = with_known(docs, repeated, most_broadcast)
@@ -360,7 +379,10 @@ def keep_quality(docs: DataFrame, model: LineModel, repeated: DataFrame | None =
         known = frozenset(keys.tolist())
         for batch in batches:
             own_lines = batch.column(batch.num_columns - 1).to_pylist()
-            kept = [judge(t, model, least_content, frozenset(own) if own else known)[-1] for t, own in zip(texts(batch.column(at)), own_lines, strict=True)]
+            kept = [
+                judge(t, model, least_content, frozenset(own) if own else known)[-1] for t,
+                own in zip(texts(batch.column(at)), own_lines, strict=True)
+            ]
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(kept, pa.bool_()))
 
     return source.mapInArrow(run, docs.schema)

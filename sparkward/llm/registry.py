@@ -86,7 +86,10 @@ def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_quality_crf, op4_unigram_codec, op5_chat_rotation, op6_media_fingerprint, op7_jaccard_join, op8_importance_resampling, op9_pii_surrogates, op10_host_reputation)}
+    return {f.__name__: f for f in (
+        op1_packing, op2_suffix_dedup, op3_quality_crf, op4_unigram_codec, op5_chat_rotation, op6_media_fingerprint, op7_jaccard_join,
+        op8_importance_resampling, op9_pii_surrogates, op10_host_reputation
+    )}
 
 
 def oracle_sql() -> dict[str, str]:

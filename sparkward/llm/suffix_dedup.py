@@ -115,7 +115,10 @@ def find_anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
             text, first, last, at, key = anchors(b"".join(p for p in parts), starts, ends, size, gram)
             if len(text):
                 shift = np.asarray([s for _, s in rids])[text]
-                found.append((key.view(np.int64), np.asarray([r for r, _ in rids], np.int64)[text], first + shift << 16 | last - first << 8 | at - first))
+                found.append((
+                    key.view(np.int64), np.asarray([r for r, _ in rids], np.int64)[text],
+                    first + shift << 16 | last - first << 8 | at - first
+                ))
             rids, parts, held = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -154,7 +157,10 @@ def find_anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
 
 
 #: The two kinds of rows that sorting and merging give: windows that repeat, from one start to another, and sorted strings.
-PARTS = pa.schema([("rid", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("run", pa.int64()), ("sample", pa.list_(pa.binary())), ("n", pa.int32()), ("keys", pa.binary()), ("rids", pa.binary()), ("places", pa.binary())])
+PARTS = pa.schema([
+    ("rid", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("run", pa.int64()), ("sample", pa.list_(pa.binary())),
+    ("n", pa.int32()), ("keys", pa.binary()), ("rids", pa.binary()), ("places", pa.binary())
+])
 PARTS_SQL = "rid long, low long, high long, run long, sample array<binary>, n int, keys binary, rids binary, places binary"
 
 
@@ -193,7 +199,10 @@ class RunBuilder:
 
 def add_block(rows: Rows, run: int, keys: list[bytes], rids: np.ndarray, places: np.ndarray) -> None:
     data = encode_block(keys)
-    rows.add(None, None, None, run, keys[min(SAMPLE_STEP, len(keys)) // 2 :: SAMPLE_STEP], len(keys), data, rids.tobytes(), places.tobytes(), size=len(data) + 16 * len(keys))
+    rows.add(
+        None, None, None, run, keys[min(SAMPLE_STEP, len(keys)) // 2 :: SAMPLE_STEP], len(keys), data, rids.tobytes(), places.tobytes(),
+        size=len(data) + 16 * len(keys)
+    )
 
 
 def region_runs(located: DataFrame, size: int) -> DataFrame:
@@ -271,7 +280,10 @@ def ranges_of(blocks: DataFrame, least: int) -> Ranges:
     return Ranges(splitters, placed.groupBy("part").applyInArrow(choose, "part long, splitters array<binary>"))
 
 
-PIECES = pa.schema([("part", pa.int64()), ("below", pa.binary()), ("above", pa.binary()), ("run", pa.int64()), ("first_key", pa.binary()), *(PARTS.field(n) for n in ("n", "keys", "rids", "places"))])
+PIECES = pa.schema([
+    ("part", pa.int64()), ("below", pa.binary()), ("above", pa.binary()), ("run", pa.int64()), ("first_key", pa.binary()),
+    *(PARTS.field(n) for n in ("n", "keys", "rids", "places"))
+])
 PIECES_SQL = "part long, below binary, above binary, run long, first_key binary, n int, keys binary, rids binary, places binary"
 
 
@@ -282,7 +294,10 @@ def add_pieces(rows: Rows, block: dict, splitters: list[bytes], base: int, ends:
         below = splitters[part - 1] if part else ends[0]
         above = splitters[part] if part < len(splitters) else ends[1]
         data = encode_block(keys[i:j])
-        rows.add(base + part, below, above, block["run"], keys[i], j - i, data, block["rids"][8 * i : 8 * j], block["places"][8 * i : 8 * j], size=len(data) + 16 * (j - i))
+        rows.add(
+            base + part, below, above, block["run"], keys[i], j - i, data, block["rids"][8 * i : 8 * j], block["places"][8 * i : 8 * j],
+            size=len(data) + 16 * (j - i)
+        )
 
 
 def exchanged(blocks: DataFrame, ranges: Ranges) -> DataFrame:
@@ -407,7 +422,9 @@ def merge_regions(blocks: DataFrame, ranges: Ranges, size: int, gram: int) -> Da
 
         def close(family: Family, is_last: bool) -> None:
             first, last = family.members[0][0], family.members[-1][0]
-            beyond = (below is not None and common_prefix(below, first) >= gram) or (is_last and above is not None and common_prefix(last, above) >= gram)
+            beyond = (below is not None and common_prefix(
+                below, first
+            ) >= gram) or (is_last and above is not None and common_prefix(last, above) >= gram)
             if beyond:
                 for _, content, (rid, low) in family.windows(True):
                     rows.add(rid, low, None, content)
@@ -472,13 +489,17 @@ def repeated_windows(base: DataFrame, size: int = MIN_BYTES, gram: int = GRAM) -
     windows = written(window_runs(merged.filter("content IS NOT NULL")))
     blocks = windows.filter("n IS NOT NULL")
     last = merge_windows(blocks, ranges_of(blocks, 2 * least))
-    return parts.filter("rid IS NOT NULL").select("rid", "low", "high").unionByName(merged.filter("content IS NULL").select("rid", "low", "high")).unionByName(windows.filter("rid IS NOT NULL").select("rid", "low", "high")).unionByName(last.select("rid", "low", "high"))
+    return parts.filter("rid IS NOT NULL").select(
+        "rid", "low", "high"
+    ).unionByName(merged.filter("content IS NULL").select("rid", "low", "high")).unionByName(windows.filter("rid IS NOT NULL").select("rid", "low", "high")).unionByName(last.select("rid", "low", "high"))
 
 
 RESULT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 
 
-def remove_repeated(docs: DataFrame, size: int = MIN_BYTES, gram: int = GRAM, carry: tuple[str, ...] = (), whole_characters: bool = False) -> DataFrame:
+def remove_repeated(
+    docs: DataFrame, size: int = MIN_BYTES, gram: int = GRAM, carry: tuple[str, ...] = (), whole_characters: bool = False
+) -> DataFrame:
     """Removes from every text of docs (doc_id, text) the bytes covered by a string of size bytes that starts earlier too.
 
     Earlier means in a document of a smaller doc_id, or in the same one, before. Strings are judged
@@ -490,8 +511,12 @@ def remove_repeated(docs: DataFrame, size: int = MIN_BYTES, gram: int = GRAM, ca
     before all others, and each keeps its row. Columns named in carry go along, others are ignored;
     an empty table gives no rows.
     """
-    base = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carry))
-    removed = repeated_windows(base, size, gram).groupBy(F.col("rid").alias("removed_rid")).agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("removed"))
+    base = numbered(docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *carry
+    ))
+    removed = repeated_windows(
+        base, size, gram
+    ).groupBy(F.col("rid").alias("removed_rid")).agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("removed"))
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(span)), ("kept", pa.binary())])
 
@@ -499,7 +524,9 @@ def remove_repeated(docs: DataFrame, size: int = MIN_BYTES, gram: int = GRAM, ca
         rows = Rows(schema)
         for batch in batches:
             done = 0
-            for i, (doc_id, text, starts) in enumerate(zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist(), strict=True)):
+            for i, (doc_id, text, starts) in enumerate(zip(
+                batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist(), strict=True
+            )):
                 spans: list[list[int]] = []
                 for r in starts or ():
                     low, high = r["low"], r["high"] + size
@@ -516,9 +543,14 @@ def remove_repeated(docs: DataFrame, size: int = MIN_BYTES, gram: int = GRAM, ca
                     yield carried(rows.take(), batch, 3, done)
                     done = i + 1
 
-    return base.join(removed, F.col("rid") == F.col("removed_rid"), "left").select("doc_id", "text", "removed", *carry).mapInArrow(run, RESULT + carried_sql(docs, carry))
+    return base.join(
+        removed, F.col("rid") == F.col("removed_rid"), "left"
+    ).select("doc_id", "text", "removed", *carry).mapInArrow(run, RESULT + carried_sql(docs, carry))
 
 
 def removal_digests(removed: DataFrame) -> DataFrame:
     """Numbers of removed bytes and runs, and a checksum of what is kept."""
-    return removed.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return removed.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256")
+    )

@@ -101,7 +101,10 @@ class UnigramCodec:
         self.node_score = [None if v < 0 else self.score[v] for v in self.trie.value]
         self.length_of = {i: len(pieces[i].encode()) for i in words}
         self.longest = max((len(pieces[i].encode()) for i in words), default=0)
-        self.text_of = [bytes([int(p[3:5], 16)]) if k == "byte" else p.encode().replace(MARK_BYTES, b" ") if k == "word" else b"" for p, k in zip(pieces, kinds, strict=True)]
+        self.text_of = [
+            bytes([int(p[3:5], 16)]) if k == "byte" else p.encode().replace(MARK_BYTES, b" ") if k == "word" else b"" for p,
+            k in zip(pieces, kinds, strict=True)
+        ]
         self.known: dict[bytes, tuple[int, ...]] = {}
 
     def best(self, segment: bytes) -> tuple[int, ...]:

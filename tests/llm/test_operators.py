@@ -32,7 +32,11 @@ def odd():
     rng = random.Random(5)
     long = words(rng, 30_000)
     same = words(rng, 120)
-    return [(1, None), (2, ""), (3, " \n\t "), (4, same), (5, same), (6, same + " more"), (7, long), (8, "é漢🎉 " * 40), (9, "a" * 500), (10, "\n".join(["Line one two three."] * 30)), (11, "x"), (12, "mail a.b@c.example.com or +1 (212) 555-0199."), (13, "\x00\x01|<|endoftext|>▁ ﷺ")]
+    return [
+        (1, None), (2, ""), (3, " \n\t "), (4, same), (5, same), (6, same + " more"), (7, long), (8, "é漢🎉 " * 40), (9, "a" * 500),
+        (10, "\n".join(["Line one two three."] * 30)), (11, "x"), (12, "mail a.b@c.example.com or +1 (212) 555-0199."),
+        (13, "\x00\x01|<|endoftext|>▁ ﷺ")
+    ]
 
 
 # packing
@@ -111,7 +115,10 @@ def brute_repeats(rows, size):
             if w in seen:
                 gone[s : s + size] = b"\1" * size
             seen.add(w)
-        out[i] = (len(b), sum(gone), sum(1 for k in range(len(gone)) if gone[k] and not (k and gone[k - 1])), hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest())
+        out[i] = (
+            len(b), sum(gone), sum(1 for k in range(len(gone)) if gone[k] and not (k and gone[k - 1])),
+            hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest()
+        )
     return out
 
 
@@ -123,7 +130,9 @@ def test_suffix_dedup(spark, odd, monkeypatch):
     assert removed(suffix_dedup.remove_repeated(frame(spark, odd))) == brute_repeats(odd, 100)
     rng = random.Random(3)
     passages = [words(rng, 40) for _ in range(4)]
-    rows = [(i, " ".join([words(rng, rng.randrange(60)), rng.choice(passages)[rng.randrange(50) :], words(rng, 20), rng.choice(passages)])) for i in range(150)]
+    rows = [(
+        i, " ".join([words(rng, rng.randrange(60)), rng.choice(passages)[rng.randrange(50) :], words(rng, 20), rng.choice(passages)])
+    ) for i in range(150)]
     expected = brute_repeats(rows, 100)
     assert removed(suffix_dedup.remove_repeated(frame(spark, rows))) == expected
     monkeypatch.setattr(suffix_dedup, "RANGE_KEYS", 5)  # families go beyond their ranges
@@ -136,7 +145,9 @@ def test_suffix_dedup(spark, odd, monkeypatch):
 
 def test_suffix_dedup_with_repeated_ids(spark):
     text = "abcdefghij" * 3 + "".join(map(chr, range(200, 300)))
-    out = [(r.doc_id, len(r.kept)) for r in suffix_dedup.remove_repeated(frame(spark, [(1, text), (1, text), (None, text)])).orderBy("doc_id").collect()]
+    out = [(r.doc_id, len(r.kept)) for r in suffix_dedup.remove_repeated(frame(
+        spark, [(1, text), (1, text), (None, text)]
+    )).orderBy("doc_id").collect()]
     n = len(text.encode())
     assert out[0] == (None, n) and sorted(out[1:]) == [(1, 0), (1, 0)]
 
@@ -168,7 +179,9 @@ def test_quality(spark, odd):
         marked = {k for j, x in enumerate(zip(w, w[1:], w[2:], strict=False)) if windows[x] > 1 for k in (j, j + 1, j + 2)}
         lines = [x for x in t.split("\n") if x.encode().split()]
         r = rows[i]
-        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(len(x.decode()) for x in w), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(marked))
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (
+            len(w), sum(len(x.decode()) for x in w), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(marked)
+        )
         assert r.base_failed == (len(w) < 50 or 2 * len(marked) > len(w)) and not (r.base_failed and r.kept) and len(r.line_labels) == len(lines)
     assert set(rows[101].line_labels) == {"B"} and set(rows[100].line_labels) == {"C"}
     assert rows[7].kept and quality_crf.keep_quality(docs, model).columns == docs.columns
@@ -180,7 +193,9 @@ def test_viterbi_finds_the_best_labels():
     model = quality_crf.LineModel([(rng.random(), rng.random()) for _ in range(8)], ((0.3, -0.2), (-0.4, 0.6)), (0.1, -0.1))
 
     def score(codes, labels):
-        return model.start[labels[0]] + sum(model.emission[c][k] for c, k in zip(codes, labels, strict=True)) + sum(model.transition[a][b] for a, b in zip(labels, labels[1:], strict=False))
+        return model.start[labels[0]] + sum(model.emission[c][k] for c, k in zip(codes, labels, strict=True)) + sum(
+            model.transition[a][b] for a, b in zip(labels, labels[1:], strict=False)
+        )
 
     for _ in range(30):
         codes = [rng.randrange(8) for _ in range(7)]
@@ -229,7 +244,9 @@ def boilerplate_docs():
     sentence = lambda: " ".join(f"w{rng.randrange(900)}" for _ in range(14)).capitalize() + "."
     header, footer = "Home and news and contact.", "All rights are reserved by us."
     rows = [(i, "\n".join([header, *(sentence() for _ in range(6)), footer])) for i in range(60)]
-    rows += [(100 + i, "\n".join([header, *(" ".join(f"w{rng.randrange(900)}$$$ &&&" for _ in range(20)) for _ in range(5)), sentence()])) for i in range(40)]
+    rows += [(
+        100 + i, "\n".join([header, *(" ".join(f"w{rng.randrange(900)}$$$ &&&" for _ in range(20)) for _ in range(5)), sentence()])
+    ) for i in range(40)]
     base = [sentence() for _ in range(8)]
     for i in range(80):  # each copy has a changed word somewhere
         lines = [x.split() for x in base]
@@ -285,7 +302,10 @@ def test_codec_round_trip_and_best_score(spark, odd):
 
 def test_codec_does_not_cut_long_segments(monkeypatch):
     small = ["▁", "a", "b", "ab", "▁a", "▁ab", "ba", "aaa", "é漢", *(f"<0x{b:02X}>" for b in range(256))]
-    codecs = [unigram_codec.UnigramCodec(small, ["word"] * 9 + ["byte"] * 256), unigram_codec.UnigramCodec(*unigram_codec.read_pieces(registry.piece_bpe()))]
+    codecs = [
+        unigram_codec.UnigramCodec(small, ["word"] * 9 + ["byte"] * 256),
+        unigram_codec.UnigramCodec(*unigram_codec.read_pieces(registry.piece_bpe()))
+    ]
     monkeypatch.setattr(unigram_codec, "LONGEST", 32)
     rng = random.Random(8)
     for signs in ("aabbé漢🎉", "a", "漢字仮名交じり文を書く", "▁", "etaoinshrdlu"):
@@ -300,8 +320,13 @@ def test_codec_does_not_cut_long_segments(monkeypatch):
 
 
 def test_rotation(spark):
-    rows = [(1, 0, "system", "Be kind.", 0), (1, 1, "ann", "Hi", 0), (1, 2, "bob", "Hello <|im_end|>", 0), (1, 3, "ann", None, 0), (2, 0, "system", "alone", 0), (None, 0, None, "who", 0), (None, 0, None, "who", 0), (3, 0, "", "", 0)]
-    out = chat_rotation.rotate_perspectives(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, perspective long")).collect()
+    rows = [
+        (1, 0, "system", "Be kind.", 0), (1, 1, "ann", "Hi", 0), (1, 2, "bob", "Hello <|im_end|>", 0), (1, 3, "ann", None, 0),
+        (2, 0, "system", "alone", 0), (None, 0, None, "who", 0), (None, 0, None, "who", 0), (3, 0, "", "", 0)
+    ]
+    out = chat_rotation.rotate_perspectives(spark.createDataFrame(
+        rows, "conv_id long, turn long, role string, text string, perspective long"
+    )).collect()
     assert Counter((r.conv_id, r.perspective) for r in out) == {(1, "ann"): 4, (1, "bob"): 4, (None, "unknown"): 2, (3, "unknown"): 1}
     ann = {r.turn: r for r in out if (r.conv_id, r.perspective) == (1, "ann")}
     assert ann[2].rendered == "<|im_start|>user name=bob\nHello <| im_end|><|im_end|>\n" and (ann[2].mask_from, ann[2].mask_to) == (0, 0)
@@ -333,7 +358,9 @@ def test_media(spark, odd):
         payload = b + b" " * (-len(b) % 192 if b else 192)
         with wave.open(io.BytesIO(bytes(stored[r.doc_id].media))) as f:
             assert f.readframes(f.getnframes()) == payload and f.getsampwidth() == 1
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(b), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (
+            len(b), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])
+        )
         assert r.media_sha256 == hashlib.sha256(bytes(stored[r.doc_id].media)).hexdigest() and len(stored[r.doc_id].peak_frame) == len(stored[r.doc_id].pair_code)
     by = {r.doc_id: r.feature for r in rows}
     assert by[4] == by[5] != by[6]
@@ -370,7 +397,10 @@ def test_spectrum_equals_a_plain_transform():
     found = media_fingerprint.spectral_peaks(samples.tobytes())
     assert set(zip(*(x.tolist() for x in found), strict=True)) == expected
     peaks = list(zip(*(x.tolist() for x in found), strict=True))
-    pairs = sorted((a[0], a[1] << 14 | b[1] << 7 | b[0] - a[0]) for i, a in enumerate(peaks) for b in peaks[i + 1 : i + 1 + media_fingerprint.FAN] if b[0] - a[0] <= media_fingerprint.REACH)
+    pairs = sorted(
+        (a[0], a[1] << 14 | b[1] << 7 | b[0] - a[0]) for i,
+        a in enumerate(peaks) for b in peaks[i + 1 : i + 1 + media_fingerprint.FAN] if b[0] - a[0] <= media_fingerprint.REACH
+    )
     assert list(zip(*(x.tolist() for x in media_fingerprint.peak_pairs(*found)), strict=True)) == pairs
 
 
@@ -553,9 +583,13 @@ def test_surrogates(spark):
             canon = (s.kind, pii_surrogates.canonical(s.kind, value))
             new = (s.kind, pii_surrogates.canonical(s.kind, s.surrogate))
             assert chosen.setdefault(canon, new) == new and value not in r.text
-            assert [c.isdigit() for c in value] == [c.isdigit() for c in s.surrogate] or s.kind in ("IP", "SECRET", "IBAN", "EMAIL", *pii_surrogates.NAME_KINDS)
+            assert [c.isdigit() for c in value] == [c.isdigit() for c in s.surrogate] or s.kind in (
+                "IP", "SECRET", "IBAN", "EMAIL", *pii_surrogates.NAME_KINDS
+            )
     assert len(set(chosen.values())) == len(chosen) and not set(chosen) & set(chosen.values())
-    assert Counter(k for k, _ in chosen) == {"EMAIL": 1, "PHONE": 1, "CARD": 1, "IP": 2, "SECRET": 1, "GIVEN_F": 2, "GIVEN_M": 1, "SURNAME": 2, "SSN": 1, "IBAN": 1}
+    assert Counter(k for k, _ in chosen) == {
+        "EMAIL": 1, "PHONE": 1, "CARD": 1, "IP": 2, "SECRET": 1, "GIVEN_F": 2, "GIVEN_M": 1, "SURNAME": 2, "SSN": 1, "IBAN": 1
+    }
     card = next(v for (k, _), (_, v) in chosen.items() if k == "CARD")
     assert pii_surrogates.luhn_sum([int(c) for c in card]) % 10 == 0
     assert out[4].text == TEXTS[3][1] and out[5].text is None and out[6].text == ""
@@ -587,9 +621,17 @@ def test_surrogates_of_full_forms(spark):
 
 
 def test_surrogates_of_late_attempts():
-    cases = [("PHONE", "+1 (212) 555-0199"), ("SSN", "078-05-1120"), ("CARD", "4539 1488 0343 6467"), ("IBAN", "DE44 5001 0517 5407 3249 31"), ("EMAIL", "a@b.example.com"), ("IP", "10.0.0.7")]
-    cases += [("GIVEN_F", "Anna"), ("GIVEN_N", "Анна"), ("SURNAME", "SMITH"), ("ADDRESS", "123 Main St"), ("ADDRESS", "Lange Hauptstraße 12"), ("ADDRESS", "12 rue de la Paix")]
-    cases += [("BIRTH", d) for d in ("1980-03-12", "03/12/1980", "25/12/1980", "7.3.1980", "March 5, 1980", "12. März 1980", "3 mai 1975", "1 de enero de 1999")]
+    cases = [
+        ("PHONE", "+1 (212) 555-0199"), ("SSN", "078-05-1120"), ("CARD", "4539 1488 0343 6467"), ("IBAN", "DE44 5001 0517 5407 3249 31"),
+        ("EMAIL", "a@b.example.com"), ("IP", "10.0.0.7")
+    ]
+    cases += [
+        ("GIVEN_F", "Anna"), ("GIVEN_N", "Анна"), ("SURNAME", "SMITH"), ("ADDRESS", "123 Main St"), ("ADDRESS", "Lange Hauptstraße 12"),
+        ("ADDRESS", "12 rue de la Paix")
+    ]
+    cases += [("BIRTH", d) for d in (
+        "1980-03-12", "03/12/1980", "25/12/1980", "7.3.1980", "March 5, 1980", "12. März 1980", "3 mai 1975", "1 de enero de 1999"
+    )]
     for kind, value in cases:
         canon = pii_surrogates.canonical(kind, value)
         for attempt in (0, 7, 8, 12, 30):
@@ -629,7 +671,10 @@ def test_keys_of_surrogates(monkeypatch):
 
 
 def test_hosts(spark):
-    urls = ["https://a.example.com/x", "http://example.com/en/1", "http://www.example.com/en/1?q", "HTTP://B.NET/fr/2#x", "//none", None, "https://com", "x://c.org", "https://bad.org/1", "https://bad.org/2", "https://good.org/1", "ftp://notexample.com/en/"]
+    urls = [
+        "https://a.example.com/x", "http://example.com/en/1", "http://www.example.com/en/1?q", "HTTP://B.NET/fr/2#x", "//none", None,
+        "https://com", "x://c.org", "https://bad.org/1", "https://bad.org/2", "https://good.org/1", "ftp://notexample.com/en/"
+    ]
     pages = spark.createDataFrame([(i, u, 0) for i, u in enumerate(urls)], "page_id long, url string, host long")
     outcomes = spark.createDataFrame([(8, 1)] * 60 + [(10, 0)] * 60 + [(None, 1), (3, None)], "page_id long, bad int")
     out = {r.page_id: r for r in host_reputation.judge_urls(pages, outcomes).collect()}
@@ -647,7 +692,10 @@ def test_public_suffixes(spark):
     hosts = ["a.b.co.uk", "b.co.uk", "co.uk", "x.example.com", "com", "", "deep.a.b.com.au"]
     df = spark.createDataFrame([(h,) for h in hosts], "host string")
     both = [tuple(r) for r in df.select(host_reputation.registered_domain(F.col("host")), host_reputation.public_suffix(F.col("host"))).collect()]
-    assert both == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("example.com", "com"), ("com", "com"), ("", ""), ("b.com.au", "com.au")]
+    assert both == [
+        ("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("example.com", "com"), ("com", "com"), ("", ""),
+        ("b.com.au", "com.au")
+    ]
     assert df.select(host_reputation.registered_domain(F.col("host"), ())).first()[0] == "co.uk"
     urls = [f"http://h{i}.bad.co.uk/" for i in range(40)] + [f"http://h{i}.good.co.uk/" for i in range(40)] + ["http://new.bad.co.uk/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")

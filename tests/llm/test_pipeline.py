@@ -11,9 +11,14 @@ def test_pipeline(spark, tmp_path):
     rng = random.Random(1)
     text = lambda n: "\n".join(" ".join(f"word{rng.randrange(5000)}" for _ in range(12)) + "." for _ in range(n // 12))
     passage, first = text(120), text(240)
-    rows = [(1, first), (2, first + " tail"), (3, text(240) + " " + passage), (4, passage + " " + text(240) + " mail me.too@mail.example.com"), (5, "menu | a | b\n" * 40), (6, None), (7, "too short")]
+    rows = [
+        (1, first), (2, first + " tail"), (3, text(240) + " " + passage), (4, passage + " " + text(240) + " mail me.too@mail.example.com"),
+        (5, "menu | a | b\n" * 40), (6, None), (7, "too short")
+    ]
     rows.append((8, " ".join(rows[2][1].split(" ")[10:150])))  # nothing is left of it without what document 3 has
-    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(
+        [(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"
+    ).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, 1), (5, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     docs, ids = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
@@ -37,7 +42,9 @@ def test_pipeline_keeps_one_row_of_each_group_whatever_its_id(spark, tmp_path):
     text = lambda: "\n".join(" ".join(f"word{rng.randrange(5000)}" for _ in range(12)) + "." for _ in range(20))
     a, b, c, d, e, f = (text() for _ in range(6))
     rows = [(None, a), (None, b), (3, b + " tail"), (4, c), (4, c), (5, d), (6, d + " tail"), (6, e), (7, f), (7, f + " tail"), (8, f)]
-    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(
+        [(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"
+    ).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(4, 1), (5, 1)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     kept = corpus_pipeline.near_copies(spark, docs, str(tmp_path)).collect()
