@@ -35,7 +35,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes byte strings that occur earlier. Characters that a cut goes through go whole; a document of which no word is left goes, too."""
     kept = suffix_dedup.remove_repeated(docs, carry=("lang", "source"), whole_characters=True)
-    left = kept.select("doc_id", F.col("kept").cast("string").alias("text"), "lang", "source", (F.octet_length("kept") < F.col("n_bytes")).alias("cut"))
+    left = kept.select(
+        "doc_id", F.col("kept").cast("string").alias("text"), "lang", "source", (F.octet_length("kept") < F.col("n_bytes")).alias("cut")
+    )
     return left.filter(~F.col("cut") | F.col("text").rlike(r"\S")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -50,7 +52,10 @@ def packed_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack_documents(docs, registry.word_bpe())
 
 
-STAGES = [("quality rules", quality_rules), ("n-gram Jaccard join", near_copies), ("suffix-array dedup", repeated_passages), ("PII", private_data), ("packing", packed_windows)]
+STAGES = [
+    ("quality rules", quality_rules), ("n-gram Jaccard join", near_copies), ("suffix-array dedup", repeated_passages),
+    ("PII", private_data), ("packing", packed_windows)
+]
 
 #: The line model, surrogates and tokens can't be expressed in SQL; the stages are tested against brute force.
 ORACLE_SQL = None

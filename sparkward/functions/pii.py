@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from .rules import PII_TYPES, SENSITIVE_KEYWORDS, SIMPLE_PATTERNS
 
 #: What a text must contain for a pattern to be worth trying.
-PREFILTERS = {"EMAIL": "@", "CREDIT_CARD": r"(?:[0-9][ -]*){13}", "ADDRESS": r"[0-9]{5}", "DATE_OF_BIRTH": r"[0-9]{2}", "PASSPORT_NUMBER": r"[0-9]{8}", "IP_ADDRESS": r"[0-9]\.[0-9]"}
+PREFILTERS = {
+    "EMAIL": "@", "CREDIT_CARD": r"(?:[0-9][ -]*){13}", "ADDRESS": r"[0-9]{5}", "DATE_OF_BIRTH": r"[0-9]{2}",
+    "PASSPORT_NUMBER": r"[0-9]{8}", "IP_ADDRESS": r"[0-9]\.[0-9]"
+}
 DIGITS = r"[0-9]{4}"
 ENTITY = "array<struct<entity_type:string,value:string,start:int,end:int,confidence:double>>"
 
 
 def matches(text: Column, kind: str, pattern: str) -> Column:
     """All matches of a pattern; texts that can't have one are skipped."""
-    return F.when(text.rlike(PREFILTERS.get(kind, DIGITS)), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.when(
+        text.rlike(PREFILTERS.get(kind, DIGITS)), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    ).otherwise(F.array().cast("array<string>"))
 
 
 def entities(text: Column) -> Column:
@@ -32,7 +37,10 @@ def located(text: Column, kind: str, label: str, pattern: str, confidence: float
     def step(a: Column, p: Column) -> Column:
         start = a["at"] + p["gap"]
         end = start + F.length(p["value"])
-        one = F.struct(F.lit(label).alias("entity_type"), p["value"].alias("value"), start.alias("start"), end.alias("end"), F.lit(confidence).alias("confidence"))
+        one = F.struct(
+            F.lit(label).alias("entity_type"), p["value"].alias("value"), start.alias("start"), end.alias("end"),
+            F.lit(confidence).alias("confidence")
+        )
         return F.struct(end.alias("at"), F.concat(a["found"], F.array(one).cast(ENTITY)).alias("found"))
 
     return F.when(F.size(values) > 0, F.aggregate(pairs, zero, step)["found"]).otherwise(F.array().cast(ENTITY))
@@ -45,14 +53,19 @@ def labelled(text: Column, kind: str, label: str, pattern: str) -> Column:
 
 def sweep(found: Column) -> Column:
     """Resolves overlaps: from left to right, the more confident one stays, of equally confident ones the longer."""
-    ordered = F.array_sort(found, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["confidence"] > b["confidence"], -1).when(a["confidence"] < b["confidence"], 1).otherwise(0))
+    ordered = F.array_sort(
+        found,
+        lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["confidence"] > b["confidence"], -1).when(a["confidence"] < b["confidence"], 1).otherwise(0)
+    )
     length = lambda e: e["end"] - e["start"]
 
     def step(kept: Column, e: Column) -> Column:
         last = F.element_at(kept, -1)
         better = (e["confidence"] > last["confidence"]) | ((e["confidence"] == last["confidence"]) & (length(e) > length(last)))
         replaced = F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(e))
-        return F.when(F.size(kept) == 0, F.array(e)).when(e["start"] >= last["end"], F.concat(kept, F.array(e))).when(better, replaced).otherwise(kept).cast(ENTITY)
+        return F.when(F.size(kept) == 0, F.array(e)).when(
+            e["start"] >= last["end"], F.concat(kept, F.array(e))
+        ).when(better, replaced).otherwise(kept).cast(ENTITY)
 
     return F.aggregate(ordered, F.array().cast(ENTITY), step)
 
@@ -67,17 +80,28 @@ def mask(value: Column, kind: Column) -> Column:
     n = F.length(value)
     user = F.substring_index(value, "@", 1)
     tail = F.when(n >= 4, F.concat(F.expr("''"), F.substring(value, F.lit(1), n - 4), F.lit("****"))).otherwise("****")
-    email = F.when(value.contains("@") & (F.length(user) > 1), F.concat(F.substring(value, 1, 1), F.lit("***@"), F.substring(value, F.locate("@", value) + 1, n))).otherwise("****@****.com")
+    email = F.when(
+        value.contains("@") & (F.length(user) > 1),
+        F.concat(F.substring(value, 1, 1), F.lit("***@"), F.substring(value, F.locate("@", value) + 1, n))
+    ).otherwise("****@****.com")
     address = F.when(value.contains(","), F.concat(F.lit("****,"), F.substring(value, F.locate(",", value) + 1, n))).otherwise("****,")
-    name = F.concat_ws(" ", F.transform(F.split(value, " "), lambda w: F.when(F.length(w) > 1, F.concat(F.substring(w, 1, 1), F.lit("***"))).otherwise("*")))
+    name = F.concat_ws(
+        " ",
+        F.transform(F.split(value, " "), lambda w: F.when(F.length(w) > 1, F.concat(F.substring(w, 1, 1), F.lit("***"))).otherwise("*"))
+    )
     plain = F.when(n > 2, F.concat(F.substring(value, 1, 1), F.lit("****"), F.substring(value, n, F.lit(1)))).otherwise("****")
-    return F.when(kind.contains("SSN") | kind.contains("Social Security") | kind.contains("Credit Card"), tail).when(kind.contains("Email"), email).when(kind.contains("Phone"), tail).when(kind.contains("Address"), address).when(kind.contains("Name"), name).otherwise(plain)
+    return F.when(
+        kind.contains("SSN") | kind.contains("Social Security") | kind.contains("Credit Card"), tail
+    ).when(kind.contains("Email"), email).when(kind.contains("Phone"), tail).when(kind.contains("Address"), address).when(kind.contains("Name"), name).otherwise(plain)
 
 
 def redact(text: Column, swept: Column) -> Column:
     """The text with every span masked."""
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    folded = F.aggregate(swept, zero, lambda a, e: F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, e["start"] - a["at"]), mask(e["value"], e["entity_type"])).alias("out"), e["end"].alias("at")))
+    folded = F.aggregate(
+        swept, zero,
+        lambda a, e: F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, e["start"] - a["at"]), mask(e["value"], e["entity_type"])).alias("out"), e["end"].alias("at"))
+    )
     return F.concat(folded["out"], F.substring(text, folded["at"] + 1, F.length(text)))
 
 
@@ -85,13 +109,18 @@ def short_mask(value: Column, kind: str) -> Column:
     """The masked form of the simple detector."""
     n = F.length(value)
     last = F.substring(value, n - 3, F.lit(4))
-    other = F.when(n > 4, F.concat(F.substring(value, 1, 2), F.lit("***"), F.substring(value, n - 1, F.lit(2)))).otherwise(F.concat(F.substring(value, 1, 1), F.lit("***")))
+    other = F.when(
+        n > 4, F.concat(F.substring(value, 1, 2), F.lit("***"), F.substring(value, n - 1, F.lit(2)))
+    ).otherwise(F.concat(F.substring(value, 1, 1), F.lit("***")))
     if kind == "credit_card":
         return F.when(n > 8, F.concat(F.substring(value, 1, 4), F.lit("****"), last)).otherwise(other)
     if kind == "ssn":
         return F.when(n > 5, F.concat(F.lit("***-**-"), last)).otherwise(other)
     if kind == "email":
-        return F.when(value.contains("@"), F.concat(F.substring(F.substring_index(value, "@", 1), 1, 3), F.lit("***@"), F.substring_index(value, "@", -1))).otherwise(other)
+        return F.when(
+            value.contains("@"),
+            F.concat(F.substring(F.substring_index(value, "@", 1), 1, 3), F.lit("***@"), F.substring_index(value, "@", -1))
+        ).otherwise(other)
     return other
 
 
@@ -162,7 +191,10 @@ def sentence_chunks(text: Column, size: int = 512) -> Column:
         k = F.size(F.filter(F.split(s, r"\s+"), lambda w: w != ""))
         full = a["n"] + k > size - 2
         closed = F.when(full & (a["now"] != ""), F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"])
-        return F.struct(closed.alias("done"), F.when(full | (a["now"] == ""), s).otherwise(F.concat_ws(" ", a["now"], s)).alias("now"), F.when(full, k).otherwise(a["n"] + k).alias("n"))
+        return F.struct(
+            closed.alias("done"), F.when(full | (a["now"] == ""), s).otherwise(F.concat_ws(" ", a["now"], s)).alias("now"),
+            F.when(full, k).otherwise(a["n"] + k).alias("n")
+        )
 
     folded = F.aggregate(F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: s != ""), zero, step)
     return F.when(folded["now"] != "", F.concat(folded["done"], F.array(folded["now"]))).otherwise(folded["done"])
@@ -176,12 +208,19 @@ def truncated(text: Column, max_length: int = 512) -> Column:
 def data_type(types: Column) -> Column:
     """Data type of a document by its entities' types; the first that fits."""
     has = lambda word: F.exists(types, lambda t: F.lower(t).contains(word))
-    return F.when(F.size(types) == 0, "General").when(has("ssn") | has("social security"), "PII-SSN").when(has("credit card"), "PII-Financial").when(has("address"), "PII-Address").when(has("email"), "PII-Contact").otherwise("PII-General")
+    return F.when(F.size(types) == 0, "General").when(
+        has("ssn") | has("social security"), "PII-SSN"
+    ).when(has("credit card"), "PII-Financial").when(has("address"), "PII-Address").when(has("email"), "PII-Contact").otherwise("PII-General")
 
 
 def type_counts(docs: DataFrame) -> DataFrame:
     """Matches, and documents with one, of each type over all texts: one aggregation of 28 sums, then a row for each type."""
     counted = docs.select(*(F.size(matches(F.col("text"), kind, pattern)).alias(kind) for kind, _, pattern, _ in PII_TYPES))
-    sums = counted.agg(*(F.sum(kind).alias(kind) for kind, *_ in PII_TYPES), *(F.count_if(F.col(kind) > 0).alias(f"{kind}_docs") for kind, *_ in PII_TYPES))
-    rows = F.array(*(F.struct(F.lit(label).alias("entity_type"), F.coalesce(F.col(kind), F.lit(0)).cast("long").alias("n_matches"), F.col(f"{kind}_docs").alias("n_docs")) for kind, label, *_ in PII_TYPES))
+    sums = counted.agg(
+        *(F.sum(kind).alias(kind) for kind, *_ in PII_TYPES), *(F.count_if(F.col(kind) > 0).alias(f"{kind}_docs") for kind, *_ in PII_TYPES)
+    )
+    rows = F.array(*(
+        F.struct(F.lit(label).alias("entity_type"), F.coalesce(F.col(kind), F.lit(0)).cast("long").alias("n_matches"), F.col(f"{kind}_docs").alias("n_docs")) for kind,
+        label, *_ in PII_TYPES
+    ))
     return sums.select(F.inline(rows))

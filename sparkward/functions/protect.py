@@ -38,7 +38,10 @@ def one_way(value: Column, salt: bytes = b"") -> Column:
 
 def protected(value: Column, level: str, key: bytes, salt: bytes = b"") -> Column:
     """A value at a level of protection: UNPROTECTED stays, ENCRYPTED can be read with the key, PSEUDONYMIZED and ANONYMIZED are hashed (the former after a salt)."""
-    made = {"UNPROTECTED": lambda: value.cast("string"), "ENCRYPTED": lambda: encrypt(value, key), "PSEUDONYMIZED": lambda: one_way(value, salt), "ANONYMIZED": lambda: one_way(value)}
+    made = {
+        "UNPROTECTED": lambda: value.cast("string"), "ENCRYPTED": lambda: encrypt(value, key),
+        "PSEUDONYMIZED": lambda: one_way(value, salt), "ANONYMIZED": lambda: one_way(value)
+    }
     if level not in made:
         raise ValueError(f"unknown level {level}")
     return made[level]()

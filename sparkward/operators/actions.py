@@ -35,4 +35,6 @@ class Actions:
 def counters(plan: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules, planned actions and breaches, as one row; with a column origin also actions by the model (ai) and by rules."""
     by = [F.count_if(F.col("origin") == o).alias(f"n_{o}_actions") for o in ("ai", "rule")] if "origin" in plan.columns else []
-    return plan.agg(F.count("*").alias("n_actions"), F.count_distinct("breach_id").alias("n_breaches"), *by).join(F.broadcast(rules.agg(F.count("*").alias("n_rules"))))
+    return plan.agg(
+        F.count("*").alias("n_actions"), F.count_distinct("breach_id").alias("n_breaches"), *by
+    ).join(F.broadcast(rules.agg(F.count("*").alias("n_rules"))))

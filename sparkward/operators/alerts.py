@@ -31,7 +31,9 @@ def review_id(anomaly_id: Column, at: Column) -> Column:
 
 def details_json(df: DataFrame, names: list[str]) -> Column:
     """The named columns as JSON with every value as text, those that are null left out."""
-    pairs = F.array_compact(F.array(*(F.when(F.col(n).isNotNull(), F.struct(F.lit(n).alias("k"), F.col(n).cast("string").alias("v"))) for n in names)))
+    pairs = F.array_compact(F.array(*(F.when(
+        F.col(n).isNotNull(), F.struct(F.lit(n).alias("k"), F.col(n).cast("string").alias("v"))
+    ) for n in names)))
     return F.to_json(F.map_from_entries(pairs))
 
 
@@ -53,7 +55,9 @@ def message(df: DataFrame) -> Column:
 def affected(df: DataFrame) -> Column:
     """The user, resource and system that an anomaly names."""
     have = set(df.columns)
-    one = lambda kind, name: F.struct(F.lit(kind).alias("type"), (F.col(name).cast("string") if name in have else F.lit(None).cast("string")).alias("id"))
+    one = lambda kind, name: F.struct(
+        F.lit(kind).alias("type"), (F.col(name).cast("string") if name in have else F.lit(None).cast("string")).alias("id")
+    )
     return F.filter(F.array(one("user", "user_id"), one("data_resource", "resource_id"), one("system", "system")), lambda r: r["id"].isNotNull())
 
 
@@ -62,7 +66,11 @@ def alerts(anomalies: DataFrame) -> DataFrame:
     if "action_decided" in anomalies.columns:
         anomalies = anomalies.filter(~F.coalesce(F.col("action_decided") == "suppress", F.lit(False)))
     details = details_json(anomalies, [c for c in anomalies.columns if c not in ("event_id", "timestamp", "metadata", "message", "action_decided")])
-    return anomalies.select(F.col("event_id").alias("alert_id"), "timestamp", priority(F.col("anomaly_score")).alias("priority"), message(anomalies).alias("message"), "source_type", F.lit("new").alias("status"), details.alias("details"), affected(anomalies).alias("resources"))
+    return anomalies.select(
+        F.col("event_id").alias("alert_id"), "timestamp", priority(F.col("anomaly_score")).alias("priority"),
+        message(anomalies).alias("message"), "source_type", F.lit("new").alias("status"), details.alias("details"),
+        affected(anomalies).alias("resources")
+    )
 
 
 def deduplicated(found: DataFrame, minutes: int = MINUTES) -> DataFrame:
@@ -99,7 +107,10 @@ def deduplicated(found: DataFrame, minutes: int = MINUTES) -> DataFrame:
 
 def statistics(found: DataFrame) -> DataFrame:
     """Active alerts, their first and last time, and numbers by priority, as one row."""
-    return found.agg(F.count_if(F.col("status") == "new").alias("active"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"), *(F.count_if(F.col("priority") == p).alias(f"n_{p}") for p in ("high", "medium", "low")))
+    return found.agg(
+        F.count_if(F.col("status") == "new").alias("active"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"),
+        *(F.count_if(F.col("priority") == p).alias(f"n_{p}") for p in ("high", "medium", "low"))
+    )
 
 
 def page(found: DataFrame, of: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
@@ -119,7 +130,9 @@ def decide(confidence: Column) -> tuple[Column, Column, Column]:
 def review_priority(severity: Column, confidence: Column) -> Column:
     """The queue of a review item: uncertain ones move up."""
     urgent = 1 - confidence > 0.8
-    return F.when(severity == "high", "high").when(severity == "medium", F.when(urgent, "high").otherwise("medium")).otherwise(F.when(urgent, "medium").otherwise("low"))
+    return F.when(severity == "high", "high").when(
+        severity == "medium", F.when(urgent, "high").otherwise("medium")
+    ).otherwise(F.when(urgent, "medium").otherwise("low"))
 
 
 def queued(items: DataFrame) -> DataFrame:
@@ -151,7 +164,10 @@ def generation_counters(found: DataFrame, stored: DataFrame) -> DataFrame:
     kept = stored.select(F.col("alert_id").alias("stored_id")).distinct()
     joined = found.join(kept, F.col("event_id") == F.col("stored_id"), "left")
     created = F.count_if(~suppressed & F.col("stored_id").isNotNull())
-    return joined.groupBy(priority(F.col("anomaly_score")).alias("priority")).agg(F.count("*").alias("n_anomalies"), F.count_if(suppressed).alias("filtered"), F.count_if(~suppressed).alias("validated"), created.alias("created"))
+    return joined.groupBy(priority(F.col("anomaly_score")).alias("priority")).agg(
+        F.count("*").alias("n_anomalies"), F.count_if(suppressed).alias("filtered"), F.count_if(~suppressed).alias("validated"),
+        created.alias("created")
+    )
 
 
 def expired(items: DataFrame, as_of: Column, days: int = 30) -> tuple[DataFrame, DataFrame]:
@@ -164,7 +180,11 @@ def feedback_statistics(feedback: DataFrame) -> DataFrame:
     """Reviewed, true and false positives, accuracy and false positive rate, and the share of anomalies they speak for (0.01 to 0.5)."""
     tp, n = F.count_if("is_true_positive"), F.count("is_true_positive")
     share = F.coalesce(F.try_divide(tp, n), F.lit(0.0))
-    return feedback.agg(n.alias("reviewed"), tp.alias("true_positives"), (n - tp).alias("false_positives"), F.round(share, 6).alias("accuracy"), F.round(F.coalesce(F.try_divide(n - tp, n), F.lit(0.0)), 6).alias("false_positive_rate"), F.round(F.greatest(F.lit(0.01), F.least(F.lit(0.5), share)), 6).alias("contamination"))
+    return feedback.agg(
+        n.alias("reviewed"), tp.alias("true_positives"), (n - tp).alias("false_positives"), F.round(share, 6).alias("accuracy"),
+        F.round(F.coalesce(F.try_divide(n - tp, n), F.lit(0.0)), 6).alias("false_positive_rate"),
+        F.round(F.greatest(F.lit(0.01), F.least(F.lit(0.5), share)), 6).alias("contamination")
+    )
 
 
 def best_threshold(observed: DataFrame) -> DataFrame:
@@ -177,7 +197,9 @@ def best_threshold(observed: DataFrame) -> DataFrame:
     whole = counts.agg(F.sum("tp").alias("all_tp"), F.sum("fp").alias("all_fp"))
     summed = running_totals(counts, "error", {"tp": "sum_tp", "fp": "sum_fp"}, descending=True).join(F.broadcast(whole))
     f1 = 2.0 * F.col("sum_tp") / (F.col("all_tp") + F.col("sum_tp") + F.col("sum_fp"))
-    return summed.filter("all_tp > 0 AND all_fp > 0").agg(F.max_by("error", F.struct(f1.alias("f1"), (-F.col("error")).alias("order"))).alias("threshold"), F.round(F.max(f1), 6).alias("f1")).filter("f1 > 0")
+    return summed.filter("all_tp > 0 AND all_fp > 0").agg(
+        F.max_by("error", F.struct(f1.alias("f1"), (-F.col("error")).alias("order"))).alias("threshold"), F.round(F.max(f1), 6).alias("f1")
+    ).filter("f1 > 0")
 
 
 def confusion(df: DataFrame) -> DataFrame:
@@ -185,7 +207,11 @@ def confusion(df: DataFrame) -> DataFrame:
     p, a = F.col("predicted"), F.col("actual")
     c = df.agg(F.count_if(p & a).alias("tp"), F.count_if(p & ~a).alias("fp"), F.count_if(~p & a).alias("fn"), F.count_if(~p & ~a).alias("tn"))
     ratio = lambda x, y: F.round(F.coalesce(F.try_divide(x, y), F.lit(0.0)), 6)
-    return c.select("*", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
+    return c.select(
+        "*", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
+        ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"),
+        ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1")
+    )
 
 
 def auroc(scores: DataFrame) -> DataFrame:
@@ -193,7 +219,9 @@ def auroc(scores: DataFrame) -> DataFrame:
 
     Counted by distinct error in running totals, so pairs are never made. Null where a class is absent.
     """
-    counts = scores.filter("error IS NOT NULL AND positive IS NOT NULL").groupBy("error").agg(F.count_if("positive").cast("double").alias("p"), F.count_if(~F.col("positive")).cast("double").alias("n"))
+    counts = scores.filter("error IS NOT NULL AND positive IS NOT NULL").groupBy("error").agg(
+        F.count_if("positive").cast("double").alias("p"), F.count_if(~F.col("positive")).cast("double").alias("n")
+    )
     summed = running_totals(counts, "error", {"n": "n_upto"})
     sums = summed.agg(F.sum(F.col("p") * (F.col("n_upto") - F.col("n") / 2)).alias("ordered"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return sums.select(F.round(F.try_divide("ordered", F.col("p") * F.col("n")), 6).alias("auroc"))
@@ -202,7 +230,9 @@ def auroc(scores: DataFrame) -> DataFrame:
 def labelled_outcomes(anomalies: DataFrame, human: DataFrame, truth: DataFrame) -> DataFrame:
     """Anomalies (anomaly_id, predicted) with what people say (is_true_positive) and what is true (actual); those that all three know."""
     h, t = human.select(F.col("anomaly_id").alias("h_id"), "is_true_positive"), truth.select(F.col("anomaly_id").alias("t_id"), "actual")
-    return anomalies.join(h, F.col("anomaly_id") == F.col("h_id")).join(t, F.col("anomaly_id") == F.col("t_id")).select("anomaly_id", "predicted", "is_true_positive", "actual")
+    return anomalies.join(h, F.col("anomaly_id") == F.col("h_id")).join(t, F.col("anomaly_id") == F.col("t_id")).select(
+        "anomaly_id", "predicted", "is_true_positive", "actual"
+    )
 
 
 def not_repeated(found: DataFrame, stored: DataFrame, minutes: int = MINUTES) -> DataFrame:
@@ -216,7 +246,10 @@ def not_repeated(found: DataFrame, stored: DataFrame, minutes: int = MINUTES) ->
     at = F.unix_micros(F.col("timestamp").cast("timestamp"))
     old = stored.select("message", at.alias("at")).filter("at IS NOT NULL").withColumn("span", F.floor(F.col("at") / F.lit(width)).cast("long"))
     ends = old.groupBy("message", "span").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    own, before = (ends.select(F.col("message").alias(f"{p}_message"), (F.col("span") + k).alias(f"{p}_span"), F.col(c).alias(f"{p}_{c}")) for p, k, c in (("own", 0, "first"), ("before", 1, "last")))
+    own, before = (
+        ends.select(F.col("message").alias(f"{p}_message"), (F.col("span") + k).alias(f"{p}_span"), F.col(c).alias(f"{p}_{c}")) for p, k,
+        c in (("own", 0, "first"), ("before", 1, "last"))
+    )
     placed = found.withColumn("_at", at).withColumn("_span", F.floor(F.col("_at") / F.lit(width)).cast("long"))
     same = lambda p: (F.col("message") == F.col(f"{p}_message")) & (F.col("_span") == F.col(f"{p}_span"))
     met = placed.join(own, same("own"), "left").join(before, same("before"), "left")
@@ -245,4 +278,6 @@ def should_retrain(feedback: DataFrame, last: Column, now: Column, least: int =
 def predictions_hold(stored: DataFrame, expected: DataFrame, rtol: float = 1e-5, atol: float = 1e-8) -> DataFrame:
     """Whether stored predictions (id, value) are close to expected ones: id, holds."""
     other = expected.select(F.col("id").alias("_id"), F.col("value").alias("_value"))
-    return stored.join(other, F.col("id") == F.col("_id")).select("id", (F.abs(F.col("value") - F.col("_value")) <= atol + rtol * F.abs(F.col("_value"))).alias("holds"))
+    return stored.join(other, F.col("id") == F.col("_id")).select(
+        "id", (F.abs(F.col("value") - F.col("_value")) <= atol + rtol * F.abs(F.col("_value"))).alias("holds")
+    )

@@ -45,7 +45,9 @@ def l_diverse(df: DataFrame, c: Config) -> DataFrame:
     for name in c.sensitive:
         counts = df.groupBy(*c.quasi_identifiers, name).agg(F.count("*").alias("_n"))
         real = F.col(name).isNotNull()
-        groups = counts.groupBy(*c.quasi_identifiers).agg(F.count_if(real).alias("_values"), F.max(F.when(real, F.col("_n"))).alias("_top"), F.sum("_n").alias("_size"))
+        groups = counts.groupBy(*c.quasi_identifiers).agg(
+            F.count_if(real).alias("_values"), F.max(F.when(real, F.col("_n"))).alias("_top"), F.sum("_n").alias("_size")
+        )
         df = in_groups(df, groups.filter((F.col("_values") >= c.l) & (F.col("_top") <= F.col("_size") / c.l)), c.quasi_identifiers)
     return df
 
@@ -75,15 +77,22 @@ def ks_statistics(df: DataFrame, c: Config, name: str) -> DataFrame:
     of_group = df.filter(F.col(name).isNotNull()).groupBy(*c.quasi_identifiers, name).agg(F.count("*").alias("_n"))
     order = Window.partitionBy(*c.quasi_identifiers).orderBy(name)
     size = F.sum("_n").over(Window.partitionBy(*c.quasi_identifiers))
-    steps = of_group.withColumns({"_cum": F.sum("_n").over(order), "_size": size}).join(whole, F.col(name) == F.col("_value")).join(F.broadcast(total))
+    steps = of_group.withColumns({
+        "_cum": F.sum("_n").over(order), "_size": size
+    }).join(whole, F.col(name) == F.col("_value")).join(F.broadcast(total))
     # a group's step function is farthest from the table's at a value of the group, or just before one
     at = F.abs(F.col("_cum") / F.col("_size") - F.col("_upto") / F.col("_total"))
     before = F.abs((F.col("_cum") - F.col("_n")) / F.col("_size") - (F.col("_upto") - F.col("_all")) / F.col("_total"))
-    stats = steps.groupBy(*c.quasi_identifiers).agg(F.max(F.greatest(at, before)).alias("statistic"), F.max("_size").alias("size"), F.max("_total").alias("_total"))
+    stats = steps.groupBy(*c.quasi_identifiers).agg(
+        F.max(F.greatest(at, before)).alias("statistic"), F.max("_size").alias("size"), F.max("_total").alias("_total")
+    )
     en = F.sqrt(F.col("size") * F.col("_total") / (F.col("size") + F.col("_total")))
     x = F.col("statistic") * en
     series = sum((2 * (-1) ** (j - 1) * F.exp(-2.0 * j * j * x * x) for j in range(2, 60)), 2 * F.exp(-2.0 * x * x))
-    return stats.select(*c.quasi_identifiers, "statistic", "size", F.when(x < 0.2, 0.0).otherwise(1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), series))).alias("distance"))
+    return stats.select(
+        *c.quasi_identifiers, "statistic", "size",
+        F.when(x < 0.2, 0.0).otherwise(1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), series))).alias("distance")
+    )
 
 
 def t_close(df: DataFrame, c: Config) -> DataFrame:
@@ -179,7 +188,10 @@ STEPS = ("suppression", "generalization", "k", "l", "t", "noise")
 
 def release(df: DataFrame, c: Config, steps: tuple[str, ...] = STEPS, noise: tuple[str, ...] = ()) -> DataFrame:
     """The chosen steps in order."""
-    does = {"suppression": suppressed, "generalization": generalized, "k": k_anonymous, "l": l_diverse, "t": t_close, "noise": lambda d, c: noisy(d, c, noise)}
+    does = {
+        "suppression": suppressed, "generalization": generalized, "k": k_anonymous, "l": l_diverse, "t": t_close,
+        "noise": lambda d, c: noisy(d, c, noise)
+    }
     for step in steps:
         df = does[step](df, c)
     return df
@@ -194,13 +206,18 @@ def metrics(original: DataFrame, released: DataFrame, c: Config, *numeric: str)
     all_in_one = a.join(F.broadcast(b)).join(F.broadcast(groups))
     ratios = F.array_compact(F.array(*(F.try_divide(f"after_{x}", f"before_{x}") for x in numeric)))
     ratio = F.try_divide(F.aggregate(ratios, F.lit(0.0), lambda x, y: x + y), F.size(ratios))
-    return all_in_one.select("n_before", "n_after", F.round(F.try_divide("n_after", "n_before"), 6).alias("retention"), F.lit(columns).alias("column_retention"), "min_group", (F.col("min_group") >= c.k).alias("k_holds"), F.round(ratio, 6).alias("variance_ratio"))
+    return all_in_one.select(
+        "n_before", "n_after", F.round(F.try_divide("n_after", "n_before"), 6).alias("retention"), F.lit(columns).alias("column_retention"),
+        "min_group", (F.col("min_group") >= c.k).alias("k_holds"), F.round(ratio, 6).alias("variance_ratio")
+    )
 
 
 def tradeoff(df: DataFrame, c: Config, ks: tuple[int, ...]) -> DataFrame:
     """Rows that stay for each k."""
     sizes = df.groupBy(*c.quasi_identifiers).agg(F.count("*").alias("n"))
-    return sizes.agg(*(F.sum(F.when(F.col("n") >= k, F.col("n")).otherwise(0)).alias(f"k{k}") for k in ks)).select(F.inline(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("rows_kept")) for k in ks))))
+    return sizes.agg(*(F.sum(F.when(F.col("n") >= k, F.col("n")).otherwise(0)).alias(f"k{k}") for k in ks)).select(F.inline(F.array(*(F.struct(
+        F.lit(k).alias("k"), F.col(f"k{k}").alias("rows_kept")
+    ) for k in ks))))
 
 
 def sweep(df: DataFrame, c: Config, settings: tuple[tuple[int, float], ...], column: str) -> DataFrame:

@@ -33,7 +33,9 @@ def build_chain(entries: DataFrame, key: bytes) -> DataFrame:
 
     A log is read in order in one task, which holds only the last hash; logs side by side.
     """
-    dealt = entries.select("log_id", F.col("seq").cast("long").alias("seq"), body_of(entries).alias("body")).repartition("log_id").sortWithinPartitions("log_id", "seq", "body")
+    dealt = entries.select(
+        "log_id", F.col("seq").cast("long").alias("seq"), body_of(entries).alias("body")
+    ).repartition("log_id").sortWithinPartitions("log_id", "seq", "body")
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, last = (), None
@@ -45,9 +47,14 @@ def build_chain(entries: DataFrame, key: bytes) -> DataFrame:
                 before.append(last)
                 last = hashlib.sha256(f"{text}|{last or ''}".encode()).hexdigest()
                 hashes.append(last)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(hashes, pa.string())], names=[*batch.schema.names, "previous_hash", "row_hash"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(before, pa.string()), pa.array(hashes, pa.string())],
+                names=[*batch.schema.names, "previous_hash", "row_hash"]
+            )
 
-    linked = dealt.mapInArrow(chain, f"log_id {entries.schema['log_id'].dataType.simpleString()}, seq long, body string, previous_hash string, row_hash string")
+    linked = dealt.mapInArrow(
+        chain, f"log_id {entries.schema['log_id'].dataType.simpleString()}, seq long, body string, previous_hash string, row_hash string"
+    )
     return linked.withColumn("signature", signature(key, F.col("row_hash")))
 
 
@@ -55,14 +62,21 @@ def verify_chain(chain: DataFrame, key: bytes) -> DataFrame:
     """Issues of a chain: log_id, seq, issue (first row has a predecessor, hash doesn't match, signature doesn't match)."""
     computed = link_hash(F.col("body"), F.col("previous_hash"))
     order = Window.partitionBy("log_id").orderBy("seq")
-    checked = chain.select("log_id", "seq", F.col("previous_hash"), computed.alias("computed"), F.lag(computed).over(order).alias("before"), F.row_number().over(order).alias("n"), (F.col("signature") == signature(key, computed)).alias("signed"))
-    issue = F.when((F.col("n") == 1) & F.col("previous_hash").isNotNull(), "first entry has a predecessor").when((F.col("n") > 1) & ~F.col("previous_hash").eqNullSafe(F.col("before")), "hash mismatch").when(~F.coalesce("signed", F.lit(False)), "signature mismatch")
+    checked = chain.select(
+        "log_id", "seq", F.col("previous_hash"), computed.alias("computed"), F.lag(computed).over(order).alias("before"),
+        F.row_number().over(order).alias("n"), (F.col("signature") == signature(key, computed)).alias("signed")
+    )
+    issue = F.when(
+        (F.col("n") == 1) & F.col("previous_hash").isNotNull(), "first entry has a predecessor"
+    ).when((F.col("n") > 1) & ~F.col("previous_hash").eqNullSafe(F.col("before")), "hash mismatch").when(~F.coalesce("signed", F.lit(False)), "signature mismatch")
     return checked.select("log_id", "seq", issue.alias("issue")).filter("issue IS NOT NULL")
 
 
 def accepted_updates(updates: DataFrame, clients: DataFrame, most: int = 1_000_000) -> DataFrame:
     """Updates (client_id, key, idx, value, samples_count) of registered clients with a plausible count and the usual keys."""
-    known = updates.filter((F.col("samples_count") > 0) & (F.col("samples_count") <= most)).join(clients.select(F.col("client_id").alias("known")).distinct(), F.col("client_id") == F.col("known"), "left_semi")
+    known = updates.filter((F.col("samples_count") > 0) & (F.col("samples_count") <= most)).join(
+        clients.select(F.col("client_id").alias("known")).distinct(), F.col("client_id") == F.col("known"), "left_semi"
+    )
     keys = known.groupBy("client_id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
     usual = keys.groupBy("keys").agg(F.count("*").alias("n")).agg(F.max_by("keys", F.struct("n", "keys")).alias("usual"))
     good = keys.join(F.broadcast(usual), F.col("keys") == F.col("usual")).select(F.col("client_id").alias("good"))
@@ -71,7 +85,9 @@ def accepted_updates(updates: DataFrame, clients: DataFrame, most: int = 1_000_0
 
 def federated_average(updates: DataFrame) -> DataFrame:
     """Mean of each coordinate, weighted by samples."""
-    return updates.groupBy("key", "idx").agg((F.sum(F.col("value") * F.col("samples_count")) / F.sum("samples_count")).alias("value"), F.count("*").alias("n_clients"))
+    return updates.groupBy("key", "idx").agg(
+        (F.sum(F.col("value") * F.col("samples_count")) / F.sum("samples_count")).alias("value"), F.count("*").alias("n_clients")
+    )
 
 
 def private_updates(updates: DataFrame, clip: float, multiplier: float, seed: str) -> DataFrame:
@@ -83,8 +99,13 @@ def private_updates(updates: DataFrame, clip: float, multiplier: float, seed: st
 
 def model_digest(weights: DataFrame) -> DataFrame:
     """SHA-256 of each round's weights: of one hash for each key, in order of keys."""
-    by_key = weights.groupBy("round", "key").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.struct("idx", F.format_string("%.6f", F.col("value")).alias("v")))).cast("array<string>"), ","), 256).alias("h"))
-    return by_key.groupBy("round").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(F.struct("key", "h"))).cast("array<string>"), ","), 256).alias("digest"))
+    by_key = weights.groupBy("round", "key").agg(F.sha2(
+        F.array_join(F.sort_array(F.collect_list(F.struct("idx", F.format_string("%.6f", F.col("value")).alias("v")))).cast("array<string>"), ","),
+        256
+    ).alias("h"))
+    return by_key.groupBy("round").agg(F.sha2(
+        F.array_join(F.sort_array(F.collect_list(F.struct("key", "h"))).cast("array<string>"), ","), 256
+    ).alias("digest"))
 
 
 def client_statistics(history: DataFrame) -> DataFrame:
@@ -93,14 +114,19 @@ def client_statistics(history: DataFrame) -> DataFrame:
     stats = history.groupBy("client_id").agg(
         F.max("round").alias("last_round"), F.count("*").alias("n_rounds"), F.sum("samples_count").alias("n_samples"), F.sum("seconds").alias("total_seconds"), F.avg("seconds").alias("mean_seconds"), last.alias("last")
     )
-    return stats.select("client_id", "last_round", "n_rounds", "n_samples", "total_seconds", "mean_seconds", F.col("last.accuracy").alias("last_accuracy"), F.col("last.loss").alias("last_loss"))
+    return stats.select(
+        "client_id", "last_round", "n_rounds", "n_samples", "total_seconds", "mean_seconds", F.col("last.accuracy").alias("last_accuracy"),
+        F.col("last.loss").alias("last_loss")
+    )
 
 
 def federated_round(updates: DataFrame, clients: DataFrame, number: int, clip: float, multiplier: float, seed: str) -> tuple[DataFrame, DataFrame]:
     """One round: verified updates get noise and are averaged. Gives the model (round, key, idx, value, n_clients) and its history row (round, n_clients, n_samples, digest)."""
     accepted = accepted_updates(updates, clients)
     model = federated_average(private_updates(accepted, clip, multiplier, f"{seed}:{number}")).withColumn("round", F.lit(number))
-    took = accepted.select("client_id", "samples_count").distinct().agg(F.count_distinct("client_id").alias("n_clients"), F.sum("samples_count").alias("n_samples"))
+    took = accepted.select("client_id", "samples_count").distinct().agg(
+        F.count_distinct("client_id").alias("n_clients"), F.sum("samples_count").alias("n_samples")
+    )
     history = model_digest(model).join(F.broadcast(took)).select("round", "n_clients", "n_samples", "digest")
     return model.select("round", "key", "idx", "value", "n_clients"), history
 

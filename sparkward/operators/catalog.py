@@ -17,12 +17,19 @@ def document_records(docs: DataFrame, types: tuple = pii.PII_TYPES, carry: tuple
     A null text counts as having none. Records with a null id stay. Columns in carry, of docs, go along.
     """
     more = docs.select(*carry).columns if carry else []
-    counted = docs.select(F.col("doc_id").alias("record_id"), F.col("source").alias("source_location"), *carry, *(F.size(pii.matches(F.coalesce("text", F.lit("")), kind, pattern)).alias(kind) for kind, _, pattern, _ in types))
+    counted = docs.select(
+        F.col("doc_id").alias("record_id"), F.col("source").alias("source_location"), *carry,
+        *(F.size(pii.matches(F.coalesce("text", F.lit("")), kind, pattern)).alias(kind) for kind, _, pattern, _ in types)
+    )
     counts = [F.col(kind) for kind, *_ in types]
     total = sum(counts[1:], counts[0])
     labels = F.filter(F.array(*(F.when(F.col(kind) > 0, label) for kind, label, *_ in types)), lambda x: x.isNotNull())
     sure = F.greatest(F.lit(0.0), *(F.when(F.col(kind) > 0, confidence).otherwise(0.0) for kind, _, _, confidence in types))
-    return counted.select("record_id", F.lit("unstructured").alias("source_type"), "source_location", pii.data_type(labels).alias("data_type"), F.when(total > 0, "SENSITIVE").otherwise("NON_SENSITIVE").alias("classification"), sure.alias("confidence_score"), total.alias("pii_count"), *more)
+    return counted.select(
+        "record_id", F.lit("unstructured").alias("source_type"), "source_location", pii.data_type(labels).alias("data_type"),
+        F.when(total > 0, "SENSITIVE").otherwise("NON_SENSITIVE").alias("classification"), sure.alias("confidence_score"),
+        total.alias("pii_count"), *more
+    )
 
 
 def column_records(profiles: DataFrame, table_name: str) -> DataFrame:
@@ -42,7 +49,9 @@ def table_result(records: DataFrame) -> DataFrame:
     """Columns, sensitive columns and their names, by table."""
     sensitive = F.col("classification") == "SENSITIVE"
     names = F.sort_array(F.collect_list(F.when(sensitive, F.substring_index("record_id", ".", -1))))
-    return records.groupBy("source_location").agg(F.count("*").alias("n_columns"), F.count_if(sensitive).alias("n_sensitive"), names.alias("sensitive_columns"))
+    return records.groupBy("source_location").agg(
+        F.count("*").alias("n_columns"), F.count_if(sensitive).alias("n_sensitive"), names.alias("sensitive_columns")
+    )
 
 
 def catalog_of(*parts: DataFrame) -> DataFrame:
@@ -50,7 +59,10 @@ def catalog_of(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, (p.withColumn("record_id", F.col("record_id").cast("string")) for p in parts))
 
 
-def search(records: DataFrame, source_type: str | None = None, data_type: str | None = None, classification: str | None = None, min_confidence: float = 0.0, limit: int = 100, offset: int = 0, newest: str | None = None) -> DataFrame:
+def search(
+    records: DataFrame, source_type: str | None = None, data_type: str | None = None, classification: str | None = None,
+    min_confidence: float = 0.0, limit: int = 100, offset: int = 0, newest: str | None = None
+) -> DataFrame:
     """A page of the records that fit: newest first by a column of times if one is named, then by id."""
     for name, value in (("source_type", source_type), ("data_type", data_type), ("classification", classification)):
         if value is not None:
@@ -76,13 +88,18 @@ def with_entities(records: DataFrame, entities: DataFrame) -> DataFrame:
     """Records with their entities nested and counted; entities has record_id and the entity's columns."""
     fields = [c for c in entities.columns if c != "record_id"]
     nested = entities.groupBy(F.col("record_id").alias("entity_record")).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("entities"))
-    return records.join(nested, F.col("record_id") == F.col("entity_record"), "left").drop("entity_record").withColumn("pii_count", F.coalesce(F.size("entities"), F.lit(0)))
+    return records.join(
+        nested, F.col("record_id") == F.col("entity_record"), "left"
+    ).drop("entity_record").withColumn("pii_count", F.coalesce(F.size("entities"), F.lit(0)))
 
 
 def scan_summary(docs: DataFrame) -> DataFrame:
     """Files, sensitive files, bytes and entities of each place that was scanned, from documents (doc_id, source, text)."""
     records = document_records(docs, carry=(F.octet_length("text").alias("bytes"),))
-    return records.groupBy("source_location").agg(F.count("*").alias("n_files"), F.count_if(F.col("pii_count") > 0).alias("n_sensitive"), F.sum("bytes").cast("long").alias("n_bytes"), F.sum("pii_count").cast("long").alias("n_entities"))
+    return records.groupBy("source_location").agg(
+        F.count("*").alias("n_files"), F.count_if(F.col("pii_count") > 0).alias("n_sensitive"),
+        F.sum("bytes").cast("long").alias("n_bytes"), F.sum("pii_count").cast("long").alias("n_entities")
+    )
 
 
 def scan_totals(results: DataFrame, seconds: Column) -> DataFrame:
@@ -115,4 +132,8 @@ def file_risk(records: DataFrame) -> DataFrame:
 def masked_entities(docs: DataFrame) -> DataFrame:
     """Entities of documents in the form they are stored in, masked."""
     found = docs.select(F.col("doc_id").alias("record_id"), F.inline(pii.sweep(pii.entities(F.col("text")))))
-    return found.select("record_id", "entity_type", pii.mask(F.col("value"), F.col("entity_type")).alias("entity_value"), F.col("start").alias("start_position"), F.col("end").alias("end_position"), F.col("confidence").alias("confidence_score"), F.lit(True).alias("is_masked"))
+    return found.select(
+        "record_id", "entity_type", pii.mask(F.col("value"), F.col("entity_type")).alias("entity_value"),
+        F.col("start").alias("start_position"), F.col("end").alias("end_position"), F.col("confidence").alias("confidence_score"),
+        F.lit(True).alias("is_masked")
+    )

@@ -41,7 +41,9 @@ def profile(df: DataFrame) -> DataFrame:
 def samples(df: DataFrame, most: int = 3) -> DataFrame:
     """The first different values of each column in their order as text: column_name, sample_values. A tree of partial minima, not a sort."""
     values = distinct_values(df).filter("v IS NOT NULL")
-    smallest = values.groupBy("column_name", F.pmod(F.xxhash64("v"), F.lit(64)).alias("salt")).agg(F.slice(F.sort_array(F.collect_set("v")), 1, most).alias("vs"))
+    smallest = values.groupBy(
+        "column_name", F.pmod(F.xxhash64("v"), F.lit(64)).alias("salt")
+    ).agg(F.slice(F.sort_array(F.collect_set("v")), 1, most).alias("vs"))
     return smallest.groupBy("column_name").agg(F.slice(F.sort_array(F.flatten(F.collect_list("vs"))), 1, most).alias("sample_values"))
 
 
@@ -69,7 +71,10 @@ def heuristic(df: DataFrame, name: str) -> DataFrame:
     hit = (c.contains("@") & c.contains(".")) | F.length(F.regexp_replace(c, r"\D", "")).isin(15, 16) | c.rlike(r"^\d{3}-?\d{2}-?\d{4}$")
     named = any(k in name.lower() for k in HEURISTIC_NAMES)
     found = F.lit(True) if named else F.coalesce(F.bool_or(hit), F.lit(False))
-    return df.agg(found.alias("s")).select(F.lit(name).alias("column_name"), F.when(F.col("s"), "sensitive").otherwise("non-sensitive").alias("classification"), F.when(F.col("s"), 0.7).otherwise(0.6).alias("confidence"))
+    return df.agg(found.alias("s")).select(
+        F.lit(name).alias("column_name"), F.when(F.col("s"), "sensitive").otherwise("non-sensitive").alias("classification"),
+        F.when(F.col("s"), 0.7).otherwise(0.6).alias("confidence")
+    )
 
 
 def type_of_name(name: Column) -> Column:
@@ -103,4 +108,7 @@ def pii_rollup(frames: dict[str, DataFrame]) -> DataFrame:
     counted = cells.select("file", "column_name", *(F.coalesce(F.regexp_count("v", F.lit(p)), F.lit(0)).alias(k) for k, p in SIMPLE_PATTERNS))
     total = sum((F.col(k) for k, _ in SIMPLE_PATTERNS[1:]), F.col(SIMPLE_PATTERNS[0][0]))
     types = F.array_compact(F.array(*(F.when(F.max(F.col(k)) > 0, k) for k, _ in SIMPLE_PATTERNS)))
-    return counted.rollup("file", "column_name").agg(F.bool_or(total > 0).alias("contains_sensitive"), F.sum(total).cast("long").alias("n_entities"), *(F.count_if(F.col(k) > 0).alias(f"n_{k}") for k, _ in SIMPLE_PATTERNS), F.array_join(F.sort_array(types), ",").alias("types")).filter("file IS NOT NULL")
+    return counted.rollup("file", "column_name").agg(
+        F.bool_or(total > 0).alias("contains_sensitive"), F.sum(total).cast("long").alias("n_entities"),
+        *(F.count_if(F.col(k) > 0).alias(f"n_{k}") for k, _ in SIMPLE_PATTERNS), F.array_join(F.sort_array(types), ",").alias("types")
+    ).filter("file IS NOT NULL")

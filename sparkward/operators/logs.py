@@ -31,7 +31,9 @@ def event_logs(events: DataFrame) -> DataFrame:
     """events as logs, with what the rules and models look at."""
     error = F.col("event_type") == "error"
     resource = F.concat(F.lit("res"), F.get_json_object("props", "$.k"))
-    kind = F.when(error, "unauthorized_access").when(F.col("event_type") == "purchase", "unusual_transfer").when(F.col("event_type") == "signup", "suspicious_behavior").when(F.col("event_type") == "click", "system_activity").otherwise("compliance_violation")
+    kind = F.when(error, "unauthorized_access").when(F.col("event_type") == "purchase", "unusual_transfer").when(
+        F.col("event_type") == "signup", "suspicious_behavior"
+    ).when(F.col("event_type") == "click", "system_activity").otherwise("compliance_violation")
     return events.select(
         "event_id", F.col("ts").cast("timestamp").alias("timestamp"), F.lit("events").alias("source"), F.lit("on_prem").alias("source_type"), F.when(error, "ERROR").otherwise("INFO").alias("log_level"), F.lit("").alias("message"),
         F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("user"), resource.alias("resource"), F.upper("event_type").alias("action"), F.when(error, "FAILURE").otherwise("SUCCESS").alias("status"),
@@ -54,7 +56,9 @@ def rule_anomalies(logs: DataFrame) -> DataFrame:
 def scaled(df: DataFrame, column: str, out: str) -> DataFrame:
     """A column scaled to 0..1 over the frame; all 0 if it doesn't vary."""
     ends = df.agg(F.min(column).alias("low"), F.max(column).alias("high"))
-    return with_scalar(df, ends).withColumn(out, F.coalesce(F.try_divide(F.col(column) - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))).drop("low", "high")
+    return with_scalar(df, ends).withColumn(
+        out, F.coalesce(F.try_divide(F.col(column) - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
+    ).drop("low", "high")
 
 
 def above_percentile(df: DataFrame, column: str, share: float = 0.95) -> DataFrame:
@@ -75,7 +79,10 @@ def user_baseline(logs: DataFrame, deviations: float = 3.0, least: int = 5) -> D
     """
     shift = logs.agg(F.avg("response_time")).first()[0] or 0.0
     x, day = F.col("response_time") - shift, F.to_date("timestamp")
-    seen = logs.select("event_id", "user_id", "timestamp", "response_time", "resource", day.alias("day"), F.hour("timestamp").alias("hour"), x.alias("x"), (x * x).alias("xx"))
+    seen = logs.select(
+        "event_id", "user_id", "timestamp", "response_time", "resource", day.alias("day"), F.hour("timestamp").alias("hour"), x.alias("x"),
+        (x * x).alias("xx")
+    )
     totals = {"n": F.count("x"), "s": F.sum("x"), "ss": F.sum("xx"), "t": F.sum("response_time")}
     days = seen.groupBy(F.col("user_id").alias("of_user"), F.col("day").alias("of_day")).agg(*(c.alias(k) for k, c in totals.items()))
     earlier = Window.partitionBy("of_user").orderBy("of_day").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,9 +107,14 @@ def user_baseline(logs: DataFrame, deviations: float = 3.0, least: int = 5) -> D
 def sequence_windows(logs: DataFrame, length: int = 10) -> DataFrame:
     """For each row with so many rows of its user before it: how far it lies from their mean, in their deviations."""
     before = Window.partitionBy("user_id").orderBy("timestamp", "event_id").rowsBetween(-length, -1)
-    seen = logs.select("event_id", "user_id", "response_time", F.count("*").over(before).alias("n"), F.avg("response_time").over(before).alias("mean"), F.stddev_pop("response_time").over(before).alias("sd"))
+    seen = logs.select(
+        "event_id", "user_id", "response_time", F.count("*").over(before).alias("n"), F.avg("response_time").over(before).alias("mean"),
+        F.stddev_pop("response_time").over(before).alias("sd")
+    )
     distance = F.coalesce(F.try_divide(F.abs(F.col("response_time") - F.col("mean")), F.col("sd")), F.lit(0.0))
-    return seen.filter(F.col("n") == length).select("event_id", "user_id", F.round("mean", 6).alias("window_mean"), F.round(distance, 6).alias("distance"))
+    return seen.filter(F.col("n") == length).select(
+        "event_id", "user_id", F.round("mean", 6).alias("window_mean"), F.round(distance, 6).alias("distance")
+    )
 
 
 def sequences(logs: DataFrame, length: int = 10) -> DataFrame:
@@ -144,7 +156,10 @@ def hybrid_alerts(logs: DataFrame, flags: DataFrame) -> DataFrame:
     found = flags.filter("combined_flag").select(F.col("event_id").alias("flagged"), F.col("combined_score").alias("score"))
     joined = logs.join(found, F.col("event_id") == F.col("flagged"))
     text = lambda name: F.coalesce(F.nullif(F.col(name), F.lit("")), F.lit("unknown")).alias(name)
-    return joined.select("event_id", text("source"), text("user"), text("resource"), "timestamp", F.col("score").alias("anomaly_score"), F.lit("hybrid_ai").alias("detection_method"))
+    return joined.select(
+        "event_id", text("source"), text("user"), text("resource"), "timestamp", F.col("score").alias("anomaly_score"),
+        F.lit("hybrid_ai").alias("detection_method")
+    )
 
 
 def feature_columns(df: DataFrame, label: str | None = None) -> tuple[list[str], list[str]]:

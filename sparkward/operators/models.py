@@ -60,7 +60,9 @@ def fit_forest(df: DataFrame, key: str, names: list[str], trees: int = TREES, ro
     h = F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 30))
     chosen = base.withColumn("first", h).filter(F.col("first") < int(share * (1 << 30)))
     dealt = chosen.select("*", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
-    near = dealt.withColumn("tree", ((F.col("first") + F.col("copy")) % trees).cast("int")).drop("copy").withColumn("h", F.xxhash64("key", "tree", F.lit(seed)))
+    near = dealt.withColumn(
+        "tree", ((F.col("first") + F.col("copy")) % trees).cast("int")
+    ).drop("copy").withColumn("h", F.xxhash64("key", "tree", F.lit(seed)))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["h", "key"]).head(rows)
@@ -90,12 +92,17 @@ def forest_scores(df: DataFrame, key: str, names: list[str], forest: DataFrame,
                 total += t[at, 4]
             yield pd.DataFrame({"key": pdf.key, "score": 2.0 ** (-(total / max(1, len(trees))) / max(norm, 1e-9))})
 
-    return df.select(F.col(key).cast("long").alias("key"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names)).mapInPandas(run, "key long, score double")
+    return df.select(
+        F.col(key).cast("long").alias("key"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names)
+    ).mapInPandas(run, "key long, score double")
 
 
 def features(df: DataFrame, numeric: list[str], categorical: list[str]) -> tuple[Pipeline, list[str]]:
     """Stages that scale numbers and one-hot encode categories into a column features; unknown categories are all zeros."""
-    stages = [VectorAssembler(inputCols=numeric, outputCol="_numbers", handleInvalid="keep"), StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True)]
+    stages = [
+        VectorAssembler(inputCols=numeric, outputCol="_numbers", handleInvalid="keep"),
+        StandardScaler(inputCol="_numbers", outputCol="_scaled", withMean=True)
+    ]
     parts = ["_scaled"]
     for c in categorical:
         stages += [StringIndexer(inputCol=c, outputCol=f"_{c}", handleInvalid="keep"), OneHotEncoder(inputCol=f"_{c}", outputCol=f"_{c}_hot")]
@@ -109,11 +116,17 @@ def reconstruction_errors(df: DataFrame, key: str, names: list[str]) -> DataFram
     A linear stand-in for an autoencoder.
     """
     clean = df.select(F.col(key).alias("key"), *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names))
-    model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True), PCA(k=max(1, len(names) // 4), inputCol="x", outputCol="y")]).fit(clean)
+    model = Pipeline(stages=[
+        VectorAssembler(inputCols=names, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="x", withMean=True),
+        PCA(k=max(1, len(names) // 4), inputCol="x", outputCol="y")
+    ]).fit(clean)
     axes = model.stages[-1].pc.toArray()  # features x components
     projected = model.transform(clean).select("key", vector_to_array("x").alias("x"), vector_to_array("y").alias("y"))
     back = [sum((F.col("y")[k] * float(axes[i, k]) for k in range(1, axes.shape[1])), F.col("y")[0] * float(axes[i, 0])) for i in range(len(names))]
-    error = sum(((F.col("x")[i] - back[i]) * (F.col("x")[i] - back[i]) for i in range(1, len(names))), (F.col("x")[0] - back[0]) * (F.col("x")[0] - back[0])) / len(names)
+    error = sum(
+        ((F.col("x")[i] - back[i]) * (F.col("x")[i] - back[i]) for i in range(1, len(names))),
+        (F.col("x")[0] - back[0]) * (F.col("x")[0] - back[0])
+    ) / len(names)
     return projected.select("key", error.alias("error"))
 
 
@@ -160,7 +173,9 @@ def train_by_client(df: DataFrame, client: str, names: list[str], label: str, st
         joined = rows.join(weights, "client_id")
         dot = F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
         gap = F.col("y") - 1 / (1 + F.exp(-dot))
-        sums = joined.select("client_id", "n", "w", *((gap * F.col("x")[i]).alias(f"g{i}") for i in range(k))).groupBy("client_id", "n", "w").agg(*(F.sum(f"g{i}").alias(f"g{i}") for i in range(k)))
+        sums = joined.select(
+            "client_id", "n", "w", *((gap * F.col("x")[i]).alias(f"g{i}") for i in range(k))
+        ).groupBy("client_id", "n", "w").agg(*(F.sum(f"g{i}").alias(f"g{i}") for i in range(k)))
         weights = sums.select("client_id", "n", F.array(*(F.col("w")[i] + rate * F.col(f"g{i}") / F.col("n") for i in range(k))).alias("w"))
     return weights.select("client_id", F.posexplode("w").alias("idx", "value"), F.col("n").alias("samples_count"))
 
@@ -180,7 +195,9 @@ def fit_column_classifier(profiles: DataFrame, label: str = "label", search: boo
     if not search:
         return pipeline.fit(weighted)
     grid = ParamGridBuilder().addGrid(trees.maxDepth, [3, 5]).addGrid(trees.maxIter, [10, 20]).build()
-    return CrossValidator(estimator=pipeline, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol=label), numFolds=folds, seed=42).fit(weighted).bestModel
+    return CrossValidator(
+        estimator=pipeline, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol=label), numFolds=folds, seed=42
+    ).fit(weighted).bestModel
 
 
 def fit_severity(breaches: DataFrame, numeric: list[str], categorical: list[str], label: str) -> PipelineModel:
@@ -196,14 +213,18 @@ def fit_actions(breaches: DataFrame, numeric: list[str], categorical: list[str],
     index = StringIndexer(inputCol=action, outputCol="_action").fit(breaches)
     stages, _ = features(breaches, numeric, categorical)
     forest = RandomForestClassifier(numTrees=TREES, seed=42, labelCol="_action")
-    return Pipeline(stages=[index, *stages.getStages(), forest, IndexToString(inputCol="prediction", outputCol="recommended", labels=index.labels)]).fit(breaches)
+    return Pipeline(stages=[
+        index, *stages.getStages(), forest, IndexToString(inputCol="prediction", outputCol="recommended", labels=index.labels)
+    ]).fit(breaches)
 
 
 def weighted_metrics(df: DataFrame, label: str = "label") -> dict[str, float]:
     """Accuracy, precision, recall and F1 of predictions, weighted by support."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 
-    return {m: MulticlassClassificationEvaluator(labelCol=label, metricName=m).evaluate(df) for m in ("accuracy", "weightedPrecision", "weightedRecall", "f1")}
+    return {m: MulticlassClassificationEvaluator(labelCol=label, metricName=m).evaluate(df) for m in (
+        "accuracy", "weightedPrecision", "weightedRecall", "f1"
+    )}
 
 
 def feature_importance(model: PipelineModel, names: list[str]) -> list[tuple[str, float]]:
@@ -243,7 +264,10 @@ def describe(df: DataFrame) -> DataFrame:
     def one(c: str):
         x = F.col(c).cast("double")
         q = F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000)
-        parts = (F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("deviation"), F.min(x).alias("low"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.max(x).alias("high"))
+        parts = (
+            F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("deviation"), F.min(x).alias("low"), q[0].alias("q1"),
+            q[1].alias("median"), q[2].alias("q3"), F.max(x).alias("high")
+        )
         return F.struct(F.lit(c).alias("column_name"), *parts)
 
     return df.agg(*(one(c).alias(f"_{i}") for i, c in enumerate(numeric))).select(F.inline(F.array(*(F.col(f"_{i}") for i in range(len(numeric))))))
@@ -261,9 +285,13 @@ def scored_or_ruled(logs: DataFrame, score) -> DataFrame:
 def dataset_profile(df: DataFrame) -> DataFrame:
     """Missing values and kind of each column."""
     kinds = dict(df.dtypes)
-    kind = lambda c: "time" if kinds[c].startswith(("timestamp", "date")) else "categorical" if kinds[c] in ("string", "boolean") else "numeric"
+    kind = lambda c: "time" if kinds[c].startswith((
+        "timestamp", "date"
+    )) else "categorical" if kinds[c] in ("string", "boolean") else "numeric"
     counts = df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in df.columns), F.count("*").alias("_n"))
-    return counts.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.lit(kind(c)).alias("kind"), F.col(c).alias("n_missing"), F.col("_n").alias("n_rows")) for c in df.columns))))
+    return counts.select(F.inline(F.array(*(F.struct(
+        F.lit(c).alias("column_name"), F.lit(kind(c)).alias("kind"), F.col(c).alias("n_missing"), F.col("_n").alias("n_rows")
+    ) for c in df.columns))))
 
 
 def with_text_model(docs: DataFrame, score, name: str = "model_score") -> DataFrame:

@@ -18,7 +18,10 @@ def risk_level(score: Column) -> Column:
 def risk_overview(facts: DataFrame) -> DataFrame:
     """Scores of data exposure, access and compliance gap from one row of sensitive_files, recent_alerts and mean_compliance (null without data), and the mean of those above 0."""
     gap = F.coalesce(100 - F.col("mean_compliance"), F.lit(0.0))
-    scored = facts.select(category_score(F.col("sensitive_files"), 10, 50).alias("data_exposure"), category_score(F.col("recent_alerts"), 5, 15).alias("access"), category_score(gap, 15, 30).alias("compliance_gap"))
+    scored = facts.select(
+        category_score(F.col("sensitive_files"), 10, 50).alias("data_exposure"),
+        category_score(F.col("recent_alerts"), 5, 15).alias("access"), category_score(gap, 15, 30).alias("compliance_gap")
+    )
     some = F.filter(F.array("data_exposure", "access", "compliance_gap"), lambda x: x > 0)
     overall = F.coalesce(F.try_divide(F.aggregate(some, F.lit(0), lambda a, x: a + x), F.size(some)), F.lit(0.0)).cast("int")
     return scored.withColumn("overall", overall).withColumn("level", risk_level(F.col("overall")))
@@ -33,9 +36,15 @@ def latest(scans: DataFrame, key: str, order: str) -> DataFrame:
 def compliance_state(scans: DataFrame) -> DataFrame:
     """State by the latest completed scan (end_time, files_scanned, sensitive_files_found): counts and level, above 10 High, above 3 Medium."""
     done = scans.filter("status = 'completed'")
-    last = done.agg(F.max_by(F.struct("scan_id", "files_scanned", "sensitive_files_found"), F.struct("end_time", "scan_id")).alias("s"), F.count("*").alias("n_scans"))
+    last = done.agg(
+        F.max_by(F.struct("scan_id", "files_scanned", "sensitive_files_found"), F.struct("end_time", "scan_id")).alias("s"),
+        F.count("*").alias("n_scans")
+    )
     n = F.col("s.sensitive_files_found")
-    return last.select(F.col("s.scan_id").alias("scan_id"), F.col("s.files_scanned").alias("files_scanned"), n.alias("sensitive_files_found"), "n_scans", F.when(n > 10, "High").when(n > 3, "Medium").otherwise("Low").alias("risk"))
+    return last.select(
+        F.col("s.scan_id").alias("scan_id"), F.col("s.files_scanned").alias("files_scanned"), n.alias("sensitive_files_found"), "n_scans",
+        F.when(n > 10, "High").when(n > 3, "Medium").otherwise("Low").alias("risk")
+    )
 
 
 def dashboard(scans: DataFrame, n: int = 5) -> DataFrame:
@@ -45,13 +54,18 @@ def dashboard(scans: DataFrame, n: int = 5) -> DataFrame:
 
 def trend(scans: DataFrame, n: int = 12) -> DataFrame:
     """The first scans by time, with a label of month and day."""
-    return scans.orderBy("start_time", "scan_id").limit(n).select("scan_id", F.date_format("start_time", "MMM dd").alias("label"), "sensitive_files_found")
+    return scans.orderBy("start_time", "scan_id").limit(n).select(
+        "scan_id", F.date_format("start_time", "MMM dd").alias("label"), "sensitive_files_found"
+    )
 
 
 def activity_register(activities: DataFrame) -> DataFrame:
     """Activities (purpose, subject, category) by purpose: number, subjects, and categories in words."""
     words = F.initcap(F.replace("category", F.lit("_"), F.lit(" ")))
-    return activities.groupBy("purpose").agg(F.count("*").alias("n_activities"), F.count_distinct("subject").alias("n_subjects"), F.array_join(F.sort_array(F.collect_set(words)), ", ").alias("categories"))
+    return activities.groupBy("purpose").agg(
+        F.count("*").alias("n_activities"), F.count_distinct("subject").alias("n_subjects"),
+        F.array_join(F.sort_array(F.collect_set(words)), ", ").alias("categories")
+    )
 
 
 def category_tally(activities: DataFrame) -> DataFrame:
@@ -61,24 +75,34 @@ def category_tally(activities: DataFrame) -> DataFrame:
 
 def rights_requests(requests: DataFrame) -> DataFrame:
     """Requests (kind, status, days) by kind: received, fulfilled, denied, mean days, and opt-outs."""
-    return requests.groupBy("kind").agg(F.count("*").alias("received"), F.count_if(F.col("status") == "fulfilled").alias("fulfilled"), F.count_if(F.col("status") == "denied").alias("denied"), F.round(F.avg("days"), 4).alias("mean_days"), F.count_if(F.col("kind") == "opt_out").alias("opt_outs"))
+    return requests.groupBy("kind").agg(
+        F.count("*").alias("received"), F.count_if(F.col("status") == "fulfilled").alias("fulfilled"),
+        F.count_if(F.col("status") == "denied").alias("denied"), F.round(F.avg("days"), 4).alias("mean_days"),
+        F.count_if(F.col("kind") == "opt_out").alias("opt_outs")
+    )
 
 
 def breach_totals(breaches: DataFrame) -> DataFrame:
     """Breaches and affected persons by month."""
-    return breaches.groupBy(F.date_format("timestamp", "yyyy-MM").alias("month")).agg(F.count("*").alias("n_breaches"), F.count_distinct("user").alias("affected"))
+    return breaches.groupBy(F.date_format("timestamp", "yyyy-MM").alias("month")).agg(
+        F.count("*").alias("n_breaches"), F.count_distinct("user").alias("affected")
+    )
 
 
 def control_status(controls: DataFrame) -> DataFrame:
     """Controls (regulation, passed) by regulation: assessed, passing, percent and status."""
     percent = 100.0 * F.count_if("passed") / F.count("*")
-    return controls.groupBy("regulation").agg(F.count("*").alias("assessed"), F.count_if("passed").alias("passing"), F.round(percent, 2).alias("percent")).withColumn("status", F.when(F.col("percent") >= 85, "Compliant").when(F.col("percent") >= 70, "Partially Compliant").otherwise("Non-Compliant"))
+    return controls.groupBy("regulation").agg(F.count("*").alias("assessed"), F.count_if("passed").alias("passing"), F.round(percent, 2).alias("percent")).withColumn(
+        "status", F.when(F.col("percent") >= 85, "Compliant").when(F.col("percent") >= 70, "Partially Compliant").otherwise("Non-Compliant")
+    )
 
 
 def next_run(now: Column, frequency: Column) -> Column:
     """Start of the next day, Monday, month or quarter; unknown frequencies are daily."""
     plus = lambda unit, n: F.date_trunc(unit, now) + F.expr(n)
-    return F.when(frequency == "weekly", plus("week", "INTERVAL 7 DAYS")).when(frequency == "monthly", plus("month", "INTERVAL 1 MONTH")).when(frequency == "quarterly", plus("quarter", "INTERVAL 3 MONTHS")).otherwise(plus("day", "INTERVAL 1 DAY"))
+    return F.when(frequency == "weekly", plus("week", "INTERVAL 7 DAYS")).when(frequency == "monthly", plus("month", "INTERVAL 1 MONTH")).when(
+        frequency == "quarterly", plus("quarter", "INTERVAL 3 MONTHS")
+    ).otherwise(plus("day", "INTERVAL 1 DAY"))
 
 
 def period(start: Column, end: Column, now: Column, days: int = 30) -> tuple[Column, Column]:
@@ -99,7 +123,9 @@ def schedule_counts(schedules: DataFrame) -> DataFrame:
 
 def storage_counters(stored: DataFrame) -> DataFrame:
     """Stored reports (report_type, report_data) by type, and their bytes."""
-    return stored.groupBy("report_type").agg(F.count("*").alias("n_reports"), F.coalesce(F.sum(F.octet_length("report_data")), F.lit(0)).cast("long").alias("n_bytes"))
+    return stored.groupBy("report_type").agg(
+        F.count("*").alias("n_reports"), F.coalesce(F.sum(F.octet_length("report_data")), F.lit(0)).cast("long").alias("n_bytes")
+    )
 
 
 def live_dashboard(alerts: DataFrame, sensitive_files: DataFrame, scans: DataFrame) -> DataFrame:

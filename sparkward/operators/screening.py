@@ -21,19 +21,31 @@ def screen(logs: DataFrame, listed: DataFrame, user: str = "user", resource: str
 
     listed has name and source; the list is what source starts with. Null names match nothing.
     """
-    names = listed.filter("name IS NOT NULL").select(F.lower("name").alias("listed_name"), F.col("source").startswith("OFAC").alias("ofac"), F.col("source").startswith("BIS").alias("bis"))
+    names = listed.filter("name IS NOT NULL").select(
+        F.lower("name").alias("listed_name"), F.col("source").startswith("OFAC").alias("ofac"),
+        F.col("source").startswith("BIS").alias("bis")
+    )
     names = bounded(names.groupBy("listed_name").agg(F.bool_or("ofac").alias("ofac"), F.bool_or("bis").alias("bis")))
     by_user, by_resource = (names.select(*(F.col(c).alias(f"{c}_{s}") for c in names.columns)) for s in ("u", "r"))
-    joined = logs.join(by_user, F.lower(F.col(user)) == F.col("listed_name_u"), "left").join(by_resource, F.lower(F.col(resource)) == F.col("listed_name_r"), "left")
+    joined = logs.join(by_user, F.lower(F.col(user)) == F.col("listed_name_u"), "left").join(
+        by_resource, F.lower(F.col(resource)) == F.col("listed_name_r"), "left"
+    )
     hit = lambda c: F.coalesce(F.col(f"{c}_u"), F.lit(False)) | F.coalesce(F.col(f"{c}_r"), F.lit(False))
     flagged = joined.withColumns({"ofac_match": hit("ofac"), "bis_match": hit("bis")})
-    return flagged.withColumn("compliance_breach", F.col("ofac_match") | F.col("bis_match")).drop(*(f"{c}_{s}" for c in ("listed_name", "ofac", "bis") for s in "ur"))
+    return flagged.withColumn(
+        "compliance_breach", F.col("ofac_match") | F.col("bis_match")
+    ).drop(*(f"{c}_{s}" for c in ("listed_name", "ofac", "bis") for s in "ur"))
 
 
 def default_rules(df: DataFrame) -> DataFrame:
     """The default rules as a table: name, actions, conditions, severity, rule_pos."""
-    rows = [(name, list(actions), {k: [v] for k, v in (("breach_type", kind), ("confidence", sure)) if v}, severity, i) for i, (name, kind, sure, actions, severity) in enumerate(REMEDIATION_RULES)]
-    return df.sparkSession.createDataFrame(rows, "name string, actions array<string>, conditions map<string,array<string>>, severity int, rule_pos int")
+    rows = [
+        (name, list(actions), {k: [v] for k, v in (("breach_type", kind), ("confidence", sure)) if v}, severity, i) for i,
+        (name, kind, sure, actions, severity) in enumerate(REMEDIATION_RULES)
+    ]
+    return df.sparkSession.createDataFrame(
+        rows, "name string, actions array<string>, conditions map<string,array<string>>, severity int, rule_pos int"
+    )
 
 
 def confidence_of(match_score: Column) -> Column:
@@ -50,12 +62,21 @@ def matching_rules(breaches: DataFrame, rules: DataFrame, most: int = MOST_BROAD
     if rules.limit(most + 1).count() <= most:
         fits = F.forall(F.map_entries("conditions"), lambda c: F.coalesce(F.array_contains(c["value"], facts[c["key"]]), F.lit(False)))
         return breaches.join(F.broadcast(rules), fits)
-    wanted = rules.select("rule_pos", F.explode("conditions").alias("key", "values")).select("rule_pos", "key", F.explode(F.array_distinct("values")).alias("value"))
+    wanted = rules.select("rule_pos", F.explode("conditions").alias("key", "values")).select(
+        "rule_pos", "key", F.explode(F.array_distinct("values")).alias("value")
+    )
     known = breaches.select(F.col("breach_id").alias("of_breach"), F.explode(facts).alias("fact", "is"))
-    met = known.join(wanted, (F.col("fact") == F.col("key")) & (F.col("is") == F.col("value"))).groupBy("of_breach", "rule_pos").agg(F.count("*").alias("n_met"))
+    met = known.join(
+        wanted, (F.col("fact") == F.col("key")) & (F.col("is") == F.col("value"))
+    ).groupBy("of_breach", "rule_pos").agg(F.count("*").alias("n_met"))
     by_condition = rules.filter(F.size("conditions") > 0).withColumn("n_conditions", F.size("conditions"))
-    full = met.join(by_condition.select(F.col("rule_pos").alias("pos"), "n_conditions"), (F.col("rule_pos") == F.col("pos")) & (F.col("n_met") == F.col("n_conditions"))).select("of_breach", "pos")
-    pairs = breaches.join(full, F.col("breach_id") == F.col("of_breach")).join(rules, F.col("pos") == F.col("rule_pos")).select(*breaches.columns, *rules.columns)
+    full = met.join(
+        by_condition.select(F.col("rule_pos").alias("pos"), "n_conditions"),
+        (F.col("rule_pos") == F.col("pos")) & (F.col("n_met") == F.col("n_conditions"))
+    ).select("of_breach", "pos")
+    pairs = breaches.join(
+        full, F.col("breach_id") == F.col("of_breach")
+    ).join(rules, F.col("pos") == F.col("rule_pos")).select(*breaches.columns, *rules.columns)
     always = rules.filter(F.size("conditions") == 0)
     if always.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} rules without conditions")
@@ -64,17 +85,25 @@ def matching_rules(breaches: DataFrame, rules: DataFrame, most: int = MOST_BROAD
 
 def rules_from(spark: SparkSession, path: str) -> DataFrame:
     """Rules from files in JSON: name, actions, conditions and severity; rule_pos by severity (highest first), then name. Missing conditions are none."""
-    rules = spark.read.schema("name string, actions array<string>, conditions map<string,array<string>>, severity int").option("multiLine", "true").json(path)
+    rules = spark.read.schema("name string, actions array<string>, conditions map<string,array<string>>, severity int").option(
+        "multiLine", "true"
+    ).json(path)
     none = F.from_json(F.lit("{}"), "map<string,array<string>>")
     pos = F.row_number().over(Window.orderBy(F.desc("severity"), "name")) - 1  # a configuration is small
-    return rules.filter("name IS NOT NULL").select("name", F.coalesce("actions", F.array().cast("array<string>")).alias("actions"), F.coalesce("conditions", none).alias("conditions"), F.coalesce("severity", F.lit(1)).alias("severity")).withColumn("rule_pos", pos)
+    return rules.filter("name IS NOT NULL").select(
+        "name", F.coalesce("actions", F.array().cast("array<string>")).alias("actions"), F.coalesce("conditions", none).alias("conditions"),
+        F.coalesce("severity", F.lit(1)).alias("severity")
+    ).withColumn("rule_pos", pos)
 
 
 def breach_rows(found: DataFrame) -> DataFrame:
     """Breaches (event_id, user, resource, match_score and flags of screen) as rows for remediation: unknown values are 'unknown', confidence by the score."""
     text = lambda name: F.coalesce(F.nullif(F.col(name).cast("string"), F.lit("")), F.lit("unknown")).alias(name)
     kind = F.when(F.col("ofac_match"), "ofac").when(F.col("bis_match"), "bis").otherwise("unknown")
-    return found.select(F.col("event_id").alias("breach_id"), kind.alias("breach_type"), text("user"), text("resource"), confidence_of(F.col("match_score")).alias("confidence"))
+    return found.select(
+        F.col("event_id").alias("breach_id"), kind.alias("breach_type"), text("user"), text("resource"),
+        confidence_of(F.col("match_score")).alias("confidence")
+    )
 
 
 def remediation_plan(breaches: DataFrame, rules: DataFrame) -> DataFrame:
@@ -84,7 +113,9 @@ def remediation_plan(breaches: DataFrame, rules: DataFrame) -> DataFrame:
     act by severity, then in their order; an action is planned once for a breach.
     """
     matched = matching_rules(breaches, rules)
-    steps = matched.select("breach_id", F.col("name").alias("rule_name"), "severity", "rule_pos", F.posexplode("actions").alias("action_pos", "action"))
+    steps = matched.select(
+        "breach_id", F.col("name").alias("rule_name"), "severity", "rule_pos", F.posexplode("actions").alias("action_pos", "action")
+    )
     order = (F.desc("severity"), "rule_pos", "action_pos")
     first = steps.withColumn("n", F.row_number().over(Window.partitionBy("breach_id", "action").orderBy(*order))).filter("n = 1")
     return first.select("breach_id", F.row_number().over(Window.partitionBy("breach_id").orderBy(*order)).alias("step"), "action", "rule_name")
@@ -98,7 +129,11 @@ def offense_alerts(offenses: DataFrame) -> DataFrame:
     """Open offenses (id, description, status, severity, start_time) above severity 5 as alerts, and their tickets."""
     open_ones = offenses.filter((F.col("status") == "OPEN") & (F.col("severity") > 5))
     title = F.concat(F.lit("Offense "), F.col("id").cast("string"))
-    return open_ones.select(F.col("id"), title.alias("title"), severity_name(F.col("severity")).alias("severity_name"), F.concat_ws("\n", F.concat(F.lit("Description: "), F.col("description")), F.concat(F.lit("Severity: "), F.col("severity").cast("string")), F.concat(F.lit("Status: "), F.col("status"))).alias("description"), F.concat(F.lit("Compliance Alert: "), title).alias("ticket_summary"))
+    return open_ones.select(
+        F.col("id"), title.alias("title"), severity_name(F.col("severity")).alias("severity_name"),
+        F.concat_ws("\n", F.concat(F.lit("Description: "), F.col("description")), F.concat(F.lit("Severity: "), F.col("severity").cast("string")), F.concat(F.lit("Status: "), F.col("status"))).alias("description"),
+        F.concat(F.lit("Compliance Alert: "), title).alias("ticket_summary")
+    )
 
 
 def role_violations(access: DataFrame) -> DataFrame:
@@ -114,7 +149,10 @@ def agreement(ai: Column, rule: Column) -> Column:
 
 def top_actions(scored: Column, most: int = 3) -> Column:
     """The names of the highest actions of action_scores, of equal ones by name."""
-    order = F.array_sort(scored, lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["action"] < b["action"], -1).when(a["action"] > b["action"], 1).otherwise(0))
+    order = F.array_sort(
+        scored,
+        lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["action"] < b["action"], -1).when(a["action"] > b["action"], 1).otherwise(0)
+    )
     return F.transform(F.slice(order, 1, most), lambda x: x["action"])
 
 
@@ -125,4 +163,7 @@ def hybrid_actions(ai: Column, rule: Column, confidence: Column, least: float =
 def action_scores(ai: Column, rule: Column, severity: Column, impact: Column) -> Column:
     """Score of every proposed action: severity times impact weighs the model against the rules."""
     w = severity * impact
-    return F.transform(F.array_union(ai, rule), lambda a: F.struct(a.alias("action"), (F.array_contains(ai, a).cast("double") * w + F.array_contains(rule, a).cast("double") * (1 - w)).alias("score")))
+    return F.transform(
+        F.array_union(ai, rule),
+        lambda a: F.struct(a.alias("action"), (F.array_contains(ai, a).cast("double") * w + F.array_contains(rule, a).cast("double") * (1 - w)).alias("score"))
+    )

@@ -14,23 +14,37 @@ from . import documents
 from . import logs as log_plans
 
 #: Days of events stand for scans: files are events, sensitive ones are errors.
-SCANS = """scans AS (SELECT 'scan_' || strftime(date_trunc('day', ts), '%Y%m%d') AS scan_id, date_trunc('day', ts) AS start_time, count(*) AS files_scanned, count(*) FILTER (event_type = 'error') AS sensitive_files_found FROM events GROUP BY date_trunc('day', ts))"""
+SCANS = """scans AS (SELECT 'scan_' || strftime(date_trunc('day', ts), '%Y%m%d') AS scan_id, date_trunc('day', ts) AS start_time,
+  count(*) AS files_scanned, count(*) FILTER (event_type = 'error') AS sensitive_files_found FROM events GROUP BY date_trunc('day', ts))"""
 
 
 def scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.date_trunc("day", F.col("ts").cast("timestamp"))
-    days = table(spark, sf_dir, "events").groupBy(day.alias("start_time")).agg(F.count("*").alias("files_scanned"), F.count_if(F.col("event_type") == "error").alias("sensitive_files_found"))
-    return days.select(F.concat(F.lit("scan_"), F.date_format("start_time", "yyyyMMdd")).alias("scan_id"), "start_time", (F.col("start_time") + F.expr("INTERVAL 1 HOUR")).alias("end_time"), F.lit("completed").alias("status"), "files_scanned", "sensitive_files_found")
+    days = table(spark, sf_dir, "events").groupBy(day.alias("start_time")).agg(
+        F.count("*").alias("files_scanned"), F.count_if(F.col("event_type") == "error").alias("sensitive_files_found")
+    )
+    return days.select(
+        F.concat(F.lit("scan_"), F.date_format("start_time", "yyyyMMdd")).alias("scan_id"), "start_time",
+        (F.col("start_time") + F.expr("INTERVAL 1 HOUR")).alias("end_time"), F.lit("completed").alias("status"), "files_scanned",
+        "sensitive_files_found"
+    )
 
 
 def risk_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = table(spark, sf_dir, "events").agg(F.count_if(F.col("event_type") == "error").alias("sensitive_files"), F.count_if(F.expr("value > 99")).alias("recent_alerts"), (100.0 * F.count_if(F.expr("event_type <> 'error'")) / F.count("*")).alias("mean_compliance"))
+    facts = table(spark, sf_dir, "events").agg(
+        F.count_if(F.col("event_type") == "error").alias("sensitive_files"), F.count_if(F.expr("value > 99")).alias("recent_alerts"),
+        (100.0 * F.count_if(F.expr("event_type <> 'error'")) / F.count("*")).alias("mean_compliance")
+    )
     return reports.risk_overview(facts)
 
 
-RISK_OVERVIEW = """WITH f AS (SELECT count(*) FILTER (event_type = 'error') AS s, count(*) FILTER (value > 99) AS a, 100 - 100.0::DOUBLE * count(*) FILTER (event_type <> 'error') / count(*) AS g FROM events),
-c AS (SELECT CASE WHEN s >= 50 THEN 85 WHEN s >= 10 THEN 60 WHEN s > 0 THEN 30 ELSE 0 END AS data_exposure, CASE WHEN a >= 15 THEN 85 WHEN a >= 5 THEN 60 WHEN a > 0 THEN 30 ELSE 0 END AS access, CASE WHEN g >= 30 THEN 85 WHEN g >= 15 THEN 60 WHEN g > 0 THEN 30 ELSE 0 END AS compliance_gap FROM f),
-o AS (SELECT *, CAST(floor(coalesce(list_avg(list_filter([data_exposure, access, compliance_gap], lambda x: x > 0)), 0)) AS INT) AS overall FROM c) SELECT *, CASE WHEN overall >= 75 THEN 'High' WHEN overall >= 45 THEN 'Medium' ELSE 'Low' END AS level FROM o"""
+RISK_OVERVIEW = """WITH f AS (SELECT count(*) FILTER (event_type = 'error') AS s, count(*) FILTER (value > 99) AS a,
+  100 - 100.0::DOUBLE * count(*) FILTER (event_type <> 'error') / count(*) AS g FROM events),
+c AS (SELECT CASE WHEN s >= 50 THEN 85 WHEN s >= 10 THEN 60 WHEN s > 0 THEN 30 ELSE 0 END AS data_exposure, CASE WHEN a >= 15 THEN 85
+  WHEN a >= 5 THEN 60 WHEN a > 0 THEN 30 ELSE 0 END AS access, CASE WHEN g >= 30 THEN 85 WHEN g >= 15 THEN 60 WHEN g > 0 THEN 30
+  ELSE 0 END AS compliance_gap FROM f),
+o AS (SELECT *, CAST(floor(coalesce(list_avg(list_filter([data_exposure, access, compliance_gap], lambda x: x > 0)), 0)) AS INT) AS overall
+  FROM c) SELECT *, CASE WHEN overall >= 75 THEN 'High' WHEN overall >= 45 THEN 'Medium' ELSE 'Low' END AS level FROM o"""
 
 
 def compliance_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +64,10 @@ def trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def activities(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_type").alias("purpose"), F.col("user_id").alias("subject"), F.concat(F.lit("data_class_"), (F.col("event_id") % 7).cast("string")).alias("category"))
+    return e.select(
+        F.col("event_type").alias("purpose"), F.col("user_id").alias("subject"),
+        F.concat(F.lit("data_class_"), (F.col("event_id") % 7).cast("string")).alias("category")
+    )
 
 
 def gdpr_register(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,11 +84,15 @@ def category_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ccpa_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("o_orderpriority").startswith("1"), "opt_out").when(F.col("o_orderpriority").startswith("2"), "delete").otherwise("access")
     status = F.when(F.col("o_orderstatus") == "F", "fulfilled").when(F.col("o_orderstatus") == "P", "denied").otherwise("open")
-    return reports.rights_requests(table(spark, sf_dir, "orders").select(kind.alias("kind"), status.alias("status"), (F.col("o_custkey") % 45).alias("days")))
+    return reports.rights_requests(table(spark, sf_dir, "orders").select(
+        kind.alias("kind"), status.alias("status"), (F.col("o_custkey") % 45).alias("days")
+    ))
 
 
-CCPA_REQUESTS = """WITH r AS (SELECT CASE WHEN starts_with(o_orderpriority, '1') THEN 'opt_out' WHEN starts_with(o_orderpriority, '2') THEN 'delete' ELSE 'access' END AS kind, o_orderstatus AS s, o_custkey % 45 AS days FROM orders)
-SELECT kind, count(*) AS received, count(*) FILTER (s = 'F') AS fulfilled, count(*) FILTER (s = 'P') AS denied, round(avg(days), 4) AS mean_days, count(*) FILTER (kind = 'opt_out') AS opt_outs FROM r GROUP BY kind"""
+CCPA_REQUESTS = """WITH r AS (SELECT CASE WHEN starts_with(o_orderpriority, '1') THEN 'opt_out' WHEN starts_with(o_orderpriority, '2') THEN 'delete'
+  ELSE 'access' END AS kind, o_orderstatus AS s, o_custkey % 45 AS days FROM orders)
+SELECT kind, count(*) AS received, count(*) FILTER (s = 'F') AS fulfilled, count(*) FILTER (s = 'P') AS denied, round(avg(days),
+  4) AS mean_days, count(*) FILTER (kind = 'opt_out') AS opt_outs FROM r GROUP BY kind"""
 
 
 def hipaa_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,22 +103,31 @@ HIPAA_BREACHES = "SELECT strftime(ts, '%Y-%m') AS month, count(*) AS n_breaches,
 
 
 def control_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    controls = table(spark, sf_dir, "orders").select(F.substring_index("o_orderpriority", "-", -1).alias("regulation"), (F.col("o_orderstatus") != "P").alias("passed"))
+    controls = table(spark, sf_dir, "orders").select(
+        F.substring_index("o_orderpriority", "-", -1).alias("regulation"), (F.col("o_orderstatus") != "P").alias("passed")
+    )
     return reports.control_status(controls)
 
 
-CONTROL_STATUS = """WITH c AS (SELECT string_split(o_orderpriority, '-')[-1] AS regulation, count(*) AS assessed, count(*) FILTER (o_orderstatus <> 'P') AS passing FROM orders GROUP BY 1), p AS (SELECT *, round(100.0::DOUBLE * passing / assessed, 2) AS percent FROM c)
+CONTROL_STATUS = """WITH c AS (SELECT string_split(o_orderpriority, '-')[-1] AS regulation, count(*) AS assessed,
+  count(*) FILTER (o_orderstatus <> 'P') AS passing FROM orders GROUP BY 1), p AS (SELECT *, round(100.0::DOUBLE * passing / assessed,
+  2) AS percent FROM c)
 SELECT *, CASE WHEN percent >= 85 THEN 'Compliant' WHEN percent >= 70 THEN 'Partially Compliant' ELSE 'Non-Compliant' END AS status FROM p"""
 
 
 def next_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     frequency = F.element_at(F.array(*map(F.lit, ("daily", "weekly", "monthly", "quarterly"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    return o.select("o_orderkey", frequency.alias("frequency"), F.date_format(reports.next_run(F.col("o_orderdate").cast("timestamp"), frequency), "yyyy-MM-dd HH:mm").alias("next_run"))
+    return o.select(
+        "o_orderkey", frequency.alias("frequency"),
+        F.date_format(reports.next_run(F.col("o_orderdate").cast("timestamp"), frequency), "yyyy-MM-dd HH:mm").alias("next_run")
+    )
 
 
 NEXT_RUNS = """WITH f AS (SELECT o_orderkey, o_orderdate AS d, ['daily', 'weekly', 'monthly', 'quarterly'][o_orderkey % 4 + 1] AS frequency FROM orders)
-SELECT o_orderkey, frequency, strftime(CASE frequency WHEN 'weekly' THEN date_trunc('week', d) + INTERVAL 7 DAY WHEN 'monthly' THEN date_trunc('month', d) + INTERVAL 1 MONTH WHEN 'quarterly' THEN date_trunc('quarter', d) + INTERVAL 3 MONTH ELSE date_trunc('day', d) + INTERVAL 1 DAY END, '%Y-%m-%d %H:%M') AS next_run FROM f"""
+SELECT o_orderkey, frequency, strftime(CASE frequency WHEN 'weekly' THEN date_trunc('week', d) + INTERVAL 7 DAY
+  WHEN 'monthly' THEN date_trunc('month', d) + INTERVAL 1 MONTH WHEN 'quarterly' THEN date_trunc('quarter', d) + INTERVAL 3 MONTH
+  ELSE date_trunc('day', d) + INTERVAL 1 DAY END, '%Y-%m-%d %H:%M') AS next_run FROM f"""
 
 
 def report_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +138,9 @@ def report_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed.select("scan_id", reports.intact(F.col("data"), F.col("digest")).alias("intact"))
 
 
-REPORT_INTEGRITY = f"""WITH {SCANS}, r AS (SELECT scan_id, start_time, '{{"scan_id":"' || scan_id || '","files_scanned":' || files_scanned || ',"sensitive_files_found":' || sensitive_files_found || '}}' AS data FROM scans),
+REPORT_INTEGRITY = f"""WITH {SCANS}, r AS (SELECT scan_id, start_time,
+  '{{"scan_id":"' || scan_id || '","files_scanned":' || files_scanned || ',"sensitive_files_found":' || sensitive_files_found || '}}' AS data
+  FROM scans),
 stored AS (SELECT scan_id, sha256(data) AS digest, CASE WHEN dayofyear(start_time) % 3 = 0 THEN data || ' ' ELSE data END AS data FROM r)
 SELECT scan_id, sha256(data) = digest AS intact FROM stored"""
 
@@ -116,7 +148,10 @@ SELECT scan_id, sha256(data) = digest AS intact FROM stored"""
 def schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders stand for schedules; those that are fulfilled aren't active any more."""
     o = table(spark, sf_dir, "orders")
-    return o.select(F.col("o_orderkey").alias("schedule_id"), F.lower("o_orderpriority").alias("report_type"), (F.col("o_orderstatus") != "F").alias("active"))
+    return o.select(
+        F.col("o_orderkey").alias("schedule_id"), F.lower("o_orderpriority").alias("report_type"),
+        (F.col("o_orderstatus") != "F").alias("active")
+    )
 
 
 def schedule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,11 +165,14 @@ def report_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periods of reports of which every third has no start and every fifth no end."""
     o = table(spark, sf_dir, "orders")
     at, k = F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey")
-    start, end = reports.period(F.when(k % 3 != 0, at), F.when(k % 5 != 0, at + F.expr("INTERVAL 7 DAYS")), F.to_timestamp(F.lit("1998-12-01 12:00:00")))
+    start, end = reports.period(
+        F.when(k % 3 != 0, at), F.when(k % 5 != 0, at + F.expr("INTERVAL 7 DAYS")), F.to_timestamp(F.lit("1998-12-01 12:00:00"))
+    )
     return o.select("o_orderkey", F.date_format(start, "yyyy-MM-dd HH:mm").alias("start"), F.date_format(end, "yyyy-MM-dd HH:mm").alias("end"))
 
 
-REPORT_PERIODS = """SELECT o_orderkey, strftime(CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate ELSE TIMESTAMP '1998-12-01 12:00:00' - INTERVAL 30 DAY END, '%Y-%m-%d %H:%M') AS start,
+REPORT_PERIODS = """SELECT o_orderkey, strftime(CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate ELSE TIMESTAMP '1998-12-01 12:00:00' - INTERVAL 30 DAY END,
+  '%Y-%m-%d %H:%M') AS start,
   strftime(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate + INTERVAL 7 DAY ELSE TIMESTAMP '1998-12-01 12:00:00' END, '%Y-%m-%d %H:%M') AS "end" FROM orders"""
 
 
@@ -146,7 +184,8 @@ def stored_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STORED_COUNTS = f"""WITH {SCANS} SELECT CASE WHEN sensitive_files_found > 0 THEN 'incident' ELSE 'routine' END AS report_type, count(*) AS n_reports,
-  CAST(sum(strlen('{{"scan_id":"' || scan_id || '","files_scanned":' || files_scanned || ',"sensitive_files_found":' || sensitive_files_found || '}}')) AS BIGINT) AS n_bytes FROM scans GROUP BY 1"""
+  CAST(sum(strlen('{{"scan_id":"' || scan_id || '","files_scanned":' || files_scanned || ',"sensitive_files_found":' || sensitive_files_found || '}}')) AS BIGINT) AS n_bytes
+    FROM scans GROUP BY 1"""
 
 
 def live_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,8 +196,10 @@ def live_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 LIVE_DASHBOARD = f"""{documents.CATALOG_SQL}, {log_plans.SCORED}, {SCANS},
 a AS (SELECT {log_plans.PRIORITY} AS priority, "timestamp" FROM scored),
-c AS (SELECT count(*) FILTER (priority = 'high') AS n_high, count(*) FILTER (priority = 'medium') AS n_medium, count(*) FILTER (priority = 'low') AS n_low, epoch_us(max("timestamp")) AS newest_alert FROM a)
-SELECT *, CASE WHEN n_high > 0 THEN 'High' WHEN n_medium > 0 THEN 'Medium' ELSE 'Low' END AS risk_level, (SELECT count(*) FROM records WHERE pii_count > 0) AS sensitive_files, (SELECT count(*) FROM scans) AS total_scans FROM c"""
+c AS (SELECT count(*) FILTER (priority = 'high') AS n_high, count(*) FILTER (priority = 'medium') AS n_medium,
+  count(*) FILTER (priority = 'low') AS n_low, epoch_us(max("timestamp")) AS newest_alert FROM a)
+SELECT *, CASE WHEN n_high > 0 THEN 'High' WHEN n_medium > 0 THEN 'Medium' ELSE 'Low' END AS risk_level, (SELECT count(*) FROM records
+  WHERE pii_count > 0) AS sensitive_files, (SELECT count(*) FROM scans) AS total_scans FROM c"""
 
 NUMBERS = ["response_time", "status_code", "hour", "user_id"]
 
@@ -183,7 +224,10 @@ def ensemble_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validation_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A validator fitted on the labelled documents (true where the quality is good) judges all documents by language, source and counts."""
     low = F.lower("text")
-    counts = (F.size(F.split("text", r"\s+")).alias("n_words"), F.length(F.regexp_replace("text", "[^A-Z]", "")).alias("n_capitals"), F.length(F.regexp_replace(low, "[a-z0-9\\s]", "")).alias("n_signs"))
+    counts = (
+        F.size(F.split("text", r"\s+")).alias("n_words"), F.length(F.regexp_replace("text", "[^A-Z]", "")).alias("n_capitals"),
+        F.length(F.regexp_replace(low, "[a-z0-9\\s]", "")).alias("n_signs")
+    )
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", *counts)
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("labelled"), F.col("quality").cast("double").alias("label"))
     numeric, categorical = logs.feature_columns(docs.drop("doc_id"))
@@ -204,7 +248,9 @@ def stream_result(spark: SparkSession, stream: DataFrame, mode: str = "complete"
     """What a stream gives once it has read all files. Each batch is a table in the shared folder that a repeated one overwrites; of complete results the last counts."""
     path = scratch(spark)
     name = (lambda number: "all") if mode == "complete" else (lambda number: f"batch={number}")
-    streams.run_available(stream, f"{path}/state", lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/out/{name(number)}"), mode=mode)
+    streams.run_available(
+        stream, f"{path}/state", lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/out/{name(number)}"), mode=mode
+    )
     return spark.read.schema(stream.schema).parquet(f"{path}/out/{'all' if mode == 'complete' else '*'}")
 
 
@@ -266,7 +312,10 @@ def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def watched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A screening list: every 97th user of the events."""
     users = table(spark, sf_dir, "events").filter("user_id % 97 = 0").select("user_id").distinct()
-    return users.select(F.upper(F.concat(F.lit("user"), F.col("user_id").cast("string"))).alias("name"), F.when(F.col("user_id") % 2 == 0, "OFAC - list").otherwise("BIS - list").alias("source"))
+    return users.select(
+        F.upper(F.concat(F.lit("user"), F.col("user_id").cast("string"))).alias("name"),
+        F.when(F.col("user_id") % 2 == 0, "OFAC - list").otherwise("BIS - list").alias("source")
+    )
 
 
 def stream_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -288,21 +337,31 @@ def stream_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STREAM_WINDOWS = "SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY ALL"
 STREAM_SLIDING = "WITH w AS (SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS b FROM events WHERE event_type = 'error'), s AS (SELECT b AS start FROM w UNION ALL SELECT b - INTERVAL 30 MINUTE FROM w) SELECT epoch_us(start) AS start_us, 'error' AS event_type, count(*) AS n FROM s GROUP BY start HAVING count(*) > 3"
-STREAM_SESSIONS = """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+STREAM_SESSIONS = """WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0
+  ELSE 1 END AS fresh FROM events), s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k
+  FROM g)
 SELECT epoch_us(min(ts)) AS start_us, epoch_us(max(ts) + INTERVAL 30 MINUTE) AS end_us, user_id, count(*) AS n FROM s GROUP BY user_id, k"""
 
-STREAM_DISTINCT = """WITH w AS (SELECT time_bucket(INTERVAL 12 HOUR, ts) AS b, user_id, event_type FROM events), s AS (SELECT b AS start, user_id, event_type FROM w UNION ALL SELECT b - INTERVAL 12 HOUR, user_id, event_type FROM w)
+STREAM_DISTINCT = """WITH w AS (SELECT time_bucket(INTERVAL 12 HOUR, ts) AS b, user_id, event_type FROM events), s AS (SELECT b AS start, user_id, event_type
+  FROM w UNION ALL SELECT b - INTERVAL 12 HOUR, user_id, event_type FROM w)
 SELECT epoch_us(start) AS start_us, user_id, count(DISTINCT event_type) AS n_distinct FROM s GROUP BY start, user_id HAVING count(DISTINCT event_type) > 3"""
-STREAM_BASELINE = """WITH h AS (SELECT count(DISTINCT date_trunc('hour', ts)) AS hours FROM events), u AS (SELECT event_type, count(*) / (SELECT hours FROM h)::DOUBLE AS usual FROM events GROUP BY 1),
-c AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS b, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT epoch_us(b) AS start_us, event_type, n FROM c JOIN u USING (event_type) WHERE n > 1.5 * usual"""
-STREAM_PRIORITIES = """SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, CASE WHEN coalesce(value / 100, 0.5) > 0.8 THEN 'high' WHEN coalesce(value / 100, 0.5) > 0.5 THEN 'medium' ELSE 'low' END AS priority, count(*) AS n FROM events GROUP BY ALL"""
+STREAM_BASELINE = """WITH h AS (SELECT count(DISTINCT date_trunc('hour', ts)) AS hours FROM events), u AS (SELECT event_type, count(*) / (SELECT hours
+  FROM h)::DOUBLE AS usual FROM events GROUP BY 1),
+c AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS b, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT epoch_us(b) AS start_us,
+  event_type, n FROM c JOIN u USING (event_type) WHERE n > 1.5 * usual"""
+STREAM_PRIORITIES = """SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, CASE WHEN coalesce(value / 100, 0.5) > 0.8 THEN 'high'
+  WHEN coalesce(value / 100, 0.5) > 0.5 THEN 'medium' ELSE 'low' END AS priority, count(*) AS n FROM events GROUP BY ALL"""
 STREAM_DEDUP = f"""WITH RECURSIVE {log_plans.LOGS}, times AS (SELECT DISTINCT {log_plans.MESSAGE} AS message, "timestamp" AS t FROM logs),
-chain AS (SELECT message, min(t) AS t FROM times GROUP BY message UNION ALL SELECT c.message, min(x.t) FROM chain c JOIN times x ON x.message = c.message AND x.t > c.t + INTERVAL 60 MINUTE GROUP BY c.message, c.t)
+chain AS (SELECT message, min(t) AS t FROM times GROUP BY message UNION ALL SELECT c.message, min(x.t) FROM chain c
+  JOIN times x ON x.message = c.message AND x.t > c.t + INTERVAL 60 MINUTE GROUP BY c.message, c.t)
 SELECT message, epoch_us(t) AS at_us FROM chain"""
-STREAM_SCREENING = """SELECT event_id, 'user' || user_id AS "user", user_id % 2 = 0 AS ofac_match, user_id % 2 = 1 AS bis_match FROM events WHERE 'USER' || user_id IN (SELECT 'USER' || user_id FROM events WHERE user_id % 97 = 0)"""
-STREAM_MONITOR = f"""WITH RECURSIVE {log_plans.LOGS}, anomalies AS (SELECT *, 1.0::DOUBLE AS anomaly_score FROM logs WHERE status_code >= 400 OR response_time > (SELECT quantile_cont(response_time, 0.95) FROM logs)),
+STREAM_SCREENING = """SELECT event_id, 'user' || user_id AS "user", user_id % 2 = 0 AS ofac_match, user_id % 2 = 1 AS bis_match FROM events
+  WHERE 'USER' || user_id IN (SELECT 'USER' || user_id FROM events WHERE user_id % 97 = 0)"""
+STREAM_MONITOR = f"""WITH RECURSIVE {log_plans.LOGS}, anomalies AS (SELECT *, 1.0::DOUBLE AS anomaly_score FROM logs
+  WHERE status_code >= 400 OR response_time > (SELECT quantile_cont(response_time, 0.95) FROM logs)),
 times AS (SELECT DISTINCT {log_plans.MESSAGE} AS message, "timestamp" AS t FROM anomalies),
-chain AS (SELECT message, min(t) AS t FROM times GROUP BY message UNION ALL SELECT c.message, min(x.t) FROM chain c JOIN times x ON x.message = c.message AND x.t > c.t + INTERVAL 60 MINUTE GROUP BY c.message, c.t),
+chain AS (SELECT message, min(t) AS t FROM times GROUP BY message UNION ALL SELECT c.message, min(x.t) FROM chain c
+  JOIN times x ON x.message = c.message AND x.t > c.t + INTERVAL 60 MINUTE GROUP BY c.message, c.t),
 breaches AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'ofac' ELSE 'bis' END AS kind FROM anomalies WHERE user_id % 97 = 0),
 steps AS (SELECT unnest(['email_alert', 'logging', 'access_revocation']) AS kind FROM breaches)
 SELECT 'anomalies' AS made, type AS kind, count(*) AS n FROM anomalies GROUP BY 2 UNION ALL SELECT 'alerts', 'high', count(*) FROM chain

@@ -23,8 +23,13 @@ def scan_folder(spark: SparkSession, path: str, extensions: tuple[str, ...] = EX
     """Files below a path by extension in any case: path, name, extension, bytes, modified, mime, text. Bytes that are no UTF-8 are replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     extension = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    mime = F.when(F.startswith("content", F.lit(b"%PDF-")), "application/pdf").when(F.startswith("content", F.lit(b"PK\x03\x04")), "application/zip").otherwise("text/plain")
-    return files.withColumn("extension", extension).filter(F.col("extension").isin(*extensions)).select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "extension", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), mime.alias("mime"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    mime = F.when(F.startswith("content", F.lit(b"%PDF-")), "application/pdf").when(
+        F.startswith("content", F.lit(b"PK\x03\x04")), "application/zip"
+    ).otherwise("text/plain")
+    return files.withColumn("extension", extension).filter(F.col("extension").isin(*extensions)).select(
+        "path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "extension", F.col("length").alias("bytes"),
+        F.col("modificationTime").alias("modified"), mime.alias("mime"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")
+    )
 
 
 def new_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -37,7 +42,9 @@ def new_files(files: DataFrame, manifest: DataFrame) -> DataFrame:
 def syslog(lines: DataFrame) -> DataFrame:
     """Syslog lines (value) as timestamp text, host, program and message."""
     part = lambda i: F.regexp_extract("value", SYSLOG, i)
-    return lines.filter(F.col("value").rlike(SYSLOG)).select(part(2).alias("at"), part(3).alias("source"), part(4).alias("resource"), part(6).alias("message"))
+    return lines.filter(F.col("value").rlike(SYSLOG)).select(
+        part(2).alias("at"), part(3).alias("source"), part(4).alias("resource"), part(6).alias("message")
+    )
 
 
 def read_logs(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -58,7 +65,9 @@ def since(logs: DataFrame, last: Column, now: Column, max_age_days: int = 30) ->
 
 def screening_list(spark: SparkSession, path: str) -> DataFrame:
     """Names and sources of a list in JSON with a field results."""
-    return spark.read.schema("results array<struct<name:string,source:string>>").option("multiLine", "true").json(path).select(F.inline("results")).distinct()
+    return spark.read.schema("results array<struct<name:string,source:string>>").option(
+        "multiLine", "true"
+    ).json(path).select(F.inline("results")).distinct()
 
 
 #: Seconds after which a screening list is read anew.
@@ -119,7 +128,11 @@ def scan_tables(spark: SparkSession, tables: list[str], profile) -> tuple[list[D
 def email_outbox(breaches: DataFrame, recipients: tuple[str, ...], sender: str, test_mode: bool = False) -> DataFrame:
     """Mails to send about breaches; none without recipients. In test mode they are marked so and not to be sent."""
     body = F.concat(F.lit("<h2>Compliance breach</h2><p>"), F.col("breach_type"), F.lit(" by "), F.coalesce("user", F.lit("unknown")), F.lit("</p>"))
-    return breaches.filter(F.lit(bool(recipients))).select("breach_id", F.concat(F.lit("Compliance Alert: "), F.upper("breach_type")).alias("subject"), F.lit(sender).alias("sender"), F.array(*map(F.lit, recipients)).cast("array<string>").alias("recipients"), body.alias("html"), F.lit("test" if test_mode else "pending").alias("state"))
+    return breaches.filter(F.lit(bool(recipients))).select(
+        "breach_id", F.concat(F.lit("Compliance Alert: "), F.upper("breach_type")).alias("subject"), F.lit(sender).alias("sender"),
+        F.array(*map(F.lit, recipients)).cast("array<string>").alias("recipients"), body.alias("html"),
+        F.lit("test" if test_mode else "pending").alias("state")
+    )
 
 
 def revocations(breaches: DataFrame, rule: str) -> DataFrame:
@@ -130,7 +143,9 @@ def revocations(breaches: DataFrame, rule: str) -> DataFrame:
 def quarantine(breaches: DataFrame, files: DataFrame, at: Column) -> DataFrame:
     """Where files of breaches would go, for those that exist."""
     name = F.concat(F.date_format(at, "yyyyMMddHHmmss"), F.lit("_"), F.regexp_extract("path", r"([^/]+)$", 1))
-    return breaches.join(files.select("path").distinct(), F.col("resource_path") == F.col("path")).select("breach_id", "path", name.alias("quarantine_name"))
+    return breaches.join(
+        files.select("path").distinct(), F.col("resource_path") == F.col("path")
+    ).select("breach_id", "path", name.alias("quarantine_name"))
 
 
 def append(df: DataFrame, path: str, kind: str = "parquet") -> None:
@@ -182,7 +197,9 @@ def column_texts(df: DataFrame, most: int | None = None) -> DataFrame:
     rows = df.select(F.inline(cells)).filter("v IS NOT NULL")
     if most is None:
         return rows
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("column_name").orderBy(F.xxhash64("v")))).filter(F.col("_n") <= most).drop("_n")
+    return rows.withColumn(
+        "_n", F.row_number().over(Window.partitionBy("column_name").orderBy(F.xxhash64("v")))
+    ).filter(F.col("_n") <= most).drop("_n")
 
 
 def sampled_table(spark: SparkSession, url: str, name: str, percent: float = 1.0, limit: int = 1000, **options: str) -> DataFrame:
@@ -212,7 +229,9 @@ def ingestion_results(parts: dict[str, DataFrame]) -> DataFrame:
     """Rows by source; sources without rows have none."""
     out = None
     for name, df in parts.items():
-        one = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("source"), "n_rows", F.when(F.col("n_rows") > 0, "success").otherwise("empty").alias("state"))
+        one = df.agg(F.count("*").alias("n_rows")).select(
+            F.lit(name).alias("source"), "n_rows", F.when(F.col("n_rows") > 0, "success").otherwise("empty").alias("state")
+        )
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -234,7 +253,10 @@ def export_report(report: DataFrame, kind: str, report_id: str, path: str, file_
 
 def reports_of(stored: DataFrame, kind: str | None = None, start: Column | None = None, end: Column | None = None) -> DataFrame:
     """Stored reports by type and period."""
-    for cond in ((F.col("report_type") == kind) if kind else None, (F.col("created_at") >= start) if start is not None else None, (F.col("created_at") < end) if end is not None else None):
+    for cond in (
+        (F.col("report_type") == kind) if kind else None, (F.col("created_at") >= start) if start is not None else None,
+        (F.col("created_at") < end) if end is not None else None
+    ):
         if cond is not None:
             stored = stored.filter(cond)
     return stored

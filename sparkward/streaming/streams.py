@@ -40,12 +40,16 @@ def too_many(counts: DataFrame, most: int) -> DataFrame:
 
 def distinct_by_window(df: DataFrame, window: str, slide: str, key: str, value: str) -> DataFrame:
     """About how many values a key meets in sliding windows."""
-    return df.groupBy(F.window("at", window, slide).alias("w"), key).agg(F.approx_count_distinct(value).alias("n_distinct")).select(F.unix_micros("w.start").alias("start_us"), key, "n_distinct")
+    return df.groupBy(F.window("at", window, slide).alias("w"), key).agg(F.approx_count_distinct(value).alias("n_distinct")).select(
+        F.unix_micros("w.start").alias("start_us"), key, "n_distinct"
+    )
 
 
 def sessions(df: DataFrame, gap: str, key: str) -> DataFrame:
     """Sessions of a key, ended by a gap."""
-    return df.groupBy(F.session_window("at", gap).alias("w"), key).agg(F.count("*").alias("n")).select(F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), key, "n")
+    return df.groupBy(F.session_window("at", gap).alias("w"), key).agg(F.count("*").alias("n")).select(
+        F.unix_micros("w.start").alias("start_us"), F.unix_micros("w.end").alias("end_us"), key, "n"
+    )
 
 
 def first_seen(df: DataFrame, *keys: str) -> DataFrame:
@@ -69,7 +73,10 @@ def failed_then_success(logins: DataFrame, minutes: int = 10, least: int = 3) ->
     near = F.expr(f"INTERVAL {minutes} MINUTES")
     span = lambda at: F.window(at, width)["start"]
     good = logins.filter("successful").select("user", "at", span(F.col("at")).alias("span"))
-    bad = logins.filter("NOT successful").select(F.col("user").alias("f_user"), F.col("at").alias("f_at"), F.explode(F.array(span(F.col("at")), span(F.col("at") + near))).alias("f_span"))
+    bad = logins.filter("NOT successful").select(
+        F.col("user").alias("f_user"), F.col("at").alias("f_at"),
+        F.explode(F.array(span(F.col("at")), span(F.col("at") + near))).alias("f_span")
+    )
     within = (F.col("user") == F.col("f_user")) & (F.col("span") == F.col("f_span")) & (F.col("f_at") < F.col("at")) & (F.col("f_at") >= F.col("at") - near)
     met = good.join(bad, within)
     return met.groupBy("user", "at").agg(F.count("*").alias("n_failed")).filter(F.col("n_failed") >= least)
@@ -170,4 +177,6 @@ def deduplicated(df: DataFrame, minutes: int = 60) -> DataFrame:
             pass
 
     rows = df.select("message", "at", F.unix_micros("at").alias("at_us"))
-    return rows.groupBy("message").transformWithStateInPandas(statefulProcessor=LastStayed(), outputStructType="message string, at_us long", outputMode="Append", timeMode="EventTime")
+    return rows.groupBy("message").transformWithStateInPandas(
+        statefulProcessor=LastStayed(), outputStructType="message string, at_us long", outputMode="Append", timeMode="EventTime"
+    )

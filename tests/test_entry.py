@@ -30,6 +30,8 @@ def test_query_against_sql(spark, name):
 
     def plain(df):
         df = df[sorted(df.columns)]
-        return sorted(tuple("" if v is None or v is pd.NA or v != v else f"{float(v):.6g}" if isinstance(v, (int, float)) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v) for v in r) for r in df.itertuples(index=False))
+        return sorted(tuple("" if v is None or v is pd.NA or v != v else f"{float(v):.6g}" if isinstance(
+            v, (int, float)
+        ) or hasattr(v, "dtype") and v.dtype.kind in "iuf" else str(v) for v in r) for r in df.itertuples(index=False))
 
     assert plain(rows) == plain(expected)

@@ -18,26 +18,37 @@ def test_reports_and_chains_in_files(spark, tmp_path):
     assert readers.reports_of(stored, "gdpr", F.lit(T0), F.lit(T0 + dt.timedelta(1))).count() == 1 and readers.reports_of(stored, "ccpa").count() == 0
     assert [df.count() for df in readers.without_expired(stored, F.lit(T0 + dt.timedelta(800)))] == [0, 1]
     assert spark.read.csv(readers.export_report(report, "gdpr", "1", str(tmp_path)), header=True).count() == 1
-    entry = spark.createDataFrame([(1, 1, "e", "k", "t", "u", "o")], "log_id long, seq long, entry_id string, entry_type string, timestamp string, user_id string, operation string")
+    entry = spark.createDataFrame(
+        [(1, 1, "e", "k", "t", "u", "o")],
+        "log_id long, seq long, entry_id string, entry_type string, timestamp string, user_id string, operation string"
+    )
     readers.export_chain(audit.build_chain(entry, b"k"), f"{tmp_path}/chain")
     assert audit.verify_chain(readers.import_chain(spark, f"{tmp_path}/chain"), b"k").count() == 0
 
 
 def test_actions_and_queues(spark):
-    breaches = spark.createDataFrame([(1, "ofac", "high", "ann"), (2, "bis", "low", None)], "breach_id long, breach_type string, confidence string, user string")
+    breaches = spark.createDataFrame(
+        [(1, "ofac", "high", "ann"), (2, "bis", "low", None)], "breach_id long, breach_type string, confidence string, user string"
+    )
     plan = screening.remediation_plan(breaches, screening.default_rules(breaches))
     known = actions.Actions()
     known.register("access_revocation", lambda b: readers.revocations(b, "rule"))
     known.register("email_alert", lambda b: readers.email_outbox(b, (), "me"))
     out = known.run(plan, breaches)
     assert out["access_revocation"].count() == 1 and out["email_alert"].count() == 0
-    assert known.status(plan).filter("state = 'skipped'").count() == 2 and actions.counters(plan, screening.default_rules(breaches)).first().n_rules == 7
-    queue = alerts.review_queue(spark.createDataFrame([(1, 5, "low", 0.9), (2, 3, "high", 0.9)], "review_id long, queued_at long, severity string, confidence double"))
+    assert known.status(plan).filter("state = 'skipped'").count() == 2 and actions.counters(
+        plan, screening.default_rules(breaches)
+    ).first().n_rules == 7
+    queue = alerts.review_queue(spark.createDataFrame(
+        [(1, 5, "low", 0.9), (2, 3, "high", 0.9)], "review_id long, queued_at long, severity string, confidence double"
+    ))
     assert alerts.next_item(queue).first().review_id == 2
     done, left = alerts.submitted(queue, spark.createDataFrame([(2, True, None)], "review_id long, is_true_positive boolean, notes string"))
     assert (done.count(), left.count()) == (1, 1)
     found = spark.createDataFrame([("m", T0), ("n", T0)], "message string, timestamp timestamp")
-    stored = spark.createDataFrame([("m", T0 - dt.timedelta(minutes=60)), ("n", T0 - dt.timedelta(minutes=61))], "message string, timestamp timestamp")
+    stored = spark.createDataFrame(
+        [("m", T0 - dt.timedelta(minutes=60)), ("n", T0 - dt.timedelta(minutes=61))], "message string, timestamp timestamp"
+    )
     assert [r.message for r in alerts.not_repeated(found, stored).collect()] == ["n"]
 
 

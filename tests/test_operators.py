@@ -16,12 +16,20 @@ T0 = dt.datetime(2024, 1, 1)
 
 
 def test_alerts_by_priority_message_and_window(spark):
-    rows = [(1, T0, 0.9, "unauthorized_access", "user1", None), (2, T0, 0.6, "unusual_transfer", None, "10GB"), (3, T0, 0.4, "suspicious_behavior", "user2", None), (4, T0, 0.95, "unauthorized_access", "user3", None)]
-    df = spark.createDataFrame(rows, "event_id long, timestamp timestamp, anomaly_score double, type string, user_id string, data_size string").withColumn("source_type", F.lit("x"))
+    rows = [
+        (1, T0, 0.9, "unauthorized_access", "user1", None), (2, T0, 0.6, "unusual_transfer", None, "10GB"),
+        (3, T0, 0.4, "suspicious_behavior", "user2", None), (4, T0, 0.95, "unauthorized_access", "user3", None)
+    ]
+    df = spark.createDataFrame(
+        rows, "event_id long, timestamp timestamp, anomaly_score double, type string, user_id string, data_size string"
+    ).withColumn("source_type", F.lit("x"))
     found = alerts.alerts(df)
     s = alerts.statistics(found).first()
     assert (s.active, s.n_high, s.n_medium, s.n_low) == (4, 2, 1, 1)
-    assert {r.message for r in found.collect()} >= {"Unauthorized access attempt by user1 to sensitive resource", "Unusual data transfer of 10GB from unknown source to unknown destination"}
+    assert {r.message for r in found.collect()} >= {
+        "Unauthorized access attempt by user1 to sensitive resource",
+        "Unusual data transfer of 10GB from unknown source to unknown destination"
+    }
     assert alerts.alerts(df.withColumn("action_decided", F.when(F.col("user_id") == "user1", "suppress"))).count() == 3
     assert alerts.page(found, "high", limit=1).count() == 1
 
@@ -49,7 +57,9 @@ def test_long_groups_are_read_in_order_and_not_collected(spark):
     try:
         times = {m: sorted(rng.sample(range(300_000), 400)) for m in (None, "a", "b")}
         times["c"] = [0, 60, 120, 181, 100_000, 100_060, 100_061, 200_000]
-        df = spark.createDataFrame([(m, T0 + dt.timedelta(minutes=x)) for m, xs in times.items() for x in xs], "message string, timestamp timestamp").repartition(3)
+        df = spark.createDataFrame(
+            [(m, T0 + dt.timedelta(minutes=x)) for m, xs in times.items() for x in xs], "message string, timestamp timestamp"
+        ).repartition(3)
         kept = set()
         for m, xs in times.items():
             last = None
@@ -62,7 +72,10 @@ def test_long_groups_are_read_in_order_and_not_collected(spark):
         assert set(rows) == kept and len(rows) == len(kept) and "collect_list" not in plan(out)
 
         entries = [(log, i, f"e{i}", "data_access", None, "u", f"op{i}") for log, n in ((None, 30), (1, 3000), (2, 1)) for i in range(n)]
-        chain = audit.build_chain(spark.createDataFrame(entries, "log_id long, seq long, entry_id string, entry_type string, timestamp string, user_id string, operation string").repartition(3), b"k")
+        chain = audit.build_chain(
+            spark.createDataFrame(entries, "log_id long, seq long, entry_id string, entry_type string, timestamp string, user_id string, operation string").repartition(3),
+            b"k"
+        )
         expected, last = {}, {}
         for log, i, e, kind, _, user, op in entries:
             body = f"{e}|{kind}|{user}|{op}"
@@ -91,7 +104,9 @@ def test_review_queue_is_numbered_within_ranges(spark, kind):
 def test_reviews_and_decisions(spark):
     df = spark.createDataFrame([("high", 0.9), ("medium", 0.1), ("medium", 0.9), ("low", 0.1), ("low", 0.5)], "s string, c double")
     assert [r[0] for r in df.select(alerts.review_priority(F.col("s"), F.col("c"))).collect()] == ["high", "high", "medium", "medium", "low"]
-    got = spark.createDataFrame([(0.9,), (0.6,), (0.4,), (None,)], "c double").select(*(x.alias(n) for x, n in zip(alerts.decide(F.col("c")), "vra", strict=True))).collect()
+    got = spark.createDataFrame([(0.9,), (0.6,), (0.4,), (None,)], "c double").select(*(
+        x.alias(n) for x, n in zip(alerts.decide(F.col("c")), "vra", strict=True)
+    )).collect()
     assert [tuple(r) for r in got] == [(True, False, "alert"), (True, True, "alert"), (False, True, "suppress"), (True, True, "alert")]
 
 
@@ -109,16 +124,23 @@ def test_screening_and_plan(spark):
     rows = [("normal_user", "server-1"), ("EVIL corp", "sensitive-db"), ("another_user", "questionable tech"), (None, None)]
     out = [tuple(r)[2:] for r in screening.screen(spark.createDataFrame(rows, "user string, resource string"), listed).collect()]
     assert sorted(out) == sorted([(False, False, False), (True, False, True), (False, True, True), (False, False, False)])
-    breaches = spark.createDataFrame([(1, "ofac", "high"), (2, "bis", "low"), (3, "other", None)], "breach_id long, breach_type string, confidence string")
+    breaches = spark.createDataFrame(
+        [(1, "ofac", "high"), (2, "bis", "low"), (3, "other", None)], "breach_id long, breach_type string, confidence string"
+    )
     plan = screening.remediation_plan(breaches, screening.default_rules(breaches)).orderBy("breach_id", "step").collect()
     assert [(r.breach_id, r.action) for r in plan] == [(1, "email_alert"), (1, "logging"), (1, "access_revocation"), (2, "logging"), (3, "logging")]
-    agree = spark.createDataFrame([(["email_alert", "logging"], ["logging", "quarantine"]), ([], [])], "a array<string>, b array<string>").select(screening.agreement(F.col("a"), F.col("b"))).collect()
+    agree = spark.createDataFrame(
+        [(["email_alert", "logging"], ["logging", "quarantine"]), ([], [])], "a array<string>, b array<string>"
+    ).select(screening.agreement(F.col("a"), F.col("b"))).collect()
     assert [r[0] for r in agree] == [0.5, 0.0]
 
 
 def people(spark):
     rng = random.Random(3)
-    return spark.createDataFrame([(i, rng.randrange(6), rng.choice("xy"), rng.choice("pqrs"), float(rng.randrange(1000))) for i in range(300)] + [(900, None, "x", "p", 1.0)], "id long, age int, sex string, ill string, pay double")
+    return spark.createDataFrame(
+        [(i, rng.randrange(6), rng.choice("xy"), rng.choice("pqrs"), float(rng.randrange(1000))) for i in range(300)] + [(900, None, "x", "p", 1.0)],
+        "id long, age int, sex string, ill string, pay double"
+    )
 
 
 def test_release_keeps_its_promises(spark):
@@ -151,14 +173,19 @@ def test_ks(spark):
 def test_protect(spark):
     key = b"a key of more than sixty-four bytes, which is hashed before it is used as one"
     df = spark.createDataFrame([("Ann",), ("é",)], "v string")
-    assert [r[0] for r in df.select(protect.hmac_sha256(key, F.col("v"))).collect()] == [hmac.new(key, v.encode(), hashlib.sha256).hexdigest() for v in ("Ann", "é")]
+    assert [r[0] for r in df.select(protect.hmac_sha256(key, F.col("v"))).collect()] == [hmac.new(
+        key, v.encode(), hashlib.sha256
+    ).hexdigest() for v in ("Ann", "é")]
     r = df.select(protect.decrypt(protect.encrypt(F.col("v"), b"0" * 16), b"0" * 16)).collect()
     assert [x[0] for x in r] == ["Ann", "é"]
 
 
 def test_audit_chain(spark):
     rows = [(log, i, f"e{i}", "data_access", "t", "u", f"op{i}") for log in (1, 2) for i in range(5)]
-    chain = audit.build_chain(spark.createDataFrame(rows, "log_id long, seq long, entry_id string, entry_type string, timestamp string, user_id string, operation string"), b"k").cache()
+    chain = audit.build_chain(
+        spark.createDataFrame(rows, "log_id long, seq long, entry_id string, entry_type string, timestamp string, user_id string, operation string"),
+        b"k"
+    ).cache()
     assert chain.count() == 10 and audit.verify_chain(chain, b"k").count() == 0
     changed = chain.withColumn("body", F.when((F.col("log_id") == 1) & (F.col("seq") == 2), "x").otherwise(F.col("body")))
     assert [tuple(r) for r in audit.verify_chain(changed, b"k").orderBy("seq").collect()] == [(1, 2, "signature mismatch"), (1, 3, "hash mismatch")]
@@ -166,7 +193,9 @@ def test_audit_chain(spark):
 
 
 def test_federated_average(spark):
-    rows = [(1, "w", i, float(i), 100) for i in range(3)] + [(2, "w", i, float(2 * i), 150) for i in range(3)] + [(3, "w", 0, 9.0, 100), (4, "w", 0, 9.0, 0)]
+    rows = [(1, "w", i, float(i), 100) for i in range(3)] + [(2, "w", i, float(2 * i), 150) for i in range(3)] + [
+        (3, "w", 0, 9.0, 100), (4, "w", 0, 9.0, 0)
+    ]
     updates = spark.createDataFrame(rows, "client_id long, key string, idx int, value double, samples_count long")
     clients = spark.createDataFrame([(1,), (2,), (4,)], "client_id long")
     out = {r.idx: r.value for r in audit.federated_average(audit.accepted_updates(updates, clients)).collect()}
@@ -194,7 +223,9 @@ def test_clients_train(spark):
 def test_next_runs_and_sizes(spark):
     monday = dt.datetime(2024, 1, 1, 10)
     df = spark.createDataFrame([(monday, f) for f in ("daily", "weekly", "monthly", "quarterly", "odd")], "now timestamp, f string")
-    assert [r[0].strftime("%Y-%m-%d") for r in df.select(reports.next_run(F.col("now"), F.col("f"))).collect()] == ["2024-01-02", "2024-01-08", "2024-02-01", "2024-04-01", "2024-01-02"]
+    assert [r[0].strftime("%Y-%m-%d") for r in df.select(reports.next_run(F.col("now"), F.col("f"))).collect()] == [
+        "2024-01-02", "2024-01-08", "2024-02-01", "2024-04-01", "2024-01-02"
+    ]
     sizes = spark.createDataFrame([(5,), (2048,), (3 << 30,)], "n long").select(reports.size_text(F.col("n"))).collect()
     assert [r[0] for r in sizes] == ["5.00 B", "2.00 KB", "3.00 GB"]
 
@@ -217,9 +248,13 @@ def test_readers(spark, tmp_path):
     assert [(r.name, r.extension, r.bytes) for r in files] == [("A.TXT", "txt", 7)] and files[0].text.startswith("café")
     content = spark.createDataFrame([("p", b"1"), ("q", b"2")], "path string, content binary")
     manifest = readers.new_files(content, spark.createDataFrame([], "path string, hash string")).select("path", "hash")
-    assert readers.new_files(content.withColumn("content", F.when(F.col("path") == "p", F.lit(b"3")).otherwise(F.col("content"))), manifest).count() == 1
+    assert readers.new_files(
+        content.withColumn("content", F.when(F.col("path") == "p", F.lit(b"3")).otherwise(F.col("content"))), manifest
+    ).count() == 1
     (tmp_path / "s.log").write_text("<34>Jan  1 00:00:01 host sshd[12]: Failed password\nnonsense\n")
-    assert [tuple(r) for r in readers.read_logs(spark, str(tmp_path / "s.log"), "syslog").collect()] == [("Jan  1 00:00:01", "host", "sshd", "Failed password")]
+    assert [tuple(r) for r in readers.read_logs(spark, str(tmp_path / "s.log"), "syslog").collect()] == [(
+        "Jan  1 00:00:01", "host", "sshd", "Failed password"
+    )]
     (tmp_path / "l.json").write_text('{"results": [{"name": "A", "source": "OFAC"}, {"name": "A", "source": "OFAC"}]}')
     assert readers.screening_list(spark, str(tmp_path / "l.json")).count() == 1
 

@@ -44,7 +44,10 @@ def test_screening_list_is_read_anew_and_survives_failures(spark, tmp_path):
 
 def test_sources_are_ingested_by_state(spark, tmp_path):
     spark.createDataFrame([(at(days=i), f"u{i}") for i in range(5)], "timestamp timestamp, user string").write.json(f"{tmp_path}/a")
-    sources = [("on_prem", "a", f"{tmp_path}/a", "json", 30), ("on_prem", "gone", f"{tmp_path}/none", "json", 30), ("on_prem", "odd", f"{tmp_path}/a", "xml", 30)]
+    sources = [
+        ("on_prem", "a", f"{tmp_path}/a", "json", 30), ("on_prem", "gone", f"{tmp_path}/none", "json", 30),
+        ("on_prem", "odd", f"{tmp_path}/a", "xml", 30)
+    ]
     registry = spark.createDataFrame(sources, "source_type string, name string, path_pattern string, format string, max_age_days int")
     read = spark.createDataFrame([("a", at(days=1)), ("a", at(days=2))], "name string, last_time timestamp")
     states = readers.source_states(registry, read)
@@ -59,7 +62,10 @@ def test_sources_are_ingested_by_state(spark, tmp_path):
 
 
 def test_feedback_scans_and_states(spark, tmp_path):
-    rows = [{"anomaly_id": "a", "is_true_positive": bool(i), "anomaly_type": "t", "feedback_source": "human", "timestamp": f"2024-01-0{1 + i}", "context": {"score": i}} for i in range(2)]
+    rows = [{
+        "anomaly_id": "a", "is_true_positive": bool(i), "anomaly_type": "t", "feedback_source": "human", "timestamp": f"2024-01-0{1 + i}",
+        "context": {"score": i}
+    } for i in range(2)]
     for i, row in enumerate([*rows, {**rows[0], "anomaly_id": "b"}]):
         (tmp_path / f"feedback_{i}.json").write_text(json.dumps(row))
     out = {r.anomaly_id: r for r in readers.feedback(spark, f"{tmp_path}/feedback_*.json").collect()}
@@ -68,7 +74,10 @@ def test_feedback_scans_and_states(spark, tmp_path):
     spark.createDataFrame([(1, "x")], "id int, s string").createOrReplaceTempView("scanned")
     done, failed = readers.scan_tables(spark, ["scanned", "not_there"], columns.profile)
     assert done[0].count() == 2 and list(failed) == ["not_there"]
-    history = spark.createDataFrame([("s", "running", T0), ("s", "completed", at(hours=1)), ("t", "b", T0), ("t", "a", T0)], "scan_id string, status string, recorded_at timestamp")
+    history = spark.createDataFrame(
+        [("s", "running", T0), ("s", "completed", at(hours=1)), ("t", "b", T0), ("t", "a", T0)],
+        "scan_id string, status string, recorded_at timestamp"
+    )
     assert {r.scan_id: r.status for r in readers.latest_state(history).collect()} == {"s": "completed", "t": "b"}  # ties by the columns
     readers.append(history, f"{tmp_path}/h")
     readers.cleared(history, f"{tmp_path}/h2")
@@ -88,7 +97,10 @@ def test_cells_samples_and_offenses(spark, tmp_path):
 
 
 def test_outboxes(spark):
-    breaches = spark.createDataFrame([(1, "ofac", None, "/d/a.txt"), (2, "bis", "bob", "/d/none.txt")], "breach_id long, breach_type string, user string, resource_path string")
+    breaches = spark.createDataFrame(
+        [(1, "ofac", None, "/d/a.txt"), (2, "bis", "bob", "/d/none.txt")],
+        "breach_id long, breach_type string, user string, resource_path string"
+    )
     files = spark.createDataFrame([("/d/a.txt",)], "path string")
     moved = readers.quarantine(breaches, files, stamp(T0)).collect()
     assert [(r.breach_id, r.quarantine_name) for r in moved] == [(1, "20240101000000_a.txt")]
@@ -96,7 +108,10 @@ def test_outboxes(spark):
     assert mails.filter("state = 'test'").count() == 2
     lines = audit.breach_lines(breaches.withColumn("resource", F.col("resource_path")), "rule", stamp(T0)).orderBy("breach_id").collect()
     assert [r.user for r in lines] == ["unknown", "bob"] and lines[0].rule == "rule"
-    rows = screening.breach_rows(spark.createDataFrame([(1, None, "", True, False, None), (2, "u", "r", False, True, 0.95)], "event_id long, user string, resource string, ofac_match boolean, bis_match boolean, match_score double"))
+    rows = screening.breach_rows(spark.createDataFrame(
+        [(1, None, "", True, False, None), (2, "u", "r", False, True, 0.95)],
+        "event_id long, user string, resource string, ofac_match boolean, bis_match boolean, match_score double"
+    ))
     assert sorted(map(tuple, rows.collect())) == [(1, "ofac", "unknown", "unknown", "medium"), (2, "bis", "u", "r", "high")]
     plan = spark.createDataFrame([(1, "a", "ai"), (1, "b", "rule"), (2, "b", "rule")], "breach_id long, action string, origin string")
     assert tuple(actions.counters(plan, plan.limit(1)).first()) == (3, 2, 1, 2, 1)
@@ -117,7 +132,10 @@ def test_reviews_and_levels(spark):
     one = spark.createDataFrame([(7, None, 1.5, T0)], "a int, b string, c double, t timestamp")
     got = one.select(alerts.details_json(one, ["a", "b", "c"]), alerts.review_id(F.col("a"), F.col("t"))).first()
     assert json.loads(got[0]) == {"a": "7", "c": "1.5"} and got[1] == f"7_{int((T0 - dt.datetime(1970, 1, 1)).total_seconds())}"
-    tables = [spark.createDataFrame(rows, schema) for rows, schema in (([("x", True), ("y", False)], "anomaly_id string, predicted boolean"), ([("x", True)], "anomaly_id string, is_true_positive boolean"), ([("x", False), ("z", True)], "anomaly_id string, actual boolean"))]
+    tables = [
+        spark.createDataFrame(rows, schema) for rows,
+        schema in (([("x", True), ("y", False)], "anomaly_id string, predicted boolean"), ([("x", True)], "anomaly_id string, is_true_positive boolean"), ([("x", False), ("z", True)], "anomaly_id string, actual boolean"))
+    ]
     assert [tuple(r) for r in alerts.labelled_outcomes(*tables).collect()] == [("x", True, True, False)]
 
 
@@ -128,7 +146,9 @@ def test_catalog_texts_and_reports(spark):
     records = spark.createDataFrame([("a", T0), ("b", at(days=1)), ("c", None)], "record_id string, created_at timestamp")
     assert [r.record_id for r in catalog.search(records, newest="created_at").collect()] == ["b", "a", "c"]
     assert spark.range(1).select(reports.expiry(stamp(T0), 2).alias("x")).first().x.replace(tzinfo=None) == at(days=730)
-    schedules = spark.createDataFrame([(1, "gdpr", True), (2, "ccpa", True), (3, "gdpr", False)], "schedule_id int, report_type string, active boolean")
+    schedules = spark.createDataFrame(
+        [(1, "gdpr", True), (2, "ccpa", True), (3, "gdpr", False)], "schedule_id int, report_type string, active boolean"
+    )
     assert reports.active_schedules(schedules, "gdpr").count() == 1 and reports.active_schedules(schedules).count() == 2
     newest = spark.createDataFrame([(1, T0), (2, at(days=1))], "alert_id int, timestamp timestamp")
     assert reports.recent_alerts(newest, 1).first().alert_id == 2
@@ -141,7 +161,10 @@ def test_catalog_texts_and_reports(spark):
 
 
 def test_rules_from_files(spark, tmp_path):
-    (tmp_path / "rules.json").write_text(json.dumps([{"name": "low", "actions": ["logging"], "severity": 2}, {"name": "top", "actions": ["email_alert"], "conditions": {"breach_type": ["ofac", "bis"]}, "severity": 9}]))
+    (tmp_path / "rules.json").write_text(json.dumps([
+        {"name": "low", "actions": ["logging"], "severity": 2},
+        {"name": "top", "actions": ["email_alert"], "conditions": {"breach_type": ["ofac", "bis"]}, "severity": 9}
+    ]))
     rules = screening.rules_from(spark, str(tmp_path))
     breaches = spark.createDataFrame([(1, "bis", "low"), (2, "x", "low")], "breach_id long, breach_type string, confidence string")
     plan = screening.remediation_plan(breaches, rules).orderBy("breach_id", "step").collect()
@@ -150,10 +173,15 @@ def test_rules_from_files(spark, tmp_path):
 
 def test_audit_fields_cannot_be_moved(spark):
     schema = "log_id long, seq long, entry_id string, entry_type string, timestamp string, user_id string, operation string, details map<string,string>"
-    rows = [(1, 1, "a|b", "c", "t", "u", "o", {"k": "1"}), (2, 1, "a", "b|c", "t", "u", "o", {"k": "1"}), (3, 1, "a", "b|c", "t", "u", "o", {"k": "2"}), (4, 1, "a", "b|c", "t", "u", "o", None)]
+    rows = [
+        (1, 1, "a|b", "c", "t", "u", "o", {"k": "1"}), (2, 1, "a", "b|c", "t", "u", "o", {"k": "1"}),
+        (3, 1, "a", "b|c", "t", "u", "o", {"k": "2"}), (4, 1, "a", "b|c", "t", "u", "o", None)
+    ]
     out = {r.log_id: r.row_hash for r in audit.build_chain(spark.createDataFrame(rows, schema), b"k").collect()}
     assert len(set(out.values())) == 4
-    weights = spark.createDataFrame([(1, "w", 0, 0.5), (1, "w", 1, 0.25), (2, "w", 0, 0.5), (2, "w", 1, 0.26)], "round int, key string, idx int, value double")
+    weights = spark.createDataFrame(
+        [(1, "w", 0, 0.5), (1, "w", 1, 0.25), (2, "w", 0, 0.5), (2, "w", 1, 0.26)], "round int, key string, idx int, value double"
+    )
     digests = {r.round: r.digest for r in audit.model_digest(weights).collect()}
     assert len(digests[1]) == 64 and digests[1] != digests[2]
     updates = spark.createDataFrame([(i, "w", 0, 5.0) for i in range(500)], "client_id long, key string, idx int, value double")
@@ -184,11 +212,15 @@ def test_models(spark, tmp_path):
     assert models.scored_or_ruled(events, lambda e: e.select("event_id", (-F.col("response_time")).alias("anomaly_score"))).count() == 5
     assert logs.feature_columns(df, "label") == (["id", "x", "y"], ["k"])
     filled = logs.with_features(df.select("id", "x"), ["x", "z"], ["k"]).first()
-    assert (filled.z, filled.k) == (0.0, "unknown") and logs.highest_first(events.withColumn("anomaly_score", F.col("response_time")), "event_id").first().event_id == 99
+    assert (filled.z, filled.k) == (0.0, "unknown") and logs.highest_first(
+        events.withColumn("anomaly_score", F.col("response_time")), "event_id"
+    ).first().event_id == 99
 
 
 def test_monitor_counts_each_batch_once(spark, tmp_path):
-    rows = [(i, at(minutes=i), f"user{i % 4}", "r1", 500 if i % 3 == 0 else 200, float(i), "unauthorized_access", "on_prem", "events", i % 4) for i in range(120)]
+    rows = [(
+        i, at(minutes=i), f"user{i % 4}", "r1", 500 if i % 3 == 0 else 200, float(i), "unauthorized_access", "on_prem", "events", i % 4
+    ) for i in range(120)]
     schema = "event_id long, timestamp timestamp, user string, resource_id string, status_code int, response_time double, type string, source_type string, source string, user_id long"
     batch = spark.createDataFrame(rows, schema).withColumn("resource", F.col("resource_id"))
     listed = spark.createDataFrame([("USER1", "OFAC - x")], LIST)
@@ -210,13 +242,18 @@ def test_streams_of_offenses_and_log_ins(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, offense)))
     seen = []
-    query = streams.poll(screening.offense_alerts(streams.polled_offenses(spark, f"{tmp_path}/in", 1)), f"{tmp_path}/state", lambda b, _: seen.extend(r.id for r in b.collect()), "1 second")
+    query = streams.poll(
+        screening.offense_alerts(streams.polled_offenses(spark, f"{tmp_path}/in", 1)), f"{tmp_path}/state",
+        lambda b, _: seen.extend(r.id for r in b.collect()), "1 second"
+    )
     query.processAllAvailable()
     (tmp_path / "in" / "b.json").write_text(json.dumps({**offense[0], "id": 9, "start_time": 9}))
     query.processAllAvailable()
     query.stop()
     assert sorted(seen) == [2, 3, 4, 9]
-    tries = [("ann", at(minutes=m), False) for m in (0, 1, 2)] + [("ann", at(minutes=5), True), ("ann", at(minutes=30), True), ("bob", at(minutes=5), True), ("bob", at(minutes=4), False)]
+    tries = [("ann", at(minutes=m), False) for m in (0, 1, 2)] + [
+        ("ann", at(minutes=5), True), ("ann", at(minutes=30), True), ("bob", at(minutes=5), True), ("bob", at(minutes=4), False)
+    ]
     logins = spark.createDataFrame(tries, "user string, at timestamp, successful boolean")
     found = streams.failed_then_success(logins).collect()
     assert [(r.user, r.n_failed) for r in found] == [("ann", 3)]

@@ -72,11 +72,15 @@ def test_nth_smallest_hash(spark):
 def test_prefilters_never_lose_a_match(spark):
     rng = random.Random(3)
     signs = ["0123456789", "0123456789", "-. ", "@.", "abcXYZ", "/", "Jan 5", "(", ")", "+", "4111", "A1234567", " 12 Main St Springfield 12345"]
-    texts = ["".join(rng.choice(rng.choice(signs)) if rng.random() < 0.9 else rng.choice(signs) for _ in range(rng.randrange(5, 45))) for _ in range(4000)]
+    texts = ["".join(rng.choice(rng.choice(signs)) if rng.random() < 0.9 else rng.choice(signs) for _ in range(rng.randrange(
+        5, 45
+    ))) for _ in range(4000)]
     texts += ["ref 123 456 789 012 345 end", "411-111-111-111-111-1", "Jan 5 99", "a@b.co", "1.2.3.4", "x1234567"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for kind, _, pattern, _ in PII_TYPES:
-        lost = df.select(pii.matches(F.col("t"), kind, pattern).alias("a"), F.regexp_extract_all("t", F.lit(pattern), F.lit(0)).alias("b")).filter("a <> b")
+        lost = df.select(
+            pii.matches(F.col("t"), kind, pattern).alias("a"), F.regexp_extract_all("t", F.lit(pattern), F.lit(0)).alias("b")
+        ).filter("a <> b")
         assert lost.count() == 0, kind
     plain = sum((F.regexp_count("t", F.lit(p)) for _, p in SIMPLE_PATTERNS[1:]), F.regexp_count("t", F.lit(SIMPLE_PATTERNS[0][1])))
     assert df.filter(pii.simple_count(F.col("t")) != plain).count() == 0
@@ -94,7 +98,10 @@ def test_repeated_alerts_are_found_by_spans(spark):
 
 
 def test_rules_beyond_the_broadcast_bound_match_alike(spark):
-    breaches = spark.createDataFrame([(i, k, c) for i, (k, c) in enumerate((k, c) for k in ("ofac", "bis", "other", None) for c in ("high", "low", None))], "breach_id long, breach_type string, confidence string")
+    breaches = spark.createDataFrame(
+        [(i, k, c) for i, (k, c) in enumerate((k, c) for k in ("ofac", "bis", "other", None) for c in ("high", "low", None))],
+        "breach_id long, breach_type string, confidence string"
+    )
     rules = screening.default_rules(breaches)
     few, many = (screening.matching_rules(breaches, rules, most).select("breach_id", "rule_pos") for most in (100, 6))
     assert sorted(few.collect()) == sorted(many.collect()) and few.count() > 12
@@ -106,12 +113,16 @@ def test_profiles_and_samples_of_columns(spark):
     rows = [(i, None if i % 7 == 0 else f"user{i % 3}@mail.example.com", 1.5) for i in range(70)]
     df = spark.createDataFrame(rows, "id long, mail string, x double")
     out = {r.column_name: r for r in columns.profile(df).collect()}
-    assert out["id"].unique_ratio == 1 and out["mail"].unique_ratio == round(4 / 70, 6) and out["mail"].null_ratio == round(10 / 70, 6) and out["x"].unique_ratio == round(1 / 70, 6)
+    assert out["id"].unique_ratio == 1 and out["mail"].unique_ratio == round(4 / 70, 6) and out["mail"].null_ratio == round(
+        10 / 70, 6
+    ) and out["x"].unique_ratio == round(1 / 70, 6)
     assert out["mail"].has_email and not out["id"].has_email and out["id"].is_numeric and out["mail"].avg_length == pytest.approx((60 * 22 + 10 * 4) / 70)
     samples = {r.column_name: r.sample_values for r in columns.samples(df).collect()}
     assert samples["mail"] == [f"user{i}@mail.example.com" for i in range(3)] and samples["id"] == ["0", "1", "10"]
     kinds = spark.createDataFrame([("ssn_code",), ("Card_no",), ("city",), ("email",), ("salary",), ("x",)], "n string")
-    assert [r[0] for r in kinds.select(columns.type_of_name(F.col("n"))).collect()] == ["PII-SSN", "PII-Financial", "PII-Address", "PII-Contact", "Financial", "General"]
+    assert [r[0] for r in kinds.select(columns.type_of_name(F.col("n"))).collect()] == [
+        "PII-SSN", "PII-Financial", "PII-Address", "PII-Contact", "Financial", "General"
+    ]
 
 
 def test_auroc_equals_all_pairs(spark):
@@ -119,7 +130,9 @@ def test_auroc_equals_all_pairs(spark):
     rows = [(float(rng.randrange(20)), rng.random() < 0.4) for _ in range(150)] + [(None, True), (1.0, None)]
     real = [(e, p) for e, p in rows if e is not None and p is not None]
     pairs = [(a > b) + 0.5 * (a == b) for a, p in real if p for b, q in real if not q]
-    assert alerts.auroc(spark.createDataFrame(rows, "error double, positive boolean")).first().auroc == pytest.approx(sum(pairs) / len(pairs), abs=1e-6)
+    assert alerts.auroc(spark.createDataFrame(
+        rows, "error double, positive boolean"
+    )).first().auroc == pytest.approx(sum(pairs) / len(pairs), abs=1e-6)
     assert alerts.auroc(spark.createDataFrame([(1.0, True)], "error double, positive boolean")).first().auroc is None
 
 
