@@ -26,9 +26,15 @@ def encrypt(value: Column, key: bytes) -> Column:
     return F.base64(F.aes_encrypt(value.cast("binary"), F.lit(key)))
 
 
-def decrypt(value: Column, key: bytes) -> Column:
-    """The text of a ciphertext; null if it isn't one under this key."""
-    return F.try_aes_decrypt(F.unbase64(value), F.lit(key)).cast("string")
+def decrypt(value: Column, key: bytes, strict: bool = False) -> Column:
+    """The text of a ciphertext. What isn't one under this key is null, or an error if strict."""
+    read = F.aes_decrypt if strict else F.try_aes_decrypt
+    return read(F.unbase64(value), F.lit(key)).cast("string")
+
+
+def pseudonym(value: Column, salt: bytes) -> Column:
+    """A value's keyed pseudonym with what is needed to check it later: the salt in hex and the value's length in bytes."""
+    return F.struct(hmac_sha256(salt, value).alias("pseudonym"), F.lit(salt.hex()).alias("salt"), F.octet_length(value).alias("original_length"))
 
 
 def one_way(value: Column, salt: bytes = b"") -> Column:

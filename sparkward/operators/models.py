@@ -97,6 +97,14 @@ def forest_scores(df: DataFrame, key: str, names: list[str], forest: DataFrame,
     ).mapInPandas(run, "key long, score double")
 
 
+def flagged(scores: DataFrame, contamination: float | None = None) -> DataFrame:
+    """Forest scores with is_anomaly: above 0.5, or, with a contamination, the highest so large share of all rows (ties with the last of them aside)."""
+    from .ordered import percentile
+
+    cut = 0.5 if contamination is None else percentile(scores, "score", 1 - contamination)
+    return scores.withColumn("is_anomaly", F.col("score") > F.lit(cut).cast("double"))
+
+
 def features(df: DataFrame, numeric: list[str], categorical: list[str]) -> tuple[Pipeline, list[str]]:
     """Stages that scale numbers and one-hot encode categories into a column features; unknown categories are all zeros."""
     stages = [

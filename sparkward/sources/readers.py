@@ -58,6 +58,11 @@ def read_logs(spark: SparkSession, path: str, kind: str) -> DataFrame:
     raise ValueError(f"unknown log format {kind}")
 
 
+def training_data(spark: SparkSession, path: str, label: str) -> DataFrame:
+    """Rows of a CSV file with a header, types by their values; those without a label are left out."""
+    return spark.read.option("header", "true").option("inferSchema", "true").csv(path).filter(F.col(label).isNotNull())
+
+
 def since(logs: DataFrame, last: Column, now: Column, max_age_days: int = 30) -> DataFrame:
     """Rows after the last time read, or of the last days where that is null."""
     return logs.filter(F.col("timestamp") > F.coalesce(last, now - F.make_interval(days=F.lit(max_age_days))))

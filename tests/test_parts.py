@@ -271,6 +271,21 @@ def test_streams_of_offenses_and_log_ins(spark, tmp_path):
     assert [r.endpoint for r in streams.against_baseline(counts, usual, "endpoint").collect()] == ["e"]
 
 
+def test_flags_training_data_and_tokens(spark, tmp_path):
+    scores = spark.createDataFrame([(i, i / 100) for i in range(100)], "key long, score double")
+    assert models.flagged(scores).filter("is_anomaly").count() == 49 and models.flagged(scores, 0.1).filter("is_anomaly").count() == 10
+    (tmp_path / "t.csv").write_text("x,label\n1,0\n2.5,\n3,1\n")
+    rows = readers.training_data(spark, f"{tmp_path}/t.csv", "label")
+    assert rows.count() == 2 and dict(rows.dtypes) == {"x": "double", "label": "int"}
+    df = spark.createDataFrame([("é",)], "v string")
+    key = b"0123456789abcdef"
+    hidden = df.select(protect.encrypt(F.col("v"), key).alias("h"), protect.pseudonym(F.col("v"), b"s").alias("p"))
+    made = hidden.select(protect.decrypt(F.col("h"), key, strict=True).alias("v"), "p.*").first()
+    assert (made.v, made.salt, made.original_length, len(made.pseudonym)) == ("é", "73", 2, 64)
+    with pytest.raises(Exception):
+        hidden.select(protect.decrypt(F.col("h"), key[::-1], strict=True)).collect()
+
+
 def test_text_models_are_hooks(spark):
     docs = spark.createDataFrame([(1, "secret"), (2, None)], "doc_id int, text string")
     assert sorted(r.model_score for r in models.with_text_model(docs, lengths).collect()) == [0.0, 6.0]
