@@ -307,3 +307,15 @@ def with_text_model(docs: DataFrame, score, name: str = "model_score") -> DataFr
     from pyspark.sql.functions import pandas_udf
 
     return docs.withColumn(name, pandas_udf(score, "double")(F.coalesce("text", F.lit(""))))
+
+
+def with_entity_model(docs: DataFrame, find, name: str = "entities") -> DataFrame:
+    """docs with the entities of a text model: find is a function from a pandas Series of texts to one of lists of dicts
+    (entity_type, value, start, end, confidence), run batch by batch. Unknown labels and names of two characters or less are left out.
+    """
+    from pyspark.sql.functions import pandas_udf
+
+    from ..functions import pii
+
+    found = pandas_udf(find, pii.ENTITY)(F.coalesce("text", F.lit("")))
+    return docs.withColumn(name, pii.plausible(pii.known_entities(found)))

@@ -136,6 +136,15 @@ def offense_alerts(offenses: DataFrame) -> DataFrame:
     )
 
 
+def tickets(alerts: DataFrame, project: str, issue_type: str = "Task") -> DataFrame:
+    """An outbox of tickets for the alerts of offenses: project, type of issue, summary, description, and priority by severity."""
+    urgent = F.when(F.col("severity_name").isin("Critical", "High"), "High").when(F.col("severity_name") == "Medium", "Medium").otherwise("Low")
+    return alerts.select(
+        "id", F.lit(project).alias("project"), F.lit(issue_type).alias("issue_type"), F.col("ticket_summary").alias("summary"), "description",
+        urgent.alias("priority"),
+    )
+
+
 def role_violations(access: DataFrame) -> DataFrame:
     """Accesses (role, permission) that the role doesn't allow; unknown roles allow nothing."""
     grants = access.sparkSession.createDataFrame([(r, p) for r, ps in ROLE_PERMISSIONS for p in ps], "granted_role string, granted string")

@@ -291,5 +291,17 @@ def test_text_models_are_hooks(spark):
     assert sorted(r.model_score for r in models.with_text_model(docs, lengths).collect()) == [0.0, 6.0]
 
 
+    found = models.with_entity_model(docs, names).orderBy("doc_id").collect()
+    assert [[e.value for e in r.entities] for r in found] == [["secret"], []]
+    offense = spark.createDataFrame([(1, "d", "OPEN", 9), (2, "d", "OPEN", 6)], "id long, description string, status string, severity int")
+    made = screening.tickets(screening.offense_alerts(offense), "SEC").orderBy("id").collect()
+    assert [(r.project, r.issue_type, r.summary, r.priority) for r in made] == [("SEC", "Task", "Compliance Alert: Offense 1", "High"), ("SEC", "Task", "Compliance Alert: Offense 2", "Medium")]
+
+
+def names(texts: pd.Series) -> pd.Series:
+    one = lambda kind, t: {"entity_type": kind, "value": t, "start": 0, "end": len(t), "confidence": 0.9}
+    return texts.map(lambda t: [one("Person Name", t), one("Person Name", t[:2]), one("Odd", t)] if t else [])
+
+
 def lengths(texts: pd.Series) -> pd.Series:
     return texts.str.len().astype(float)
