@@ -113,9 +113,11 @@ def fingerprint_media(docs: DataFrame) -> DataFrame:
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """Lengths and checksums of the stored media, and the fingerprint as a digest with its number of pairs."""
+    """Lengths and checksums of the stored media, and the fingerprint: its time-coded arrays, and a digest of them with the number of pairs."""
     pairs = F.concat_ws("|", F.concat_ws(",", F.col("peak_frame").cast("array<string>")), F.concat_ws(",", F.col("pair_code").cast("array<string>")))
     return media.select(
-        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), F.concat(F.size("pair_code").cast("string"), F.lit(":"), F.md5(pairs)).alias("feature"),
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -16, 16)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        F.concat(F.size("pair_code").cast("string"), F.lit(":"), F.md5(pairs)).alias("feature"), "peak_frame", "pair_code",
     )
