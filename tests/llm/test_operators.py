@@ -640,6 +640,36 @@ def test_surrogates_of_late_attempts():
             assert kind != "CARD" or pii_surrogates.luhn_sum([int(c) for c in chosen]) % 10 == 0
 
 
+def test_surrogates_equal_brute_force(spark):
+    rng = random.Random(17)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = [(i, f"{rng.choice(letters)}@q.example.com, 192.168.{rng.randrange(3)}.{rng.randrange(256)} and Mr {rng.choice(letters).upper()}{rng.choice(letters)} Xu") for i in range(700)]
+    key, found = b"k", {i: pii_surrogates.detect(t) for i, t in texts}
+    space = lambda kind: "NAME" if kind in pii_surrogates.NAME_KINDS else kind
+    attempts = {(e.kind, e.canon): 0 for es in found.values() for e in es}
+    occurring = {(space(kind), canon) for kind, canon in attempts}
+    while True:
+        taken, again = {}, []
+        for (kind, canon), attempt in sorted(attempts.items(), key=lambda x: (x[1], *x[0])):
+            at = (space(kind), pii_surrogates.surrogate(kind, canon, attempt, key))
+            if at in taken or at in occurring:
+                again.append((kind, canon))
+            taken.setdefault(at, canon)
+        if not again:
+            break
+        for value in again:
+            attempts[value] += 1
+    assert max(attempts.values()) > 1  # some had to be chosen anew
+    expected = {}
+    for i, text in texts:
+        at, out = 0, []
+        for e in found[i]:
+            out += [text[at : e.start], pii_surrogates.written_like(e.kind, e.value, pii_surrogates.surrogate(e.kind, e.canon, attempts[e.kind, e.canon], key))]
+            at = e.end
+        expected[i] = "".join([*out, text[at:]])
+    assert {r.doc_id: r.text for r in pii_surrogates.replace_pii(frame(spark, texts), key).collect()} == expected
+
+
 def test_surrogates_of_names_within_a_text(spark):
     texts = [
         (1, "Mr John Smith wrote. Later Mr Smith, JOHN and Smith's friend O'Brien met Dr. Anna Smith and Prof. Dr. Jean-Luc O'Brien."),
