@@ -218,7 +218,7 @@ def sets_of(base: DataFrame, rids: DataFrame, words: int) -> DataFrame:
     """
     spark = base.sparkSession
     schema = pa.schema([("rid", pa.int64()), ("n", pa.int64()), ("classes", pa.binary()), ("tokens", pa.binary())])
-    if rids.limit(FILTERED + 1).count() <= FILTERED:
+    if rids.count() <= FILTERED:
         passes, source = spark.sparkContext.broadcast(worth_reading(rids)), base
     else:
         passes, source = None, base.join(rids.select(F.col("rid").alias("read_rid")), F.col("rid") == F.col("read_rid"), "left_semi")
@@ -457,7 +457,7 @@ def similar_links(base: DataFrame, classes: DataFrame, levels: np.ndarray, words
     pairs = written(prefix_pairs(few, percent))
     members = written(many.select("rid", "pivot").distinct())
     needed = pairs.select(F.col("a").alias("rid")).unionByName(pairs.select("b").toDF("rid")).unionByName(members.select("rid")).distinct()
-    sets = sets_of(base, needed, words)
+    sets = sets_of(base, written(needed), words)
     sure, more = resolved_crowds(members, sets, percent)
     left = written(past_suffix_filter(pairs.unionByName(more).distinct(), sets, percent))  # so that no task runs two workers
     return sure.unionByName(verified(left, sets, percent))

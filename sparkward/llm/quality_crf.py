@@ -141,9 +141,8 @@ def with_known(docs: DataFrame, repeated: DataFrame | None, most_broadcast: int
     nothing = F.lit(None).cast("array<bigint>").alias("known_lines")
     if repeated is None:
         return docs.select("*", nothing), np.zeros(0, np.int64)
-    small = repeated.limit(most_broadcast + 1).toArrow().column("line").to_numpy()
-    if len(small) <= most_broadcast:
-        return docs.select("*", nothing), small
+    if repeated.count() <= most_broadcast:
+        return docs.select("*", nothing), repeated.select("line").toArrow().column("line").to_numpy()
     schema = pa.schema([("text_key", pa.int64()), ("line", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +158,7 @@ def with_known(docs: DataFrame, repeated: DataFrame | None, most_broadcast: int
     keyed = docs.select(F.xxhash64("text").alias("text_key"), F.col("text").cast("string")).mapInArrow(run, "text_key long, line long")
     own = keyed.distinct().join(repeated.select(F.col("line").alias("known")), F.col("line") == F.col("known"))
     own = own.groupBy("text_key").agg(F.collect_list("line").alias("known_lines"))
-    return docs.join(own, F.xxhash64(docs["text"]) == F.col("text_key"), "left").select(*(docs[c] for c in docs.columns), "known_lines"), small[:0]
+    return docs.join(own, F.xxhash64(docs["text"]) == F.col("text_key"), "left").select(*(docs[c] for c in docs.columns), "known_lines"), np.zeros(0, np.int64)
 
 
 def indicators() -> np.ndarray:
