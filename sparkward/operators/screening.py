@@ -13,7 +13,7 @@ MOST_BROADCAST = 100_000
 
 def bounded(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     """df with a broadcast hint if it has few rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def screen(logs: DataFrame, listed: DataFrame, user: str = "user", resource: str = "resource") -> DataFrame:
@@ -59,7 +59,7 @@ def matching_rules(breaches: DataFrame, rules: DataFrame, most: int = MOST_BROAD
     that meets as many conditions as the rule has; rules without conditions are broadcast, up to most.
     """
     facts = F.create_map(F.lit("breach_type"), F.col("breach_type"), F.lit("confidence"), F.col("confidence"))
-    if rules.limit(most + 1).count() <= most:
+    if rules.count() <= most:
         fits = F.forall(F.map_entries("conditions"), lambda c: F.coalesce(F.array_contains(c["value"], facts[c["key"]]), F.lit(False)))
         return breaches.join(F.broadcast(rules), fits)
     wanted = rules.select("rule_pos", F.explode("conditions").alias("key", "values")).select(
@@ -78,7 +78,7 @@ def matching_rules(breaches: DataFrame, rules: DataFrame, most: int = MOST_BROAD
         full, F.col("breach_id") == F.col("of_breach")
     ).join(rules, F.col("pos") == F.col("rule_pos")).select(*breaches.columns, *rules.columns)
     always = rules.filter(F.size("conditions") == 0)
-    if always.limit(most + 1).count() > most:
+    if always.count() > most:
         raise ValueError(f"more than {most} rules without conditions")
     return pairs.unionByName(breaches.join(F.broadcast(always)).select(*breaches.columns, *rules.columns))
 
