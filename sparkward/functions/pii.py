@@ -146,16 +146,26 @@ def known_entities(found: Column, labels: tuple[str, ...] = KNOWN_LABELS) -> Col
     return F.filter(found, lambda e: e["entity_type"].isin(*labels))
 
 
-def sensitivity(text: Column, low: Column | None = None) -> tuple[Column, Column, Column, Column]:
-    """Matched keywords, matches, score and confidence of the simple analyzer. low is the text in lower case, if a projection has made it."""
-    clean = F.coalesce(text, F.lit(""))
-    low = F.lower(clean) if low is None else F.coalesce(low, F.lit(""))
+def sensitivity_counts(text: Column, low: Column) -> tuple[Column, Column]:
+    """Matched keywords and matches of a text; low is the text in lower case, which a projection before should make."""
+    low = F.coalesce(low, F.lit(""))
     words = [low.contains(k).cast("int") for k in SENSITIVE_KEYWORDS]
-    matched, n = sum(words[1:], words[0]), simple_count(clean)
-    kw = matched / F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.length(clean) / 100.0))
-    score = F.when(clean == "", 0.0).otherwise(F.least(F.lit(1.0), 0.3 * kw + 0.7 * F.least(F.lit(1.0), 0.2 * n)))
-    confidence = F.when(clean == "", 1.0).when(n > 0, F.greatest(F.lit(0.9), 0.6 + 0.4 * score)).otherwise(0.6 + 0.4 * score)
-    return matched, n, score, confidence
+    return sum(words[1:], words[0]), simple_count(F.coalesce(text, F.lit("")))
+
+
+def sensitivity_score(n_chars: Column, n_keywords: Column, n_matches: Column) -> tuple[Column, Column]:
+    """Score and confidence of the simple analyzer from a text's length and counts."""
+    density = n_keywords / F.greatest(F.lit(1.0), F.least(F.lit(1000.0), n_chars / 100.0))
+    score = F.when(n_chars == 0, 0.0).otherwise(F.least(F.lit(1.0), 0.3 * density + 0.7 * F.least(F.lit(1.0), 0.2 * n_matches)))
+    sure = 0.6 + 0.4 * score
+    return score, F.when(n_chars == 0, 1.0).when(n_matches > 0, F.greatest(F.lit(0.9), sure)).otherwise(sure)
+
+
+def sensitivity(text: Column) -> tuple[Column, Column, Column, Column]:
+    """Matched keywords, matches, score and confidence of the simple analyzer, as one expression each."""
+    clean = F.coalesce(text, F.lit(""))
+    n_keywords, n_matches = sensitivity_counts(clean, F.lower(clean))
+    return n_keywords, n_matches, *sensitivity_score(F.length(clean), n_keywords, n_matches)
 
 
 def combined_score(score: Column, n: Column) -> Column:

@@ -117,15 +117,18 @@ FROM (SELECT 'documents' AS origin, doc_id AS row_id, text FROM documents UNION
 
 
 def doc_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words, n, score, confidence = pii.sensitivity(F.col("text"), F.col("low"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lower("text").alias("low"))  # lowered once, not for each keyword
-    scored = docs.select("doc_id", words.alias("n_keywords"), n.alias("n_pii"), score.alias("raw"), confidence.alias("sure"))
+    """Texts are lowered once and counted once; scores come from the counts in projections of their own."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lower("text").alias("low"))
+    words, matches = pii.sensitivity_counts(F.col("text"), F.col("low"))
+    counted = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("chars"), words.alias("n_keywords"), matches.alias("n_pii"))
+    score, confidence = pii.sensitivity_score(F.col("chars"), F.col("n_keywords"), F.col("n_pii"))
+    scored = counted.select("doc_id", "n_keywords", "n_pii", score.alias("raw"), confidence.alias("sure"))
     sensitive = (F.col("raw") > 0.1) | (F.col("n_pii") > 0)
+    combined = F.round(pii.combined_score(F.col("raw"), F.col("n_pii")), 6)
     return scored.select(
         "doc_id", "n_keywords", "n_pii", F.round("raw", 6).alias("score"), F.round("sure", 6).alias("confidence"),
-        F.when(sensitive, "SENSITIVE").otherwise("NON_SENSITIVE").alias("classification"),
-        F.round(pii.combined_score(F.col("raw"), F.col("n_pii")), 6).alias("combined")
-    )
+        F.when(sensitive, "SENSITIVE").otherwise("NON_SENSITIVE").alias("classification"), combined.alias("combined"),
+    )
 
 
 DOC_SENSITIVITY = f"""
