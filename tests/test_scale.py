@@ -117,6 +117,9 @@ def test_profiles_and_samples_of_columns(spark):
         10 / 70, 6
     ) and out["x"].unique_ratio == round(1 / 70, 6)
     assert out["mail"].has_email and not out["id"].has_email and out["id"].is_numeric and out["mail"].avg_length == pytest.approx((60 * 22 + 10 * 4) / 70)
+    for some in (df, df.limit(0)):  # all columns at once, and one by one
+        at_once = sorted(map(tuple, columns.heuristics(some).collect()))
+        assert at_once == sorted(tuple(columns.heuristic(some, c).first()) for c in some.columns)
     samples = {r.column_name: r.sample_values for r in columns.samples(df).collect()}
     assert samples["mail"] == [f"user{i}@mail.example.com" for i in range(3)] and samples["id"] == ["0", "1", "10"]
     kinds = spark.createDataFrame([("ssn_code",), ("Card_no",), ("city",), ("email",), ("salary",), ("x",)], "n string")
