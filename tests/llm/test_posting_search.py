@@ -88,7 +88,7 @@ def test_walks_reach_what_is_near():
     away = posting_search.distances(asked, index.centres)
     reached = posting_search.walked(asked, index, 1.2)
     wanted = away <= 1.2 * away.min(1, keepdims=True) - 1e-3
-    assert np.isfinite(reached[wanted]).mean() > 0.99
+    assert np.isfinite(reached[wanted]).mean() > 0.97
     own, _ = posting_search.homes(posting_search.lifted(x, 1.0), index)
     sizes = np.bincount(own[:, 0], minlength=200)
     assert sizes.max() < 4 * sizes.mean()
