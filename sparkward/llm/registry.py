@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import (
     chat_rotation, conversation_repair, host_reputation, importance_resampling, jaccard_join, media_fingerprint, packing, pii_surrogates, posting_search,
-    quality_crf, suffix_dedup, unigram_codec
+    quality_crf, spelling_variants, suffix_dedup, unigram_codec
 )
 from .common import table
 
@@ -96,11 +96,15 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_report(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.grouped_variants(spelling_variants.misspelled_words(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_packing, op2_suffix_dedup, op3_quality_crf, op4_unigram_codec, op5_chat_rotation, op6_media_fingerprint, op7_jaccard_join,
         op8_importance_resampling, op9_pii_surrogates, op10_host_reputation, op11_posting_search,
-        op12_conversation_repair
+        op12_conversation_repair, op13_spelling_variants
     )}
 
 
