@@ -25,6 +25,8 @@ LINKS, ENTRIES = 16, 32
 SLACK = 1.06
 #: The ratio that prunes is the least one that keeps this share of the neighbours of so many vectors of the sample.
 KEPT, TRIED = 0.96, 256
+#: So many lists of a query's hits are merged at once.
+MERGED = 64
 #: Vectors and queries that meet in one task at a time, and queries of one product of matrices.
 SHELF, QUERIES, CHUNK = 4096, 2048, 256
 
@@ -220,8 +222,11 @@ def best_of_shelf(visits: pa.Table, postings: pa.Table, dim: int, top: int) -> p
     place = np.arange(len(at)) - np.searchsorted(at, at)
     at, hit, score = at[place < top], hit[place < top], score[place < top]
     found = postings.take(pa.array(first[hit]))
-    asked_by = visits.take(pa.array(at))
-    return pa.table({"k1": asked_by["k1"], "k2": asked_by["k2"], "score": pa.array(score), "ids": found["ids"]})
+    new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, int)
+    asked_by = visits.take(pa.array(at[new]))
+    hits = pa.StructArray.from_arrays([pa.array(-score), *(found[c].combine_chunks() for c in ("id", "ids"))], names=["minus", "id", "ids"])
+    ends = pa.array(np.r_[new, len(at)].astype(np.int32))
+    return pa.table({"k1": asked_by["k1"], "k2": asked_by["k2"], "unit": asked_by["unit"], "hits": pa.ListArray.from_arrays(ends, hits)})
 
 
 # on Spark
@@ -336,12 +341,14 @@ def search_nearest(embeddings: DataFrame, every: int = 20, top: int = 20) -> Dat
     asked = {r.shelf: r["count"] for r in visits.groupBy("shelf").count().collect()}
     held = np.bincount(shelf_of, counted[:, 0])
     # one row for each shelf, of which there are no more than lists
-    blocks = [(s, max(1, -int(-held[s] // SHELF)), -(-n // QUERIES)) for s, n in asked.items()]
-    cut = F.broadcast(spark.createDataFrame(blocks, "shelf int, blocks int, asking int"))
+    blocks = np.maximum(1, -(-held // SHELF)).astype(int)
+    units = np.cumsum(blocks) - blocks
+    parts = [(s, int(blocks[s]), -(-n // QUERIES), int(units[s])) for s, n in asked.items()]
+    cut = F.broadcast(spark.createDataFrame(parts, "shelf int, blocks int, asking int, unit long"))
     shelves = F.broadcast(spark.createDataFrame([(k, int(s)) for k, s in enumerate(shelf_of.tolist())], "list int, shelf int"))
     left = visits.join(cut, "shelf").select(
-        "shelf", F.pmod("k1", F.col("asking")).cast("int").alias("q"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("b"), "lists", "k1", "k2", "vec"
-    )
+        "shelf", F.pmod("k1", F.col("asking")).cast("int").alias("q"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("b"), "unit", "lists", "k1", "k2", "vec"
+    ).withColumn("unit", F.col("unit") + F.col("b"))
     right = postings.join(shelves, "list").join(cut, "shelf").select(
         "shelf", F.explode(F.expr("sequence(0, asking - 1)")).alias("q"), F.pmod("k1", F.col("blocks")).cast("int").alias("b"), "list",
         F.col("ids")[0].alias("id"), "vec", "ids"
@@ -351,13 +358,15 @@ def search_nearest(embeddings: DataFrame, every: int = 20, top: int = 20) -> Dat
         return best_of_shelf(visiting, stored, dim, top + 1)
 
     keys = ("shelf", "q", "b")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(met, "k1 long, k2 long, score double, ids array<bigint>")
-    best = Window.partitionBy("k1", "k2").orderBy(F.desc("score"), F.col("ids")[0])
-    top_vectors = found.withColumn("place", F.dense_rank().over(best)).filter(F.col("place") <= top + 1)
-    scored = F.flatten(F.transform(
-        F.collect_set(F.struct("score", "ids")), lambda v: F.transform(v["ids"], lambda i: F.struct((-v["score"]).alias("minus"), i.alias("rid")))
-    ))
-    answers = top_vectors.groupBy("k1", "k2").agg(F.slice(F.array_sort(scored), 1, top + 1).alias("best"))
+    hit = "struct<minus: double, id: bigint, ids: array<bigint>>"
+    answers = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(met, f"k1 long, k2 long, unit long, hits array<{hit}>")
+    width = int(blocks.sum()) + 1
+    while width > 1:
+        together = F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits"))))
+        answers = answers.groupBy("k1", "k2", F.expr(f"unit div {MERGED}").alias("unit")).agg(F.slice(together, 1, top + 1).alias("hits"))
+        width = -(-width // MERGED)
+    scored = F.flatten(F.transform("hits", lambda v: F.transform(v["ids"], lambda i: F.struct(v["minus"].alias("minus"), i.alias("rid")))))
+    answers = answers.select("k1", "k2", F.slice(F.array_sort(scored), 1, top + 1).alias("best"))
     own = rows.filter("asks").select(F.col("vec_id").alias("query_id"), F.col("rid").alias("own"), "k1", "k2")
     others = own.join(answers, ["k1", "k2"]).select(
         "query_id", F.posexplode(F.slice(F.filter("best", lambda v: v["rid"] != F.col("own")), 1, top)).alias("place", "hit")
