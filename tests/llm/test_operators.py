@@ -721,14 +721,86 @@ def test_hosts(spark):
 def test_public_suffixes(spark):
     hosts = ["a.b.co.uk", "b.co.uk", "co.uk", "x.example.com", "com", "", "deep.a.b.com.au"]
     df = spark.createDataFrame([(h,) for h in hosts], "host string")
-    both = [tuple(r) for r in df.select(host_reputation.registered_domain(F.col("host")), host_reputation.public_suffix(F.col("host"))).collect()]
-    assert both == [
-        ("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("example.com", "com"), ("com", "com"), ("", ""),
-        ("b.com.au", "com.au")
-    ]
-    assert df.select(host_reputation.registered_domain(F.col("host"), ())).first()[0] == "co.uk"
+    wanted = {
+        "a.b.co.uk": ("b.co.uk", "co.uk"), "b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.example.com": ("example.com", "com"),
+        "com": ("com", "com"), "": ("", ""), "deep.a.b.com.au": ("b.com.au", "com.au"), "10.1.2.3": ("10.1.2.3", "10.1.2.3"),
+        "10.9.2.3:80": ("10.9.2.3", "10.9.2.3"), "[::1]:80": ("[::1]", "[::1]"), "me@www.example.com:8080": ("example.com", "com"),
+        "example.com.": ("example.com", "com"), "a.me.github.io": ("me.github.io", "github.io"),
+    }
+    df = spark.createDataFrame([(h,) for h in wanted], "host string")
+    both = host_reputation.with_domains(df)
+    assert {r.host: (r.domain, r.suffix) for r in both.collect()} == wanted
+    table = spark.createDataFrame([("co.uk",), ("com.au",), ("github.io",), ("x.y.z.org",), (None,), ("co.uk",)], "suffix string")
+    assert {r.host: (r.domain, r.suffix) for r in host_reputation.with_domains(df, table).collect()} == wanted
+    longer = spark.createDataFrame([("a.b.x.y.z.org",)], "host string")
+    assert host_reputation.with_domains(longer, table).select("domain", "suffix").first() == ("b.x.y.z.org", "x.y.z.org")
+    assert host_reputation.with_domains(df, ()).filter("host = 'b.co.uk'").select("domain", "suffix").first() == ("co.uk", "uk")
     urls = [f"http://h{i}.bad.co.uk/" for i in range(40)] + [f"http://h{i}.good.co.uk/" for i in range(40)] + ["http://new.bad.co.uk/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     outcomes = spark.createDataFrame([(i, int(i < 40)) for i in range(80) for _ in range(5)], "page_id long, bad int")
     out = {r.page_id: r for r in host_reputation.judge_urls(pages, outcomes, rules=()).collect()}
     assert out[0].verdict == "block" and out[50].verdict == "allow" and out[80].host_mean > 0.8  # a new host has its domain's prior
+
+
+def verdicts(spark, hosts, labels):
+    """The verdict of each host; labels are (host, bad)."""
+    pages = spark.createDataFrame([(i, f"https://{h}/x") for i, h in enumerate(hosts)] + [(-1, None)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(hosts.index(h), bad) for h, bad in labels] + [(10**6, 1), (0, None)], "page_id long, bad int")
+    return {r.host: r.verdict for r in host_reputation.judge_urls(pages, outcomes, rules=()).collect()}
+
+
+def test_thin_evidence_blocks_no_host(spark):
+    hosts = [f"h{i}.d{i % 5}.org" for i in range(20)] + ["new.net", "10.1.2.3", "10.1.2.4"]
+    everything = {h: "allow" for h in [*hosts, ""]}
+    assert verdicts(spark, hosts, []) == everything
+    for labels in ([(hosts[0], 1)], [(hosts[0], 0)], [(hosts[0], 1), (hosts[7], 1)], [(hosts[0], 1), (hosts[7], 0)], [(hosts[0], 0), (hosts[7], 0)]):
+        assert verdicts(spark, hosts, labels) == everything
+    alike = verdicts(spark, hosts, [(h, 1) for h in hosts[:10] for _ in range(9)])
+    assert {h for h, v in alike.items() if v == "block"} == set(hosts[:10])  # hosts without evidence stay, however bad the others are
+
+
+def test_addresses_share_no_reputation(spark):
+    hosts = [f"10.{i}.2.3" for i in range(20)] + ["99.9.2.3", "a.example.org", "b.example.org"]
+    got = verdicts(spark, hosts, [(h, 1) for h in hosts[:10] for _ in range(6)] + [(h, 0) for h in hosts[10:19] for _ in range(6)])
+    assert {h for h, v in got.items() if v == "block"} == set(hosts[:10])
+
+
+def test_posteriors_against_plain_arithmetic(spark):
+    rng = random.Random(77)
+    counts = []
+    for d in range(30):
+        share = rng.random()
+        for h in range(rng.randrange(1, 6)):
+            n = rng.randrange(8)
+            counts.append((f"h{h}.d{d}.{rng.choice(['org', 'co.uk', 'de']) if d % 7 else 'org'}", n, sum(rng.random() < share for _ in range(n))))
+    got = {r.host: (r.mean, r.deviation) for r in host_reputation.posteriors_of_counts(spark.createDataFrame(counts, "host string, n long, bad long")).collect()}
+    domain = {h: ".".join(h.split(".")[1:]) for h, _, _ in counts}
+    suffix = {h: ".".join(h.split(".")[2:]) for h, _, _ in counts}
+
+    def weight(key):
+        groups = defaultdict(lambda: [0, 0])
+        for h, n, bad in counts:
+            groups[key(h)][0] += n
+            groups[key(h)][1] += bad
+        some = [(n, b) for n, b in groups.values() if n]
+        total, bad = sum(n for n, _ in some), sum(b for _, b in some)
+        p, m = bad / total, len(some)
+        pages = total - sum(n * n for n, _ in some) / total - m + 1
+        apart = sum(n * (b / n - p) ** 2 for n, b in some) - p * (1 - p) * (m - 1)
+        cap = max(1.0, min(1000.0, pages))
+        return min(cap, max(1.0, p * (1 - p) * pages / apart - 1)) if apart > 0 else cap
+
+    w_host, w_domain, w_suffix = weight(lambda h: h), weight(domain.get), weight(suffix.get)
+
+    def rest(inside, outside):
+        rows = [(n, b) for h, n, b in counts if inside(h) and not outside(h)]
+        return sum(n for n, _ in rows), sum(b for _, b in rows)
+
+    for host, n, bad in counts:
+        a_n, a_bad = rest(lambda h: True, lambda h: suffix[h] == suffix[host])
+        s_n, s_bad = rest(lambda h: suffix[h] == suffix[host], lambda h: domain[h] == domain[host])
+        d_n, d_bad = rest(lambda h: domain[h] == domain[host], lambda h: h == host)
+        above = (s_bad + w_suffix * (a_bad + 1) / (a_n + 2)) / (s_n + w_suffix)
+        above = (d_bad + w_domain * above) / (d_n + w_domain)
+        mean = (bad + w_host * above) / (n + w_host)
+        assert got[host] == pytest.approx((mean, (mean * (1 - mean) / (n + w_host + 1)) ** 0.5))
