@@ -117,3 +117,15 @@ def of_process(key: tuple, make: Callable[[], Any]) -> Any:
 def release_process() -> None:
     """Lets go of what of_process() holds, for operators that need the memory."""
     vars(sys.modules.get("sparkward_of_process", ModuleType("none"))).get("held", {}).clear()
+
+
+#: The table of crc32 in DuckDB's SQL, in one row.
+CRC32_TABLE_SQL = """(SELECT list(c ORDER BY i) AS crcs FROM (SELECT i, list_reduce([i] || list_transform(range(8), lambda x: 0), lambda c, x:
+  CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def crc32_sql(text: str) -> str:
+    """The crc32 of an expression of DuckDB's SQL, next to a column crcs from CRC32_TABLE_SQL."""
+    byte = f"CAST('0x' || substr(hex(encode({text})), 2 * k - 1, 2) AS BIGINT)"
+    steps = f"[4294967295] || list_transform(range(1, octet_length(encode({text})) + 1), lambda k: {byte})"
+    return f"xor(list_reduce({steps}, lambda c, b: xor(c >> 8, crcs[1 + (xor(c, b) & 255)])), 4294967295)"

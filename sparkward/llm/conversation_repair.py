@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Rows
+from .common import CRC32_TABLE_SQL, Rows, crc32_sql
 
 #: What counts as space, and what ends a sentence.
 SPACE, STOPS = " \t\n\x0b\x0c\r", ".!?"
@@ -318,3 +318,41 @@ def damaged(turns: DataFrame) -> DataFrame:
         F.when(F.col("lot") <= 1, "").when(F.col("lot") == 2, F.translate("text", STOPS, "")).otherwise(F.col("text")).alias("text"),
         (F.col("lot") == 0).alias("gone"), F.explode(F.when(F.col("lot") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"),
     ).drop("copy")
+
+
+#: Moves of the repair in DuckDB's SQL: from a state, some insertions and an edit; what they cost and put before the turn. States: none, s, u, a.
+MOVES_SQL = """(SELECT * FROM (VALUES ('', 0, '', ''), ('', 1, 'u', 'user:'), ('', 2, 'a', 'user:' || chr(10) || 'assistant:'), ('s', 0, 's', ''), ('s', 1, 'u', 'user:'),
+  ('s', 2, 'a', 'user:' || chr(10) || 'assistant:'), ('u', 0, 'u', ''), ('u', 1, 'a', 'assistant:'), ('a', 0, 'a', ''), ('a', 1, 'u', 'user:')) AS t(state, k, now, put))"""
+#: judge_conversations, repair_report and damaged over conversations, a turn at a time, keeping the best path to each state.
+SQL = f"""
+WITH RECURSIVE lots AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {crc32_sql("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS lot FROM conversations, {CRC32_TABLE_SQL}),
+hurt AS (SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role, CASE lot WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(CASE WHEN lot = 3 THEN [1, 2] ELSE [1] END) AS copy FROM lots WHERE lot > 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, left(role, 1) AS initial,
+  rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS body FROM hurt),
+faulty AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+  lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM placed),
+counts AS (SELECT conv_id, count(*) AS turns, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id),
+paths AS (SELECT conv_id, 0::BIGINT AS i, '' AS state, 0 AS cost, '' AS audit, NULL::VARCHAR AS told FROM counts
+  UNION ALL
+  SELECT conv_id, i, state, cost, audit, told FROM (
+    SELECT p.conv_id, f.i, edit.to_state AS state, p.cost + 3 * m.k + edit.price + CASE WHEN edit.letter <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END AS cost,
+      p.audit || repeat('I', m.k) || edit.letter AS audit, concat_ws(chr(10), p.told, nullif(m.put, ''), CASE edit.letter WHEN 'K' THEN role || ':' || text
+        WHEN 'R' THEN CASE edit.to_state WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text END) AS spoken,
+      CASE WHEN p.told IS NULL AND m.put = '' AND edit.letter = 'D' THEN NULL ELSE spoken END AS told
+    FROM paths p JOIN faulty f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1 JOIN {MOVES_SQL} m ON m.state = p.state
+    JOIN (VALUES ('', 'D', 4, ''), ('s', 'D', 4, 's'), ('u', 'D', 4, 'u'), ('a', 'D', 4, 'a'), ('', 'R', 3, 'u'), ('s', 'R', 3, 'u'), ('u', 'R', 3, 'a'), ('a', 'R', 3, 'u'),
+      ('', 'K', 0, 's'), ('', 'K', 0, 'u'), ('s', 'K', 0, 'u'), ('a', 'K', 0, 'u'), ('u', 'K', 0, 'a')) AS edit(from_state, letter, price, to_state)
+      ON edit.from_state = m.now AND (letter = 'D' OR coalesce(fault, '') NOT IN ('blank', 'duplicate')) AND (letter <> 'K' OR to_state = initial))
+  QUALIFY row_number() OVER (PARTITION BY conv_id, state ORDER BY cost, audit) = 1),
+ends AS (SELECT p.conv_id, cost + 3 * k AS cost, audit || repeat('I', k) AS audit, concat_ws(chr(10), told, nullif(put, '')) AS told FROM paths p
+  JOIN counts c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND p.i = turns JOIN {MOVES_SQL} m ON m.state = p.state
+  WHERE m.now IN ('', 'a') QUALIFY row_number() OVER (PARTITION BY p.conv_id ORDER BY cost + 3 * k, audit || repeat('I', k)) = 1)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(told, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts c ON a.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ends e ON a.conv_id IS NOT DISTINCT FROM e.conv_id
+"""

@@ -109,4 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_rotation": chat_rotation.SQL, "op10_host_reputation": host_reputation.SQL}
+    return {
+        "op5_chat_rotation": chat_rotation.SQL, "op10_host_reputation": host_reputation.SQL, "op12_conversation_repair": conversation_repair.SQL,
+        "op13_spelling_variants": spelling_variants.SQL,
+    }

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, lower_ascii, written
+from .common import CRC32_TABLE_SQL, crc32_sql, discard, lower_ascii, written
 
 #: What a word is made of, and which words count: so many code points and occurrences at least.
 LETTERS, LEAST_LENGTH, LEAST_COUNT = "[A-Za-zÀ-ÿ]+", 6, 5
@@ -209,3 +209,22 @@ def misspelled_words(docs: DataFrame) -> DataFrame:
     cut = F.concat(F.left("run", place), F.substring("run", place + 2, F.length("run")))
     words = told.select(F.when(F.col("h") % ONE_IN == 0, cut).otherwise(F.col("run")).alias("word"))
     return words.groupBy("word").agg(F.count("*").alias("n")).filter((F.length("word") >= LEAST_LENGTH) & (F.col("n") >= LEAST_COUNT))
+
+
+#: The same over documents in DuckDB's SQL, by joins on words without a letter.
+SQL = f"""
+WITH runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+told AS (SELECT doc, run, count(*) AS times FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+hashed AS (SELECT run, times, {crc32_sql("(doc || ':' || run)")} AS h FROM told, {CRC32_TABLE_SQL}),
+spelt AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM hashed),
+words AS (SELECT word, CAST(sum(times) AS BIGINT) AS n FROM spelt GROUP BY word HAVING sum(times) >= 5 AND length(word) >= 6),
+lost AS (SELECT word, p, left(word, p - 1) AS a, substr(word, p + 1) AS b FROM (SELECT word, unnest(range(1, length(word) + 1)) AS p FROM words)),
+pairs AS (SELECT x.word AS w, y.word AS v FROM lost x JOIN lost y USING (p, a, b) WHERE x.word <> y.word
+  UNION SELECT lost.word, words.word FROM lost JOIN words ON words.word = a || b UNION SELECT words.word, lost.word FROM lost JOIN words ON words.word = a || b),
+rated AS (SELECT w, v, n, row_number() OVER (PARTITION BY w ORDER BY n DESC, v) AS place, count(*) OVER (PARTITION BY w) AS n_near FROM pairs JOIN words ON v = word),
+formed AS (SELECT word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN rated.n >= 5 * words.n THEN v END AS form,
+  CASE WHEN rated.n >= 5 * words.n THEN rated.n END AS form_n FROM words LEFT JOIN rated ON w = word AND place = 1),
+chains AS (WITH RECURSIVE c AS (SELECT word, word AS root FROM formed UNION ALL SELECT c.word, f.form FROM c JOIN formed f ON f.word = c.root WHERE f.form IS NOT NULL) SELECT * FROM c)
+SELECT formed.word, formed.form, root, n, n_near, form_n FROM formed JOIN chains USING (word) WHERE root NOT IN (SELECT word FROM formed WHERE form IS NOT NULL)
+"""
