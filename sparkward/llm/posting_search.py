@@ -142,7 +142,7 @@ def walked(points: np.ndarray, index: Index, ratio: float) -> np.ndarray:
 
 def homes(points: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
     """The lists of each point, the nearest one first, and which of them count."""
-    away = walked(points, index, BOUNDARY)
+    away = walked(points, index, 1.0)
     order = np.argsort(away, 1, kind="stable")[:, :REPLICAS]
     own = np.take_along_axis(away, order, 1)
     return order, own <= BOUNDARY * own[:, :1]
@@ -176,7 +176,8 @@ def fitted(sample: np.ndarray, lists: int, scale: float, top: int) -> Index:
     away /= np.maximum(away.min(1, keepdims=True), 1e-6)
     alike = sample[asked] @ sample.T
     alike[np.arange(len(asked)), asked] = -np.inf
-    nearest = np.argsort(-alike, 1, kind="stable")[:, : min(top, len(points) - 1)]
+    most = min(top, len(points) - 1)
+    nearest = np.argpartition(-alike, most - 1, 1)[:, :most] if most else np.empty((len(asked), 0), int)
     needed = np.where(held[nearest], away[:, None, :], np.inf).min(2) if nearest.size else np.ones(1)
     return index._replace(ratio=float(max(1.0, np.quantile(needed, KEPT, method="higher"))))
 
@@ -362,8 +363,8 @@ def search_nearest(embeddings: DataFrame, every: int = 20, top: int = 20) -> Dat
     answers = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(met, f"k1 long, k2 long, unit long, hits array<{hit}>")
     width = int(blocks.sum()) + 1
     while width > 1:
-        together = F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits"))))
-        answers = answers.groupBy("k1", "k2", F.expr(f"unit div {MERGED}").alias("unit")).agg(F.slice(together, 1, top + 1).alias("hits"))
+        first = F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, REPLICAS * (top + 1))  # a vector is in so many lists at most
+        answers = answers.groupBy("k1", "k2", F.expr(f"unit div {MERGED}").alias("unit")).agg(F.slice(F.array_distinct(first), 1, top + 1).alias("hits"))
         width = -(-width // MERGED)
     scored = F.flatten(F.transform("hits", lambda v: F.transform(v["ids"], lambda i: F.struct(v["minus"].alias("minus"), i.alias("rid")))))
     answers = answers.select("k1", "k2", F.slice(F.array_sort(scored), 1, top + 1).alias("best"))
