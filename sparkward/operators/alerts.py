@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered import row_numbers, running_totals
+from .silence import after_silence
 
 #: Alerts with the same message so soon after the last one are dropped.
 MINUTES = 60
@@ -73,36 +71,17 @@ def alerts(anomalies: DataFrame) -> DataFrame:
     )
 
 
-def deduplicated(found: DataFrame, minutes: int = MINUTES) -> DataFrame:
+def deduplicated(found: DataFrame, minutes: int = MINUTES, before: DataFrame | None = None) -> DataFrame:
     """The alerts that stay when each message is silent for so long after an alert that stayed: message, timestamp.
 
-    Times of a message are distinct; one exactly minutes later still counts as a repetition. They are
-    cut into runs where more than the minutes pass between two of them, which the first and last times
-    of spans of that length tell. Runs are read in order, and only the last time that stayed is held.
+    Times of a message are distinct; one exactly minutes later still counts as a repetition. before has the last
+    alert (message, timestamp) that stayed earlier of some messages. A message of any number of alerts is many
+    tasks; see after_silence.
     """
-    silent = minutes * 60_000_000
-    times = found.select("message", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("at")).filter("at IS NOT NULL").distinct()
-    times = times.withColumn("span", F.floor(F.col("at") / F.lit(max(silent, 1))).cast("long"))
-    spans = times.groupBy(F.col("message").alias("_message"), F.col("span").alias("_span")).agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    order = Window.partitionBy("_message").orderBy("_span")
-    cut = spans.withColumn("cut", F.coalesce((F.col("first") - F.lag("last").over(order) > silent).cast("long"), F.lit(0)))
-    runs = cut.select("_message", "_span", F.sum("cut").over(order).alias("run"))
-    placed = times.join(runs, F.col("message").eqNullSafe(F.col("_message")) & (F.col("span") == F.col("_span"))).select("message", "run", "at")
-    schema = pa.schema([("message", pa.string()), ("at", pa.int64())])
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, last = None, 0
-        for batch in batches:
-            kept = []
-            messages, numbers, ats = (c.to_pylist() for c in batch.columns)
-            for message, run, at in zip(messages, numbers, ats, strict=True):
-                if now != (message, run) or at > last + silent:
-                    now, last = (message, run), at
-                    kept.append((message, at))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in kept], f.type) for i, f in enumerate(schema)], schema=schema)
-
-    dealt = placed.repartition("message", "run").sortWithinPartitions("message", "run", "at")
-    return dealt.mapInArrow(fold, "message string, at long").select("message", F.timestamp_micros("at").alias("timestamp"))
+    micros = F.unix_micros(F.col("timestamp").cast("timestamp")).alias("at")
+    last = None if before is None else before.select("message", micros)
+    kept = after_silence(found.select("message", micros), "message", "at", minutes * 60_000_000, last)
+    return kept.select("message", F.timestamp_micros("at").alias("timestamp"))
 
 
 def statistics(found: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import alerts, screening
+from ..operators.silence import LONG_AGO, stayed
 from ..sources.readers import OFFENSES
 
 #: How late rows may come.
@@ -145,8 +146,11 @@ def run_available(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int
 def deduplicated(df: DataFrame, minutes: int = 60) -> DataFrame:
     """Alerts (message, at) that come more than minutes after the last one of their message that stayed, with state for each message.
 
-    The last time of a message is all the state there is, and a timer drops it once it can't matter.
+    The last time of a message is all the state there is, and a timer drops it once it can't matter. A batch's times of a
+    message are one array of 8 bytes each; where a batch may hold very many of one message (a first run over a long
+    history), alerts.deduplicated with the last times before it, as Monitor uses it, spreads them over tasks.
     """
+    import numpy as np
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
 
@@ -157,14 +161,12 @@ def deduplicated(df: DataFrame, minutes: int = 60) -> DataFrame:
             self.handle, self.last = handle, handle.getValueState("last", "at_us long")
 
         def handleInputRows(self, key, rows, timer_values):  # noqa: N802
-            last = self.last.get()[0] if self.last.exists() else None
-            out = []
-            for at in sorted(x for pdf in rows for x in pdf["at_us"]):
-                if last is None or at > last + gap_us:
-                    out.append(at)
-                    last = at
-            if last is not None:
+            last = self.last.get()[0] if self.last.exists() else LONG_AGO
+            out = stayed(np.unique(np.concatenate([pdf["at_us"].to_numpy(np.int64) for pdf in rows])), gap_us, last)
+            if out:
+                last = out[-1]
                 self.last.update((last,))
+            if last != LONG_AGO:
                 self.handle.registerTimer(last // 1000 + 2 * minutes * 60_000)
             yield pd.DataFrame({"message": [key[0]] * len(out), "at_us": out})
 
