@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ PREFILTERS = {
     "PASSPORT_NUMBER": r"[0-9]{8}", "IP_ADDRESS": r"[0-9]\.[0-9]"
 }
 DIGITS = r"[0-9]{4}"
+#: Elements of a part of a fold at least, and characters of a block of a text.
+PART, BLOCK = 64, 512
 ENTITY = "array<struct<entity_type:string,value:string,start:int,end:int,confidence:double>>"
 
 
@@ -28,22 +32,53 @@ def entities(text: Column) -> Column:
     return F.concat(*(located(text, *kind) for kind in PII_TYPES))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, although lambdas in f use it for each element."""
+    return F.transform(F.array(value), f)[0]
+
+
+def folded(items: Column, carry: Column, kind: str, step: Callable[[Column, Column], tuple[Column, Column]], last: Callable[[Column], Column] | None = None) -> Column:
+    """What a pass over items gives out: step takes the carry and an item and gives the next carry and an array of what is given out.
+
+    A fold copies all it holds at every step, so one that appends to an array takes quadratic time. Here items are
+    cut into parts of the root of their number: a fold over a part gives out a short array, and a fold over the parts has as few steps.
+    kind is the type of what is given out, an array; last gives what is left in the carry.
+    """
+    empty = F.array().cast(kind)
+
+    def advance(a: Column, item: Column) -> Column:
+        after, given = step(a["carry"], item)
+        return F.struct(after.alias("carry"), F.concat(a["out"], given).alias("out"))
+
+    def over_part(a: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(a["carry"].alias("carry"), empty.alias("out")), advance)
+        return let(inner, lambda r: F.struct(r["carry"].alias("carry"), F.concat(a["out"], r["out"]).alias("out")))
+
+    def over_all(xs: Column) -> Column:
+        size = F.greatest(F.lit(PART), F.ceil(F.sqrt(F.size(xs))).cast("int"))
+        starts = F.when(F.size(xs) > 0, F.sequence(F.lit(0), F.floor((F.size(xs) - 1) / size).cast("int"))).otherwise(F.array().cast("array<int>"))
+        parts = let(size, lambda n: F.transform(starts, lambda i: F.slice(xs, i * n + 1, n)))
+        end = (lambda a: F.concat(a["out"], last(a["carry"]))) if last else (lambda a: a["out"])
+        return F.aggregate(parts, F.struct(carry.alias("carry"), empty.alias("out")), over_part, end)
+
+    return let(items, over_all)
+
+
 def located(text: Column, kind: str, label: str, pattern: str, confidence: float) -> Column:
     """The matches of one type with their offsets, in one pass over what lies between them and how long they are."""
     values, gaps = matches(text, kind, pattern), F.transform(F.split(text, pattern, -1), F.length)
     pairs = F.filter(F.zip_with(gaps, values, lambda g, v: F.struct(g.alias("gap"), v.alias("value"))), lambda p: p["value"].isNotNull())
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(ENTITY).alias("found"))
 
-    def step(a: Column, p: Column) -> Column:
-        start = a["at"] + p["gap"]
+    def step(at: Column, p: Column) -> tuple[Column, Column]:
+        start = at + p["gap"]
         end = start + F.length(p["value"])
         one = F.struct(
             F.lit(label).alias("entity_type"), p["value"].alias("value"), start.alias("start"), end.alias("end"),
             F.lit(confidence).alias("confidence")
         )
-        return F.struct(end.alias("at"), F.concat(a["found"], F.array(one).cast(ENTITY)).alias("found"))
+        return end, F.array(one).cast(ENTITY)
 
-    return F.when(F.size(values) > 0, F.aggregate(pairs, zero, step)["found"]).otherwise(F.array().cast(ENTITY))
+    return F.when(F.size(values) > 0, folded(pairs, F.lit(0), ENTITY, step)).otherwise(F.array().cast(ENTITY))
 
 
 def labelled(text: Column, kind: str, label: str, pattern: str) -> Column:
@@ -58,16 +93,16 @@ def sweep(found: Column) -> Column:
         lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["confidence"] > b["confidence"], -1).when(a["confidence"] < b["confidence"], 1).otherwise(0)
     )
     length = lambda e: e["end"] - e["start"]
+    none = F.array().cast(ENTITY)
 
-    def step(kept: Column, e: Column) -> Column:
-        last = F.element_at(kept, -1)
+    def step(kept: Column, e: Column) -> tuple[Column, Column]:
+        """kept has the one entity that may yet give way, if any."""
+        last, one = F.get(kept, F.lit(0)), F.array(e).cast(ENTITY)
         better = (e["confidence"] > last["confidence"]) | ((e["confidence"] == last["confidence"]) & (length(e) > length(last)))
-        replaced = F.concat(F.slice(kept, 1, F.size(kept) - 1), F.array(e))
-        return F.when(F.size(kept) == 0, F.array(e)).when(
-            e["start"] >= last["end"], F.concat(kept, F.array(e))
-        ).when(better, replaced).otherwise(kept).cast(ENTITY)
+        apart = e["start"] >= last["end"]
+        return F.when((F.size(kept) == 0) | apart | better, one).otherwise(kept), F.when((F.size(kept) > 0) & apart, kept).otherwise(none)
 
-    return F.aggregate(ordered, F.array().cast(ENTITY), step)
+    return folded(ordered, none, ENTITY, step, lambda kept: kept)
 
 
 def plausible(found: Column) -> Column:
@@ -95,14 +130,28 @@ def mask(value: Column, kind: Column) -> Column:
     ).when(kind.contains("Email"), email).when(kind.contains("Phone"), tail).when(kind.contains("Address"), address).when(kind.contains("Name"), name).otherwise(plain)
 
 
-def redact(text: Column, swept: Column) -> Column:
-    """The text with every span masked."""
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    folded = F.aggregate(
-        swept, zero,
-        lambda a, e: F.struct(F.concat(a["out"], F.substring(text, a["at"] + 1, e["start"] - a["at"]), mask(e["value"], e["entity_type"])).alias("out"), e["end"].alias("at"))
+def between(blocks: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end of a text that is cut into blocks of BLOCK characters."""
+    first, last = (F.floor(x / BLOCK).cast("int") for x in (start, end))
+    block = lambda i: F.coalesce(F.get(blocks, i), F.lit(""))
+    across = F.concat(
+        F.substring(block(first), start - first * BLOCK + 1, F.lit(BLOCK)), F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""),
+        F.substring(block(last), F.lit(1), end - last * BLOCK)
     )
-    return F.concat(folded["out"], F.substring(text, folded["at"] + 1, F.length(text)))
+    return F.when(first == last, F.substring(block(first), start - first * BLOCK + 1, end - start)).otherwise(across)
+
+
+def redact(text: Column, swept: Column) -> Column:
+    """The text with every span masked. The text is cut into blocks, since a substring is counted out from the beginning."""
+    def parts(blocks: Column, spans: Column) -> Column:
+        ends = F.coalesce(F.get(spans, F.size(spans) - 1)["end"], F.lit(0))
+        return F.concat(
+            F.flatten(F.transform(spans, lambda e, i: F.array(between(blocks, F.coalesce(F.get(spans, i - 1)["end"], F.lit(0)), e["start"]), mask(e["value"], e["entity_type"])))),
+            F.array(between(blocks, ends, F.length(text)))
+        )
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return F.when(text.isNotNull(), F.array_join(let(blocks, lambda b: let(swept, lambda s: parts(b, s))), ""))
 
 
 def short_mask(value: Column, kind: str) -> Column:
@@ -195,19 +244,21 @@ def char_windows(text: Column, size: int = 512, overlap: int = 256) -> Column:
 
 def sentence_chunks(text: Column, size: int = 512) -> Column:
     """Sentences joined as long as their words are size - 2 at most; a longer sentence stands alone."""
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"))
-
-    def step(a: Column, s: Column) -> Column:
-        k = F.size(F.filter(F.split(s, r"\s+"), lambda w: w != ""))
-        full = a["n"] + k > size - 2
-        closed = F.when(full & (a["now"] != ""), F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"])
-        return F.struct(
-            closed.alias("done"), F.when(full | (a["now"] == ""), s).otherwise(F.concat_ws(" ", a["now"], s)).alias("now"),
-            F.when(full, k).otherwise(a["n"] + k).alias("n")
-        )
+    empty = F.array().cast("array<string>")
+
+    def step(a: Column, s: Column) -> tuple[Column, Column]:
+        """a has the sentences that are joined so far, and their words."""
+        full = a["n"] + s["n"] > size - 2
+        now = F.when(full | (a["now"] == ""), s["text"]).otherwise(F.concat_ws(" ", a["now"], s["text"]))
+        return F.struct(now.alias("now"), F.when(full, s["n"]).otherwise(a["n"] + s["n"]).alias("n")), rest(a, full)
+
+    def rest(a: Column, full: Column) -> Column:
+        return F.when(full & (a["now"] != ""), F.array(a["now"])).otherwise(empty)
 
-    folded = F.aggregate(F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: s != ""), zero, step)
-    return F.when(folded["now"] != "", F.concat(folded["done"], F.array(folded["now"]))).otherwise(folded["done"])
+    sentences = F.filter(F.split(text, r"(?<=[.!?])\s+"), lambda s: s != "")
+    counted = F.transform(sentences, lambda s: F.struct(s.alias("text"), F.regexp_count(s, F.lit(r"\S+")).alias("n")))
+    nothing = F.struct(F.lit("").alias("now"), F.lit(0).alias("n"))
+    return F.when(text.isNotNull(), folded(counted, nothing, "array<string>", step, lambda a: rest(a, F.lit(True))))
 
 
 def truncated(text: Column, max_length: int = 512) -> Column:
