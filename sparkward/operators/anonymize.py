@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.protect import laplace, uniform
-from .ordered import running_totals
+from .ordered import running_totals, running_totals_within
 
 
 @dataclass(frozen=True)
@@ -52,6 +52,13 @@ def l_diverse(df: DataFrame, c: Config) -> DataFrame:
     return df
 
 
+def with_sizes(counts: DataFrame, c: Config) -> DataFrame:
+    """Counts (_n) of values of groups with the size of the group, in a join that Spark can split where a group has very many values."""
+    own = [f"_of{i}" for i in range(len(c.quasi_identifiers))]
+    sizes = counts.groupBy(*(F.col(q).alias(o) for q, o in zip(c.quasi_identifiers, own, strict=True))).agg(F.sum("_n").alias("_size"))
+    return counts.join(sizes, [F.col(q).eqNullSafe(F.col(o)) for q, o in zip(c.quasi_identifiers, own, strict=True)]).drop(*own)
+
+
 def category_distances(df: DataFrame, c: Config, name: str) -> DataFrame:
     """Total variation between each group's values of a column and the whole table's: quasi-identifiers, distance.
 
@@ -61,25 +68,22 @@ def category_distances(df: DataFrame, c: Config, name: str) -> DataFrame:
     whole = df.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("_value")).agg(F.count("*").alias("_all"))
     total = whole.agg(F.sum("_all").alias("_total"))
     counts = df.filter(F.col(name).isNotNull()).groupBy(*c.quasi_identifiers, name).agg(F.count("*").alias("_n"))
-    sizes = Window.partitionBy(*c.quasi_identifiers)
-    shares = counts.withColumn("_q", F.col("_n") / F.sum("_n").over(sizes)).join(whole, F.col(name) == F.col("_value")).join(F.broadcast(total))
+    shares = with_sizes(counts, c).withColumn("_q", F.col("_n") / F.col("_size")).join(whole, F.col(name) == F.col("_value")).join(F.broadcast(total))
     return shares.groupBy(*c.quasi_identifiers).agg(F.sum(F.greatest(F.lit(0.0), F.col("_q") - F.col("_all") / F.col("_total"))).alias("distance"))
 
 
 def ks_statistics(df: DataFrame, c: Config, name: str) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov statistic of each group against the whole table, and the distance 1 - p.
 
-    The table's distribution comes from counts of its distinct values; p is the asymptotic series.
+    Both distributions come from counts of distinct values, summed within ranges of values and carried on from range to
+    range, so that neither the table nor a group of very many values is one task; p is the asymptotic series.
     """
     counts = df.filter(F.col(name).isNotNull()).groupBy(F.col(name).alias("_value")).agg(F.count("*").alias("_all"))
     whole = running_totals(counts, "_value", {"_all": "_upto"})
     total = counts.agg(F.sum("_all").alias("_total"))
     of_group = df.filter(F.col(name).isNotNull()).groupBy(*c.quasi_identifiers, name).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*c.quasi_identifiers).orderBy(name)
-    size = F.sum("_n").over(Window.partitionBy(*c.quasi_identifiers))
-    steps = of_group.withColumns({
-        "_cum": F.sum("_n").over(order), "_size": size
-    }).join(whole, F.col(name) == F.col("_value")).join(F.broadcast(total))
+    cumulated = running_totals_within(of_group, list(c.quasi_identifiers), name, "_n", "_cum")
+    steps = with_sizes(cumulated, c).join(whole, F.col(name) == F.col("_value")).join(F.broadcast(total))
     # a group's step function is farthest from the table's at a value of the group, or just before one
     at = F.abs(F.col("_cum") / F.col("_size") - F.col("_upto") / F.col("_total"))
     before = F.abs((F.col("_cum") - F.col("_n")) / F.col("_size") - (F.col("_upto") - F.col("_all")) / F.col("_total"))

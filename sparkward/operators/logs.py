@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import percentile
+from .ordered import in_blocks, percentile
+
+#: Rows of a user in a block.
+BLOCK = 16_384
 
 #: Columns of the standard log table.
 LOG_COLUMNS = ("timestamp", "source", "source_type", "log_level", "message", "user", "resource", "action", "status", "metadata")
@@ -104,25 +107,33 @@ def user_baseline(logs: DataFrame, deviations: float = 3.0, least: int = 5) -> D
     )
 
 
-def sequence_windows(logs: DataFrame, length: int = 10) -> DataFrame:
-    """For each row with so many rows of its user before it: how far it lies from their mean, in their deviations."""
-    before = Window.partitionBy("user_id").orderBy("timestamp", "event_id").rowsBetween(-length, -1)
-    seen = logs.select(
-        "event_id", "user_id", "response_time", F.count("*").over(before).alias("n"), F.avg("response_time").over(before).alias("mean"),
+def sequence_windows(logs: DataFrame, length: int = 10, rows: int = BLOCK) -> DataFrame:
+    """For each row with so many rows of its user before it: how far it lies from their mean, in their deviations.
+
+    A user's rows are cut into blocks that know the last rows of the one before, so a user of any number of rows is many tasks.
+    """
+    before = Window.partitionBy("user_id", "_block").orderBy("_place").rowsBetween(-length, -1)
+    blocks = in_blocks(logs.select("event_id", "user_id", "timestamp", "response_time"), "user_id", "timestamp", "event_id", length, rows)
+    seen = blocks.select(
+        "event_id", "user_id", "response_time", "_own", F.count("*").over(before).alias("n"), F.avg("response_time").over(before).alias("mean"),
         F.stddev_pop("response_time").over(before).alias("sd")
     )
     distance = F.coalesce(F.try_divide(F.abs(F.col("response_time") - F.col("mean")), F.col("sd")), F.lit(0.0))
-    return seen.filter(F.col("n") == length).select(
+    return seen.filter((F.col("n") == length) & F.col("_own")).select(
         "event_id", "user_id", F.round("mean", 6).alias("window_mean"), F.round(distance, 6).alias("distance")
     )
 
 
-def sequences(logs: DataFrame, length: int = 10) -> DataFrame:
-    """The values of the so many rows before each row of a user, oldest first, and the row's own as the target: event_id, user_id, sequence, target."""
-    before = Window.partitionBy("user_id").orderBy("timestamp", "event_id").rowsBetween(-length, -1)
-    kept = logs.filter("response_time IS NOT NULL")
-    seen = kept.select("event_id", "user_id", F.collect_list("response_time").over(before).alias("sequence"), F.col("response_time").alias("target"))
-    return seen.filter(F.size("sequence") == length)
+def sequences(logs: DataFrame, length: int = 10, rows: int = BLOCK) -> DataFrame:
+    """The values of the so many rows before each row of a user, oldest first, and the row's own as the target: event_id, user_id, sequence, target.
+
+    Cut into blocks as in sequence_windows.
+    """
+    before = Window.partitionBy("user_id", "_block").orderBy("_place").rowsBetween(-length, -1)
+    kept = logs.filter("response_time IS NOT NULL").select("event_id", "user_id", "timestamp", "response_time")
+    blocks = in_blocks(kept, "user_id", "timestamp", "event_id", length, rows)
+    seen = blocks.select("event_id", "user_id", "_own", F.collect_list("response_time").over(before).alias("sequence"), F.col("response_time").alias("target"))
+    return seen.filter((F.size("sequence") == length) & F.col("_own")).drop("_own")
 
 
 def sequence_distance(sequence: Column, target: Column) -> Column:

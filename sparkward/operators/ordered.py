@@ -57,12 +57,30 @@ def as_number(df: DataFrame, name: str) -> Column | None:
     return None if made is None else made(c).cast("double")
 
 
+def running_totals_within(df: DataFrame, keys: list[str], order: str, column: str, name: str, ranges: int = RANGES) -> DataFrame:
+    """df with the sum of a column over the rows of its keys up to each row's place in the order, which doesn't repeat within keys.
+
+    Rows are summed within ranges of the whole order; the totals of a key's ranges before are added, so a key of any
+    number of rows is as many tasks as ranges. Columns of other types than as_number takes are one range.
+    """
+    number = as_number(df, order)
+    numbered = df.withColumn("_number", F.lit(None).cast("double") if number is None else number)
+    placed = in_ranges(numbered, "_number", "_range", ranges)
+    own = [f"_key{i}" for i in range(len(keys))]
+    sums = placed.groupBy(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True)), F.col("_range").alias("_of")).agg(F.sum(column).alias("_sum"))
+    before = Window.partitionBy(*own).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)  # over so many ranges at most
+    carried = sums.select(*own, "_of", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    same = [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)]
+    within = Window.partitionBy(*keys, "_range").orderBy(order)
+    joined = placed.join(carried, [*same, F.col("_range") == F.col("_of")])
+    return joined.select(*df.columns, (F.sum(column).over(within) + F.col("_before")).alias(name))
+
+
 def row_numbers(df: DataFrame, key: str, order: str, then: str, name: str, ranges: int = RANGES) -> DataFrame:
-    """df with the place of each row within its key (not null), by order (null first), then another column.
+    """df with the place of each row within its key, by order (null first), then another column.
 
     Rows are numbered within ranges of order of about equal size, and the counts of the ranges before are
-    added, so that no task orders all rows of a key; one row for each key and range is broadcast.
-    Columns of other types than as_number takes are one range.
+    added in a join, so that no task orders all rows of a key. Columns of other types than as_number takes are one range.
     """
     number = as_number(df, order)
     numbered = df.withColumn("_number", F.lit(None).cast("double") if number is None else number)
@@ -71,10 +89,22 @@ def row_numbers(df: DataFrame, key: str, order: str, then: str, name: str, range
     counts = placed.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_of")).agg(F.count("*").alias("_count"))
     counts = counts.select("_key", "_of", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy(key, "_range").orderBy(order, then)
-    joined = placed.join(F.broadcast(counts), (F.col(key) == F.col("_key")) & (F.col("_range") == F.col("_of")))
+    joined = placed.join(counts, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_of")))
     return joined.select(*df.columns, (F.row_number().over(within) + F.col("_before")).cast("int").alias(name))
 
 
+def in_blocks(df: DataFrame, key: str, order: str, then: str, halo: int, rows: int) -> DataFrame:
+    """df cut into blocks of so many rows of a key in order, each with the last rows of the one before, the halo.
+
+    Adds _place (from 0, within the key), _block, and _own, which is false for the halo. A window or a pass over a block that looks
+    back no further than the halo gives each own row what one over the whole key would give it.
+    """
+    placed = row_numbers(df, key, order, then, "_place").withColumn("_place", F.col("_place") - 1)
+    block = F.expr(f"_place div {rows}").cast("int")
+    also = F.when(F.pmod("_place", F.lit(rows)) >= rows - halo, F.array(block, block + 1)).otherwise(F.array(block))
+    return placed.select("*", F.explode(also).alias("_block")).withColumn("_own", F.expr(f"_place div {rows}") == F.col("_block"))
+
+
 def percentile(df: DataFrame, column: str, share: float, most: int = MOST_VALUES) -> float | None:
     """The exact percentile of a column, linear between the two values around it; None without values.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import REMEDIATION_RULES, ROLE_PERMISSIONS
-from ..operators import alerts, logs, screening
+from ..operators import alerts, logs, recursive, screening
 from ..session import table
 from ..streaming import streams
 
@@ -285,6 +285,28 @@ SEQUENCE_ARRAYS = f"""WITH {LOGS}, seen AS (SELECT event_id, user_id, response_t
 SELECT event_id, user_id, seq[1] AS oldest, seq[10] AS newest, round(list_sum(seq), 4) AS total, target FROM seen WHERE len(seq) = 10"""
 
 
+def level_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each row is from what its user's level, followed by a filter that is fitted on all rows, leads to expect."""
+    found = event_logs(spark, sf_dir)
+    return recursive.level_scores(found, recursive.fit_filter(found)).select("event_id", "user_id", F.round("level_score", 4).alias("level_score"))
+
+
+LEVEL_SCORES = f"""WITH RECURSIVE {LOGS}, seen AS (SELECT event_id, user_id, response_time AS x, row_number() OVER w AS place, response_time - lag(response_time) OVER w AS d
+  FROM logs WHERE response_time IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY "timestamp", event_id)),
+steps AS (SELECT d, lag(d) OVER (PARTITION BY user_id ORDER BY place) AS e, (SELECT 4 * 1.4826 * quantile_cont(abs(d), 0.5) FROM seen) AS most FROM seen),
+cut AS (SELECT greatest(-most, least(most, d)) AS d, CASE WHEN e IS NOT NULL THEN greatest(-most, least(most, e)) END AS e FROM steps WHERE d IS NOT NULL),
+moments AS (SELECT avg(d * d) AS v, least(greatest(-avg(d * e), 1e-9 * avg(d * d)), avg(d * d) / 2) AS r FROM cut),
+moves AS (SELECT r, greatest(v - 2 * r, 0) AS q FROM moments), levels AS (SELECT r, (q + sqrt(q * q + 4 * q * r)) / 2 AS p FROM moves),
+gains AS (SELECT least(0.98::DOUBLE, greatest(0.02::DOUBLE, p / (p + r))) AS gain FROM levels),
+walk AS (SELECT event_id, user_id, place, x::DOUBLE AS level, 0::DOUBLE AS spread, 0::DOUBLE AS score FROM seen WHERE place = 1
+  UNION ALL
+  SELECT event_id, user_id, place, level + w * held, spread + w * (held * held - spread), CASE WHEN sure THEN abs(surprise) / sqrt(spread) ELSE 0 END FROM (
+    SELECT s.event_id, s.user_id, s.place, level, spread, s.x - level AS surprise, greatest(gain, 1::DOUBLE / s.place) AS w, s.place > 5 AND spread > 0 AS sure,
+      CASE WHEN sure THEN greatest(-4 * sqrt(spread), least(4 * sqrt(spread), surprise)) ELSE surprise END AS held
+    FROM walk JOIN seen s ON s.user_id = walk.user_id AND s.place = walk.place + 1, gains))
+SELECT event_id, user_id, round(score, 4) AS level_score FROM walk"""
+
+
 def hybrid_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the row score (the response time) and the sequence score flag."""
     found = logs.sequences(event_logs(spark, sf_dir))
@@ -414,7 +436,7 @@ SOURCES_UNION = f"""WITH {LOGS} SELECT 'events' AS source, status, count(*) AS n
 UNION ALL SELECT 'chat', '', count(*), count(DISTINCT coalesce(role, '')), count(*) FROM conversations"""
 
 QUERIES = {
-    "sequence_arrays": (sequence_arrays, SEQUENCE_ARRAYS), "hybrid_agreement": (hybrid_agreement, HYBRID_AGREEMENT), "hybrid_alerts": (hybrid_alerts, HYBRID_ALERTS), "validation_counts": (validation_counts, VALIDATION_COUNTS),
+    "sequence_arrays": (sequence_arrays, SEQUENCE_ARRAYS), "level_scores": (level_scores, LEVEL_SCORES), "hybrid_agreement": (hybrid_agreement, HYBRID_AGREEMENT), "hybrid_alerts": (hybrid_alerts, HYBRID_ALERTS), "validation_counts": (validation_counts, VALIDATION_COUNTS),
     "alert_generation": (alert_generation, ALERT_GENERATION), "auroc": (auroc, AUROC), "action_ranking": (action_ranking, ACTION_RANKING), "failed_logins": (failed_logins, FAILED_LOGINS), "sources_union": (sources_union, SOURCES_UNION),
     "logs_normalized": (logs_normalized, LOGS_NORMALIZED), "anomalies_rule": (anomalies_rule, ANOMALIES_RULE), "anomalies_percentile": (anomalies_percentile, ANOMALIES_PERCENTILE), "alert_messages": (alert_messages, ALERT_MESSAGES),
     "alert_stats": (alert_stats, ALERT_STATS), "alerts_dedup": (alerts_dedup, ALERTS_DEDUP), "review_queue": (review_queue, REVIEW_QUEUE), "review_stats": (review_stats, REVIEW_STATS), "feedback_stats": (feedback_stats, FEEDBACK_STATS),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,44 +100,82 @@ def polled_offenses(spark: SparkSession, path: str, first_ms: int) -> DataFrame:
 class Monitor:
     """The monitor loop as the sink of one stream: logs are normalized, scored, turned into alerts, screened, and breaches get their remediation steps.
 
-    Each batch adds to four tables below folder: anomalies, alerts, breaches and plan, in a partition of its
-    own (batch=number) that a repeated batch overwrites, so every batch counts once. Alerts whose message
-    was raised within the hour, in the batch or before it, are left out.
+    Each batch adds to four tables below folder: anomalies, alerts, breaches and plan. Its files lie in folders of
+    their own, which nobody reads until the batch's manifest names them; a manifest is put in place by one rename. So a
+    batch that fails shows nothing, and one that is repeated counts once. Alerts whose message was raised
+    within the minutes, in the batch or before it, are left out; of what was raised before, a batch reads only the last time of
+    each message that the batch before it handed on, and hands on those within the minutes and lateness of its newest one.
     """
 
     TABLES = ("anomalies", "alerts", "breaches", "plan")
 
-    def __init__(self, folder: str, listed: DataFrame, rules: DataFrame, score: Callable[[DataFrame], DataFrame], minutes: int = 60):
-        self.folder, self.listed, self.rules, self.score, self.minutes = folder, listed, rules, score, minutes
+    def __init__(self, folder: str, listed: DataFrame, rules: DataFrame, score: Callable[[DataFrame], DataFrame], minutes: int = 60, lateness: int = 60):
+        self.folder, self.listed, self.rules, self.score, self.minutes, self.lateness = folder, listed, rules, score, minutes, lateness
+
+    def manifests(self, spark: SparkSession) -> str | None:
+        """The folder of the manifests, if there is one."""
+        path, files = on_store(spark, f"{self.folder}/commits")
+        return f"{self.folder}/commits" if files.exists(path) else None
 
     def stored(self, spark: SparkSession, name: str, before: int | None = None) -> DataFrame | None:
-        """A table of results, without those of batches from a number on."""
-        path = f"{self.folder}/{name}"
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        """A table of results, without those of batches from a number on; only batches that are committed show."""
+        folder = self.manifests(spark)
+        if folder is None:
+            return None
+        made = spark.read.schema("batch long, attempt string").json(folder)
+        made = made if before is None else made.filter(F.col("batch") < before)
+        paths = [f"{self.folder}/{name}/batch={r.batch}/attempt={r.attempt}" for r in made.collect()]  # two numbers for each batch
+        return spark.read.option("basePath", f"{self.folder}/{name}").parquet(*paths).drop("attempt") if paths else None
+
+    def handed_on(self, spark: SparkSession, number: int) -> DataFrame | None:
+        """The last times that the batch before this one handed on."""
+        path, files = on_store(spark, f"{self.folder}/commits/{number - 1}.json")
+        if not files.exists(path):
             return None
-        rows = spark.read.option("basePath", path).parquet(path)
-        return rows if before is None else rows.filter(F.col("batch") < before)
+        attempt = spark.read.schema("batch long, attempt string").json(f"{self.folder}/commits/{number - 1}.json").first().attempt
+        return spark.read.parquet(f"{self.folder}/last/batch={number - 1}/attempt={attempt}")
 
-    def put(self, df: DataFrame, name: str, batch: int) -> DataFrame:
-        path = f"{self.folder}/{name}/batch={batch}"
-        df.write.mode("overwrite").parquet(path)
+    def put(self, df: DataFrame, name: str, batch: int, attempt: str) -> DataFrame:
+        path = f"{self.folder}/{name}/batch={batch}/attempt={attempt}"
+        df.write.parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
 
+    def commit(self, spark: SparkSession, batch: int, attempt: str) -> None:
+        """Makes a batch show, by a rename."""
+        made, files = on_store(spark, f"{self.folder}/commits/_{attempt}")
+        out = files.create(made)
+        out.write(bytearray(json.dumps({"batch": batch, "attempt": attempt}).encode()))
+        out.close()
+        path, _ = on_store(spark, f"{self.folder}/commits/{batch}.json")
+        if files.exists(path):  # committed, but the stream's checkpoint didn't get to know
+            files.delete(path, False)
+        if not files.rename(made, path):
+            raise RuntimeError(f"batch {batch} couldn't be committed")
+
     def __call__(self, batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        anomalies = self.put(self.score(batch), "anomalies", number)
+        spark, attempt = batch.sparkSession, uuid.uuid4().hex
+        put = lambda df, name: self.put(df, name, number, attempt)
+        anomalies = put(self.score(batch), "anomalies")
         raised = alerts.alerts(anomalies)
-        before = self.stored(spark, "alerts", number)
-        if before is not None:
-            raised = alerts.not_repeated(raised, before.select("message", "timestamp"), self.minutes)
-        kept = alerts.deduplicated(raised, self.minutes).select(F.col("message").alias("_message"), F.col("timestamp").alias("_at"))
+        before = self.handed_on(spark, number)
+        kept = alerts.deduplicated(raised, self.minutes, before).select(F.col("message").alias("_message"), F.col("timestamp").alias("_at"))
         first = raised.join(kept, (F.col("message") == F.col("_message")) & (F.col("timestamp") == F.col("_at")))
         one = first.groupBy("message", "timestamp").agg(F.min_by(F.struct(*raised.columns), "alert_id").alias("_alert")).select("_alert.*")
-        self.put(one, "alerts", number)
+        made = put(one, "alerts").select("message", F.col("timestamp").cast("timestamp").alias("timestamp"))
+        times = made if before is None else made.unionByName(before)
+        latest = times.groupBy("message").agg(F.max("timestamp").alias("timestamp"))
+        newest = latest.agg((F.max("timestamp") - F.expr(f"INTERVAL {self.minutes + self.lateness} MINUTES")).alias("_oldest"))
+        put(latest.join(newest, F.col("timestamp") >= F.col("_oldest")).drop("_oldest"), "last")
         hits = screening.screen(anomalies, self.listed).filter("compliance_breach").withColumn("match_score", F.col("anomaly_score"))
-        breaches = self.put(screening.breach_rows(hits), "breaches", number)
-        self.put(screening.remediation_plan(breaches, self.rules), "plan", number)
+        breaches = put(screening.breach_rows(hits), "breaches")
+        put(screening.remediation_plan(breaches, self.rules), "plan")
+        self.commit(spark, number, attempt)
+
+
+def on_store(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, for the few calls that Spark's readers and writers don't make."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def run_available(df: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:
