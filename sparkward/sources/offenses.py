@@ -40,9 +40,8 @@ def offense_source(fetch: Fetch, name: str = "offenses") -> type[DataSource]:
             self.status, self.above = options.get("status"), float(options.get("above", "-inf"))
 
         def rows(self, page: list[dict]) -> Iterator[tuple]:
-            for o in page:
-                if self.status in (None, o.get("status")) and (o.get("severity") or 0) > self.above:
-                    yield tuple(o.get(n) for n in NAMES)
+            kept = [o for o in page if self.status in (None, o.get("status")) and (o.get("severity") or 0) > self.above]
+            return iter([tuple(o.get(n) for n in NAMES) for o in kept])  # Spark keeps a page for its batch
 
         def initialOffset(self) -> dict:  # noqa: N802
             return {"after": self.since}
