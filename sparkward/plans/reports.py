@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alerts, logs, models, reports, screening
+from ..operators import alerts, logs, models, network, reports, screening
 from ..session import scratch, table
 from ..streaming import streams
 from . import documents
@@ -217,6 +217,12 @@ def recon_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.reconstruction_errors(numeric_logs(spark, sf_dir), "event_id", NUMBERS)
 
 
+def network_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of the logs' numbers after a network of a few steps."""
+    rows = numeric_logs(spark, sf_dir)
+    return network.network_errors(rows, "event_id", network.fit_network(rows, NUMBERS, steps=40))
+
+
 def ensemble_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.above_percentile(models.ensemble(iforest(spark, sf_dir), recon_error(spark, sf_dir)).select("key", "anomaly_score"), "anomaly_score")
 
@@ -374,6 +380,6 @@ QUERIES = {
     "risk_overview": (risk_overview, RISK_OVERVIEW), "compliance_state": (compliance_state, COMPLIANCE_STATE), "dashboard": (dashboard, f"WITH {SCANS} SELECT scan_id, files_scanned, sensitive_files_found FROM scans ORDER BY start_time DESC, scan_id LIMIT 5"),
     "trend": (trend, f"WITH {SCANS} SELECT scan_id, strftime(start_time, '%b %d') AS label, sensitive_files_found FROM scans ORDER BY start_time, scan_id LIMIT 12"), "gdpr_register": (gdpr_register, GDPR_REGISTER),
     "category_tally": (category_tally, "SELECT 'Data Class ' || (event_id % 7) AS category, count(*) AS n FROM events GROUP BY 1"), "ccpa_requests": (ccpa_requests, CCPA_REQUESTS), "hipaa_breaches": (hipaa_breaches, HIPAA_BREACHES), "control_status": (control_status, CONTROL_STATUS),
-    "next_runs": (next_runs, NEXT_RUNS), "report_integrity": (report_integrity, REPORT_INTEGRITY), "iforest": (iforest, None), "recon_error": (recon_error, None), "ensemble_anomalies": (ensemble_anomalies, None), "validation_model": (validation_model, None),
+    "next_runs": (next_runs, NEXT_RUNS), "report_integrity": (report_integrity, REPORT_INTEGRITY), "iforest": (iforest, None), "recon_error": (recon_error, None), "network_error": (network_error, None), "ensemble_anomalies": (ensemble_anomalies, None), "validation_model": (validation_model, None),
     "stream_windows": (stream_windows, STREAM_WINDOWS), "stream_sliding": (stream_sliding, STREAM_SLIDING), "stream_sessions": (stream_sessions, STREAM_SESSIONS),
 }
