@@ -229,13 +229,13 @@ SCAN_SUMMARY = CATALOG_SQL + """SELECT source_location, count(*) AS n_files, cou
 
 
 def scan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A scan of one minute, in which texts over 10,000 bytes failed."""
+    """A scan of one minute, in which documents without a text failed."""
     found = catalog.document_records(table(spark, sf_dir, "documents"), carry=(F.octet_length("text").alias("bytes"),))
-    return catalog.scan_totals(found.withColumn("error", F.when(F.col("bytes") > 10_000, "too long")), F.lit(60.0))
+    return catalog.scan_totals(found.withColumn("error", F.when(F.col("bytes").isNull(), "no text")), F.lit(60.0))
 
 
-SCAN_TOTALS = CATALOG_SQL + """, t AS (SELECT count(*) AS n_files, count(*) FILTER (bytes <= 10000) AS n_success, count(*) FILTER (bytes > 10000) AS n_failed,
-  count(*) FILTER (bytes <= 10000 AND pii_count > 0) AS n_sensitive, CAST(sum(bytes) AS BIGINT) AS n_bytes, 60.0::DOUBLE AS seconds FROM records)
+SCAN_TOTALS = CATALOG_SQL + """, t AS (SELECT count(*) AS n_files, count(bytes) AS n_success, count(*) FILTER (bytes IS NULL) AS n_failed,
+  count(*) FILTER (bytes IS NOT NULL AND pii_count > 0) AS n_sensitive, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS n_bytes, 60.0::DOUBLE AS seconds FROM records)
 SELECT *, round(n_files / seconds, 6) AS files_per_second, round(n_bytes / 1048576.0::DOUBLE / seconds, 6) AS mb_per_second FROM t"""
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import time
 from collections.abc import Callable
+from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -130,6 +131,90 @@ def scan_tables(spark: SparkSession, tables: list[str], profile) -> tuple[list[D
     return done, failed
 
 
+#: Databases that hold a system's own tables.
+SYSTEM_SCHEMAS = ("information_schema", "pg_catalog", "pg_toast", "sys", "mysql", "performance_schema")
+
+
+def scan_catalog(
+    spark: SparkSession, profile: Callable[[DataFrame], DataFrame], system: tuple[str, ...] = SYSTEM_SCHEMAS, catalog: str | None = None
+) -> tuple[DataFrame | None, DataFrame]:
+    """Profiles every table of every database of a catalog (the current one by default) but those of the system.
+
+    Gives the profiles in one frame, with schema_name and table_name (None where no table could be profiled), and a row for each table:
+    schema_name, table_name, status (profiled or failed), error. A profile is planned, and its first row computed, when its table's turn comes, so one that
+    can't be read is a row, too, and the others are profiled. Temporary views belong to no database and are left out.
+    """
+    prefix = f"`{catalog}`." if catalog else ""
+    parts, status = [], []
+    for schema in sorted(r.namespace for r in spark.sql(f"SHOW SCHEMAS{f' IN `{catalog}`' if catalog else ''}").collect()):
+        if schema.lower() in system:
+            continue
+        tables = spark.sql(f"SHOW TABLES IN {prefix}`{schema}`").filter("NOT isTemporary").collect()
+        for name in sorted(r.tableName for r in tables):
+            try:
+                made = profile(spark.table(f"{prefix}`{schema}`.`{name}`"))
+                made.limit(1).collect()
+                parts.append(made.withColumns({"schema_name": F.lit(schema), "table_name": F.lit(name)}))
+                status.append((schema, name, "profiled", None))
+            except (PySparkException, Py4JJavaError) as e:
+                status.append((schema, name, "failed", str(e).splitlines()[0]))
+    told = spark.createDataFrame(status, "schema_name string, table_name string, status string, error string")
+    return (reduce(DataFrame.unionByName, parts) if parts else None), told
+
+
+def record_feedback(
+    spark: SparkSession, path: str, anomaly_id: str, is_true_positive: bool, anomaly_type: str, feedback_source: str = "human", context: dict[str, str] | None = None
+) -> None:
+    """Adds a piece of feedback, with its time and context (without nulls), to a folder; feedback reads the latest one for each anomaly."""
+    said = [(anomaly_id, is_true_positive, anomaly_type, feedback_source, {k: str(v) for k, v in (context or {}).items() if v is not None})]
+    rows = spark.createDataFrame(said, "anomaly_id string, is_true_positive boolean, anomaly_type string, feedback_source string, context map<string,string>")
+    rows.withColumn("timestamp", F.current_timestamp()).coalesce(1).write.mode("append").json(path)
+
+
+def scan_summary_row(totals: DataFrame, status: str = "completed") -> DataFrame:
+    """A scan's summary for a JSON file: its totals (of catalog.scan_totals), status and time."""
+    return totals.select(F.date_format(F.current_timestamp(), "yyyyMMddHHmmss").alias("scan_id"), F.current_timestamp().alias("finished_at"), F.lit(status).alias("status"), *totals.columns)
+
+
+def put_parameters(spark: SparkSession, path: str, **values: float) -> int:
+    """Adds a version of the parameters, such as threshold and contamination; those that aren't given stay as they were. Gives the version."""
+    version, now = latest_parameters(spark, path)
+    rows = [(version + 1, k, float(v)) for k, v in sorted({**now, **values}.items())]
+    spark.createDataFrame(rows, "version long, name string, value double").coalesce(1).withColumn("set_at", F.current_timestamp()).write.mode("append").parquet(path)
+    return version + 1
+
+
+def latest_parameters(spark: SparkSession, path: str, most: int | None = None) -> tuple[int, dict[str, float]]:
+    """The last version of the parameters, or the last one up to most: its number (0 without any) and values."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return 0, {}
+    rows = spark.read.parquet(path)
+    version = (rows if most is None else rows.filter(F.col("version") <= most)).agg(F.max("version")).first()[0]
+    return (version, {r.name: r.value for r in rows.filter(F.col("version") == version).collect()}) if version else (0, {})
+
+
+def batch_parameters(spark: SparkSession, path: str, used: str, batch: int) -> tuple[int, dict[str, float]]:
+    """The parameters of a stream's batch: the latest version at its first run, which used remembers, so that a batch that is run again has the same ones."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{used}/batch={batch}")
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return latest_parameters(spark, path, spark.read.parquet(f"{used}/batch={batch}").first().version)
+    version, values = latest_parameters(spark, path)
+    spark.createDataFrame([(version,)], "version long").write.parquet(f"{used}/batch={batch}")
+    return version, values
+
+
+def retune(spark: SparkSession, path: str, gate: DataFrame, statistics: DataFrame, best: DataFrame) -> int | None:
+    """A new version of threshold and contamination, if the gate (of alerts.should_retrain) is open; its number.
+
+    statistics and best are what alerts.feedback_statistics and alerts.best_threshold give, a row each; without a best threshold the old one stays.
+    """
+    if not gate.first().retrain:
+        return None
+    threshold = best.first()
+    return put_parameters(spark, path, contamination=statistics.first().contamination, **({"threshold": threshold.threshold} if threshold else {}))
+
+
 def email_outbox(breaches: DataFrame, recipients: tuple[str, ...], sender: str, test_mode: bool = False) -> DataFrame:
     """Mails to send about breaches; none without recipients. In test mode they are marked so and not to be sent."""
     body = F.concat(F.lit("<h2>Compliance breach</h2><p>"), F.col("breach_type"), F.lit(" by "), F.coalesce("user", F.lit("unknown")), F.lit("</p>"))
