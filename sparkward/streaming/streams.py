@@ -222,3 +222,53 @@ def deduplicated(df: DataFrame, minutes: int = 60) -> DataFrame:
     return rows.groupBy("message").transformWithStateInPandas(
         statefulProcessor=LastStayed(), outputStructType="message string, at_us long", outputMode="Append", timeMode="EventTime"
     )
+
+
+def moving_baseline(rows: DataFrame, decay: float = 0.0, deviations: float = 3.0, least: int = 5, idle_hours: int = 24 * 90) -> DataFrame:
+    """Rows of a stream (event_id, user_id, at, response_time) with whether they are far above their user's own earlier ones: event_id, user_id, n_before, volume_alert.
+
+    The state of a user is the weight, mean and sum of squares of the values so far (Welford's update), of which each further value forgets
+    the share decay. Without decay the alerts are those of logs.user_baseline. A timer drops users that were idle for so
+    long. Rows of a batch are taken by time, then event_id; nulls don't count for the baseline.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Baseline(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle, self.state = handle, handle.getValueState("state", "n long, weight double, mean double, squares double, weights2 double")
+
+        def handleInputRows(self, key, rows, timer_values):  # noqa: N802
+            batch = pd.concat(list(rows)).sort_values(["at", "event_id"])
+            n, weight, mean, squares, weights2 = self.state.get() if self.state.exists() else (0, 0.0, 0.0, 0.0, 0.0)
+            before, alerted = [], []
+            for x in batch["response_time"].tolist():
+                before.append(n)
+                known = x == x and x is not None
+                spread = weight - (weights2 / weight if weight else 0.0)  # what unbiased variances divide by, n - 1 without decay
+                alerted.append(bool(known and n >= least and spread > 0 and x > mean + deviations * max(0.0, squares / spread) ** 0.5))
+                if known:
+                    weight, weights2, squares = weight * (1 - decay) + 1, weights2 * (1 - decay) ** 2 + 1, squares * (1 - decay)
+                    gap = x - mean
+                    mean += gap / weight
+                    squares += gap * (x - mean)
+                    n += 1
+            self.state.update((n, float(weight), float(mean), float(squares), float(weights2)))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+            self.handle.registerTimer(int(batch["at"].max().timestamp() * 1000) + idle_hours * 3_600_000)
+            yield pd.DataFrame({"event_id": batch["event_id"], "user_id": batch["user_id"], "n_before": before, "volume_alert": alerted})
+
+        def handleExpiredTimer(self, key, timer_values, expired_timer_info):  # noqa: N802
+            self.state.clear()
+            yield pd.DataFrame({"event_id": [], "user_id": [], "n_before": [], "volume_alert": []})
+
+        def close(self) -> None:
+            pass
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    taken = rows.select("event_id", "user_id", "at", F.col("response_time").cast("double").alias("response_time"))
+    return taken.groupBy("user_id").transformWithStateInPandas(
+        statefulProcessor=Baseline(), outputMode="Append", timeMode="EventTime",
+        outputStructType=f"event_id {kinds['event_id']}, user_id {kinds['user_id']}, n_before long, volume_alert boolean"
+    )

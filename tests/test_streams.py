@@ -2,6 +2,7 @@
 
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +125,28 @@ def test_repeated_messages_stay_silent_over_batches(spark, tmp_path):
         monitor(batch_of(spark, k * 30, 30, messages=1), k)  # one message a minute for three hours
     at = [r[0] for r in monitor.stored(spark, "alerts").select(F.unix_seconds(F.col("timestamp").cast("timestamp")) / 60).orderBy("timestamp").collect()]
     assert at == [0, 61, 122]
+
+
+def test_moving_baseline_is_that_of_the_batch(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, f"u{i % 3}", i, None if i % 29 == 0 else rng.gauss(10, 2) * (6 if i % 37 == 0 else 1)) for i in range(600)]
+    found = spark.createDataFrame(rows, "event_id long, user_id string, s long, response_time double").select(
+        "event_id", "user_id", F.timestamp_seconds("s").alias("timestamp"), F.lit("r").alias("resource"), "response_time"
+    )
+    expected = {r.event_id: (r.n_before, r.volume_alert) for r in logs.user_baseline(found).collect()}
+    for part in ("event_id < 250", "event_id >= 250"):
+        found.filter(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streams.read_files(spark, str(tmp_path / "in"), found.schema, maxFilesPerTrigger="1").withColumn("at", F.col("timestamp")).withWatermark("at", "1 hour")
+    key, got = "spark.sql.streaming.stateStore.providerClass", {}
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for name, decay in (("a", 0.0), ("b", 0.1)):
+            seen = got.setdefault(name, {})
+            streams.run_available(
+                streams.moving_baseline(stream, decay), str(tmp_path / name),
+                lambda df, n, seen=seen: seen.update({r.event_id: (r.n_before, r.volume_alert) for r in df.collect()})
+            )
+    finally:
+        spark.conf.unset(key)
+    assert got["a"] == expected and sum(a for _, a in expected.values()) > 5
+    assert got["b"] != expected and {e: n for e, (n, _) in got["b"].items()} == {e: n for e, (n, _) in expected.items()}
