@@ -129,7 +129,7 @@ def test_repeated_messages_stay_silent_over_batches(spark, tmp_path):
 
 def test_moving_baseline_is_that_of_the_batch(spark, tmp_path):
     rng = random.Random(6)
-    rows = [(i, f"u{i % 3}", i, None if i % 29 == 0 else rng.gauss(10, 2) * (6 if i % 37 == 0 else 1)) for i in range(600)]
+    rows = [(i, f"u{i % 3}", 10_000 + i, None if i % 29 == 0 else rng.gauss(10, 2) * (6 if i % 37 == 0 else 1)) for i in range(600)]
     found = spark.createDataFrame(rows, "event_id long, user_id string, s long, response_time double").select(
         "event_id", "user_id", F.timestamp_seconds("s").alias("timestamp"), F.lit("r").alias("resource"), "response_time"
     )
